@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, quality, rules, sharding, simhash, warc
+from . import media, quality, rules, sharding, simhash, suffixdedup, warc
 from .common import table
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_sampled_splitters": lambda s, d: sharding.shard(table(s, d, "documents")),
     "op5_quadratic_discriminant": lambda s, d: quality.op5(table(s, d, "documents"), table(s, d, "labels")),
     "op6_content_addressed_warc": lambda s, d: warc.op6(table(s, d, "pages")),
+    "op7_column_wise_suffixes": lambda s, d: suffixdedup.op7(table(s, d, "documents")),
     "op9_divergence_rules": lambda s, d: rules.op9(table(s, d, "documents")),
     "op10_media_tiles": lambda s, d: media.op10(table(s, d, "documents")),
 }

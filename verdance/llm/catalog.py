@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import lmscore, media, quality, rules, sharding, simhash, suffixdedup, warc
+from . import lmscore, media, packing, pieces, quality, rules, sharding, simhash, suffixdedup, warc
 from .common import table
 
 QUERIES = {
     "op1_simhash_anchors": lambda s, d: simhash.op1(table(s, d, "documents")),
     "op2_sampled_splitters": lambda s, d: sharding.shard(table(s, d, "documents")),
+    "op3_sentencepiece_suffix_array": lambda s, d: pieces.op3(table(s, d, "documents")),
     "op4_suffix_tree_lm": lambda s, d: lmscore.op4(table(s, d, "documents")),
     "op5_quadratic_discriminant": lambda s, d: quality.op5(table(s, d, "documents"), table(s, d, "labels")),
     "op6_content_addressed_warc": lambda s, d: warc.op6(table(s, d, "pages")),
     "op7_column_wise_suffixes": lambda s, d: suffixdedup.op7(table(s, d, "documents")),
+    "op8_pattern_packing": lambda s, d: packing.op8(table(s, d, "documents")),
     "op9_divergence_rules": lambda s, d: rules.op9(table(s, d, "documents")),
     "op10_media_tiles": lambda s, d: media.op10(table(s, d, "documents")),
 }

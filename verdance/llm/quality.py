@@ -140,7 +140,6 @@ def _kept(model):
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that the classifier predicts to be good, with their columns."""
-    marked = labels.select(F.col("doc_id").alias("id")).distinct()
-    train = written(with_statistics(docs.join(marked, F.col("doc_id") == F.col("id"), "left_semi")), "statistics")
+    train = written(with_statistics(docs), "statistics")
     model = docs.sparkSession.sparkContext.broadcast(fit(train, labels))
     return docs.select("*", text_bytes().alias("raw_")).mapInArrow(_kept(model), docs.schema)

@@ -158,33 +158,55 @@ def references(docs: DataFrame, common: int = COMMON) -> dict[str, tuple[np.ndar
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, chars_distance double, words_distance double, kept boolean"
 
 
+def verdict(lang: str, raw: bytes, refs: dict, limits: dict) -> tuple:
+    """The five base counts, base_failed, both distances (0 where not looked at), kept."""
+    counts = base_counts(raw)
+    n, repeated = counts[0], counts[4]
+    failed = n < 20 or 100 * repeated > 30 * n
+    chars, bins, words, total = refs[lang]
+    d = w = 0.0
+    if total >= limits["min_words_of_language"]:
+        if counts[1] >= limits["min_chars"]:
+            d = distance(class_counts(raw), chars)
+        if n >= limits["min_words"]:
+            last = len(words) - 1
+            w = distance(np.bincount([bins.get(x, last) for x in raw.lower().split()], minlength=last + 1), words)
+    return (*counts, failed, d, w, not failed and d <= limits["max_chars_distance"] and w <= limits["max_words_distance"])
+
+
+def _verdicts(b: pa.RecordBatch, refs, limits) -> tuple[list[int], list[tuple]]:
+    """The carried columns' places, and each row's verdict."""
+    out = [verdict(lang, raw, refs.value, limits) for lang, raw in zip(b.column("lang_").to_pylist(), b.column("raw_").to_pylist(), strict=True)]
+    return [i for i, name in enumerate(b.schema.names) if name not in ("lang_", "raw_")], out
+
+
 def _judged(refs, limits):
     def run(batches):
-        refs_ = refs.value
         for b in batches:
-            out: list[tuple] = []
-            for lang, raw in zip(b.column("lang_").to_pylist(), b.column("raw_").to_pylist(), strict=True):
-                counts = base_counts(raw)
-                n, repeated = counts[0], counts[4]
-                failed = n < 20 or 100 * repeated > 30 * n
-                ref = refs_[lang]
-                d = w = 0.0
-                if ref[3] >= limits["min_words_of_language"]:
-                    if counts[1] >= limits["min_chars"]:
-                        d = distance(class_counts(raw), ref[0])
-                    if n >= limits["min_words"]:
-                        bins, last = ref[1], len(ref[2]) - 1
-                        w = distance(np.bincount([bins.get(x, last) for x in raw.lower().split()], minlength=last + 1), ref[2])
-                kept = not failed and d <= limits["max_chars_distance"] and w <= limits["max_words_distance"]
-                out.append((*counts, failed, d, w, kept))
+            keep, out = _verdicts(b, refs, limits)
             cols = list(zip(*out, strict=True)) if out else [()] * 9
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
-            keep = [i for i, name in enumerate(b.schema.names) if name not in ("lang_", "raw_")]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [*(b.schema.names[i] for i in keep), *(x.split()[0] for x in SCHEMA.split(", "))])
 
     return run
 
 
+def _kept(refs, limits):
+    def run(batches):
+        for b in batches:
+            keep, out = _verdicts(b, refs, limits)
+            yield b.select(keep).filter(pa.array([x[-1] for x in out], pa.bool_()))
+
+    return run
+
+
+def keep_good(docs: DataFrame, **limits) -> DataFrame:
+    """The rows that the rules keep, with their columns."""
+    refs = docs.sparkSession.sparkContext.broadcast(references(docs))
+    rows = docs.select("*", F.coalesce("lang", F.lit("")).alias("lang_"), text_bytes().alias("raw_"))
+    return rows.mapInArrow(_kept(refs, DEFAULTS | limits), docs.schema)
+
+
 def judge(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), **limits) -> DataFrame:
     """The carried columns and the counts, distances and verdict of every document."""
     refs = docs.sparkSession.sparkContext.broadcast(references(docs))  # languages x (bins + classes)

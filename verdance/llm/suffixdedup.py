@@ -10,7 +10,7 @@ these steps follow, all of them in one plan whose only shuffle of texts is used
    whether more than one document has it. All other segments are done.
 2. A batch finds equal segments among its own: in all but the smallest document they are flagged at once, and only
    that one goes on to the segment's bucket. So a passage in a third of all documents reaches its bucket once a batch.
-3. A bucket builds the generalised suffix array of its distinct segments column by column: each round inserts one
+3. A bucket takes about a megabyte of segments at a time (by other bits of the same hash) and builds the generalised suffix array of the distinct ones column by column: each round inserts one
    symbol of every segment, from its end to its start, into the collection's Burrows-Wheeler transform and updates the common
    prefixes of the neighbours. Both are kept as streams that a round reads and writes in order (in a nameless file
    once they are large, which no other task ever sees). Runs of common prefixes of 50 or more are equal windows; the
@@ -40,6 +40,7 @@ MOST_WINDOWS = 32
 BATCH_MB = 8
 SPOOL_BYTES = 64 << 20
 CHUNK = 1 << 18
+PORTION = 1 << 20
 _B = 0x9E3779B97F4A7C15
 
 
@@ -228,7 +229,7 @@ def _known(ids: list, raws: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
 
 ASK = "bucket int, batch int, hashes binary, several binary"
 ANSWER = "batch int, bucket int, bits binary"
-SENT = "route int, kind int, batch int, windows binary, ids binary, rows binary, places binary, body binary"
+SENT = "route int, kind int, batch int, parts binary, windows binary, ids binary, rows binary, places binary, body binary"
 FLAGS = "batch int, rows binary, places binary, windows binary"
 _KINDS = {"int": pa.int32(), "binary": pa.binary(), "long": pa.int64(), "string": pa.string()}
 
@@ -297,7 +298,7 @@ def _send(buckets: int):
             else:
                 body[i] = x
         pack = lambda v, kind: np.ascontiguousarray(v, kind).tobytes()
-        out = [(batch % buckets, 1, batch, pack(windows[local], np.int32), b"", pack(row[local], np.int32), pack(first[local], np.int32), b"")] if local.any() else []
+        out = [(batch % buckets, 1, batch, b"", pack(windows[local], np.int32), b"", pack(row[local], np.int32), pack(first[local], np.int32), b"")] if local.any() else []
         sent = np.flatnonzero(~local)
         bucket = _buckets(h[sent], buckets)
         order = np.argsort(bucket, kind="stable")
@@ -306,41 +307,53 @@ def _send(buckets: int):
         for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
             if j > i:
                 s = sent[i:j]
-                out.append((b, 0, batch, pack(windows[s], np.int32), pack(ids[row[s]], np.int64), pack(row[s], np.int32), pack(first[s], np.int32), b"".join(body[x] for x in s.tolist())))
+                out.append((b, 0, batch, pack(h[s] & np.uint64(255), np.uint8), pack(windows[s], np.int32), pack(ids[row[s]], np.int64), pack(row[s], np.int32), pack(first[s], np.int32), b"".join(body[x] for x in s.tolist())))
         return _as_table(out, SENT)
 
     return run
 
 
+def _portions(parts: list[np.ndarray], windows: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Ranges of the 256 parts of a bucket (equal windows share one) that have about PORTION bytes of segments each."""
+    size = np.zeros(256)
+    for p, w in zip(parts, windows, strict=True):
+        size += np.bincount(p, weights=w + LENGTH - 1, minlength=256)
+    out, start, held = [], 0, 0.0
+    for i in range(256):
+        if held and held + size[i] > PORTION:
+            out.append((start, i))
+            start, held = i, 0.0
+        held += size[i]
+    return [*out, (start, 256)]
+
+
 def _resolve(key, sent):
-    out: list[tuple] = []
-    number: dict[bytes, int] = {}
-    strings, batches, windows, ids, rows, places = [], [], [], [], [], []
-    for r in sent.to_pylist():
-        if r["kind"] == 1:
-            out.append((r["batch"], r["rows"], r["places"], r["windows"]))
+    rows = sent.to_pylist()
+    out: list[tuple] = [(r["batch"], r["rows"], r["places"], r["windows"]) for r in rows if r["kind"] == 1]
+    rows = [r for r in rows if r["kind"] == 0]
+    parts = [np.frombuffer(r["parts"], np.uint8) for r in rows]
+    windows = [np.frombuffer(r["windows"], np.int32) for r in rows]
+    ends = [np.cumsum(w + LENGTH - 1) for w in windows]
+    for low, high in _portions(parts, windows) if rows else []:
+        number: dict[bytes, int] = {}
+        string: list[int] = []
+        held: list[tuple] = []
+        for i, r in enumerate(rows):
+            at = np.flatnonzero((parts[i] >= low) & (parts[i] < high))
+            w, body = windows[i][at], r["body"]
+            string += [number.setdefault(body[e - n : e], len(number)) for e, n in zip(ends[i][at].tolist(), (w + LENGTH - 1).tolist(), strict=True)]
+            held.append((w, *(np.frombuffer(r[c], kind)[at] for c, kind in (("ids", np.int64), ("rows", np.int32), ("places", np.int32))), np.full(len(at), r["batch"])))
+        if not string:
             continue
-        w = np.frombuffer(r["windows"], np.int32)
-        ends = np.cumsum(w + LENGTH - 1).tolist()
-        at = 0
-        for end in ends:
-            strings.append(number.setdefault(r["body"][at:end], len(number)))
-            at = end
-        windows.append(w)
-        ids.append(np.frombuffer(r["ids"], np.int64))
-        rows.append(np.frombuffer(r["rows"], np.int32))
-        places.append(np.frombuffer(r["places"], np.int32))
-        batches.append(np.full(len(w), r["batch"]))
-    if strings:
-        string = np.array(strings)
-        windows, ids, rows, places, batches = (np.concatenate(x) for x in (windows, ids, rows, places, batches))
+        w, ids, row, place, batch = (np.concatenate(x) for x in zip(*held, strict=True))
+        which = np.array(string)
         least = np.full(len(number), np.iinfo(np.int64).max)
-        np.minimum.at(least, string, ids)
+        np.minimum.at(least, which, ids)
         table, lens = smallest_owners(list(number), least)
-        who, start, n = flagged(table, lens[string], windows, ids, string)
-        for b in np.unique(batches[who]):
-            s = batches[who] == b
-            out.append((int(b), rows[who[s]].astype(np.int32).tobytes(), (places[who[s]] + start[s]).astype(np.int32).tobytes(), n[s].astype(np.int32).tobytes()))
+        who, start, n = flagged(table, lens[which], w, ids, which)
+        for b in np.unique(batch[who]):
+            s = batch[who] == b
+            out.append((int(b), row[who[s]].astype(np.int32).tobytes(), (place[who[s]] + start[s]).astype(np.int32).tobytes(), n[s].astype(np.int32).tobytes()))
     return _as_table(out, FLAGS)
 
 

@@ -10,7 +10,7 @@ these steps follow, all of them in one plan whose only shuffle of texts is used
    whether more than one document has it. All other segments are done.
 2. A batch finds equal segments among its own: in all but the smallest document they are flagged at once, and only
    that one goes on to the segment's bucket. So a passage in a third of all documents reaches its bucket once a batch.
-3. A bucket takes about a megabyte of segments at a time (by other bits of the same hash) and builds the generalised suffix array of the distinct ones column by column: each round inserts one
+3. A bucket takes about a megabyte of segments at a time (by other bits of the same hash) and, for hashes with more than one distinct segment, builds the generalised suffix array of those column by column: each round inserts one
    symbol of every segment, from its end to its start, into the collection's Burrows-Wheeler transform and updates the common
    prefixes of the neighbours. Both are kept as streams that a round reads and writes in order (in a nameless file
    once they are large, which no other task ever sees). Runs of common prefixes of 50 or more are equal windows; the
@@ -130,8 +130,8 @@ def _range_min(a: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def _last_to_first(bwt: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     order = np.argsort(bwt, kind="stable")
-    rank = np.empty(len(bwt), np.int64)
-    rank[order] = np.arange(len(bwt))
+    rank = np.empty(len(bwt), np.int32)  # a portion is far below 2**31
+    rank[order] = np.arange(len(bwt), dtype=np.int32)
     return order, rank, int((bwt == 0).sum())
 
 
@@ -229,7 +229,7 @@ def _known(ids: list, raws: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
 
 ASK = "bucket int, batch int, hashes binary, several binary"
 ANSWER = "batch int, bucket int, bits binary"
-SENT = "route int, kind int, batch int, parts binary, windows binary, ids binary, rows binary, places binary, body binary"
+SENT = "route int, kind int, batch int, keys binary, windows binary, ids binary, rows binary, places binary, body binary"
 FLAGS = "batch int, rows binary, places binary, windows binary"
 _KINDS = {"int": pa.int32(), "binary": pa.binary(), "long": pa.int64(), "string": pa.string()}
 
@@ -307,7 +307,7 @@ def _send(buckets: int):
         for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
             if j > i:
                 s = sent[i:j]
-                out.append((b, 0, batch, pack(h[s] & np.uint64(255), np.uint8), pack(windows[s], np.int32), pack(ids[row[s]], np.int64), pack(row[s], np.int32), pack(first[s], np.int32), b"".join(body[x] for x in s.tolist())))
+                out.append((b, 0, batch, pack(h[s] & np.uint64(0xFFFFFFFF), np.uint32), pack(windows[s], np.int32), pack(ids[row[s]], np.int64), pack(row[s], np.int32), pack(first[s], np.int32), b"".join(body[x] for x in s.tolist())))
         return _as_table(out, SENT)
 
     return run
@@ -327,11 +327,32 @@ def _portions(parts: list[np.ndarray], windows: list[np.ndarray]) -> list[tuple[
     return [*out, (start, 256)]
 
 
+def _spans(strings: list[bytes], keys: np.ndarray, which: np.ndarray, ids: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(occurrence, first window, windows) of what smaller ids have. A key with a single string needs no sorting: its windows are those of its copies."""
+    least = np.full(len(strings), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, ids)
+    _, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
+    alone = count[inverse] == 1
+    whole = np.flatnonzero(alone[which] & (ids > least[which]))
+    out = [(whole, np.zeros(len(whole), np.int64), windows[whole])]
+    many = np.flatnonzero(~alone)
+    if len(many):
+        number = np.full(len(strings), -1)
+        number[many] = np.arange(len(many))
+        table, lens = smallest_owners([strings[i] for i in many.tolist()], least[many])
+        at = np.flatnonzero(~alone[which])
+        mine = number[which[at]]
+        who, start, n = flagged(table, lens[mine], windows[at], ids[at], mine)
+        out.append((at[who], start, n))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _resolve(key, sent):
     rows = sent.to_pylist()
     out: list[tuple] = [(r["batch"], r["rows"], r["places"], r["windows"]) for r in rows if r["kind"] == 1]
     rows = [r for r in rows if r["kind"] == 0]
-    parts = [np.frombuffer(r["parts"], np.uint8) for r in rows]
+    keys = [np.frombuffer(r["keys"], np.uint32) for r in rows]
+    parts = [(k & 255).astype(np.uint8) for k in keys]
     windows = [np.frombuffer(r["windows"], np.int32) for r in rows]
     ends = [np.cumsum(w + LENGTH - 1) for w in windows]
     for low, high in _portions(parts, windows) if rows else []:
@@ -342,15 +363,14 @@ def _resolve(key, sent):
             at = np.flatnonzero((parts[i] >= low) & (parts[i] < high))
             w, body = windows[i][at], r["body"]
             string += [number.setdefault(body[e - n : e], len(number)) for e, n in zip(ends[i][at].tolist(), (w + LENGTH - 1).tolist(), strict=True)]
-            held.append((w, *(np.frombuffer(r[c], kind)[at] for c, kind in (("ids", np.int64), ("rows", np.int32), ("places", np.int32))), np.full(len(at), r["batch"])))
+            held.append((keys[i][at], w, *(np.frombuffer(r[c], kind)[at] for c, kind in (("ids", np.int64), ("rows", np.int32), ("places", np.int32))), np.full(len(at), r["batch"])))
         if not string:
             continue
-        w, ids, row, place, batch = (np.concatenate(x) for x in zip(*held, strict=True))
+        k, w, ids, row, place, batch = (np.concatenate(x) for x in zip(*held, strict=True))
         which = np.array(string)
-        least = np.full(len(number), np.iinfo(np.int64).max)
-        np.minimum.at(least, which, ids)
-        table, lens = smallest_owners(list(number), least)
-        who, start, n = flagged(table, lens[which], w, ids, which)
+        string_keys = np.zeros(len(number), np.uint32)
+        string_keys[which] = k
+        who, start, n = _spans(list(number), string_keys, which, ids, w)
         for b in np.unique(batch[who]):
             s = batch[who] == b
             out.append((int(b), row[who[s]].astype(np.int32).tobytes(), (place[who[s]] + start[s]).astype(np.int32).tobytes(), n[s].astype(np.int32).tobytes()))

@@ -37,10 +37,10 @@ from .common import batch_count, text_bytes
 LENGTH = 50
 GRAM = 24
 MOST_WINDOWS = 32
-BATCH_MB = 8
+BATCH_MB = 5
 SPOOL_BYTES = 64 << 20
 CHUNK = 1 << 18
-PORTION = 1 << 20
+PORTION = 3 << 18
 _B = 0x9E3779B97F4A7C15
 
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,8 @@ CAPACITY = 2048
 SALTS = 16
 PER_LENGTH = 12
 STEPS = 400
-CACHE = 1_500_000
+CACHE = 600_000
+CHUNK = 1 << 21
 SPECIAL = "<|endoftext|>"
 #: Fixed value: the pattern by which this family of tokenizers splits texts before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -52,7 +54,18 @@ class Tokens:
         self.cache: dict[str, bytes] = {}
         self.find = regex.compile(SPLIT).findall
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """Of each text in turn; about a megabyte is split at a time."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
+                size += len(texts[end])
+                end += 1
+            yield from self._chunk(texts[at:end])
+            at = end
+
+    def _chunk(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE:
             self.cache = {}
         plain = [None if SPECIAL in t else self.find(t) for t in texts]

@@ -17,6 +17,7 @@ pass through the general form.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -26,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CACHE = 1_000_000
-PART = 60_000
+CACHE = 300_000
+PART = 30_000
+CHUNK = 1 << 21
 _MODELS: dict = {}
 
 
@@ -61,8 +63,12 @@ class Model:
         high = keys.copy()
         high[np.arange(self.longest)[None, :] >= self.lens[:, None]] = 0xFFFF
         self.high = high.view(f"S{2 * self.longest}").ravel()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pair_keys, self.pair_apart = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.table = np.zeros(0x110000, np.uint16)
+        for c in self.known:
+            self.table[ord(c)] = self.code[c]
         self.units: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         raw = [bytes([int(p[3:5], 16)]) if i in special and p.startswith("<0x") else b"" if i in special else p.replace(MARK, " ").encode() for i, p in enumerate(self.piece)]
         self.raw_len = np.array([len(x) for x in raw])
         self.raw_at = np.cumsum(self.raw_len) - self.raw_len
@@ -81,13 +87,20 @@ class Model:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def apart(self, a: int, b: int) -> bool:
-        key = (a, b)
-        found = self.pairs.get(key)
-        if found is None:
-            x, y = self.piece[a], self.piece[b]
-            found = self.pairs[key] = self.merge(x + y) == [x, y]
-        return found
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether merging leaves each pair of pieces apart."""
+        keys = a * len(self.piece) + b
+        at = np.searchsorted(self.pair_keys, keys)
+        missing = np.ones(len(keys), bool) if not len(self.pair_keys) else self.pair_keys[np.minimum(at, len(self.pair_keys) - 1)] != keys
+        if missing.any():
+            new = np.unique(keys[missing])
+            pairs = [(self.piece[k // len(self.piece)], self.piece[k % len(self.piece)]) for k in new.tolist()]
+            told = np.array([self.merge(x + y) == [x, y] for x, y in pairs])
+            all_keys = np.concatenate([self.pair_keys, new])
+            order = np.argsort(all_keys, kind="stable")
+            self.pair_keys, self.pair_apart = all_keys[order], np.concatenate([self.pair_apart, told])[order]
+            at = np.searchsorted(self.pair_keys, keys)
+        return self.pair_apart[at]
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(end, start, piece) of every occurrence of every piece in the indexed text, in order of the end."""
@@ -105,62 +118,79 @@ class Model:
         order = np.lexsort((-start, end))
         return end[order], start[order], self.usable_ids[piece[order]]
 
+    def _lattice(self, parts: list[str]) -> list[bytes]:
+        """Ids of runs of known characters. All runs advance together: edges are relaxed in order of how far from its run's start they end."""
+        codes = self.table[np.frombuffer("\ufffe".join(parts).encode("utf-32-le"), np.uint32)]
+        lens = np.fromiter(map(len, parts), np.int64, len(parts))
+        starts = np.cumsum(lens + 1) - lens - 1
+        end, start, piece = self.edges(codes)
+        begin = starts[np.searchsorted(starts, start, side="right") - 1]
+        order = np.argsort(end - begin, kind="stable")
+        end, start, piece, far = end[order], start[order], piece[order], (end - begin)[order]
+        best = np.full(len(codes) + 2, -1)
+        back = np.zeros(len(codes) + 2, np.int64)
+        # a position that ends a run and one that starts the next differ by the separator, so marks don't collide
+        best[starts] = -2
+        cuts = np.flatnonzero(np.concatenate([[True], far[1:] != far[:-1], [True]])) if len(far) else np.zeros(1, np.int64)
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            before = best[start[i:j]]
+            at = np.flatnonzero(before != -1)
+            old = before[at] >= 0
+            ok = ~old
+            ok[old] = self.apart(before[at[old]], piece[i:j][at[old]])
+            at = at[ok] + i
+            best[end[at]], back[end[at]] = piece[at], start[at]
+        steps, place, run = [], starts + lens, np.arange(len(parts))
+        while len(run):
+            steps.append((run, best[place]))
+            place = back[place]
+            more = place > starts[run]
+            run, place = run[more], place[more]
+        owner, ids = (np.concatenate(x[::-1]) for x in zip(*steps, strict=True))
+        order = np.argsort(owner, kind="stable")  # later steps came first, so ids are in order of the text
+        flat = ids[order].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(owner, minlength=len(parts)))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
     def _learn(self, units: list[str]) -> None:
         """Encode units: runs of known characters through the lattice, other characters as bytes."""
-        parts, plan = [], []
+        plain, odd = [], []
+        known = self.known
         for u in units:
-            mine: list = []
-            run: list[str] = []
-            for c in u:
-                if c in self.known:
-                    run.append(c)
-                    continue
-                if run:
-                    mine.append(len(parts))
-                    parts.append("".join(run))
-                    run = []
-                mine.append(c)
-            if run:
-                mine.append(len(parts))
-                parts.append("".join(run))
-            plan.append(mine)
-        code = self.code
-        flat = np.fromiter((k for p in parts for k in (*map(code.__getitem__, p), 0xFFFE)), np.int64, sum(len(p) + 1 for p in parts))
-        end, start, piece = (x.tolist() for x in self.edges(flat)) if parts else ([], [], [])
-        best = [-1] * (len(flat) + 1)
-        back = [0] * (len(flat) + 1)
-        opens = {0}
-        opens.update((np.flatnonzero(flat == 0xFFFE) + 1).tolist())
-        apart = self.apart
-        for e, s, p in zip(end, start, piece, strict=True):
-            if best[e] < 0 and (s in opens or (best[s] >= 0 and apart(best[s], p))):
-                best[e], back[e] = p, s
-        done, at = [], 0
-        for p in parts:
-            ids, e = [], at + len(p)
-            while e > at:
-                ids.append(best[e])
-                e = back[e]
-            done.append(ids[::-1])
-            at += len(p) + 1
-        for u, mine in zip(units, plan, strict=True):
-            ids = []
-            for x in mine:
-                ids.extend(done[x] if isinstance(x, int) else self.byte[list(x.encode())])
-            self.units[u] = np.array(ids, "<u4").tobytes()
+            (plain if known.issuperset(u) else odd).append(u)
+        if plain:
+            self.units.update(zip(plain, self._lattice(plain), strict=True))
+        if odd:
+            split = [["".join(g) for _, g in itertools.groupby(u, known.__contains__)] for u in odd]
+            runs = list({r for rs in split for r in rs if r[0] in known})
+            done = dict(zip(runs, self._lattice(runs), strict=True)) if runs else {}
+            for u, rs in zip(odd, split, strict=True):
+                self.units[u] = b"".join([done[r] if r[0] in known else self.byte[list(r.encode())].astype("<u4").tobytes() for r in rs])
 
     _split = staticmethod(regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit numbers."""
-        if len(self.units) > CACHE:
-            self.units = {}
-        split = [self._split(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = list({u for s in split for u in s if u not in self.units})
-        for at in range(0, len(new), PART):
-            self._learn(new[at : at + PART])
-        units = self.units
-        return [b"".join([units[u] for u in s]) for s in split]
+        """Ids of each text as little-endian 32-bit numbers. About a megabyte of text is split at a time."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
+                size += len(texts[end])
+                end += 1
+            if len(self.units) > CACHE:
+                self.units, self.older = {}, self.units
+            split = [self._split(MARK + t.replace(" ", MARK)) if t else [] for t in texts[at:end]]
+            new = {u for s in split for u in s if u not in self.units}
+            kept = [u for u in new if u in self.older]
+            self.units.update(zip(kept, map(self.older.get, kept), strict=True))
+            new = list(new.difference(kept))
+            for i in range(0, len(new), PART):
+                self._learn(new[i : i + PART])
+            units = self.units
+            out += [b"".join([units[u] for u in s]) for s in split]
+            at = end
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         n = self.raw_len[ids]

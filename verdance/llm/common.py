@@ -60,6 +60,13 @@ def batch_count(df: DataFrame, col: str, batch_mb: int) -> int:
     return max(1, math.ceil(total / (batch_mb << 20)))
 
 
+def small(batches, rows: int = 256):
+    """Arrow batches in slices of a few rows, so that Python objects of only these exist at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def fold(mod: int):
     """crc32 of doc_id as text, modulo mod (null ids: the empty string)."""
     return F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "utf-8")) % mod

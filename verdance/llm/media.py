@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_bytes, written
+from .common import small, text_bytes, written
 
 WIDTH = 64
 TILE_ROWS = 1024
@@ -143,7 +143,7 @@ def pad(raw: bytes) -> bytes:
 
 
 def _store(batches):
-    for b in batches:
+    for b in small(batches):
         raws = b.column("raw").to_pylist()
         stored = []
         for raw in raws:
@@ -154,7 +154,7 @@ def _store(batches):
 
 
 def _features(batches):
-    for b in batches:
+    for b in small(batches):
         out: list[tuple] = []
         for stored in b.column("stored").to_pylist():
             image = from_tiles(stored)

@@ -27,13 +27,13 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 
 CAPACITY = 2048
 SALTS = 16
 PER_LENGTH = 12
 STEPS = 400
-CACHE = 600_000
+CACHE = 250_000
 CHUNK = 1 << 21
 SPECIAL = "<|endoftext|>"
 #: Fixed value: the pattern by which this family of tokenizers splits texts before merging.
@@ -94,7 +94,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def _pieces(path: str, capacity: int):
     def run(batches):
         tokens = _tokens(path)
-        for b in batches:
+        for b in small(batches, 1024):
             ids = b.column("doc_id")
             raws = tokens.ids(b.column("text_").to_pylist())
             row, piece, start, length, crc = [], [], [], [], []

@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 MARK = "▁"
 CACHE = 300_000
 PART = 30_000
@@ -209,7 +211,7 @@ def model(path: str) -> Model:
 def _encoded(path: str):
     def run(batches):
         m = model(path)
-        for b in batches:
+        for b in small(batches, 1024):
             texts = b.column("text_").to_pylist()
             ids = iter(m.encode([t for t in texts if t is not None]))
             out = pa.array([None if t is None else np.frombuffer(next(ids), np.int32) for t in texts], pa.list_(pa.int32()))
@@ -222,7 +224,7 @@ def _encoded(path: str):
 def _decoded(path: str):
     def run(batches):
         m = model(path)
-        for b in batches:
+        for b in small(batches, 1024):
             out = pa.array([None if x is None else m.decode(np.array(x, np.int64)).decode("utf-8", "replace") for x in b.column("ids_").to_pylist()], pa.string())
             keep = [i for i, name in enumerate(b.schema.names) if name != "ids_"]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), out], [*(b.schema.names[i] for i in keep), "decoded"])
@@ -247,7 +249,7 @@ def decode(df: DataFrame, path: str, carry: list[str], ids: str = "ids") -> Data
 def _digest(path: str):
     def run(batches):
         m = model(path)
-        for b in batches:
+        for b in small(batches, 1024):
             raws = [t or "" for t in b.column("text_").to_pylist()]
             ids = m.encode(raws)
             back = [m.decode(np.frombuffer(x, np.int32)) for x in ids]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, text_bytes, written
+from .common import fold, small, text_bytes, written
 from .rules import class_counts, repeated_words
 
 SIZE = 17
@@ -48,7 +48,7 @@ def statistics(raw: bytes) -> list[float]:
 
 
 def _statistics(batches):
-    for b in batches:
+    for b in small(batches):
         rows = [statistics(raw) for raw in b.column("raw").to_pylist()]
         flat = pa.array(np.array(rows, np.float64).ravel())
         x = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * SIZE, pa.int32()), flat)
@@ -130,10 +130,9 @@ def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _kept(model):
     def run(batches):
-        for b in batches:
-            x = np.array([statistics(raw) for raw in b.column("raw_").to_pylist()], np.float64).reshape(-1, SIZE)
-            keep = pa.array(scores(model.value, x) >= 0.5)
-            yield b.drop_columns(["raw_"]).filter(keep)
+        for b in small(batches):
+            x = np.array([statistics((t or "").encode()) for t in b.column("text").to_pylist()], np.float64).reshape(-1, SIZE)
+            yield b.filter(pa.array(scores(model.value, x) >= 0.5))
 
     return run
 
@@ -142,4 +141,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that the classifier predicts to be good, with their columns."""
     train = written(with_statistics(docs), "statistics")
     model = docs.sparkSession.sparkContext.broadcast(fit(train, labels))
-    return docs.select("*", text_bytes().alias("raw_")).mapInArrow(_kept(model), docs.schema)
+    return docs.mapInArrow(_kept(model), docs.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import small, text_bytes
 
 SYMBOLS = b"#*$%&|<>"
 COMMON = 64
@@ -120,7 +120,7 @@ def _counted(batches):
         for at in range(0, max(len(rows), 1), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000], k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.binary(), pa.int64()), strict=True)], ["lang", "kind", "key", "n"])
 
-    for b in batches:
+    for b in small(batches):
         for lang, raw in zip(b.column("lang").to_pylist(), b.column("raw").to_pylist(), strict=True):
             c = words[lang]
             before = len(c)
@@ -182,7 +182,7 @@ def _verdicts(b: pa.RecordBatch, refs, limits) -> tuple[list[int], list[tuple]]:
 
 def _judged(refs, limits):
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             keep, out = _verdicts(b, refs, limits)
             cols = list(zip(*out, strict=True)) if out else [()] * 9
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
@@ -193,9 +193,9 @@ def _judged(refs, limits):
 
 def _kept(refs, limits):
     def run(batches):
-        for b in batches:
-            keep, out = _verdicts(b, refs, limits)
-            yield b.select(keep).filter(pa.array([x[-1] for x in out], pa.bool_()))
+        for b in small(batches):
+            out = [verdict(lang or "", (text or "").encode(), refs.value, limits)[-1] for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True)]
+            yield b.filter(pa.array(out, pa.bool_()))
 
     return run
 
@@ -203,8 +203,7 @@ def _kept(refs, limits):
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """The rows that the rules keep, with their columns."""
     refs = docs.sparkSession.sparkContext.broadcast(references(docs))
-    rows = docs.select("*", F.coalesce("lang", F.lit("")).alias("lang_"), text_bytes().alias("raw_"))
-    return rows.mapInArrow(_kept(refs, DEFAULTS | limits), docs.schema)
+    return docs.mapInArrow(_kept(refs, DEFAULTS | limits), docs.schema)
 
 
 def judge(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), **limits) -> DataFrame:

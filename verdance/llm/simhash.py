@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes, written
+from .common import small, text_bytes, written
 from .components import as_batch, components, forest
 
 SEED = 42
@@ -71,7 +71,7 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def _fingerprints(batches):
-    for b in batches:
+    for b in small(batches):
         fps = np.array([majority(shingle_hashes(raw)) for raw in b.column("raw").to_pylist()], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_count, text_bytes
+from .common import batch_count, small, text_bytes
 
 LENGTH = 50
 GRAM = 24
@@ -430,7 +430,7 @@ def op7(docs: DataFrame) -> DataFrame:
 
 
 def _decoded(batches):
-    for b in batches:
+    for b in small(batches):
         text = pa.array([x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()], pa.string())
         yield pa.RecordBatch.from_arrays([b.column("row"), text], ["row", "text"])
 

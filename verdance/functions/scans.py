@@ -6,9 +6,10 @@ import difflib
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from . import text as T
 
@@ -82,27 +83,27 @@ def span_form(s: str) -> str:
     return re.sub(r"\s*([=+\-*/,])\s*", r"\1", s).lower().strip()
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _unwrap(s: pd.Series, macro: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else unwrap(x, m) if m in x else x for x, m in zip(s, macro, strict=True)], dtype=object)
 
 
-@pandas_udf("array<string>")
+@pandas_udf(ArrayType(StringType()))
 def _red(s: pd.Series) -> pd.Series:
     return pd.Series([[] if x is None else red(x) for x in s], dtype=object)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _last_term(s: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else last_term(x) for x in s], dtype=object)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _span_form(s: pd.Series) -> pd.Series:
     return pd.Series(["" if x is None else span_form(x) for x in s], dtype=object)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
@@ -146,6 +147,21 @@ def label(c: Column, rule: str = "strict_v1") -> Column:
     return F.when(failed, fixed).otherwise(loose if rule == "relaxed_v3" else final_term(loose))
 
 
+def with_label(df: DataFrame, field: str, name: str, rule: str = "strict_v1") -> DataFrame:
+    """df with a label of the field, like `label`, in steps: each step's column is computed once, however often the next one uses it."""
+    fixed = rule != "strict_v1"
+    source = unwrap_macro(unwrap_macro(F.col(field), "textcolor"), "text") if fixed else F.col(field)
+    out = df.withColumn("_text", source).withColumn("_final", T.extract_final(F.col("_text"), keep_decimals=fixed)).withColumn("_clean", T.structural_clean(F.col("_final")))
+    cleaned = F.when(F.coalesce(F.col("_clean"), F.lit("")) == "", F.lit(T.SENTINEL)).otherwise(F.concat(F.lit("text:"), "_clean"))
+    out = out.withColumn("_label", T.normalize(cleaned))
+    if rule in ("relaxed_v3", "final_term_v4"):
+        out = out.withColumn("_loose", F.when(F.col("_label") == T.SENTINEL.lower(), F.col("_label")).otherwise(T.cosmetic(F.col("_label"))))
+        out = out.withColumn("_label", final_term(F.col("_loose")) if rule == "final_term_v4" else F.col("_loose")).drop("_loose")
+    elif rule not in ("strict_v1", "fixed_v2"):
+        raise ValueError(f"unknown rule {rule!r}")
+    return out.withColumnRenamed("_label", name).drop("_text", "_final", "_clean")
+
+
 def ablated_label(c: Column, unwrapped: bool = False, keep_decimals: bool = False) -> Column:
     """strict_v1 with some of fixed_v2's repairs."""
     text = unwrap_macro(unwrap_macro(c, "textcolor"), "text") if unwrapped else c

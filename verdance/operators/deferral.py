@@ -14,10 +14,10 @@ from ..functions.stats import dbl, oracle_aurc, ratio
 from .ranking import levels, running
 
 
-def curve(df: DataFrame, score: str, correct: str, by: list[str] = [], compat: bool = False) -> DataFrame:  # noqa: B006
+def curve(df: DataFrame, score: str, correct: str, by: list[str] = [], compat: bool = False, few: bool = False) -> DataFrame:  # noqa: B006
     """by, threshold, n_kept, n_errors_kept, n_items, n_errors, coverage, risk_kept of every level that keeps something."""
     hist = levels(df.withColumn("_s", F.round(F.col(score), 12)), "_s", correct, by)
-    run = running(hist, ["bad", "good"], by)
+    run = running(hist, ["bad", "good"], by, few=few)
     if compat:
         # rows up to the threshold: those of the last level at or below it, which is this level or the one before it
         order = Window.partitionBy(*by).orderBy("score")
@@ -72,12 +72,12 @@ def conformal(points: DataFrame, targets: list[float], by: list[str] = [], delta
 
 
 def conformal_splits(df: DataFrame, key: str, score: str, correct: str, targets: list[float], splits: int, order: Column, calibration: float = 0.5, conservative: bool = True) -> DataFrame:
-    """Over `splits` halvings by the hash order (a column of rep and key): how often a threshold calibrated on one half holds on the other."""
+    """Over `splits` halvings by the hash order (a column of rep and key): how often a threshold calibrated on one half holds on the other. For scores with few values."""
     reps = df.sparkSession.range(splits).withColumnRenamed("id", "rep")
     rows = df.filter(F.col(score).isNotNull() & F.col(correct).isNotNull()).select(key, F.round(score, 12).alias("s"), F.col(correct).alias("c"))
     ranked = rows.join(F.broadcast(reps)).withColumn("rn", F.row_number().over(Window.partitionBy("rep").orderBy(order, key)))
     halves = ranked.withColumn("cal", F.col("rn") <= F.bround(F.count("*").over(Window.partitionBy("rep")) * F.lit(calibration)))
-    fitted = conformal(curve(halves.filter("cal"), "s", "c", ["rep"]), targets, ["rep"], conservative=conservative)
+    fitted = conformal(curve(halves.filter("cal"), "s", "c", ["rep"], few=True), targets, ["rep"], conservative=conservative)
     test = halves.filter("not cal").groupBy("rep", "s").agg(F.count("*").alias("n"), F.count_if(~F.col("c")).alias("bad"))
     # groups and targets that can't be met stay as rows, and count
     met = fitted.alias("f").join(test.alias("t"), "rep").groupBy("rep", "target_risk", "achievable").agg(

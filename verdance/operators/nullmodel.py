@@ -54,7 +54,7 @@ def simulate(grid: DataFrame, n_items: int, n_sims: int, base_seed: int) -> Data
     voted = draws.withColumn("u", hash_uniform("u", F.col("seed"), F.col("sim"), F.col("item"))).withColumn("votes", F.greatest(cdf["s"], F.lit(0)))
     majority = 2 * F.col("votes") > F.col("k")
     scored = voted.withColumns({"entropy": F.round(vote_entropy(F.col("votes"), F.col("k")), 12), "right": F.when(F.col("truth_condition") == "y=1", majority).otherwise(~majority)})
-    per = auroc(scored, "entropy", "right", [*keys, "sim"])
+    per = auroc(scored, "entropy", "right", [*keys, "sim"], few=True)
     return per.groupBy(*keys).agg(F.count("auroc").alias("n_valid"), F.count_if(F.col("auroc").isNull()).alias("n_invalid"), F.median("auroc").alias("auroc_median"), F.percentile("auroc", F.lit(0.025)).alias("auroc_low"), F.percentile("auroc", F.lit(0.975)).alias("auroc_high"), F.median(F.least("n_error", "n_correct")).alias("minority_median"))
 
 

@@ -22,8 +22,14 @@ def levels(df: DataFrame, score: str, correct: str, by: list[str] = [], weight:
     return rows.groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.when(~F.col(correct), w).otherwise(0)).alias("bad"), F.sum(F.when(F.col(correct), w).otherwise(0)).alias("good"))
 
 
-def running(hist: DataFrame, columns: list[str], by: list[str] = [], order: str = "score") -> DataFrame:  # noqa: B006
-    """hist with cum_<c>: totals over all rows of the group up to and including this one's order value (unique in the group)."""
+def running(hist: DataFrame, columns: list[str], by: list[str] = [], order: str = "score", few: bool = False) -> DataFrame:  # noqa: B006
+    """hist with cum_<c>: totals over all rows of the group up to and including this one's order value (unique in the group).
+
+    few: a group has a bounded number of values (entropies of K votes have as many as K has partitions), which one window takes.
+    """
+    if few:
+        upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return hist.select(*hist.columns, *(F.sum(c).over(upto).alias(f"cum_{c}") for c in columns))
     cuts = hist.agg(F.array_distinct(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 1000)).alias("_cuts"))  # one row
     ranged = hist.join(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col(order)))).drop("_cuts")
     totals = ranged.groupBy(*by, "_range").agg(*(F.sum(c).alias(f"_t_{c}") for c in columns))
@@ -37,9 +43,9 @@ def running(hist: DataFrame, columns: list[str], by: list[str] = [], order: str
     return out.select(*hist.columns, *((F.sum(c).over(inside) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in columns))
 
 
-def auroc(df: DataFrame, score: str, correct: str, by: list[str] = [], weight: str | None = None) -> DataFrame:  # noqa: B006
+def auroc(df: DataFrame, score: str, correct: str, by: list[str] = [], weight: str | None = None, few: bool = False) -> DataFrame:  # noqa: B006
     """Per group: n_items, n_error, n_correct, auroc (that a wrong item scores higher, ties half); null if a class is empty."""
-    run = running(levels(df, score, correct, by, weight), ["good"], by)
+    run = running(levels(df, score, correct, by, weight), ["good"], by, few=few)
     won = F.sum(dbl(F.col("bad")) * (dbl(F.col("cum_good")) - dbl(F.col("good")) / 2.0))
     out = run.groupBy(*by).agg(F.sum("bad").alias("n_error"), F.sum("good").alias("n_correct"), won.alias("_won"))
     return out.select(*by, (F.col("n_error") + F.col("n_correct")).alias("n_items"), "n_error", "n_correct", F.try_divide("_won", dbl(F.col("n_error")) * dbl(F.col("n_correct"))).alias("auroc"))

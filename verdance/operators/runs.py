@@ -26,8 +26,8 @@ def grid_summary(scored: DataFrame, score: str, correct: str, failures: str) ->
     """Per (temperature, k): counts, accuracy, AUROC, area under the exact curve and its baseline, levels, failure rate."""
     by = ["temperature", "k"]
     base = scored.groupBy(*by).agg(F.count("*").alias("n_items"), F.count_if(~F.col(correct)).alias("n_error"), F.count_if(F.col(correct)).alias("n_correct"), F.avg(F.col(correct).cast("int")).alias("accuracy"), F.count_distinct(F.round(score, 12)).alias("n_entropy_values"), ratio(F.sum(failures), F.count("*") * F.first("k")).alias("parse_failure_rate"))
-    ranks = auroc(scored, score, correct, by).select(*by, "auroc")
-    area = aurc(curve(scored, score, correct, by), by).select(*by, "aurc", F.col("baseline_aurc").alias("random_aurc"))
+    ranks = auroc(scored, score, correct, by, few=True).select(*by, "auroc")
+    area = aurc(curve(scored, score, correct, by, few=True), by).select(*by, "aurc", F.col("baseline_aurc").alias("random_aurc"))
     return base.join(ranks, by).join(area, by)
 
 
@@ -59,8 +59,8 @@ def k_comparison(joined: DataFrame, base: tuple[str, str], new: tuple[str, str],
         F.count_distinct(F.round(base[0], 6)).alias("n_distinct_base"), F.count_distinct(F.round(new[0], 6)).alias("n_distinct_new"), at_max(base[0], k_base).alias("frac_max_base"), at_max(new[0], k_new).alias("frac_max_new"),
         half(*new, True).alias("median_correct_new"), half(*new, False).alias("median_incorrect_new"), F.avg((F.col(base[1]) != F.col(new[1])).cast("int")).alias("flip_rate"), F.count_if(~F.col(new[1])).alias("n_incorrect_new"),
     )
-    one = auroc(joined, *base).select(F.col("auroc").alias("auroc_base"))
-    two = auroc(joined, *new).select(F.col("auroc").alias("auroc_new"))
+    one = auroc(joined, *base, few=True).select(F.col("auroc").alias("auroc_base"))
+    two = auroc(joined, *new, few=True).select(F.col("auroc").alias("auroc_new"))
     return facts.join(F.broadcast(one)).join(F.broadcast(two))
 
 

@@ -9,31 +9,32 @@ from ..functions import scans, text
 from ..functions.stats import dbl, ratio
 
 
-def votes(samples: DataFrame, keys: list[str], label: str = "label", pos: str = "pos") -> DataFrame:
+def votes(samples: DataFrame, keys: list[str], label: str = "label", pos: str = "pos", extra: dict[str, str] = {}) -> DataFrame:  # noqa: B006
     """Per item: k, n_distinct, entropy (nats, from exact counts), majority (of equals the first met), majority_count, fraction, margin.
 
     Two aggregations on the item's key: labels are counted map-side, and the second shares the first's partitioning
-    where the item is the leading key. Null labels are a cluster of their own.
+    where the item is the leading key. Null labels are a cluster of their own. extra: sums of more columns to carry along.
     """
-    counts = samples.groupBy(*keys, label).agg(F.count("*").alias("n"), F.min(pos).alias("first"))
+    counts = samples.groupBy(*keys, label).agg(F.count("*").alias("n"), F.min(pos).alias("first"), *(F.sum(c).alias(n) for n, c in extra.items()))
     best = F.max(F.struct("n", (-F.col("first")).alias("early"), F.col(label).alias("label")))
     sizes = F.sort_array(F.collect_list("n"), asc=False)
     per = counts.groupBy(*keys).agg(
-        F.sum("n").alias("k"), F.count("*").alias("n_distinct"), F.sum(dbl(F.col("n")) * F.log(dbl(F.col("n")))).alias("nlogn"), best.alias("best"), F.get(sizes, F.lit(1)).alias("second")
+        F.sum("n").alias("k"), F.count("*").alias("n_distinct"), F.sum(dbl(F.col("n")) * F.log(dbl(F.col("n")))).alias("nlogn"), best.alias("best"), F.get(sizes, F.lit(1)).alias("second"), *(F.sum(n).alias(n) for n in extra)
     )
     k = dbl(F.col("k"))
     return per.select(
         *keys, "k", "n_distinct", F.abs(F.round(F.log(k) - F.col("nlogn") / k, 12)).alias("entropy"), F.col("best.label").alias("majority"), F.col("best.n").alias("majority_count"),
-        ratio(F.col("best.n"), k).alias("majority_fraction"), ratio(F.col("best.n") - F.coalesce("second", F.lit(0)), k).alias("majority_margin"),
+        ratio(F.col("best.n"), k).alias("majority_fraction"), ratio(F.col("best.n") - F.coalesce("second", F.lit(0)), k).alias("majority_margin"), *extra,
     )
 
 
 def score(samples: DataFrame, truths: DataFrame, keys: list[str], rule: str = "strict_v1", response: str = "response", truth: str = "truth") -> DataFrame:
     """Per item of (keys, pos, response) and (keys, truth): votes over labels, truth label, correct, n_parse_failures."""
-    parsed = samples.withColumn("_field", text.parse_answer(F.col(response))).withColumn("label", scans.label(F.col("_field"), rule))
-    failures = parsed.groupBy(*keys).agg(F.count_if(F.col("_field").isNull()).alias("n_parse_failures"))
-    told = truths.select(*keys, scans.label(F.col(truth), rule).alias("truth_label"))
-    out = votes(parsed, keys).join(failures, keys).join(told, keys)
+    parsed = scans.with_label(samples.select(*keys, "pos", text.parse_answer(F.col(response)).alias("_field")), "_field", "label", rule)
+    # a failed parse has the sentinel's label, but a field that is there may end up with it too
+    marked = parsed.select(*keys, "pos", "label", F.col("_field").isNull().cast("int").alias("_failed"))
+    told = scans.with_label(truths.select(*keys, F.col(truth).alias("_truth")), "_truth", "truth_label", rule).drop("_truth")
+    out = votes(marked, keys, extra={"n_parse_failures": "_failed"}).join(told, keys)
     return out.withColumn("correct", F.col("majority") == F.col("truth_label"))
 
 

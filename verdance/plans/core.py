@@ -40,7 +40,7 @@ def _(s, d):
 @query("vote_auroc", f"with {EV}, x as ({auroc('run', 'entropy', 'correct')}) select *, (select count(distinct entropy) from run) n_levels from x", "auroc")
 def _(s, d):
     run = event_run(s, d)
-    return ranking.auroc(run, "entropy", "correct").join(F.broadcast(run.agg(F.count_distinct("entropy").alias("n_levels"))))
+    return ranking.auroc(run, "entropy", "correct", few=True).join(F.broadcast(run.agg(F.count_distinct("entropy").alias("n_levels"))))
 
 
 @query("k5_distinct", f"with {EV} select item_id, n_distinct::int n_distinct from vt where k = 5")
@@ -94,7 +94,7 @@ _CUT = f"select unnest(list_filter(['full', case when fails = 0 then 'excl_parse
 
 @query("auroc_cuts", f"with {LB}, ct as ({_CUT}) {auroc('ct', 'h', 'correct', 'cut')}", "auroc")
 def _(s, d):
-    return ranking.auroc(ranking.with_cuts(labelled(s, d), "h", "fails", _MAX), "h", "correct", ["cut"])
+    return ranking.auroc(ranking.with_cuts(labelled(s, d), "h", "fails", _MAX), "h", "correct", ["cut"], few=True)
 
 
 @query(
@@ -104,7 +104,7 @@ select sum(b.w * g.w * case when b.h > g.h then 1.0 when b.h = g.h then 0.5 else
     "auroc",
 )
 def _(s, d):
-    return ranking.auroc(labelled(s, d).withColumn("w", 1 + F.col("n_chars") % 3), "h", "correct", weight="w").select("auroc")
+    return ranking.auroc(labelled(s, d).withColumn("w", 1 + F.col("n_chars") % 3), "h", "correct", weight="w", few=True).select("auroc")
 
 
 @query("spearman", f"with {LB}, r as (select rank() over (order by n_chars) + (count(*) over (partition by n_chars) - 1) / 2.0::double a, rank() over (order by h) + (count(*) over (partition by h) - 1) / 2.0::double b from lb) select count(*) n_items, corr(a, b) spearman from r", "spearman")
@@ -177,7 +177,7 @@ def _(s, d):
 def _(s, d):
     run = labelled(s, d)
     per = ranking.bootstrap_levels(ranking.levels(run, "h", "correct"), 10_000)
-    return ranking.auroc(run, "h", "correct").join(F.broadcast(ranking.interval(per, "auroc")))
+    return ranking.auroc(run, "h", "correct", few=True).join(F.broadcast(ranking.interval(per, "auroc")))
 
 
 @query(
@@ -216,12 +216,12 @@ _COMPAT = """cl as (select distinct round_even(h, 6) threshold from lb), ck as (
 
 @query("risk_coverage_exact", f"with {LB} {_CURVE}", "threshold coverage risk_kept")
 def _(s, d):
-    return deferral.curve(labelled(s, d), "h", "correct")
+    return deferral.curve(labelled(s, d), "h", "correct", few=True)
 
 
 @query("risk_coverage_compat", f"with {EV}, lb as (select entropy h, correct from run), {_COMPAT} select *, n_kept / n_items::double coverage, n_errors_kept / n_kept::double risk_kept from ck where n_kept > 0", "threshold coverage risk_kept")
 def _(s, d):
-    return deferral.curve(event_run(s, d), "entropy", "correct", compat=True)
+    return deferral.curve(event_run(s, d), "entropy", "correct", compat=True, few=True)
 
 
 _AREA = """select max(n_items) n_items, count(*) n_operating_points, sum(st * risk_kept) aurc, (max(n_errors) / max(n_items)::double) baseline_aurc, max(n_errors) / max(n_items)::double - sum(st * risk_kept) improvement,
@@ -232,7 +232,7 @@ _AREA_COLS = "aurc baseline_aurc improvement oracle_aurc e_aurc oracle_aurc_on_g
 
 @query("aurc", f"with {LB}, cv as ({_CURVE}) {_AREA}", _AREA_COLS)
 def _(s, d):
-    return deferral.aurc(deferral.curve(labelled(s, d), "h", "correct"))
+    return deferral.aurc(deferral.curve(labelled(s, d), "h", "correct", few=True))
 
 
 @query("oracle_aurc", "select r, case when r = 0 then 0.0 when r = 1 then 1.0 else r + (1 - r) * ln(1 - r) end oracle_aurc from (select (c_custkey % 101) / 100.0::double r from customer group by 1)", "r oracle_aurc")
@@ -247,7 +247,7 @@ def _(s, d):
     "target_risk coverage threshold risk_kept",
 )
 def _(s, d):
-    return deferral.coverage_at_risk(deferral.curve(labelled(s, d), "h", "correct"), [0.05, 0.12, 0.15, 0.5])
+    return deferral.coverage_at_risk(deferral.curve(labelled(s, d), "h", "correct", few=True), [0.05, 0.12, 0.15, 0.5])
 
 
 @query(
@@ -256,7 +256,7 @@ def _(s, d):
     "target_risk threshold cal_coverage cal_risk",
 )
 def _(s, d):
-    return deferral.conformal(deferral.curve(labelled(s, d), "h", "correct"), [0.1, 0.2, 0.3])
+    return deferral.conformal(deferral.curve(labelled(s, d), "h", "correct", few=True), [0.1, 0.2, 0.3])
 
 
 _SPLIT = f"""hv as (select rep, h, correct, row_number() over (partition by rep order by {sql_key('split', "rep || '|' || item_id")}, item_id) <= round_even(count(*) over (partition by rep) * 0.5, 0) cal from lb, (select unnest(range(20)) rep)),

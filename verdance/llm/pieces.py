@@ -8,7 +8,7 @@ the encoding of a prefix is the one edge whose last merge is compatible with the
 pieces stay apart when merged alone; so relaxing keeps one edge per position and gives the merges' result. (Pairs are
 tried once and remembered.) Characters outside the vocabulary become byte pieces and never merge.
 
-Decoding concatenates pieces through one gather, turns marks into blanks and drops the leading one.
+Decoding concatenates the pieces' bytes, turns marks into blanks and drops the leading one.
 
 Null texts stay null; empty texts have no ids. Batches are bounded by Arrow's; units are remembered up to a bound.
 Texts in which the mark U+2581 itself occurs decode to blanks there, as the model's own decoder does. Other columns
@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 from .common import small
 
 MARK = "▁"
+SEPARATOR = 0xFFFE  # no character
 CACHE = 300_000
-PART = 30_000
-CHUNK = 1 << 21
+PART = 60_000
+CHUNK = 1 << 22
 _MODELS: dict = {}
 
 
@@ -58,23 +59,17 @@ class Model:
         usable.sort()
         self.usable, self.usable_ids = usable, np.array([self.id[p] for p in usable])
         self.lens = np.array([len(p) for p in usable])
-        keys = np.zeros((len(usable), self.longest), ">u2")
+        self.codes = np.zeros((len(usable), self.longest), np.uint16)
         for k, p in enumerate(usable):
-            keys[k, : len(p)] = [self.code[c] for c in p]
-        self.low = keys.view(f"S{2 * self.longest}").ravel()
-        high = keys.copy()
-        high[np.arange(self.longest)[None, :] >= self.lens[:, None]] = 0xFFFF
-        self.high = high.view(f"S{2 * self.longest}").ravel()
+            self.codes[k, : len(p)] = [self.code[c] for c in p]
         self.pair_keys, self.pair_apart = np.zeros(0, np.int64), np.zeros(0, bool)
         self.table = np.zeros(0x110000, np.uint16)
         for c in self.known:
             self.table[ord(c)] = self.code[c]
+        self.table[SEPARATOR] = SEPARATOR
         self.units: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        raw = [bytes([int(p[3:5], 16)]) if i in special and p.startswith("<0x") else b"" if i in special else p.replace(MARK, " ").encode() for i, p in enumerate(self.piece)]
-        self.raw_len = np.array([len(x) for x in raw])
-        self.raw_at = np.cumsum(self.raw_len) - self.raw_len
-        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.raw = [bytes([int(p[3:5], 16)]) if i in special and p.startswith("<0x") else b"" if i in special else p.replace(MARK, " ").encode() for i, p in enumerate(self.piece)]
 
     def merge(self, text: str) -> list[str]:
         """Merging proper, for short texts: the best-scored neighbours first, of equals the leftmost."""
@@ -105,30 +100,42 @@ class Model:
         return self.pair_apart[at]
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(end, start, piece) of every occurrence of every piece in the indexed text, in order of the end."""
+        """(end, start, piece) of every occurrence of every piece in the indexed text.
+
+        Characters are numbered anew among those that occur (0: none), in one byte where that does; pieces with other characters can't occur.
+        """
         depth = self.longest
-        padded = np.append(codes, np.zeros(depth, codes.dtype)).astype(">u2")
-        suffix = np.lib.stride_tricks.sliding_window_view(padded, depth)[: len(codes)]
-        keys = np.ascontiguousarray(suffix).view(f"S{2 * depth}").ravel()
+        present = np.unique(codes)
+        present = present[present != SEPARATOR]
+        kind, top = (np.dtype(np.uint8), 0xFF) if len(present) < 0xFE else (np.dtype(">u2"), 0xFFFF)
+        number = np.zeros(0x10000, np.int64)
+        number[present] = np.arange(1, len(present) + 1)
+        number[SEPARATOR] = top - 1
+        text = np.append(number[codes], np.zeros(depth, np.int64)).astype(kind)
+        keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, depth)[: len(codes)]).view(f"S{kind.itemsize * depth}").ravel()
         array = np.argsort(keys, kind="stable")
         ordered = keys[array]
-        first, last = np.searchsorted(ordered, self.low, "left"), np.searchsorted(ordered, self.high, "right")
+        low = np.where(self.codes > 0, number[self.codes], 0)
+        can = np.flatnonzero(((low > 0) == (self.codes > 0)).all(axis=1))
+        low = low[can]
+        high = np.where(self.codes[can] > 0, low, top)
+        as_keys = lambda m: np.ascontiguousarray(m.astype(kind)).view(keys.dtype).ravel()
+        first, last = np.searchsorted(ordered, as_keys(low), "left"), np.searchsorted(ordered, as_keys(high), "right")
         count = last - first
-        piece = np.repeat(np.arange(len(count)), count)
+        piece = np.repeat(can, count)
         start = array[np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)]
-        end = start + self.lens[piece]
-        order = np.lexsort((-start, end))
-        return end[order], start[order], self.usable_ids[piece[order]]
+        return start + self.lens[piece], start, self.usable_ids[piece]
 
     def _lattice(self, parts: list[str]) -> list[bytes]:
         """Ids of runs of known characters. All runs advance together: edges are relaxed in order of how far from its run's start they end."""
-        codes = self.table[np.frombuffer("\ufffe".join(parts).encode("utf-32-le"), np.uint32)]
+        codes = self.table[np.frombuffer(chr(SEPARATOR).join(parts).encode("utf-32-le"), np.uint32)]
         lens = np.fromiter(map(len, parts), np.int64, len(parts))
         starts = np.cumsum(lens + 1) - lens - 1
         end, start, piece = self.edges(codes)
-        begin = starts[np.searchsorted(starts, start, side="right") - 1]
-        order = np.argsort(end - begin, kind="stable")
-        end, start, piece, far = end[order], start[order], piece[order], (end - begin)[order]
+        far = end - np.repeat(starts, lens + 1)[start]
+        far = far.astype(np.uint16) if len(far) and far.max() < 1 << 16 else far
+        order = np.argsort(far, kind="stable")
+        end, start, piece, far = end[order], start[order], piece[order], far[order]
         best = np.full(len(codes) + 2, -1)
         back = np.zeros(len(codes) + 2, np.int64)
         # a position that ends a run and one that starts the next differ by the separator, so marks don't collide
@@ -143,31 +150,29 @@ class Model:
             at = at[ok] + i
             best[end[at]], back[end[at]] = piece[at], start[at]
         steps, place, run = [], starts + lens, np.arange(len(parts))
+        counts = np.zeros(len(parts), np.int64)
         while len(run):
             steps.append((run, best[place]))
+            counts[run] += 1
             place = back[place]
             more = place > starts[run]
             run, place = run[more], place[more]
-        owner, ids = (np.concatenate(x[::-1]) for x in zip(*steps, strict=True))
-        order = np.argsort(owner, kind="stable")  # later steps came first, so ids are in order of the text
-        flat = ids[order].astype("<u4").tobytes()
-        ends = (4 * np.cumsum(np.bincount(owner, minlength=len(parts)))).tolist()
-        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        ends = np.cumsum(counts)
+        flat = np.zeros(int(ends[-1]), "<u4")
+        for k, (run, ids) in enumerate(steps):  # from each run's last piece to its first
+            flat[ends[run] - 1 - k] = ids
+        blob, at = flat.tobytes(), (4 * ends).tolist()
+        return [blob[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)]
 
     def _learn(self, units: list[str]) -> None:
         """Encode units: runs of known characters through the lattice, other characters as bytes."""
-        plain, odd = [], []
         known = self.known
+        odd = {u: ["".join(g) for _, g in itertools.groupby(u, known.__contains__)] for u in units if not known.issuperset(u)}
+        runs = list({*(u for u in units if u not in odd), *(r for rs in odd.values() for r in rs if r[0] in known)})
+        done = dict(zip(runs, self._lattice(runs), strict=True)) if runs else {}
         for u in units:
-            (plain if known.issuperset(u) else odd).append(u)
-        if plain:
-            self.units.update(zip(plain, self._lattice(plain), strict=True))
-        if odd:
-            split = [["".join(g) for _, g in itertools.groupby(u, known.__contains__)] for u in odd]
-            runs = list({r for rs in split for r in rs if r[0] in known})
-            done = dict(zip(runs, self._lattice(runs), strict=True)) if runs else {}
-            for u, rs in zip(odd, split, strict=True):
-                self.units[u] = b"".join([done[r] if r[0] in known else self.byte[list(r.encode())].astype("<u4").tobytes() for r in rs])
+            split = odd.get(u)
+            self.units[u] = done[u] if split is None else b"".join([done[r] if r[0] in known else self.byte[list(r.encode())].astype("<u4").tobytes() for r in split])
 
     _split = staticmethod(regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall)
 
@@ -183,22 +188,19 @@ class Model:
             if len(self.units) > CACHE:
                 self.units, self.older = {}, self.units
             split = [self._split(MARK + t.replace(" ", MARK)) if t else [] for t in texts[at:end]]
-            new = {u for s in split for u in s if u not in self.units}
+            new = set(itertools.chain.from_iterable(split)) - self.units.keys()
             kept = [u for u in new if u in self.older]
             self.units.update(zip(kept, map(self.older.get, kept), strict=True))
             new = list(new.difference(kept))
             for i in range(0, len(new), PART):
                 self._learn(new[i : i + PART])
-            units = self.units
-            out += [b"".join([units[u] for u in s]) for s in split]
+            of = self.units.__getitem__
+            out += [b"".join(map(of, s)) for s in split]
             at = end
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
-        n = self.raw_len[ids]
-        total = int(n.sum())
-        at = np.repeat(self.raw_at[ids] - np.cumsum(n) + n, n) + np.arange(total)
-        out = self.raw[at].tobytes()
+        out = b"".join(map(self.raw.__getitem__, ids.tolist()))
         return out[1:] if out[:1] == b" " else out
 
 
@@ -211,7 +213,7 @@ def model(path: str) -> Model:
 def _encoded(path: str):
     def run(batches):
         m = model(path)
-        for b in small(batches, 1024):
+        for b in small(batches, 2048):
             texts = b.column("text_").to_pylist()
             ids = iter(m.encode([t for t in texts if t is not None]))
             out = pa.array([None if t is None else np.frombuffer(next(ids), np.int32) for t in texts], pa.list_(pa.int32()))
@@ -224,7 +226,7 @@ def _encoded(path: str):
 def _decoded(path: str):
     def run(batches):
         m = model(path)
-        for b in small(batches, 1024):
+        for b in small(batches, 2048):
             out = pa.array([None if x is None else m.decode(np.array(x, np.int64)).decode("utf-8", "replace") for x in b.column("ids_").to_pylist()], pa.string())
             keep = [i for i, name in enumerate(b.schema.names) if name != "ids_"]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), out], [*(b.schema.names[i] for i in keep), "decoded"])
@@ -249,7 +251,7 @@ def decode(df: DataFrame, path: str, carry: list[str], ids: str = "ids") -> Data
 def _digest(path: str):
     def run(batches):
         m = model(path)
-        for b in small(batches, 1024):
+        for b in small(batches, 2048):
             raws = [t or "" for t in b.column("text_").to_pylist()]
             ids = m.encode(raws)
             back = [m.decode(np.frombuffer(x, np.int32)) for x in ids]

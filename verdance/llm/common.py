@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import math
 import tempfile
 import uuid
@@ -67,6 +68,52 @@ def small(batches, rows: int = 256):
             yield b.slice(at, rows)
 
 
+def trim() -> None:
+    """Give memory that is free inside this Python process back to the system: workers live on after a task."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run):
+    """A function of batches that trims at its end."""
+
+    @functools.wraps(run)
+    def batches(it):
+        try:
+            yield from run(it)
+        finally:
+            trim()
+
+    return batches
+
+
+def trimmed_group(run):
+    """Likewise for a function of (key, table) or (key, left, right): Spark looks at how many arguments it takes."""
+
+    def one(key, table):
+        try:
+            return run(key, table)
+        finally:
+            trim()
+
+    def two(key, left, right):
+        try:
+            return run(key, left, right)
+        finally:
+            trim()
+
+    return two if run.__code__.co_argcount == 3 else one
+
+
 def fold(mod: int):
     """crc32 of doc_id as text, modulo mod (null ids: the empty string)."""
     return F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "utf-8")) % mod

@@ -20,6 +20,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import small, trimmed, written
 
 CAPACITY = 2048
 SALTS = 16
@@ -52,6 +53,7 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.find = regex.compile(SPLIT).findall
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
@@ -65,18 +67,35 @@ class Tokens:
             yield from self._chunk(texts[at:end])
             at = end
 
+    def _learn(self, new: list[str]) -> None:
+        """Encode pieces. Words after a blank go many to a call: joined they split into the same pieces, and each id tells its word."""
+        words = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        done = set()
+        for at in range(0, len(words), 5000):
+            part = words[at : at + 5000]
+            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            counts = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))
+            if len(counts) == len(part) and counts.all():
+                blob, ends = np.array(e.ids, "<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+                self.cache.update(zip(part, [blob[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+                done.update(part)
+        rest = [p for p in new if p not in done]
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.cache[p] = np.array(e.ids, "<u4").tobytes()
+
     def _chunk(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE:
-            self.cache = {}
+            self.cache, self.older = {}, self.cache
         plain = [None if SPECIAL in t else self.find(t) for t in texts]
-        cache = self.cache
-        new = list({p for pieces in plain if pieces for p in pieces if p not in cache})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[p] = np.array(e.ids, "<u4").tobytes()
+        new = set(chain.from_iterable(p for p in plain if p)) - self.cache.keys()
+        kept = [p for p in new if p in self.older]
+        self.cache.update(zip(kept, map(self.older.__getitem__, kept), strict=True))
+        self._learn(list(new.difference(kept)))
+        of = self.cache.__getitem__
         whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        return [whole(t) if p is None else b"".join([cache[x] for x in p]) for t, p in zip(texts, plain, strict=True)]
+        return [whole(t) if p is None else b"".join(map(of, p)) for t, p in zip(texts, plain, strict=True)]
 
 
 def _tokens(path: str) -> Tokens:
@@ -117,7 +136,7 @@ def _pieces(path: str, capacity: int):
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text_"))
-    return rows.mapInArrow(_pieces(path, capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(trimmed(_pieces(path, capacity)), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def enumerate_patterns(histogram: np.ndarray, capacity: int, per_length: int = PER_LENGTH) -> np.ndarray:

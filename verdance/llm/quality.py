@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, small, text_bytes, written
+from .common import fold, small, text_bytes, trimmed, written
 from .rules import class_counts, repeated_words
 
 SIZE = 17
@@ -59,7 +59,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     """doc_id, held_out (its fold) and the statistics x of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", (fold(3) == 1).alias("held_out"), text_bytes().alias("raw"))
-    return rows.mapInArrow(_statistics, f"doc_id {kind}, held_out boolean, x array<double>")
+    return rows.mapInArrow(trimmed(_statistics), f"doc_id {kind}, held_out boolean, x array<double>")
 
 
 def _sums(batches):
@@ -141,4 +141,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that the classifier predicts to be good, with their columns."""
     train = written(with_statistics(docs), "statistics")
     model = docs.sparkSession.sparkContext.broadcast(fit(train, labels))
-    return docs.mapInArrow(_kept(model), docs.schema)
+    return docs.mapInArrow(trimmed(_kept(model)), docs.schema)

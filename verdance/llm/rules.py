@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, text_bytes
+from .common import small, text_bytes, trimmed
 
 SYMBOLS = b"#*$%&|<>"
 COMMON = 64
@@ -136,7 +136,7 @@ def _counted(batches):
 def references(docs: DataFrame, common: int = COMMON) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray, int]]:
     """Per language: class histogram, bin of each common word, word histogram (the last bin is for all others), number of words."""
     rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), text_bytes().alias("raw"))
-    counts = rows.mapInArrow(_counted, "lang string, kind int, key binary, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(trimmed(_counted), "lang string, kind int, key binary, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
     top = counts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= common)
     totals = rows.select("lang", F.lit(1).alias("x")).groupBy("lang").agg(F.count("x").alias("docs"))
@@ -203,7 +203,7 @@ def _kept(refs, limits):
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """The rows that the rules keep, with their columns."""
     refs = docs.sparkSession.sparkContext.broadcast(references(docs))
-    return docs.mapInArrow(_kept(refs, DEFAULTS | limits), docs.schema)
+    return docs.mapInArrow(trimmed(_kept(refs, DEFAULTS | limits)), docs.schema)
 
 
 def judge(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), **limits) -> DataFrame:
@@ -211,7 +211,7 @@ def judge(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), **limits) -> Da
     refs = docs.sparkSession.sparkContext.broadcast(references(docs))  # languages x (bins + classes)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     rows = docs.select(*carry, F.coalesce("lang", F.lit("")).alias("lang_"), text_bytes().alias("raw_"))
-    return rows.mapInArrow(_judged(refs, DEFAULTS | limits), f"{kinds}, {SCHEMA}")
+    return rows.mapInArrow(trimmed(_judged(refs, DEFAULTS | limits)), f"{kinds}, {SCHEMA}")
 
 
 def op9(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, text_bytes, written
+from .common import small, text_bytes, trimmed, written
 from .components import as_batch, components, forest
 
 SEED = 42
@@ -78,7 +78,7 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_bytes().alias("raw")).mapInArrow(_fingerprints, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", text_bytes().alias("raw")).mapInArrow(trimmed(_fingerprints), f"doc_id {kind}, fp long")
 
 
 def _syndrome(words: np.ndarray) -> np.ndarray:
@@ -172,7 +172,7 @@ def _compared(batches):
 
 def near_pairs(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b): edges that join the same fingerprints as all links within LIMIT bits. distinct: each fingerprint once, as fp."""
-    placed = distinct.mapInArrow(_replicated, "anchor long, fp long")
+    placed = distinct.mapInArrow(trimmed(_replicated), "anchor long, fp long")
     full = placed.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > block)
     if full.isEmpty():
         placed = placed.withColumn("pair", F.lit(0))
@@ -183,7 +183,7 @@ def near_pairs(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
         placed = placed.join(cut, "anchor", "left").withColumn("own", F.when(F.col("k").isNotNull(), own))
         placed = placed.select("anchor", "fp", F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("pair"))
     dealt = placed.repartition(F.col("anchor"), F.col("pair")).sortWithinPartitions("anchor", "pair")
-    return dealt.mapInArrow(_compared, "a long, b long")
+    return dealt.mapInArrow(trimmed(_compared), "a long, b long")
 
 
 def groups(prints: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_count, small, text_bytes
+from .common import batch_count, small, text_bytes, trimmed, trimmed_group
 
 LENGTH = 50
 GRAM = 24
@@ -411,14 +411,14 @@ def dedup(docs: DataFrame, carry: list[str], whole: bool = True, batch_mb: int =
     raw = text_bytes()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), raw.alias("raw"), F.struct(*carry).alias("row"), F.pmod(F.xxhash64("doc_id", raw), F.lit(n)).cast("int").alias("batch"))
     by_batch = texts.groupBy("batch")
-    answers = by_batch.applyInArrow(_ask(n), ASK).groupBy("bucket").applyInArrow(_answer, ANSWER)
-    sent = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(_send(n), SENT)
-    flags = sent.groupBy("route").applyInArrow(_resolve, FLAGS)
+    answers = by_batch.applyInArrow(trimmed_group(_ask(n)), ASK).groupBy("bucket").applyInArrow(_answer, ANSWER)
+    sent = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(trimmed_group(_send(n)), SENT)
+    flags = sent.groupBy("route").applyInArrow(trimmed_group(_resolve), FLAGS)
     kind = texts.schema["row"].dataType.simpleString()
     cut = by_batch.cogroup(flags.groupBy("batch"))
     if whole:
-        return cut.applyInArrow(_cut, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
-    return cut.applyInArrow(_cut_light, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        return cut.applyInArrow(trimmed_group(_cut), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return cut.applyInArrow(trimmed_group(_cut_light), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _cut_light(key, texts, flags):
@@ -440,5 +440,5 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     rest = [c for c in docs.columns if c != "text"]
     cut = dedup(docs, rest).select("row", "kept")
     kind = cut.schema["row"].dataType.simpleString()
-    rows = cut.mapInArrow(_decoded, f"row {kind}, text string")
+    rows = cut.mapInArrow(trimmed(_decoded), f"row {kind}, text string")
     return rows.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -18,4 +18,14 @@ QUERIES = {
     "op10_media_tiles": lambda s, d: media.op10(table(s, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {}
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * g + 1}, 5))::int >> {shift}) & 31) + 1, 1)" for g in range(8) for shift in (15, 10, 5, 0))
+
+ORACLES: dict[str, str] = {
+    "op6_content_addressed_warc": f"""with p as (select page_id, coalesce(html, '') b, sha1(coalesce(html, '')) h from pages), f as (select *, min(page_id) over (partition by b) first from p)
+select page_id, strlen(b) payload_bytes, {_BASE32} payload_digest, case when page_id = first then 'response' else 'revisit' end record_type, case when page_id <> first then first end refers_to from f""",
+    # windows by their bytes (as hex digits, two a byte): small tables only
+    "op7_column_wise_suffixes": """with t as (select doc_id, hex(encode(coalesce(text, ''))) x from documents), b as (select doc_id, x, unnest(range(len(x) // 2)) p from t), w as (select doc_id, p, substr(x, 2 * p + 1, 2) byte, case when 2 * (p + 50) <= len(x) then substr(x, 2 * p + 1, 100) end win from b),
+m as (select doc_id, p, byte, case when win is not null and min(doc_id) over (partition by win) < doc_id then p end hit from w), c as (select doc_id, p, byte, max(hit) over (partition by doc_id order by p rows between 49 preceding and current row) is not null gone from m),
+s as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by p), false) opens from c), g as (select doc_id, count(*) filter (gone) n_removed, count(*) filter (opens) n_spans, string_agg(byte, '' order by p) filter (not gone) kept from s group by 1)
+select t.doc_id, len(x) // 2 n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(kept, ''))) kept_sha256 from t left join g using (doc_id)""",
+}

@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from verdance.llm import packing, quality, rules, simhash, suffixdedup
-from verdance.llm.common import table, written
+from verdance.llm.common import bounded, table, written
 
 STAGES = [
     ("quality_classifier", lambda spark, docs, sf_dir: quality.keep_good(docs, table(spark, sf_dir, "labels"))),
-    ("quality_rules", lambda spark, docs, sf_dir: rules.keep_good(docs)),
-    ("simhash_near_dedup", lambda spark, docs, sf_dir: simhash.keep_one(docs)),
-    ("suffix_array_dedup", lambda spark, docs, sf_dir: suffixdedup.cut_repeats(docs)),
-    ("pattern_packing", lambda spark, docs, sf_dir: packing.op8(docs)),
+    ("quality_rules", lambda spark, docs, sf_dir: bounded(spark) and rules.keep_good(docs)),
+    ("simhash_near_dedup", lambda spark, docs, sf_dir: bounded(spark) and simhash.keep_one(docs)),
+    ("suffix_array_dedup", lambda spark, docs, sf_dir: bounded(spark) and suffixdedup.cut_repeats(docs)),
+    ("pattern_packing", lambda spark, docs, sf_dir: bounded(spark) and packing.op8(docs)),
 ]
 
 ORACLE_SQL = None

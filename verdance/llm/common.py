@@ -15,7 +15,19 @@ _OWN: dict = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of whole texts in one Arrow batch; Spark's own default is 10,000.
+ROWS_PER_BATCH = 1000
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """Lower the session's Arrow batches to ROWS_PER_BATCH, unless they are smaller: rows here hold whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > ROWS_PER_BATCH or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(ROWS_PER_BATCH))
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,7 +57,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, reread: cuts lineage, and survives the loss of any executor."""
-    path = scratch_path(df.sparkSession, name)
+    path = scratch_path(bounded(df.sparkSession), name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

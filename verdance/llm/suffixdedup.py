@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_count, small, text_bytes, trimmed, trimmed_group
+from .common import batch_count, text_bytes, trimmed_group
 
 LENGTH = 50
 GRAM = 24
@@ -405,8 +405,17 @@ def _cut(key, texts, flags):
     })
 
 
-def dedup(docs: DataFrame, carry: list[str], whole: bool = True, batch_mb: int = BATCH_MB) -> DataFrame:
-    """row (struct of the carried columns), n_bytes, n_removed, n_spans, kept (remaining bytes; unless whole is false), kept_sha256."""
+def _cut_light(key, texts, flags):
+    return _cut(key, texts, flags).drop_columns(["kept"])
+
+
+def _cut_text(key, texts, flags):
+    cut = _cut(key, texts, flags)
+    return pa.table({"row": cut.column("row"), "text": pa.array([x.decode("utf-8", "ignore") for x in cut.column("kept").to_pylist()], pa.string())})
+
+
+def dedup(docs: DataFrame, carry: list[str], finish=_cut, output: str = "n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string", batch_mb: int = BATCH_MB) -> DataFrame:
+    """row (struct of the carried columns) and what `finish` makes of each text's flags: by default n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_sha256."""
     n = batch_count(docs, "text", batch_mb)
     raw = text_bytes()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), raw.alias("raw"), F.struct(*carry).alias("row"), F.pmod(F.xxhash64("doc_id", raw), F.lit(n)).cast("int").alias("batch"))
@@ -415,30 +424,14 @@ def dedup(docs: DataFrame, carry: list[str], whole: bool = True, batch_mb: int =
     sent = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(trimmed_group(_send(n)), SENT)
     flags = sent.groupBy("route").applyInArrow(trimmed_group(_resolve), FLAGS)
     kind = texts.schema["row"].dataType.simpleString()
-    cut = by_batch.cogroup(flags.groupBy("batch"))
-    if whole:
-        return cut.applyInArrow(trimmed_group(_cut), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
-    return cut.applyInArrow(trimmed_group(_cut_light), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def _cut_light(key, texts, flags):
-    return _cut(key, texts, flags).drop_columns(["kept"])
+    return by_batch.cogroup(flags.groupBy("batch")).applyInArrow(trimmed_group(finish), f"row {kind}, {output}")
 
 
 def op7(docs: DataFrame) -> DataFrame:
-    return dedup(docs, ["doc_id"], whole=False).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-
-
-def _decoded(batches):
-    for b in small(batches):
-        text = pa.array([x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays([b.column("row"), text], ["row", "text"])
+    return dedup(docs, ["doc_id"], _cut_light, "n_bytes long, n_removed long, n_spans long, kept_sha256 string").select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated passages cut from their texts; pieces of a character whose other bytes went go too."""
-    rest = [c for c in docs.columns if c != "text"]
-    cut = dedup(docs, rest).select("row", "kept")
-    kind = cut.schema["row"].dataType.simpleString()
-    rows = cut.mapInArrow(trimmed(_decoded), f"row {kind}, text string")
+    rows = dedup(docs, [c for c in docs.columns if c != "text"], _cut_text, "text string")
     return rows.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

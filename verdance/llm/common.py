@@ -55,9 +55,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, reread: cuts lineage, and survives the loss of any executor."""
+def written(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+    """df as a table in the shared folder, reread: cuts lineage, and survives the loss of any executor.
+
+    compact: rows are far smaller than the texts that they come from, so they are put together into files of the advised
+    size first (not one for each task that read texts); adaptive execution sizes the parts, whatever the keys.
+    """
     path = scratch_path(bounded(df.sparkSession), name)
+    df = df.hint("rebalance") if compact else df
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -279,7 +279,7 @@ def _placed(where, base):
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    cut_up = written(pieces(docs, path, capacity), "pieces")
+    cut_up = written(pieces(docs, path, capacity), "pieces", compact=True)
     salted = cut_up.withColumn("salt_", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
     base = np.zeros((capacity + 1, SALTS), np.int64)
     for r in salted.groupBy("length", "salt_").agg(F.count("*").alias("n")).collect():  # at most capacity x SALTS

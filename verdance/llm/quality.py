@@ -122,7 +122,7 @@ def _scored(model):
 
 
 def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    rows = written(with_statistics(docs), "statistics")  # 17 numbers a document: texts are read once
+    rows = written(with_statistics(docs), "statistics", compact=True)  # 17 numbers a document: texts are read once
     model = docs.sparkSession.sparkContext.broadcast(fit(rows, labels))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_scored(model), f"doc_id {kind}, held_out boolean, score double, predicted int")
@@ -139,6 +139,5 @@ def _kept(model):
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that the classifier predicts to be good, with their columns."""
-    train = written(with_statistics(docs), "statistics")
-    model = docs.sparkSession.sparkContext.broadcast(fit(train, labels))
+    model = docs.sparkSession.sparkContext.broadcast(fit(with_statistics(docs), labels))
     return docs.mapInArrow(trimmed(_kept(model)), docs.schema)

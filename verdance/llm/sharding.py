@@ -65,7 +65,7 @@ def range_of(splitters: list[tuple[int, int]]):
 
 def shard(docs: DataFrame, shards: int = 24, fineness: int = 8, per_range: int = 16, rounds: int = 4) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (gapless from 0), grown_shard (null: the law is `bytes`), range."""
-    rows = written(keyed(docs), "shard-keys")  # a few dozen bytes a record: the texts are read once
+    rows = written(keyed(docs), "shard-keys", compact=True)  # a few dozen bytes a record: the texts are read once
     total = rows.agg(F.sum("size")).first()[0] or 0
     pieces = shards * fineness
     splitters = _quantiles(_sample(rows, total, pieces * per_range), pieces)

@@ -196,7 +196,7 @@ def groups(prints: DataFrame) -> DataFrame:
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    prints = written(fingerprints(docs), "fingerprints")
+    prints = written(fingerprints(docs), "fingerprints", compact=True)
     named = groups(prints).withColumnRenamed("fp", "of")
     return prints.join(named, F.col("fp") == F.col("of")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

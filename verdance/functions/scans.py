@@ -151,8 +151,8 @@ def with_label(df: DataFrame, field: str, name: str, rule: str = "strict_v1") ->
     """df with a label of the field, like `label`, in steps: each step's column is computed once, however often the next one uses it."""
     fixed = rule != "strict_v1"
     source = unwrap_macro(unwrap_macro(F.col(field), "textcolor"), "text") if fixed else F.col(field)
-    out = df.withColumn("_text", source).withColumn("_final", T.extract_final(F.col("_text"), keep_decimals=fixed)).withColumn("_clean", T.structural_clean(F.col("_final")))
-    cleaned = F.when(F.coalesce(F.col("_clean"), F.lit("")) == "", F.lit(T.SENTINEL)).otherwise(F.concat(F.lit("text:"), "_clean"))
+    out = df.withColumn("_text", T.strip(source)).withColumn("_final", T.extract_final(F.col("_text"), keep_decimals=fixed)).withColumn("_clean", T.structural_clean(F.col("_final")))
+    cleaned = F.coalesce(F.concat(F.lit("text:"), F.nullif("_clean", F.lit(""))), F.lit(T.SENTINEL))
     out = out.withColumn("_label", T.normalize(cleaned))
     if rule in ("relaxed_v3", "final_term_v4"):
         out = out.withColumn("_loose", F.when(F.col("_label") == T.SENTINEL.lower(), F.col("_label")).otherwise(T.cosmetic(F.col("_label"))))

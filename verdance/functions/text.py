@@ -87,7 +87,7 @@ def _all(c: Column, pattern: str, group: int = 0) -> Column:
 
 def parse_answer(response: Column) -> Column:
     """The answer field after the first marker form that occurs, up to a fence or the document's end; null if none or empty."""
-    found = F.coalesce(*(F.when(response.rlike(p), F.regexp_extract(response, p, 1)) for p in ANSWER_PATTERNS))
+    found = F.coalesce(*(F.try_element_at(_all(response, p, 1), F.lit(1)) for p in ANSWER_PATTERNS))
     return _or_null(strip(F.regexp_replace(found, TRAILING_JUNK, "")))
 
 
@@ -128,22 +128,17 @@ def structural_clean(c: Column) -> Column:
 def extract_final(c: Column, keep_decimals: bool = False) -> Column:
     """Last option letter, else last boxed, else last display math that isn't empty, else last line that isn't an environment mark."""
     text = strip(c)
-    options, boxes = _all(text, OPTION, 1), _all(text, BOXED, 1)
+    last = lambda pattern: _last(_all(text, pattern, 1))
     math = F.filter(F.transform(_all(text, DISPLAY_MATH), lambda m: strip(F.regexp_replace(m, MATH_MARKS, ""))), lambda m: m != "")
     lines = F.transform(F.split(text, LINE_ENDS_KEEP_DECIMALS if keep_decimals else LINE_ENDS, -1), strip)
     lines = F.filter(lines, lambda x: (x != "") & ~x.rlike(ENVIRONMENT_MARK))
-    return (
-        F.when(text == "", None)
-        .when(F.size(options) > 0, F.concat(F.lit("option "), F.lower(_last(options))))
-        .when(F.size(boxes) > 0, strip(_last(boxes)))
-        .otherwise(F.coalesce(_last(math), _last(lines)))
-    )
+    # coalesce stops at the first that is there
+    return F.coalesce(F.concat(F.lit("option "), F.lower(last(OPTION))), strip(last(BOXED)), _last(math), _last(lines))
 
 
 def canonical(c: Column) -> Column:
     """The text tier (no parser of formulas is present): text:<cleaned>, or the sentinel."""
-    cleaned = structural_clean(c)
-    return F.when(c.isNull() | (cleaned == ""), F.lit(SENTINEL)).otherwise(F.concat(F.lit("text:"), cleaned))
+    return F.coalesce(F.concat(F.lit("text:"), _or_null(structural_clean(c))), F.lit(SENTINEL))
 
 
 def answer_label(c: Column) -> Column:

@@ -70,7 +70,8 @@ def _(s, d):
 
 @query("canonical_label_text", f"with {RS}, {SC} select item_id, pos, lab as label, false parser_available from sl")
 def _(s, d):
-    return responses(s, d)[0].select("item_id", "pos", text.answer_label(text.parse_answer(F.col("response"))).alias("label"), F.lit(False).alias("parser_available"))
+    rows = responses(s, d)[0].select("item_id", "pos", text.parse_answer(F.col("response")).alias("field"))
+    return scans.with_label(rows, "field", "label").select("item_id", "pos", "label", F.lit(False).alias("parser_available"))
 
 
 @query("canonical_tier", f"with {RS}, {PR}, x as (select item_id, pos, {extract_final('field')} f_ from pr) select item_id, pos, {canonical('f_')} canonical from x")

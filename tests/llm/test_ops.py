@@ -427,7 +427,8 @@ def test_words_and_specials_encode_like_the_tokenizer(tokenizer_files):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    texts = ["a<|endoftext|>b", " don't  we've\n\n x", "naïve café ÀÉ ²x ½", " ".join(WORDS) * 3, "\t\ttabs   end  ", "日本語 \U0001f600"]
+    texts = ["".join(f"a{chr(i)}b 1{chr(i)}2 {chr(i)}{chr(i)} x'" for i in range(lo, hi)) for lo, hi in ((0, 128), (128, 400), (0x2000, 0x2100))]
+    texts += ["a<|endoftext|>b", " don't  we've\n\n x", "naïve café ÀÉ ²x ½", " ".join(WORDS) * 3, "\t\ttabs   end  ", "日本語 \U0001f600"]
     assert [np.frombuffer(x, "<u4").tolist() for x in packing.Tokens(path).ids(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 

@@ -4,33 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-RAW_LOG = StructType.fromDDL(
+RAW_LOG = (
     "item STRUCT<orig_q: STRING, pert_a: STRING, has_error: BOOLEAN, handwriting_style: BOOLEAN, image_quality: BOOLEAN>, transcription_samples_raw ARRAY<STRING>, grading_samples_raw ARRAY<STRING>, "
     "transcription_temp0_raw ARRAY<STRING>, grading_temp0_raw ARRAY<STRING>"
 )
-SAMPLE_LOG = StructType.fromDDL("item_id INT, temperature DOUBLE, seed BIGINT, content_sha256 STRING, raw_samples ARRAY<STRING>, elapsed_seconds DOUBLE")
-SCORED_RUN = StructType.fromDDL(
+SAMPLE_LOG = "item_id INT, temperature DOUBLE, seed BIGINT, content_sha256 STRING, raw_samples ARRAY<STRING>, elapsed_seconds DOUBLE"
+SCORED_RUN = (
     "orig_q STRING, pert_a STRING, has_error BOOLEAN, handwriting_style BOOLEAN, image_quality BOOLEAN, perception_entropy DOUBLE, reasoning_entropy DOUBLE, temp0_entropy_transcription DOUBLE, "
     "temp0_entropy_grading DOUBLE, transcription_correct BOOLEAN, grading_correct BOOLEAN, n_transcription_parse_failures INT, n_grading_parse_failures INT, model_id STRING, n_items INT, k_transcription INT, "
     "k_grading INT, target_error_frac DOUBLE, latex_parser_available BOOLEAN, sympy_version STRING"
 )
-AUDIT_SHEET = StructType.fromDDL("item BIGINT, final_label STRING, confidence STRING, note STRING")
+AUDIT_SHEET = "item BIGINT, final_label STRING, confidence STRING, note STRING"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Missing or reordered columns are an error, not nulls."""
     return spark.read.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").schema(schema).csv(path)
 
 
-def read_log(spark: SparkSession, path: str, schema: StructType = RAW_LOG) -> DataFrame:
+def read_log(spark: SparkSession, path: str, schema: str = RAW_LOG) -> DataFrame:
     """JSON lines; lines that don't parse have null in every field and their text in _corrupt."""
-    return spark.read.option("columnNameOfCorruptRecord", "_corrupt").schema(StructType([*schema.fields]).add("_corrupt", "string")).json(path)
+    return spark.read.option("columnNameOfCorruptRecord", "_corrupt").schema(f"{schema}, _corrupt STRING").json(path)
 
 
 def numbered(df: DataFrame, by: str, order: list[Column], name: str = "pos") -> DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions.stats import dbl, kappa, ratio
 
 
@@ -66,3 +67,26 @@ def output_report(texts: DataFrame, status: Column) -> DataFrame:
     """status, n, share of a run's outputs."""
     counts = texts.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
     return counts.join(F.broadcast(counts.agg(F.sum("n").alias("_all")))).select("status", "n", ratio(F.col("n"), F.col("_all")).alias("share"))
+
+
+def open_frame(run: DataFrame, judges: dict[str, DataFrame], key: str, rules: list[str], invented_by: str | None = None) -> DataFrame:
+    """run (key, question, truth, answer, rules, ...) with every judge's verdict, raw output, parse failure and three-valued agreements.
+
+    judges: frames of (key, raw_output, verdict); each must cover every item. invented_by: the judge whose numbers are
+    looked up in the question, the truth and the answer.
+    """
+    out = run
+    for name, judged in judges.items():
+        out = covered(out, judged.select(key, F.coalesce("raw_output", F.lit("")).alias(f"{name}_raw_output"), F.col("verdict").alias(f"{name}_verdict")), key)
+        v = F.col(f"{name}_verdict")
+        out = out.withColumns({f"{name}_parse_failed": v == "unclear", f"{name}_looks_like_solving": text.looks_like_solving(F.col(f"{name}_raw_output")), **{f"{name}_agrees_{r}": agreement(v, F.col(r)) for r in rules}})
+    both = [F.col(f"{n}_verdict") for n in judges]
+    if len(both) == 2:
+        decided = both[0].isin("correct", "incorrect") & both[1].isin("correct", "incorrect")
+        out = out.withColumn("judges_agree", F.when(decided, both[0] == both[1]))
+    if invented_by:
+        said, source = text.numeric_surface(F.col(f"{invented_by}_raw_output")), text.numeric_surface(*(F.col(c) for c in ("question", "truth", "answer")))
+        out = out.withColumn("_said", said).withColumn("_source", source)
+        tokens = F.array_join(text.invented_tokens(F.col("_said"), F.col("_source")), "; ")
+        out = out.withColumn(f"{invented_by}_invented_tokens", tokens).drop("_said", "_source").withColumn(f"{invented_by}_invented_reference", F.col(f"{invented_by}_invented_tokens") != "")
+    return out

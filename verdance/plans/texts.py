@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scans, text
 from ..functions.stats import ratio
-from ..operators import judging, profile, ranking, votes
+from ..operators import cases, judging, profile, ranking, votes
 from ..sources.tables import responses, table
 from .registry import query
-from .sql import PR, RS, SC, canonical, extract_final, strip, structural, tier
+from .sql import RS, PR, SC, canonical, extract_final, strip, structural, tier
 
 # ---- parsing ----
 
@@ -412,4 +412,41 @@ def _(s, d):
     return table(s, d, "customer").select("c_custkey", p.alias("prompt"), F.sha2(p, 256).alias("prompt_sha256"))
 
 
+# ---- single items ----
 
+_LV = f"""lv as (select sl.*, {extract_final("field")} final, {tier("field")} tr from sl), mv as (select item_id, (list(struct_pack(f := final, t := tr) order by pos))[1] m from lv join sv using (item_id) where lab = majority group by 1), tv as (select item_id, truth, {extract_final("truth")} tfinal, {tier("truth")} ttr from od)"""
+
+
+@query("label_views", rf"with {RS}, {SC}, {_LV} select item_id, entropy, correct, mv.m.f model_span, majority model_label, mv.m.t model_tier, tfinal truth_span, truth_label, ttr truth_tier, len(regexp_replace(majority, '(?s)^[^:]*:', '')) <= 3 and len(coalesce(mv.m.f, '')) > 12 collapsed from sc join mv using (item_id) join tv using (item_id)", "entropy")
+def _(s, d):
+    samples, orders = responses(s, d)
+    return cases.label_views(samples, orders, ["item_id"])
+
+
+@query("trace_summary", f"with {RS}, {SC}, {_LV}, n as (select item_id, count(*)::int n_samples, string_agg(tr, ',' order by pos) tiers, string_agg(coalesce(final, '-'), '|' order by pos) finals from lv group by 1) select n.*, entropy, correct, tfinal truth_final from n join sc using (item_id) join tv using (item_id)", "entropy")
+def _(s, d):
+    samples, orders = responses(s, d)
+    t = cases.trace(samples, orders, ["item_id"])
+    return t.select("item_id", F.size("samples").alias("n_samples"), F.array_join("samples.tier", ",").alias("tiers"), F.array_join(F.transform("samples.final", lambda x: F.coalesce(x, F.lit("-"))), "|").alias("finals"), "entropy", "correct", F.col("ground_truth.final").alias("truth_final"))
+
+
+@query("case_bundles")
+def _(s, d):
+    samples, orders = responses(s, d)
+    return cases.bundles(cases.trace(samples, orders, ["item_id"]).filter("correct and entropy > 1"), "high_entropy_correct", "run")
+
+
+@query(
+    "open_judge_frame",
+    "with r as (select c_custkey k, 'Is 12 more than ' || c_nationkey || '?' question, (c_custkey % 40)::varchar truth, (c_custkey % 50)::varchar answer, c_custkey % 2 = 0 v1, c_custkey % 3 = 0 v2 from customer), j as (select *, case k % 4 when 0 then 'correct' when 1 then 'unclear' else 'incorrect' end a, case k % 5 when 0 then 'unclear' when 1 then 'incorrect' else 'correct' end b, 'it should be ' || (k % 60) raw from r) "
+    "select k, a a_verdict, b b_verdict, a = 'unclear' a_parse_failed, b = 'unclear' b_parse_failed, case when a <> 'unclear' then (a = 'correct') = v1 end a_agrees_v1, case when b <> 'unclear' then (b = 'correct') = v2 end b_agrees_v2, case when a <> 'unclear' and b <> 'unclear' then a = b end judges_agree, true b_looks_like_solving, "
+    "case when k % 60 >= 10 and not contains(question || ' ' || truth || ' ' || answer, (k % 60)::varchar) then (k % 60)::varchar else '' end b_invented_tokens from j",
+)
+def _(s, d):
+    k = F.col("c_custkey")
+    rows = table(s, d, "customer")
+    run = rows.select(k.alias("k"), F.concat(F.lit("Is 12 more than "), F.col("c_nationkey").cast("string"), F.lit("?")).alias("question"), (k % 40).cast("string").alias("truth"), (k % 50).cast("string").alias("answer"), (k % 2 == 0).alias("v1"), (k % 3 == 0).alias("v2"))
+    a = rows.select(k.alias("k"), F.lit("x").alias("raw_output"), F.when(k % 4 == 0, "correct").when(k % 4 == 1, "unclear").otherwise("incorrect").alias("verdict"))
+    b = rows.select(k.alias("k"), F.concat(F.lit("it should be "), (k % 60).cast("string")).alias("raw_output"), F.when(k % 5 == 0, "unclear").when(k % 5 == 1, "incorrect").otherwise("correct").alias("verdict"))
+    frame = judging.open_frame(run, {"a": a, "b": b}, "k", ["v1", "v2"], invented_by="b")
+    return frame.select("k", "a_verdict", "b_verdict", "a_parse_failed", "b_parse_failed", "a_agrees_v1", "b_agrees_v2", "judges_agree", "b_looks_like_solving", "b_invented_tokens")

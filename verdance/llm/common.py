@@ -85,6 +85,16 @@ def small(batches, rows: int = 256):
             yield b.slice(at, rows)
 
 
+def slices(numbers) -> list[tuple[int, int, int]]:
+    """(number, start, end) of each run of a sorted array: only of those that occur, however many there could be."""
+    import numpy as np
+
+    if not len(numbers):
+        return []
+    starts = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]]))
+    return list(zip(numbers[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(numbers)], strict=True))
+
+
 def trim() -> None:
     """Give memory that is free inside this Python process back to the system: workers live on after a task."""
     import ctypes

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_count, text_bytes, trimmed_group
+from .common import batch_count, slices, text_bytes, trimmed_group
 
 LENGTH = 50
 GRAM = 24
@@ -251,10 +251,8 @@ def _ask(buckets: int):
         first = np.flatnonzero(fresh)
         last = np.append(first[1:], len(h)) - 1
         several = row[first] != row[last] if len(h) else np.zeros(0, bool)
-        bucket = _buckets(unique, buckets)
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
         batch = key[0].as_py()
-        return _as_table([(b, batch, unique[i:j].tobytes(), np.packbits(several[i:j]).tobytes()) for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if j > i], ASK)
+        return _as_table([(b, batch, unique[i:j].tobytes(), np.packbits(several[i:j]).tobytes()) for b, i, j in slices(_buckets(unique, buckets))], ASK)
 
     return run
 
@@ -281,10 +279,11 @@ def _send(buckets: int):
         ids, raws = _known(ids, raws)
         h, row, first, windows = segments(raws)
         unique = np.unique(h)
-        cuts = np.searchsorted(_buckets(unique, buckets), np.arange(buckets + 1))
+        asked = {b: (i, j) for b, i, j in slices(_buckets(unique, buckets))}
         shared = np.zeros(len(unique), bool)
         for b, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True):
-            shared[cuts[b] : cuts[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8))[: cuts[b + 1] - cuts[b]]
+            i, j = asked[b]
+            shared[i:j] = np.unpackbits(np.frombuffer(bits, np.uint8))[: j - i]
         keep = shared[np.searchsorted(unique, h)] if len(h) else np.zeros(0, bool)
         h, row, first, windows = h[keep], row[keep], first[keep], windows[keep]
         # rows are in order of id, so the first owner of a content has the smallest id
@@ -303,11 +302,9 @@ def _send(buckets: int):
         bucket = _buckets(h[sent], buckets)
         order = np.argsort(bucket, kind="stable")
         sent, bucket = sent[order], bucket[order]
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-            if j > i:
-                s = sent[i:j]
-                out.append((b, 0, batch, pack(h[s] & np.uint64(0xFFFFFFFF), np.uint32), pack(windows[s], np.int32), pack(ids[row[s]], np.int64), pack(row[s], np.int32), pack(first[s], np.int32), b"".join(body[x] for x in s.tolist())))
+        for b, i, j in slices(bucket):
+            s = sent[i:j]
+            out.append((b, 0, batch, pack(h[s] & np.uint64(0xFFFFFFFF), np.uint32), pack(windows[s], np.int32), pack(ids[row[s]], np.int64), pack(row[s], np.int32), pack(first[s], np.int32), b"".join(body[x] for x in s.tolist())))
         return _as_table(out, SENT)
 
     return run

@@ -240,6 +240,17 @@ def _as_table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table({name: pa.array(c, _KINDS[kind]) for c, (name, kind) in zip(cols, fields, strict=True)})
 
 
+def _short(h: np.ndarray) -> bytes:
+    """The low 48 bits of hashes; the bucket holds the high ones, and a chance match only sends a segment on in vain."""
+    return h.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(short: bytes) -> np.ndarray:
+    out = np.zeros((len(short) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(short, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def _ask(buckets: int):
     def run(key, texts):
         ids, raws, _ = _sorted_rows(texts)
@@ -252,13 +263,13 @@ def _ask(buckets: int):
         last = np.append(first[1:], len(h)) - 1
         several = row[first] != row[last] if len(h) else np.zeros(0, bool)
         batch = key[0].as_py()
-        return _as_table([(b, batch, unique[i:j].tobytes(), np.packbits(several[i:j]).tobytes()) for b, i, j in slices(_buckets(unique, buckets))], ASK)
+        return _as_table([(b, batch, _short(unique[i:j]), np.packbits(several[i:j]).tobytes()) for b, i, j in slices(_buckets(unique, buckets))], ASK)
 
     return run
 
 
 def _answer(key, asked):
-    parts = [np.frombuffer(x, np.uint64) for x in asked.column("hashes").to_pylist()]
+    parts = [_long(x) for x in asked.column("hashes").to_pylist()]
     several = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(p)] for x, p in zip(asked.column("several").to_pylist(), parts, strict=True)]
     h, shared = np.concatenate(parts), np.concatenate(several).astype(bool)
     order = np.argsort(h, kind="stable")

@@ -228,3 +228,10 @@ def by_correctness(df: DataFrame, score: str, correct: str) -> DataFrame:
 
 def accuracy_by_distinct(df: DataFrame, distinct: str, correct: str) -> DataFrame:
     return df.groupBy(F.col(distinct).alias("n_distinct")).agg(F.count("*").alias("n"), F.avg(F.col(correct).cast("int")).alias("accuracy"))
+
+
+def distribution(df: DataFrame, score: str, digits: int = 3, degenerate: float = 0.60) -> DataFrame:
+    """Counts of a score's rounded levels, with their number, the largest one's share, and whether that is too large for a ranking to mean anything."""
+    counts = df.filter(F.col(score).isNotNull()).groupBy(F.round(score, digits).alias(score)).agg(F.count("*").alias("n"))
+    facts = counts.agg(F.count("*").alias("n_distinct_values"), ratio(F.max("n"), F.sum("n")).alias("largest_share"))
+    return counts.join(F.broadcast(facts)).withColumn("is_degenerate", F.col("largest_share") >= degenerate)

@@ -101,3 +101,20 @@ def queue(items: DataFrame, item: str, stratum: str, n: int, seed, challenge: li
     place = F.row_number().over(Window.orderBy(hash_key(f"{seed}-review", F.col(item)), item)) - 1  # the queue is read by people
     out = joined.withColumn("queue", kind).withColumn("review_order", place)
     return out.select(*items.columns, "queue", F.when(F.col("queue") == "core", F.round(ratio(F.col("take"), F.col("size")), 6)).alias("selection_prob"), "review_order", F.format_string("R%04d", "review_order").alias("review_id"))
+
+
+def queue_counts(queue_: DataFrame, item: str) -> DataFrame:
+    """queue, n, disjoint: items in each part of a review queue, and whether no item is in two."""
+    twice = queue_.groupBy(item).agg(F.count_distinct("queue").alias("_q")).agg(F.coalesce(F.max("_q") < 2, F.lit(True)).alias("disjoint"))
+    return queue_.groupBy("queue").agg(F.count("*").alias("n")).join(F.broadcast(twice))
+
+
+def template(queue_: DataFrame, version: str, fields: list[str]) -> DataFrame:
+    """A blank sheet for a blinded rater: ids and empty answers, nothing that tells the first labels."""
+    return queue_.select("review_id", F.lit(version).alias("protocol_version"), *(F.lit("").alias(f) for f in fields))
+
+
+def is_blank(fields: list[str]) -> Column:
+    from functools import reduce
+
+    return reduce(lambda a, b: a & b, (F.trim(F.coalesce(F.col(f).cast("string"), F.lit(""))) == "" for f in fields))

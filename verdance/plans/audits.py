@@ -495,3 +495,31 @@ def _(s, d):
 
 
 
+
+
+@query(
+    "queue_summary",
+    f"with {LB}, i as (select item_id in (3, 11) ch from lb) select * from (select 'challenge' queue, count(*) filter (ch) n, true disjoint from i union all select 'core', 90, true union all select 'extension', count(*) filter (not ch) - 90, true from i) where n > 0",
+)
+def _(s, d):
+    stratum = F.concat_ws("|", sampling.entropy_bin(F.col("h")), "lang")
+    queue = sampling.queue(labelled(s, d).select("item_id", stratum.alias("stratum")), "item_id", "stratum", 90, 20260814, [3, 11])
+    return sampling.queue_counts(queue, "item_id")
+
+
+@query("blank_template", f"with {LB} select printf('R%04d', row_number() over (order by {sql_key('20260814-review', 'item_id')}, item_id) - 1) review_id, 'v1' protocol_version, '' model_correctness, '' confidence, '' evidence_note, true all_blank from lb")
+def _(s, d):
+    queue = sampling.queue(labelled(s, d).select("item_id", F.col("lang").alias("stratum")), "item_id", "stratum", 90, 20260814)
+    fields = ["model_correctness", "confidence", "evidence_note"]
+    return sampling.template(queue, "v1", fields).withColumn("all_blank", sampling.is_blank(fields))
+
+
+@query(
+    "tile_notes",
+    f"with {LB} select item_id, case when not correct and n_chars % 4 = 0 then 'prose conclusion; strict matching cannot score a sentence' when not correct and n_chars % 9 <= 2 then 'tiny truth span; a coincidental match or miss is cheap here' when h > 1.6 then 'all five samples differ; entropy at its ceiling' when fails = 1 then 'at least one sample failed to parse' when correct <> (not toxic) then 'the two rules disagree on this item' when correct then 'scored correct by both rules' else 'scored wrong; span and label shown for comparison' end note from lb",
+)
+def _(s, d):
+    x = labelled(s, d)
+    kind = F.when(F.col("n_chars") % 4 == 0, "text_conclusion").otherwise("numeric")
+    span = F.repeat(F.lit("x"), (F.col("n_chars") % 9 + 1).cast("int"))
+    return x.select("item_id", profile.tile_note(F.lit("text:abc"), F.lit("text:abd"), span, kind, F.col("correct"), ~F.col("toxic"), F.col("h") > 1.6, F.col("fails") == 1).alias("note"))

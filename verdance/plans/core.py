@@ -361,3 +361,22 @@ def _(s, d):
 @query("normalize", r"select conv_id, turn, coalesce(regexp_replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '\.+$', ''), '<PARSE_FAILURE>') label from conversations")
 def _(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", text.normalize(F.col("text")).alias("label"))
+
+
+_SCALE = "case when least(n_error, n_correct) < 30 then 'inconclusive_underpowered' when auroc - 0.05 >= 0.55 then 'replicated' when auroc - 0.05 > 0.5 then 'weaker_than_pilot' else 'failed_to_replicate' end"
+
+
+@query("scaleup_verdict", f"with {LB}, x as ({auroc('lb', 'score', 'correct', 'lang')}) select lang, {_SCALE} verdict from x")
+def _(s, d):
+    x = ranking.auroc(labelled(s, d), "score", "correct", ["lang"])
+    low = F.col("auroc") - 0.05
+    return x.select("lang", ranking.scaleup_verdict(F.col("n_error"), F.col("n_correct"), low, low > 0.5, 0.55).alias("verdict"))
+
+
+@query(
+    "entropy_distribution",
+    f"with {EV}, c as (select round(entropy, 3) entropy, count(*) n from run group by 1) select entropy, n, (select count(*) from c) n_distinct_values, (select max(n) from c) / (select sum(n) from c)::double largest_share, (select max(n) from c) / (select sum(n) from c)::double >= 0.6 is_degenerate from c",
+    "entropy largest_share",
+)
+def _(s, d):
+    return ranking.distribution(event_run(s, d), "entropy")

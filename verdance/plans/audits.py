@@ -499,7 +499,7 @@ def _(s, d):
 
 @query(
     "queue_summary",
-    f"with {LB}, i as (select item_id in (3, 11) ch from lb) select * from (select 'challenge' queue, count(*) filter (ch) n, true disjoint from i union all select 'core', 90, true union all select 'extension', count(*) filter (not ch) - 90, true from i) where n > 0",
+    f"with {LB}, i as (select item_id in (3, 11) ch from lb) select * from (select 'challenge' queue, count(*) filter (ch) n, true disjoint from i union all select 'core', least(90, count(*) filter (not ch)), true from i union all select 'extension', count(*) filter (not ch) - 90, true from i) where n > 0",
 )
 def _(s, d):
     stratum = F.concat_ws("|", sampling.entropy_bin(F.col("h")), "lang")

@@ -261,6 +261,40 @@ def test_suffix_tree_against_brute_force():
         assert abs(sum(dist[ctx].values()) - 1) < 1e-9
 
 
+def one_tree(train, depth, least, gap):
+    keys, counts = lmscore.count_grams(train, depth)
+    by = {}
+    for d in range(depth, 0, -1):
+        keys, counts = lmscore.summed(keys & np.uint64((1 << (8 * (d + 1))) - 1), counts)
+        by[d] = (keys, counts)
+    return lmscore.build_tree(by, depth, least, gap)
+
+
+def test_suffix_tree_in_buckets_is_the_same_model(docs):
+    rows = corpus()
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    spelled = lambda t: lmscore.spelled((t or "").encode())
+    tree = one_tree([spelled(t) for i, t, *_ in rows if not held(i)], lmscore.DEPTH, lmscore.LEAST, lmscore.MIN_DIVERGENCE)
+    want = sorted((str(r[0]), float(x)) for r, x in zip(rows, lmscore.tree_scores(tree, [spelled(t) for _, t, *_ in rows]), strict=True))
+    got = sorted((str(r["doc_id"]), r["score"]) for r in lmscore.op4(docs).collect())
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-5, atol=1e-3)
+
+
+def test_suffix_tree_threshold_does_not_rise_with_the_corpus(spark):
+    """A context that is seen 9 times is in the model beside 3 MB of other text, as it is alone."""
+    rng = random.Random(3)
+    rare = "qzxjqzxjk"
+    filler = [(i, sentence(rng, 60_000), "en", "s", 1) for i in range(12)]
+    rows = filler + [(100 + i, rare, "en", "s", 1) for i in range(12)]
+    out = {r["doc_id"]: r["score"] for r in lmscore.op4(spark.createDataFrame(rows, DOC), 1).collect()}
+    spelled = [lmscore.spelled(t.encode()) for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert sum(map(len, spelled)) > 1_700_000 and 8 <= sum(t == lmscore.spelled(rare.encode()) for t in spelled) < 14
+    tree = one_tree(spelled, lmscore.DEPTH, 8, lmscore.MIN_DIVERGENCE)
+    texts = [lmscore.spelled(t.encode()) for _, t, *_ in rows]
+    assert np.allclose([out[i] for i, *_ in rows], lmscore.tree_scores(tree, texts), rtol=1e-5, atol=1e-3)
+
+
 # ---- op5 ----
 
 

@@ -5,16 +5,21 @@ tokens: lower-cased words joined by single blanks, then an end mark; that spelli
 its bytes is a probability of the tokens. The tree's symbols are those bytes, its contexts the last 0 to `depth` of
 them (a text starts after end marks).
 
-Candidates are contexts seen at least `p_min` times the number of training bytes, so each depth has at most 1 / p_min of
-them, however large the corpus: that bounds what reaches the driver and is broadcast. A candidate is retained if its
-next-symbol distribution diverges from that of its longest retained suffix by at least `min_divergence` bits. A
-distribution is smoothed with its suffix's: (count + t * P_suffix) / (n + t), t being the number of different next symbols; the root adds
-one to each of 256 counts. A score takes, for every symbol, the longest retained suffix of what precedes it; candidates
-are closed under prefixes and suffixes, so that is a walk through an automaton, which runs for many pieces of text at once.
-
-Counting is over every training text: tasks count their own strings first, and buckets add up the counts. Word counts
-for the base score go through a question and answer between batches of texts and buckets of words, so that no
-task holds the vocabulary. Words are compared by 64-bit hashes. Null texts are empty: one token, the end.
+Candidates are contexts seen at least `least` times, whatever the size of the corpus, so the tree grows with the texts. A
+candidate is retained if its next-symbol distribution diverges from that of its longest retained suffix by at least
+`min_divergence` bits. A distribution is smoothed with its suffix's: (count + t * P_suffix) / (n + t), t being the number of
+different next symbols; the root adds one to each of 256 counts. A score takes, for every symbol, the longest retained
+suffix of what precedes it.
+
+The tree is never in one place. Contexts of up to SHARED bytes, whose number the alphabet bounds, are counted first and
+broadcast; the others are dealt to buckets by their last SHARED + 1 bytes, so that a context lies with all its longer
+suffixes. Batches of texts ask the buckets for each different string of `depth` + 1 bytes that occurs in them, with its
+count in training texts, and buckets answer with the logarithm of the last byte's probability. `build_tree` and
+`tree_scores` are the same model as one automaton, for corpora that fit in memory; tests hold the two together.
+
+Counting is over every training text: batches count their own strings first, and buckets add up the counts. Word counts
+for the base score go through a question and answer of the same kind between batches of texts and buckets of words, so that
+no task holds the vocabulary. Words are compared by 64-bit hashes. Null texts are empty: one token, the end.
 Null ids hash as the empty string. Repeated rows count each. With no training rows all counts are zero.
 """
 
@@ -26,14 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_count, fold, slices, small, text_bytes, trimmed, trimmed_group
+from .common import batch_count, fold, slices, text_bytes, trimmed, trimmed_group
 
 DEPTH = 6
-P_MIN = 5e-6
+SHARED = 2
 LEAST = 8
 MIN_DIVERGENCE = 0.005
 BATCH_MB = 10
 PIECE = 512
+SLOT_BITS = 23
 CHUNK = 1 << 22
 END = b"\n"
 
@@ -49,8 +55,8 @@ def spelled(raw: bytes) -> bytes:
 # ---- the tree ----
 
 
-def count_grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Strings of depth + 1 bytes (packed, the last byte lowest) that end at a byte of a text, and how often."""
+def grams(texts: list[bytes], depth: int) -> np.ndarray:
+    """The string of depth + 1 bytes (packed, the last byte lowest) that ends at each byte of each text."""
     pad = END * depth
     data = np.frombuffer(b"".join(pad + t for t in texts), np.uint8)
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -61,7 +67,12 @@ def count_grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]
     starts = np.cumsum(lens + depth) - lens
     edge[starts] += 1
     np.add.at(edge, starts + lens, -1)
-    return np.unique(g[np.cumsum(edge[:-1]) > 0], return_counts=True)
+    return g[np.cumsum(edge[:-1]) > 0]
+
+
+def count_grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different strings of `grams`, and how often each occurs."""
+    return np.unique(grams(texts, depth), return_counts=True)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,62 +84,72 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first)
 
 
-def _counted(buckets: int, depth: int):
-    def run(batches):
-        parts: list[tuple] = []
-        texts: list[bytes] = []
-        size = 0
+def chunks(texts: list[bytes], size: int = CHUNK):
+    """Runs of texts of about that many bytes."""
+    part, held = [], 0
+    for t in texts:
+        part.append(t)
+        held += len(t)
+        if held > size:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
 
-        def flush():
-            keys, counts = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            near = (keys >> np.uint64(8)) & np.uint64(0xFFFF)  # the context's last two bytes
-            bucket = (near * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            keys, counts, bucket = keys[order], counts[order], bucket[order]
-            rows = [(b, keys[i:j].tobytes(), counts[i:j].astype(np.int64).tobytes()) for b, i, j in slices(bucket)]
-            parts.clear()
-            cols = list(zip(*rows, strict=True)) or [()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["bucket", "keys", "counts"])
-
-        for b in small(batches):
-            for raw in b.column("raw").to_pylist():
-                texts.append(spelled(raw))
-                size += len(texts[-1])
-                if size > CHUNK:
-                    parts.append(count_grams(texts, depth))
-                    texts, size = [], 0
-                    if sum(len(k) for k, _ in parts) > 3_000_000:
-                        yield flush()
-        if texts:
-            parts.append(count_grams(texts, depth))
-        if parts:
-            yield flush()
 
-    return run
+def _mask(n: int) -> np.uint64:
+    return np.uint64((1 << (8 * n)) - 1)
 
 
-def _contexts(least: int, depth: int):
-    """Next-symbol counts of the bucket's frequent contexts of depth 2 and more, and of all of depth 1."""
-
-    def run(key, table):
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()])
-        out = {"depth": [], "keys": [], "counts": []}
-        for d in range(depth, 0, -1):
-            keys, counts = summed(keys & np.uint64((1 << (8 * (d + 1))) - 1), counts)
-            kept, n = keys, counts
-            if d > 1:
-                context = keys >> np.uint64(8)
-                first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-                total = np.repeat(np.add.reduceat(counts, first), np.diff(np.append(first, len(keys))))
-                kept, n = keys[total >= least], counts[total >= least]
-            if len(kept):
-                out["depth"].append(d)
-                out["keys"].append(kept.tobytes())
-                out["counts"].append(n.tobytes())
-        return pa.table({"depth": pa.array(out["depth"], pa.int32()), "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
+def _starts(sorted_keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """np.unique by sorting, which is faster here than its hashing."""
+    keys = np.sort(keys)
+    return keys[_starts(keys)] if len(keys) else keys
 
-    return run
+
+def gram_logs(keys: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray], depth: int, least: int, min_divergence: float, shared: int = SHARED) -> np.ndarray:
+    """log10 probability of the last byte of each string of depth + 1 bytes, given those before it.
+
+    keys: sorted and distinct, with their counts in training (which may be 0), and among them every counted string that has
+    the same last shared + 1 context bytes as one of them. low: all counted strings of shared + 1 bytes.
+    """
+    if not len(keys):
+        return np.zeros(0, np.float32)
+    levels = {depth: (keys, counts)}
+    for d in range(depth - 1, shared, -1):
+        above = levels[d + 1]
+        levels[d] = summed(above[0] & _mask(d + 1), above[1])
+    own = distinct(levels[min(depth, shared + 1)][0] & _mask(shared + 1))
+    levels[shared] = summed(np.concatenate([low[0], own]), np.concatenate([low[1], np.zeros(len(own), np.int64)]))
+    for d in range(shared - 1, -1, -1):
+        above = levels[d + 1]
+        levels[d] = summed(above[0] & _mask(d + 1), above[1])
+    entries, n0 = levels[0]
+    p = (n0 + 1) / (n0.sum() + 256)
+    contexts, mass = np.zeros(1, np.uint64), np.array([p[n0 > 0].sum()])  # mass: of the bytes seen in training
+    for d in range(1, depth + 1):
+        grown, c = levels[d]
+        below = p[np.searchsorted(entries, grown & _mask(d))]
+        context = grown >> np.uint64(8)
+        first = _starts(context)
+        size = np.diff(np.append(first, len(grown)))
+        seen = c > 0
+        n, t = np.add.reduceat(c, first), np.add.reduceat(seen.astype(np.int64), first)
+        all_n, all_t = np.repeat(n, size), np.repeat(t, size)
+        q = np.where(all_n > 0, (c + all_t * below) / np.maximum(all_n + all_t, 1), below)
+        under = mass[np.searchsorted(contexts, context[first] & _mask(d - 1))]
+        share = t / np.maximum(n + t, 1)  # what the suffix's distribution counts for
+        rest = under - np.add.reduceat(np.where(seen, below, 0.0), first)
+        diverges = np.add.reduceat(np.where(seen, q * np.log2(q / below), 0.0), first) + share * np.log2(np.maximum(share, 1e-300)) * rest
+        keep = (n >= least) & (diverges >= min_divergence)
+        p = np.where(np.repeat(keep, size), q, below)
+        mass = np.where(keep, (n + t * under) / np.maximum(n + t, 1), under)
+        entries, contexts = grown, context[first]
+    return np.log10(p).astype(np.float32)
 
 
 def build_tree(by_depth: dict[int, tuple[np.ndarray, np.ndarray]], depth: int, least: int, min_divergence: float) -> dict:
@@ -227,17 +248,138 @@ def tree_scores(tree: dict, texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def fit_tree(train: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, min_divergence: float = MIN_DIVERGENCE) -> dict:
-    """train: raw (bytes of a text a row)."""
-    total = train.select(F.sum(F.octet_length("raw")).alias("n")).first()["n"] or 0
-    least = max(LEAST, int(p_min * total))
-    buckets = max(1, -(-total // (BATCH_MB << 20)))
-    counts = train.mapInArrow(trimmed(_counted(buckets, depth)), "bucket int, keys binary, counts binary")
-    found = counts.groupBy("bucket").applyInArrow(_contexts(least, depth), "depth int, keys binary, counts binary").collect()
-    by: dict[int, list] = {}
-    for r in found:
-        by.setdefault(r["depth"], []).append((np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.int64)))
-    return build_tree({d: summed(*(np.concatenate(x) for x in zip(*parts, strict=True))) for d, parts in by.items()}, depth, least, min_divergence)
+# ---- the tree in buckets ----
+
+GRAM_ASK = "bucket int, batch int, n int, grams binary"
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each number, all lowest bytes first: sorted keys and small counts then compress well."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unplaned(raw: bytes, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
+def packed_grams(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    return pa.compress(_planes(keys, 7) + _planes(counts, 5), codec="zstd", asbytes=True)
+
+
+def unpacked_grams(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = pa.decompress(blob, decompressed_size=12 * n, codec="zstd", asbytes=True)
+    return _unplaned(raw[: 7 * n], n, 7), _unplaned(raw[7 * n :], n, 5).astype(np.int64)
+
+
+def _routes(keys: np.ndarray, buckets: int) -> np.ndarray:
+    near = (keys >> np.uint64(8)) & _mask(SHARED + 1)  # the context's last bytes
+    return (near * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(buckets)
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order by bucket, keys in order within one, and the (bucket, start, end) that occur."""
+    route = _routes(keys, buckets)
+    order = np.argsort(route, kind="stable")
+    return order, slices(route[order])
+
+
+def _low_counted(buckets: int):
+    def run(batches):
+        parts = []
+        for b in batches:
+            for part in chunks([spelled(raw) for raw in b.column("raw").to_pylist()]):
+                parts.append(count_grams(part, SHARED))
+            if len(parts) > 16:
+                parts = [summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
+        if parts:
+            keys, counts = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            route = keys % np.uint64(buckets)
+            order = np.argsort(route, kind="stable")
+            keys, counts = keys[order], counts[order]
+            rows = [(b, keys[i:j].tobytes(), counts[i:j].astype(np.int64).tobytes()) for b, i, j in slices(route[order])]
+            cols = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["bucket", "keys", "counts"])
+
+    return run
+
+
+def _low_added(key, table):
+    keys, counts = summed(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]), np.concatenate([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()]))
+    return pa.table({"keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
+
+
+def low_counts(train: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counted strings of SHARED + 1 bytes of all training texts (raw): as many as the alphabet allows, not the corpus."""
+    few = min(buckets, 256)
+    found = train.mapInArrow(trimmed(_low_counted(few)), "bucket int, keys binary, counts binary").groupBy("bucket").applyInArrow(_low_added, "keys binary, counts binary").collect()
+    empty = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    return summed(np.concatenate(empty[0] + [np.frombuffer(r["keys"], np.uint64) for r in found]), np.concatenate(empty[1] + [np.frombuffer(r["counts"], np.int64) for r in found]))
+
+
+def _gram_ask(buckets: int):
+    def run(key, texts):
+        raws, train = texts.column("raw").to_pylist(), texts.column("train").to_pylist()
+        parts = []
+        for own in (True, False):
+            for part in chunks([spelled(r) for r, t in zip(raws, train, strict=True) if t == own]):
+                k, c = count_grams(part, DEPTH)
+                parts.append((k, c if own else np.zeros(len(k), np.int64)))
+        keys, counts = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        order, found = _dealt(keys, buckets)
+        keys, counts = keys[order], counts[order]
+        rows = [(b, j - i, packed_grams(keys[i:j], counts[i:j])) for b, i, j in found]
+        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "batch": pa.array([key[0].as_py()] * len(rows), pa.int32()), "n": pa.array([r[1] for r in rows], pa.int32()), "grams": pa.array([r[2] for r in rows], pa.binary())})
+
+    return run
+
+
+def _gram_answer(buckets: int, low):
+    """Answers have bucket numbers from `buckets` on, so that they can go with those about words."""
+
+    def run(key, asked):
+        parts = [unpacked_grams(x, n) for x, n in zip(asked.column("grams").to_pylist(), asked.column("n").to_pylist(), strict=True)]
+        keys, counts = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        parts = [k for k, _ in parts]
+        logs = gram_logs(keys, counts, low.value, DEPTH, LEAST, MIN_DIVERGENCE)
+        blobs = [pa.compress(_planes(logs[np.searchsorted(keys, p)].view(np.uint32), 4), codec="zstd", asbytes=True) for p in parts]
+        number = [buckets + key[0].as_py()] * len(parts)
+        return pa.table({"batch": asked.column("batch"), "bucket": pa.array(number, pa.int32()), "counts": pa.array(blobs, pa.binary())})
+
+    return run
+
+
+def _hashed(keys: np.ndarray) -> np.ndarray:
+    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+
+
+def places(keys: np.ndarray, parts):
+    """For each array of parts, whose values are all in the sorted distinct keys, their places there: by a table, or a search where two keys share a slot."""
+    slot = np.zeros(1 << SLOT_BITS, np.int32)
+    slot[_hashed(keys)] = np.arange(len(keys), dtype=np.int32)
+    for g in parts:
+        at = slot[_hashed(g)]
+        missed = np.flatnonzero(keys[at] != g)
+        at[missed] = np.searchsorted(keys, g[missed])
+        yield at
+
+
+def _gram_scores(raws: list[bytes], answers: dict[int, bytes], buckets: int) -> np.ndarray:
+    """log10 probability of each text, from the buckets' answers about the batch's strings."""
+    parts = [[spelled(r) for r in some] for some in chunks(raws)]
+    strings = [grams(part, DEPTH) for part in parts]
+    keys = distinct(np.concatenate([distinct(g) for g in strings]))
+    order, found = _dealt(keys, buckets)
+    logs = np.zeros(len(keys), np.float32)
+    for b, i, j in found:
+        raw = pa.decompress(answers[b], decompressed_size=4 * (j - i), codec="zstd", asbytes=True)
+        logs[order[i:j]] = np.frombuffer(raw, np.uint8).reshape(4, j - i).T.copy().view(np.float32).ravel()
+    out = []
+    for part, at in zip(parts, places(keys, strings), strict=True):
+        ends = np.cumsum([len(t) for t in part])
+        out.append(np.add.reduceat(logs[at].astype(np.float64), np.concatenate([[0], ends[:-1]])))  # a spelled text has at least its end mark
+    return np.concatenate(out)
 
 
 # ---- the base score ----
@@ -291,14 +433,18 @@ def _totals(key, asked):
     return pa.table({"tokens": pa.array([int(n.sum())], pa.int64()), "kinds": pa.array([int((n > 0).sum())], pa.int64())})
 
 
-def _scored(buckets: int, model):
+def _scored(buckets: int):
     def run(key, texts, answers):
         raws = texts.column("raw").to_pylist()
         codes, h = _numbered(raws)
         unique = np.unique(h)
         asked = {b: (i, j) for b, i, j in slices(_buckets(unique, buckets))}
         count = np.zeros(len(unique), np.int64)
+        about_grams = {}
         for b, x in zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist(), strict=True):
+            if b >= buckets:
+                about_grams[b - buckets] = x
+                continue
             i, j = asked[b]
             count[i:j] = np.frombuffer(x, np.int64)
         count = count[np.searchsorted(unique, h)] if len(h) else count
@@ -307,7 +453,7 @@ def _scored(buckets: int, model):
         return pa.table({
             "doc_id": texts.column("doc_id"), "held_out": pa.array([not t for t in texts.column("train").to_pylist()], pa.bool_()), "n_tokens": pa.array([len(c) for c in codes], pa.int64()),
             "n_known": pa.array([int(known[c].sum()) for c in codes], pa.int64()), "logs": pa.array([float(log[c].sum()) for c in codes], pa.float64()),
-            "score": pa.array(tree_scores(model.value, [spelled(r) for r in raws]), pa.float64()),
+            "score": pa.array(_gram_scores(raws, about_grams, buckets), pa.float64()),
         })
 
     return run
@@ -315,14 +461,15 @@ def _scored(buckets: int, model):
 
 def op4(docs: DataFrame, batch_mb: int = BATCH_MB) -> DataFrame:
     held = fold(7) == 2
-    tree = docs.sparkSession.sparkContext.broadcast(fit_tree(docs.filter(~held).select(text_bytes().alias("raw"))))
     n = batch_count(docs, "text", batch_mb)
     raw = text_bytes()
+    low = docs.sparkSession.sparkContext.broadcast(low_counts(docs.filter(~held).select(raw.alias("raw")), n))
     by_batch = docs.select("doc_id", raw.alias("raw"), (~held).alias("train"), F.pmod(F.xxhash64("doc_id", raw), F.lit(n)).cast("int").alias("batch")).groupBy("batch")
     by_bucket = by_batch.applyInArrow(trimmed_group(_ask(n)), ASK).groupBy("bucket")
-    answers = by_bucket.applyInArrow(_answer, ANSWER)
+    asked = by_batch.applyInArrow(trimmed_group(_gram_ask(n)), GRAM_ASK).groupBy("bucket")
+    answers = by_bucket.applyInArrow(_answer, ANSWER).union(asked.applyInArrow(trimmed_group(_gram_answer(n, low)), ANSWER))
     totals = by_bucket.applyInArrow(_totals, "tokens long, kinds long").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(trimmed_group(_scored(n, tree)), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    scored = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(trimmed_group(_scored(n)), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double")
     base = F.col("logs") - F.col("n_tokens") * F.log10((F.col("train_tokens") + F.col("kinds") + 1).cast("double"))
     return scored.join(F.broadcast(totals)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")  # totals: one row

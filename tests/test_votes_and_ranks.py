@@ -68,6 +68,23 @@ def test_bootstraps_agree(spark):
     assert same["difference"] == 0 and same["ci_low"] == same["ci_high"] == 0 and not same["difference_excludes_zero"]
 
 
+def test_interval_of_a_stratum_narrows_with_its_rows(spark):
+    """AUROC 0.53 in both groups: the fixed margin of 0.05 calls both 'no_signal', an interval only the small one."""
+    rows = [(g, float(x), ok) for g, n in (("small", 1), ("large", 400)) for x, ok, k in ((1, False, 53), (0, False, 47), (1, True, 47), (0, True, 53)) for _ in range(n * k)]
+    df = spark.createDataFrame(rows + [(None, 1.0, True)], "g string, s double, ok boolean")
+    per = ranking.bootstrap_cells(df, "s", "ok", 1500, ["g"])
+    got = {r["g"]: r for r in ranking.with_interval(ranking.auroc(df, "s", "ok", ["g"]), per, ["g"]).withColumn("v", ranking.stratum_verdict(F.col("n_items"), F.col("n_error"), F.col("n_correct"), F.col("auroc"), F.col("ci_high"), F.col("excludes_chance"))).collect()}
+    assert got["small"]["auroc"] == got["large"]["auroc"] == pytest.approx(0.53)
+    assert got["small"]["v"] == "no_signal" and got["large"]["v"] == "resolved_below_threshold" and got["large"]["n_boot_valid"] == 1500
+    width = {g: got[g]["ci_high"] - got[g]["ci_low"] for g in ("small", "large")}
+    assert 15 < width["small"] / width["large"] < 26  # the root of 400
+    assert got[None]["n_boot_valid"] == 0 and got[None]["ci_low"] is None and not got[None]["excludes_chance"]
+
+
+def test_verdict_queries_have_bootstrap_forms():
+    assert {"stratum_verdict_bootstrap", "scaleup_verdict_bootstrap"} <= set(__import__("__spark_entry__").queries())
+
+
 def test_curves(spark):
     df = run_of(spark, [1.332179 + 4e-7, 1.6], [0.0, 0.0, 1.332179 + 4e-7, 0.5])
     exact = {round(r["threshold"], 6): (r["n_kept"], r["n_errors_kept"]) for r in deferral.curve(df, "s", "ok").collect()}

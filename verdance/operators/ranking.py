@@ -174,6 +174,68 @@ def bootstrap_levels(hist: DataFrame, reps: int, seed: int = 0, chunk: int = 500
     return starts.join(F.broadcast(packed)).mapInPandas(run, "rep long, auroc double")
 
 
+def bootstrap_cells(df: DataFrame, score: str, correct: str, reps: int, by: list[str] = [], weight: str | None = None, within: str | None = None, seed: int = 0, chunk: int = 500) -> DataFrame:  # noqa: B006
+    """(by, rep, auroc), null if a replicate lacks a class: multinomial draws over a group's counted cells, by itself.
+
+    Items that share score, verdict, weight and `within` are one cell, so the estimator is that of drawing items, and the cost
+    grows with the cells, not the items. within: its levels are drawn apart, each as often as it has items. A task holds one
+    group's cells; draws are made a few million numbers at a time.
+    """
+    import numpy as np
+    import pandas as pd
+
+    rows = df.filter(F.col(score).isNotNull() & F.col(correct).isNotNull())
+    cell = (dbl(F.col(score)).alias("score"), (F.col(within).cast("string") if within else F.lit("")).alias("side"), (dbl(F.col(weight)) if weight else F.lit(1.0)).alias("weight"), F.col(correct).alias("ok"))
+    cells = rows.groupBy(*by, *cell).agg(F.count("*").alias("n"))
+    packed = cells.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("score", "side", "weight", "ok", "n"))).alias("rows"))
+    spark = df.sparkSession
+
+    def drawn(rng, sides, n, m):
+        draw = np.empty((m, len(n)))
+        for x in sides:
+            draw[:, x] = rng.multinomial(int(n[x].sum()), n[x] / n[x].sum(), size=m)
+        return draw
+
+    def run(batches):
+        for b in batches:
+            for at in range(len(b)):
+                first, found = int(b["first"].iloc[at]), b["rows"].iloc[at]
+                rng = np.random.default_rng([seed, first])
+                reps_here = min(chunk, reps - first)
+                n, w = np.array([r["n"] for r in found], float), np.array([r["weight"] for r in found], float)
+                ok, side = np.array([r["ok"] for r in found], bool), np.array([r["side"] or "" for r in found], object)
+                value = np.array([r["score"] for r in found], float)
+                sides = [np.flatnonzero(side == x) for x in sorted(set(side))]
+                level = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(n) else []
+                out = []
+                step = max(1, 2_000_000 // max(1, len(n)))
+                for k in range(0, reps_here if len(n) else 0, step):
+                    draw = drawn(rng, sides, n, min(step, reps_here - k)) * w
+                    e, c = np.add.reduceat(draw * ~ok, level, axis=1), np.add.reduceat(draw * ok, level, axis=1)
+                    won, pairs = (e * (np.cumsum(c, axis=1) - c / 2)).sum(axis=1), e.sum(axis=1) * c.sum(axis=1)
+                    out += [x / y if y else None for x, y in zip(won, pairs, strict=True)]
+                same = pd.concat([b[by].iloc[[at]]] * len(out), ignore_index=True) if out else b[by].iloc[:0]
+                yield same.assign(rep=np.arange(first, first + len(out)), auroc=pd.Series(out, dtype=float))
+
+    kinds = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by] + ["rep long", "auroc double"])
+    starts = spark.range(0, reps, chunk).withColumnRenamed("id", "first")
+    per = starts.join(F.broadcast(packed)).repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, kinds)
+    return per.withColumn("auroc", F.when(~F.isnan("auroc"), F.col("auroc")))
+
+
+def with_interval(points: DataFrame, per_rep: DataFrame, by: list[str] = [], value: str = "auroc") -> DataFrame:  # noqa: B006
+    """points (a row a group) with the interval of its group's replicates."""
+    ci = interval(per_rep, value, by)
+    if not by:
+        return points.join(F.broadcast(ci))
+    ci = ci.select(*(F.col(c).alias(f"_i_{c}") for c in by), "n_boot_valid", "ci_low", "ci_high", "excludes_chance")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_i_{c}"))
+    filled = {"n_boot_valid": F.coalesce("n_boot_valid", F.lit(0)), "excludes_chance": F.coalesce("excludes_chance", F.lit(False))}
+    return points.join(F.broadcast(ci), same, "left").drop(*(f"_i_{c}" for c in by)).withColumns(filled)
+
+
 # ---- verdicts ----
 
 

@@ -152,6 +152,24 @@ def _(s, d):
     return x.select("lang", "auroc", ranking.stratum_verdict(F.col("n_items"), F.col("n_error"), F.col("n_correct"), a, a + 0.05, a - 0.05 > 0.5).alias("verdict"))
 
 
+REPS = 10_000  # the reference's
+
+
+def _by_lang(s, d):
+    run = labelled(s, d)
+    return ranking.with_interval(ranking.auroc(run, "score", "correct", ["lang"]), ranking.bootstrap_cells(run, "score", "correct", REPS, ["lang"]), ["lang"])
+
+
+@query("stratum_verdict_bootstrap")
+def _(s, d):
+    return _by_lang(s, d).withColumn("verdict", ranking.stratum_verdict(F.col("n_items"), F.col("n_error"), F.col("n_correct"), F.col("auroc"), F.col("ci_high"), F.col("excludes_chance")))
+
+
+@query("scaleup_verdict_bootstrap")
+def _(s, d):
+    return _by_lang(s, d).withColumn("verdict", ranking.scaleup_verdict(F.col("n_error"), F.col("n_correct"), F.col("ci_low"), F.col("excludes_chance"), 0.55))
+
+
 # ---- resampling ----
 
 _BOOT = f"""bx as (select item_id, score, h, correct, row_number() over (order by item_id) - 1 idx from lb), bn as (select count(*) n from bx),

@@ -81,8 +81,28 @@ def test_interval_of_a_stratum_narrows_with_its_rows(spark):
     assert got[None]["n_boot_valid"] == 0 and got[None]["ci_low"] is None and not got[None]["excludes_chance"]
 
 
+def test_intervals_by_cut_rule_and_weight(spark):
+    import math
+
+    top = math.log(5)
+    rows = [(x, ok, f, w) for x, ok, f, w, n in ((0.5, True, 0, 1, 40), (top, False, 0, 3, 30), (0.5, False, 1, 1, 5), (0.95, False, 0, 3, 20), (0.0, True, 0, 1, 30)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "entropy double, correct boolean, fails int, w int")
+    cuts = {r["cut"]: r for r in ranking.cuts_interval(df, "entropy", "correct", "fails", top, 300).collect()}
+    assert set(cuts) == set(ranking.CUTS) and all(r["robust"] and r["n_boot_valid"] == 300 and r["ci_low"] <= r["auroc"] <= r["ci_high"] for r in cuts.values())
+    one = ranking.rule_metrics(df, "r", 5, 300).first()
+    assert (one["n_items"], one["n_error"], one["n_correct"], one["n_at_max_entropy"], one["rule"]) == (125, 55, 70, 30, "r")
+    assert abs(one["auroc"] - cuts["full"]["auroc"]) < 1e-12 and (one["ci_low"], one["ci_high"]) == (cuts["full"]["ci_low"], cuts["full"]["ci_high"])
+    # within strata: with one item a stratum nothing can vary
+    apart = df.withColumn("id", F.monotonically_increasing_id())
+    fixed = ranking.interval(ranking.bootstrap_cells(apart, "entropy", "correct", 50, weight="w", within="id"), "auroc").first()
+    point = ranking.auroc(df, "entropy", "correct", weight="w").first()["auroc"]
+    assert fixed["ci_low"] == fixed["ci_high"] == pytest.approx(point)
+    grid = df.withColumns({"temperature": F.lit(0.5), "k": F.lit(5)})
+    assert len(runs.grid_metrics(grid, "entropy", "correct", "fails", 200).columns) == 14
+
+
 def test_verdict_queries_have_bootstrap_forms():
-    assert {"stratum_verdict_bootstrap", "scaleup_verdict_bootstrap"} <= set(__import__("__spark_entry__").queries())
+    assert {"stratum_verdict_bootstrap", "scaleup_verdict_bootstrap", "auroc_strata_interval", "auroc_cuts_interval", "weighted_auroc_interval", "grid_summary_interval"} <= set(__import__("__spark_entry__").queries())
 
 
 def test_curves(spark):

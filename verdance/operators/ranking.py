@@ -7,6 +7,8 @@ approximate quantiles and over the ranges' totals, so that no task ever sorts al
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,11 +80,15 @@ def with_cuts(df: DataFrame, score: str, failures: str, max_score: float) -> Dat
     return df.withColumn("cut", F.explode(member))
 
 
+def with_strata(df: DataFrame, score: str, correct: str, stratum: str) -> DataFrame:
+    """score, correct, pooled, stratum: each row once in the pool (null stratum, pooled true), and once in its stratum, if it has one."""
+    member = F.array_compact(F.array(F.struct(F.lit(True).alias("pooled"), F.lit(None).cast("string").alias("stratum")), F.when(F.col(stratum).isNotNull(), F.struct(F.lit(False).alias("pooled"), F.col(stratum).cast("string").alias("stratum")))))
+    return df.withColumn("_m", F.explode(member)).select(score, correct, F.col("_m.pooled").alias("pooled"), F.col("_m.stratum").alias("stratum"))
+
+
 def strata(df: DataFrame, score: str, correct: str, stratum: str) -> DataFrame:
     """The pooled row (null stratum, pooled true) and one per stratum; rows without a stratum count in the pool only."""
-    member = F.array_compact(F.array(F.struct(F.lit(True).alias("pooled"), F.lit(None).cast("string").alias("stratum")), F.when(F.col(stratum).isNotNull(), F.struct(F.lit(False).alias("pooled"), F.col(stratum).cast("string").alias("stratum")))))
-    rows = df.withColumn("_m", F.explode(member)).select(score, correct, F.col("_m.pooled").alias("pooled"), F.col("_m.stratum").alias("stratum"))
-    return auroc(rows, score, correct, ["pooled", "stratum"])
+    return auroc(with_strata(df, score, correct, stratum), score, correct, ["pooled", "stratum"])
 
 
 def strata_flags(rows: DataFrame, margin: float = 0.05) -> DataFrame:
@@ -174,19 +180,19 @@ def bootstrap_levels(hist: DataFrame, reps: int, seed: int = 0, chunk: int = 500
     return starts.join(F.broadcast(packed)).mapInPandas(run, "rep long, auroc double")
 
 
-def bootstrap_cells(df: DataFrame, score: str, correct: str, reps: int, by: list[str] = [], weight: str | None = None, within: str | None = None, seed: int = 0, chunk: int = 500) -> DataFrame:  # noqa: B006
+def bootstrap_cells(df: DataFrame, score: str, correct: str, reps: int, by: list[str] = [], weight: str | None = None, within: str | None = None, count: str | None = None, seed: int = 0, chunk: int = 500) -> DataFrame:  # noqa: B006
     """(by, rep, auroc), null if a replicate lacks a class: multinomial draws over a group's counted cells, by itself.
 
     Items that share score, verdict, weight and `within` are one cell, so the estimator is that of drawing items, and the cost
-    grows with the cells, not the items. within: its levels are drawn apart, each as often as it has items. A task holds one
-    group's cells; draws are made a few million numbers at a time.
+    grows with the cells, not the items. within: its levels are drawn apart, each as often as it has items. count: how many
+    items a row of df stands for (else one). A task holds one group's cells; draws are made a few million numbers at a time.
     """
     import numpy as np
     import pandas as pd
 
     rows = df.filter(F.col(score).isNotNull() & F.col(correct).isNotNull())
     cell = (dbl(F.col(score)).alias("score"), (F.col(within).cast("string") if within else F.lit("")).alias("side"), (dbl(F.col(weight)) if weight else F.lit(1.0)).alias("weight"), F.col(correct).alias("ok"))
-    cells = rows.groupBy(*by, *cell).agg(F.count("*").alias("n"))
+    cells = rows.groupBy(*by, *cell).agg((F.sum(count) if count else F.count("*")).alias("n"))
     packed = cells.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("score", "side", "weight", "ok", "n"))).alias("rows"))
     spark = df.sparkSession
 
@@ -236,6 +242,26 @@ def with_interval(points: DataFrame, per_rep: DataFrame, by: list[str] = [], val
     return points.join(F.broadcast(ci), same, "left").drop(*(f"_i_{c}" for c in by)).withColumns(filled)
 
 
+def cuts_interval(df: DataFrame, score: str, correct: str, failures: str, max_score: float, reps: int) -> DataFrame:
+    """Per cut: AUROC and interval, and on each row robust: whether the harshest cut still excludes chance (false where it is empty)."""
+    run = with_cuts(df, score, failures, max_score)
+    out = with_interval(auroc(run, score, correct, ["cut"], few=True), bootstrap_cells(run, score, correct, reps, ["cut"]), ["cut"])
+    return out.withColumn("robust", F.coalesce(F.max(F.when(F.col("cut") == CUTS[3], F.col("excludes_chance"))).over(Window.partitionBy()), F.lit(False)))  # four rows
+
+
+def rule_metrics(df: DataFrame, rule: str, k: int, reps: int) -> DataFrame:
+    """One row of a rule's run (entropy, correct): counts, AUROC and interval, items at the entropy of k different votes.
+
+    The run is counted once; the estimate and the draws both start from the counts.
+    """
+    counts = df.filter(F.col("entropy").isNotNull() & F.col("correct").isNotNull()).groupBy("entropy", "correct").agg(F.count("*").alias("n"))
+    point = auroc(counts, "entropy", "correct", weight="n", few=True).withColumns({c: F.col(c).cast("long") for c in ("n_items", "n_error", "n_correct")})
+    top = math.log(k)
+    at_max = counts.agg(F.coalesce(F.sum(F.when(F.abs(F.col("entropy") - top) <= 1e-9 * top, F.col("n"))), F.lit(0)).alias("n_at_max_entropy"))
+    out = with_interval(point, bootstrap_cells(counts, "entropy", "correct", reps, count="n")).join(F.broadcast(at_max))
+    return out.withColumn("rule", F.lit(rule))
+
+
 # ---- verdicts ----
 
 

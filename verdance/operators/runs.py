@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.stats import dbl, ratio
 from .deferral import aurc, curve
-from .ranking import auroc
+from .ranking import auroc, bootstrap_cells, with_interval
 
 # ---- grids ----
 
@@ -31,6 +31,13 @@ def grid_summary(scored: DataFrame, score: str, correct: str, failures: str) ->
     return base.join(ranks, by).join(area, by)
 
 
+def grid_metrics(scored: DataFrame, score: str, correct: str, failures: str, reps: int) -> DataFrame:
+    """The 14 public columns: grid_summary with each condition's interval."""
+    by = ["temperature", "k"]
+    out = with_interval(grid_summary(scored, score, correct, failures), bootstrap_cells(scored, score, correct, reps, by), by)
+    return out.select(*by, "n_items", "n_error", "n_correct", "accuracy", "auroc", "ci_low", "ci_high", "excludes_chance", "aurc", "random_aurc", "n_entropy_values", "parse_failure_rate")
+
+
 def reviewer_gate(summary: DataFrame, conditions: int, n_items: int, minority: int = 30) -> DataFrame:
     whole = (F.count("*") == conditions) & F.every(F.col("n_items") == n_items)
     powered = F.every(F.least("n_error", "n_correct") >= minority)

@@ -170,6 +170,24 @@ def _(s, d):
     return _by_lang(s, d).withColumn("verdict", ranking.scaleup_verdict(F.col("n_error"), F.col("n_correct"), F.col("ci_low"), F.col("excludes_chance"), 0.55))
 
 
+@query("auroc_strata_interval")
+def _(s, d):
+    run, by = ranking.with_strata(labelled(s, d), "score", "correct", "lang"), ["pooled", "stratum"]
+    return ranking.with_interval(ranking.auroc(run, "score", "correct", by), ranking.bootstrap_cells(run, "score", "correct", REPS, by), by)
+
+
+@query("auroc_cuts_interval")
+def _(s, d):
+    return ranking.cuts_interval(labelled(s, d), "h", "correct", "fails", _MAX, REPS)
+
+
+@query("weighted_auroc_interval")
+def _(s, d):
+    run = labelled(s, d).withColumn("w", 1 + F.col("n_chars") % 3)  # a sampling stratum's items have one weight, so its weight names it
+    per = ranking.bootstrap_cells(run, "h", "correct", 4_000, weight="w", within="w")
+    return ranking.with_interval(ranking.auroc(run, "h", "correct", weight="w", few=True).select("auroc"), per)
+
+
 # ---- resampling ----
 
 _BOOT = f"""bx as (select item_id, score, h, correct, row_number() over (order by item_id) - 1 idx from lb), bn as (select count(*) n from bx),
@@ -360,6 +378,11 @@ def _(s, d):
     return runs.grid_summary(_nested(s, d), "entropy", "correct", "fails")
 
 
+@query("grid_summary_interval")
+def _(s, d):
+    return runs.grid_metrics(_nested(s, d), "entropy", "correct", "fails", REPS)
+
+
 @query("grid_problems", f"with {EV}, {_NGRID}, w as (select t.t temperature, k.k from (select unnest([0.0, 1.0]::double[]) t) t, (select unnest([3, 5, 7]) k) k), p as (select temperature, k, count(*) n from gr group by all) select coalesce(p.temperature, w.temperature) temperature, coalesce(p.k, w.k)::int k, case when p.k is null then 'missing_condition' when w.k is null then 'unexpected_condition' else 'incomplete_condition' end problem from p full join w on p.temperature = w.temperature and p.k = w.k where p.k is null or w.k is null or n <> 75", "temperature")
 def _(s, d):
     return runs.grid_problems(_nested(s, d), [0.0, 1.0], [3, 5, 7], 75)

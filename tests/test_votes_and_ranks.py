@@ -101,6 +101,27 @@ def test_intervals_by_cut_rule_and_weight(spark):
     assert len(runs.grid_metrics(grid, "entropy", "correct", "fails", 200).columns) == 14
 
 
+def test_paired_difference_at_full_size_agrees_with_the_hashed_one(spark):
+    df = run_of(spark, [i / 40 + 0.3 for i in range(40)], [i / 40 for i in range(60)]).withColumn("k", F.monotonically_increasing_id()).withColumn("t", F.floor(F.col("s") * 3).cast("double"))
+    small = ranking.bootstrap_difference(df, "k", ("s", "ok"), ("t", "ok"), 100).first()
+    full = ranking.difference_cells(df, ("s", "ok"), ("t", "ok"), 10_000).first()
+    assert full["n_boot_valid"] == 10_000 and full["n_items"] == small["n_items"] and abs(full["difference"] - small["difference"]) < 1e-12
+    assert abs(full["ci_low"] - small["ci_low"]) < 0.02 and abs(full["ci_high"] - small["ci_high"]) < 0.02
+
+
+def test_resampling_is_registered_at_the_reference_size(monkeypatch):
+    entry = __import__("__spark_entry__")
+    from verdance.plans import core
+
+    seen = {}
+    monkeypatch.setattr(core.nullmodel, "cells", lambda s, truths, p, k: len(truths) * len(p) * len(k))
+    monkeypatch.setattr(core.nullmodel, "simulate", lambda grid, items, sims, seed: seen.update(null=(grid, items, sims)) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        entry.queries()["null_simulation"](None, "")
+    assert seen["null"] == (30, 650, 2000)
+    assert core.REPS == 10_000 and {"bootstrap_auroc_full", "paired_auroc_diff_full", "conformal_splits_full"} <= set(entry.queries())
+
+
 def test_verdict_queries_have_bootstrap_forms():
     assert {"stratum_verdict_bootstrap", "scaleup_verdict_bootstrap", "auroc_strata_interval", "auroc_cuts_interval", "weighted_auroc_interval", "grid_summary_interval"} <= set(__import__("__spark_entry__").queries())
 

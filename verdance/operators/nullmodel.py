@@ -47,14 +47,17 @@ def cell_seed(base: int, condition, p, k):
 def simulate(grid: DataFrame, n_items: int, n_sims: int, base_seed: int) -> DataFrame:
     """Votes drawn by hashed uniforms through the inverse of the binomial's distribution; median and 95 % range of the AUROC over valid simulations."""
     keys = ["truth_condition", "p", "k"]
-    cdf = F.aggregate(F.sequence(F.lit(0), F.col("k")), F.struct(F.lit(0.0).alias("c"), F.lit(-1).alias("s")), lambda a, s: F.struct((a["c"] + binomial_pmf(s, F.col("k"), F.col("p"))).alias("c"), F.when((a["s"] < 0) & (F.col("u") < a["c"] + binomial_pmf(s, F.col("k"), F.col("p"))), s).otherwise(a["s"]).alias("s")))
-    seeded = grid.withColumn("seed", cell_seed(base_seed, F.col("truth_condition"), F.col("p"), F.col("k")))
-    sims = seeded.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1)))).repartition("sim")
+    # per cell once: the chance of at most s votes, s = 0 to k; a draw's votes are the s that it lies beyond
+    cdf = F.transform(F.sequence(F.lit(0), F.col("k")), lambda s: F.aggregate(F.sequence(F.lit(0), s), F.lit(0.0), lambda a, i: a + binomial_pmf(i, F.col("k"), F.col("p"))))
+    seeded = grid.withColumn("seed", cell_seed(base_seed, F.col("truth_condition"), F.col("p"), F.col("k"))).withColumn("cdf", cdf)
+    spread = 4 * grid.sparkSession.sparkContext.defaultParallelism  # a given number: few rows would otherwise be put together again
+    sims = seeded.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1)))).repartition(spread, "sim")
     draws = sims.withColumn("item", F.explode(F.sequence(F.lit(0), F.lit(n_items - 1))))
-    voted = draws.withColumn("u", hash_uniform("u", F.col("seed"), F.col("sim"), F.col("item"))).withColumn("votes", F.greatest(cdf["s"], F.lit(0)))
+    drawn = draws.withColumn("u", hash_uniform("u", F.col("seed"), F.col("sim"), F.col("item"))).withColumn("votes", F.least(F.size(F.filter("cdf", lambda c: c <= F.col("u"))), F.col("k")))
+    voted = drawn.groupBy(*keys, "sim", "votes").agg(F.count("*").alias("n"))  # at most k + 1 rows a simulation
     majority = 2 * F.col("votes") > F.col("k")
     scored = voted.withColumns({"entropy": F.round(vote_entropy(F.col("votes"), F.col("k")), 12), "right": F.when(F.col("truth_condition") == "y=1", majority).otherwise(~majority)})
-    per = auroc(scored, "entropy", "right", [*keys, "sim"], few=True)
+    per = auroc(scored, "entropy", "right", [*keys, "sim"], weight="n", few=True)
     return per.groupBy(*keys).agg(F.count("auroc").alias("n_valid"), F.count_if(F.col("auroc").isNull()).alias("n_invalid"), F.median("auroc").alias("auroc_median"), F.percentile("auroc", F.lit(0.025)).alias("auroc_low"), F.percentile("auroc", F.lit(0.975)).alias("auroc_high"), F.median(F.least("n_error", "n_correct")).alias("minority_median"))
 
 

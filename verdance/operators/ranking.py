@@ -229,6 +229,52 @@ def bootstrap_cells(df: DataFrame, score: str, correct: str, reps: int, by: list
     return per.withColumn("auroc", F.when(~F.isnan("auroc"), F.col("auroc")))
 
 
+def difference_cells(df: DataFrame, a: tuple[str, str], b: tuple[str, str], reps: int, seed: int = 0, chunk: int = 500) -> DataFrame:
+    """bootstrap_difference by multinomial draws over the counted cells of both pairs: both AUROCs of a replicate come from the same draw.
+
+    A task holds the cells, of which there are at most as many as items.
+    """
+    import numpy as np
+    import pandas as pd
+
+    uneven = df.filter(F.col(a[0]).isNull() != F.col(b[0]).isNull())
+    names = ("sa", "ca", "sb", "cb")
+    rows = df.filter(F.col(a[0]).isNotNull() & F.col(b[0]).isNotNull() & F.col(a[1]).isNotNull() & F.col(b[1]).isNotNull())
+    rows = rows.select(*((dbl(F.col(c)) if n[0] == "s" else F.col(c)).alias(n) for c, n in zip((*a, *b), names, strict=True)))
+    packed = rows.groupBy(*names).agg(F.count("*").alias("n")).agg(F.sort_array(F.collect_list(F.struct(*names, "n"))).alias("rows"))
+    spark = df.sparkSession
+
+    def value(draw, score, ok):
+        order = np.argsort(score, kind="stable")
+        score, ok, draw = score[order], ok[order], draw[:, order]
+        level = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]]))
+        e, c = np.add.reduceat(draw * ~ok, level, axis=1), np.add.reduceat(draw * ok, level, axis=1)
+        won, pairs = (e * (np.cumsum(c, axis=1) - c / 2)).sum(axis=1), e.sum(axis=1) * c.sum(axis=1)
+        return np.where(pairs > 0, won / np.maximum(pairs, 1), np.nan)
+
+    def run(batches):
+        for batch in batches:
+            for first, found in zip(batch["first"], batch["rows"], strict=True):
+                n = np.array([r["n"] for r in found], float)
+                if not len(n):
+                    continue
+                rng = np.random.default_rng([seed, first])
+                x = {k: np.array([r[k] for r in found], float if k[0] == "s" else bool) for k in names}
+                m, step = min(chunk, reps - first), max(1, 2_000_000 // len(n))
+                for k in range(0, m, step):
+                    draw = rng.multinomial(int(n.sum()), n / n.sum(), size=min(step, m - k)).astype(float)
+                    d = value(draw, x["sa"], x["ca"]) - value(draw, x["sb"], x["cb"])
+                    yield pd.DataFrame({"difference": d})
+
+    starts = spark.range(0, reps, chunk).withColumnRenamed("id", "first")
+    per = starts.join(F.broadcast(packed)).repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "difference double")
+    ci = interval(per.select(F.when(~F.isnan("difference"), F.col("difference")).alias("difference")), "difference").drop("excludes_chance")
+    point = auroc(rows, "sa", "ca").select("n_items", F.col("auroc").alias("_a")).join(F.broadcast(auroc(rows, "sb", "cb").select(F.col("auroc").alias("_b"))))
+    guard = uneven.agg(F.when(F.count("*") > 0, F.raise_error(F.lit("a paired comparison needs both scores"))).alias("_g"))
+    out = point.join(F.broadcast(ci)).join(F.broadcast(guard))
+    return out.select("n_items", (F.col("_a") - F.col("_b")).alias("difference"), "ci_low", "ci_high", "n_boot_valid", F.coalesce((F.col("ci_low") > 0) | (F.col("ci_high") < 0), F.lit(False)).alias("difference_excludes_zero"), F.col("_g").alias("guard")).drop("guard")
+
+
 def with_interval(points: DataFrame, per_rep: DataFrame, by: list[str] = [], value: str = "auroc") -> DataFrame:  # noqa: B006
     """points (a row a group) with the interval of its group's replicates."""
     ci = interval(per_rep, value, by)

@@ -209,6 +209,16 @@ def _(s, d):
     return ranking.bootstrap_difference(labelled(s, d), "item_id", ("score", "correct"), ("h", "correct"), 40)
 
 
+@query("bootstrap_auroc_full")
+def _(s, d):
+    return ranking.with_interval(ranking.auroc(labelled(s, d), "score", "correct"), ranking.bootstrap_cells(labelled(s, d), "score", "correct", REPS))
+
+
+@query("paired_auroc_diff_full")
+def _(s, d):
+    return ranking.difference_cells(labelled(s, d), ("score", "correct"), ("h", "correct"), REPS)
+
+
 @query("bootstrap_auroc_levels")
 def _(s, d):
     run = labelled(s, d)
@@ -311,6 +321,12 @@ def _(s, d):
     return deferral.conformal_splits(labelled(s, d), "item_id", "h", "correct", [0.2, 0.3], 20, order)
 
 
+@query("conformal_splits_full")
+def _(s, d):
+    order = hash_key("split", F.concat_ws("|", "rep", "item_id"))
+    return deferral.conformal_splits(labelled(s, d), "item_id", "h", "correct", [0.2, 0.3], 1_000, order)
+
+
 # ---- null models and grids ----
 
 _GRID = "g as (select t.c truth_condition, p.p, k.k from (select unnest(['y=1', 'y=0']) c) t, (select unnest([0.5, 0.65, 0.8, 0.843, 0.9]::double[]) p) p, (select unnest([3, 5, 15]::int[]) k) k)"
@@ -334,7 +350,7 @@ def _(s, d):
 
 @query("null_simulation")
 def _(s, d):
-    return nullmodel.simulate(nullmodel.cells(s, ["y=1", "y=0"], [0.65, 0.8], [5]), 200, 40, 20260814)
+    return nullmodel.simulate(nullmodel.cells(s, ["y=1", "y=0"], _P, _K), 650, 2_000, 20260814)
 
 
 @query("vote_collapse", "select count(*) n_items, 0::bigint breaks_y1, 0::bigint breaks_y0, 0.0::double largest_mirror_gap from customer", "largest_mirror_gap")

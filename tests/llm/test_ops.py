@@ -462,8 +462,50 @@ def test_words_and_specials_encode_like_the_tokenizer(tokenizer_files):
 
     t = Tokenizer.from_file(path)
     texts = ["".join(f"a{chr(i)}b 1{chr(i)}2 {chr(i)}{chr(i)} x'" for i in range(lo, hi)) for lo, hi in ((0, 128), (128, 400), (0x2000, 0x2100))]
-    texts += ["a<|endoftext|>b", " don't  we've\n\n x", "naïve café ÀÉ ²x ½", " ".join(WORDS) * 3, "\t\ttabs   end  ", "日本語 \U0001f600"]
-    assert [np.frombuffer(x, "<u4").tolist() for x in packing.Tokens(path).ids(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    texts += ["a<|endoftext|>b", " don't  we've\n\n x", "naïve café ÀÉ ²x ½", " ".join(WORDS) * 3, "\t\ttabs   end  ", "日本語 \U0001f600", "", "x" * 5000, " " * 3000 + "y", "\x00\x1f\u2028\u00a0 \u3000z"]
+    rng = random.Random(12)
+    texts += ["".join(rng.choice("abcdefgh 'tsrveml.,!?\n0189éßñ漢\u0301") for _ in range(rng.randint(1, 200))) for _ in range(300)]
+    tokens = packing.Tokens(path)
+    assert tokens.fast is not None
+    same = lambda x: np.frombuffer(tokens.ids(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+    assert all(map(same, texts))
+    # a text whose splitting tiktoken gives up goes the library's way
+    wide = " " * 1_200_000 + "x"
+    assert same(wide)
+    # every entry of the vocabulary merges as the library merges it, alone and next to another one
+    words = [t.decode([i]) for i in range(0, 50256)]
+    rng.shuffle(words)
+    pairs = [a + b for a, b in zip(words[::2], words[1::2], strict=True)]
+    for part in (words, pairs):
+        want = [e.ids for e in t.encode_batch_fast(part, add_special_tokens=False)]
+        assert [np.frombuffer(tokens.ids(x), "<u4").tolist() for x in part] == want
+
+
+def test_other_tokenizer_files_go_to_the_library(tokenizer_files, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_files.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        file = json.load(f)
+    file["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(file), encoding="utf-8")
+    tokens = packing.Tokens(str(path))
+    assert tokens.fast is None
+    assert np.frombuffer(tokens.ids("one two"), "<u4").tolist() == Tokenizer.from_file(str(path)).encode("one two", add_special_tokens=False).ids
+
+
+def test_packing_ranks_in_many_groups(spark, tokenizer_files):
+    """Equal rows, null ids among them, are ranked in several groups of a length; places stay gapless and apart."""
+    rows = [(None if i % 3 else i, "the same words" if i % 4 else sentence(random.Random(i), 20), "en", "s", 1) for i in range(400)]
+    got = packing.pack(spark.createDataFrame(rows, DOC).repartition(5), packing.tokenizer_file, capacity=64, group=16).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sum(r["piece"] == 0 for r in got) == 400
+    for places in by.values():
+        assert [o for o, _ in sorted(places)] == np.cumsum([0, *(n for _, n in sorted(places))])[:-1].tolist() and sum(n for _, n in places) <= 64
 
 
 @pytest.mark.parametrize("seed", range(6))

@@ -7,8 +7,8 @@ fitted to the histogram by non-negative least squares (accelerated projected gra
 histogram still holds; what is left is packed best-fit decreasing, run by run of equal lengths. All of it works on
 the histogram, so its cost and the plan's size depend on the capacity, not on the number of documents.
 
-Then every piece gets its rank among those of its length (ranks are counted in salted groups, whose offsets come from
-a table of at most capacity x `SALTS` counts) and looks its place up in the plan.
+Then every piece gets its rank among those of its length (ranks are counted in salted groups of about `group` pieces, whose
+offsets come from a table with a row for each group) and looks its place up in the plan.
 
 Null texts are empty: one piece with id 0. Rows with null ids and repeated rows are packed like any other. Pieces of
 equal length are interchangeable; of rows with equal ids and texts either may have either place.
@@ -16,37 +16,35 @@ equal length are interchangeable; of rows with equal ids and texts either may ha
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
-from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small, trimmed, written
 
 CAPACITY = 2048
-SALTS = 16
+#: Pieces of one length that one task ranks, about.
+GROUP = 1 << 17
 PER_LENGTH = 12
 STEPS = 400
-CACHE = 400_000
-CHUNK = 1 << 23
-SPECIAL = "<|endoftext|>"
-#: Fixed value: the pattern by which this family of tokenizers splits texts before merging. No two alternatives start alike, so the commonest comes first.
-SPLIT = r" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same on ASCII texts, where the standard library's engine is faster.
-SPLIT_ASCII = r" ?[A-Za-z]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^ \t\n\r\x0b\x0cA-Za-z0-9]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+"
+#: Fixed value: the pattern by which this family of tokenizers splits texts before merging.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPLITTERS: dict = {}
 
 
 class Tokens:
-    """Ids of texts as little-endian bytes. Pieces between splits are encoded once and remembered, up to a bound."""
+    """Ids of texts as little-endian bytes: those of the `tokenizers` library for the file at path, special tokens in a text included.
+
+    Where the file is a byte-level BPE whose merges lie in the order of their ids, tiktoken merges by those ids: the same
+    result (tests hold it against the library on the whole vocabulary), at a third of the time. Any other file, and a text
+    too strange for tiktoken's splitting (millions of blanks in a row), goes to `tokenizers` itself.
+    """
 
     def __init__(self, path: str):
         import os
@@ -55,53 +53,50 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.find, self.find_ascii = regex.compile(SPLIT).findall, re.compile(SPLIT_ASCII).findall
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """Of each text in turn; about a megabyte is split at a time."""
-        at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
-                size += len(texts[end])
-                end += 1
-            yield from self._chunk(texts[at:end])
-            at = end
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode pieces. Words after a blank go many to a call: joined they split into the same pieces, and each id tells its word."""
-        words = [p for p in new if p[0] == " " and p[1:].isalpha()]
-        done = set()
-        for at in range(0, len(words), 5000):
-            part = words[at : at + 5000]
-            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            counts = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))
-            if len(counts) == len(part) and counts.all():
-                blob, ends = np.array(e.ids, "<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
-                self.cache.update(zip(part, [blob[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
-                done.update(part)
-        rest = [p for p in new if p not in done]
-        for at in range(0, len(rest), 20_000):
-            part = rest[at : at + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[p] = np.array(e.ids, "<u4").tobytes()
-
-    def _chunk(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE:
-            self.cache, self.older = {}, self.cache
-        plain = [None if SPECIAL in t else self.find_ascii(t) if t.isascii() else self.find(t) for t in texts]
-        new = set(chain.from_iterable(p for p in plain if p)) - self.cache.keys()
-        kept = [p for p in new if p in self.older]
-        self.cache.update(zip(kept, map(self.older.__getitem__, kept), strict=True))
-        self._learn(list(new.difference(kept)))
-        of = self.cache.__getitem__
-        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        return [whole(t) if p is None else b"".join(map(of, p)) for t, p in zip(texts, plain, strict=True)]
-
-
-def _tokens(path: str) -> Tokens:
+        with open(path, encoding="utf-8") as f:
+            self.fast = _by_rank(json.load(f))
+
+    def ids(self, text: str) -> bytes:
+        if self.fast is not None:
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+            except ValueError:  # its splitting gave up on this text
+                pass
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letter by which byte-level vocabularies write each byte: printable Latin-1 stands for itself, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def _by_rank(file: dict):
+    """A tiktoken encoding of a tokenizer file; None if its rules are not plain byte-level BPE in the order of ids."""
+    import tiktoken
+
+    model, split, special = file["model"], file.get("pre_tokenizer") or {}, {t["content"]: t["id"] for t in file["added_tokens"]}
+    plain = (
+        model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and not model.get("byte_fallback") and file.get("normalizer") is None
+        and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+        and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in file["added_tokens"])
+    )
+    if not plain:
+        return None
+    letters, vocab = _byte_letters(), {t: i for t, i in model["vocab"].items() if t not in special}
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    order = [vocab.get(a + b, -1) for a, b in merges]
+    if not all(map(letters.__contains__, set("".join(vocab)))) or order != sorted(set(order)) or min(order, default=0) < 0 or {t for t in vocab if len(t) > 1} != {a + b for a, b in merges}:
+        return None
+    ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items()}
+    return tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special) if len({t for t in ranks if len(t) == 1}) == 256 else None
+
+
+def _tokens(path) -> Tokens:
+    """path: a file, or a function that names it, called in the task: executors may keep their files elsewhere."""
+    path = path() if callable(path) else path
     if path not in _SPLITTERS:
         _SPLITTERS[path] = Tokens(path)
     return _SPLITTERS[path]
@@ -113,33 +108,35 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))] if n > capacity else [(0, n)]
 
 
-def _pieces(path: str, capacity: int):
+def _pieces(path, capacity: int):
     def run(batches):
-        tokens = _tokens(path)
+        tokens, lot = _tokens(path), 0
         for b in small(batches, 1024):
             ids = b.column("doc_id")
-            raws = tokens.ids(b.column("text_").to_pylist())
             row, piece, start, length, crc = [], [], [], [], []
-            for i, raw in enumerate(raws):
-                raw += b"\0\0\0\0"
+            for i, text in enumerate(b.column("text_").to_pylist()):
+                raw = tokens.ids(text) + b"\0\0\0\0"
                 for k, (s, n) in enumerate(cut(len(raw) // 4, capacity)):
                     row.append(i)
                     piece.append(k)
                     start.append(s)
                     length.append(n)
                     crc.append(zlib.crc32(raw[4 * s : 4 * (s + n)]))
+            lots = pa.array(np.arange(lot, lot + len(row)), pa.int64())
+            lot += len(row)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
+                [ids.take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), lots],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "lot"],
             )
 
     return run
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, path, capacity: int = CAPACITY) -> DataFrame:
+    """Every piece, and its number in its task (lot), by which equal rows can be told apart."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text_"))
-    return rows.mapInArrow(trimmed(_pieces(path, capacity)), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(trimmed(_pieces(path, capacity)), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, lot long")
 
 
 def enumerate_patterns(histogram: np.ndarray, capacity: int, per_length: int = PER_LENGTH) -> np.ndarray:
@@ -264,12 +261,12 @@ def lookup(plan: list) -> dict[str, np.ndarray]:
     return {"key": (cols[:, 0] << 48) | cols[:, 1], "first": cols[:, 1], "sequence": cols[:, 2], "times": cols[:, 3], "at": cols[:, 4]}
 
 
-def _placed(where, base):
+def _placed(where):
     def run(batches):
-        w, offsets = where.value, base.value
+        w = where.value
         for b in batches:
             length = b.column("length").to_numpy(zero_copy_only=False)
-            rank = offsets[length, b.column("salt_").to_numpy(zero_copy_only=False)] + b.column("rank_").to_numpy(zero_copy_only=False) - 1
+            rank = b.column("before_").to_numpy(zero_copy_only=False) + b.column("rank_").to_numpy(zero_copy_only=False) - 1
             i = np.searchsorted(w["key"], (length << 48) | rank, side="right") - 1
             k = rank - w["first"][i]
             sequence = w["sequence"][i] + k // w["times"][i]
@@ -280,22 +277,35 @@ def _placed(where, base):
     return run
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, path, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
+    spark = docs.sparkSession
     cut_up = written(pieces(docs, path, capacity), "pieces", compact=True)
-    salted = cut_up.withColumn("salt_", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    base = np.zeros((capacity + 1, SALTS), np.int64)
-    for r in salted.groupBy("length", "salt_").agg(F.count("*").alias("n")).collect():  # at most capacity x SALTS
-        base[r["length"], r["salt_"]] = r["n"]
-    plan = pack_histogram(base.sum(axis=1), capacity)
-    sc = docs.sparkSession.sparkContext
-    where, offsets = sc.broadcast(lookup(plan)), sc.broadcast(np.cumsum(base, axis=1) - base)
-    order = Window.partitionBy("length", "salt_").orderBy("doc_id", "piece", "ids_crc32")
+    histogram = np.zeros(capacity + 1, np.int64)
+    for r in cut_up.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most `capacity` rows
+        histogram[r["length"]] = r["n"]
+    # a length's pieces are ranked in as many groups as its count asks for, so that no task's share grows with the input
+    salts = spark.createDataFrame([(int(n), int(-(-histogram[n] // group))) for n in np.flatnonzero(histogram)], "length long, salts long")
+    salt = F.pmod(F.xxhash64("lot", "doc_id", "piece"), F.col("salts")).cast("int")
+    salted = cut_up.join(F.broadcast(salts), "length").withColumn("salt_", salt).drop("salts", "lot")
+    sizes = salted.groupBy("length", "salt_").agg(F.count("*").alias("n")).collect()  # at most capacity + pieces / group rows
+    used = np.zeros(capacity + 1, np.int64)
+    offsets = []
+    for r in sorted(sizes):
+        offsets.append((r["length"], r["salt_"], int(used[r["length"]])))
+        used[r["length"]] += r["n"]
+    where = spark.sparkContext.broadcast(lookup(pack_histogram(histogram, capacity)))
+    before = spark.createDataFrame(offsets, "length long, salt_ int, before_ long")
+    ranked = salted.withColumn("rank_", F.row_number().over(Window.partitionBy("length", "salt_").orderBy("doc_id", "piece", "ids_crc32")).cast("long"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return salted.withColumn("rank_", F.row_number().over(order).cast("long")).mapInArrow(_placed(where, offsets), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.join(F.broadcast(before), ["length", "salt_"]).mapInArrow(_placed(where), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def op8(docs: DataFrame) -> DataFrame:
+def tokenizer_file() -> str:
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8(docs: DataFrame) -> DataFrame:
+    return pack(docs, tokenizer_file)

@@ -347,7 +347,9 @@ def test_discriminant_against_numpy():
 def test_warc(spark, tmp_path):
     rng = random.Random(3)
     html = ["<p>" + sentence(rng, 5) + "</p>" for _ in range(10)]
-    rows = [(i, f"http://a/{i}", html[i % 7] if i % 5 else None) for i in range(40)] + [(3, "http://a/3", html[3]), (50, None, "é\r\n"), (51, "bad\r\nurl", "")]
+    rows = [(i, f"http://a/{i}", html[i % 7] if i % 5 else None) for i in range(40)] + [(3, "http://a/3", html[3]), (50, None, "é\r\n"), (51, "bad\r\nurl", ""),
+        (52, "http://a/urn:sha1:ABC", "<p>marked</p>"), (53, "http://a/?WARC-Type: response", "<p>marked</p>"), (54, "x\r\nWARC-Type: response\r\nContent-Length: 9", "<p>marked</p>"),
+        (55, "WARC-Refers-To: <urn:page:1>", "unlike any other"), (56, None, "long " * 1_000_000), (57, "u", "long " * 1_000_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
     first = {}
     for i, _, h in sorted(rows, key=lambda r: r[0]):
@@ -368,6 +370,7 @@ def test_warc(spark, tmp_path):
     for r in warc.restore(spark, path).collect():
         head, _, body = bytes(r["record"]).partition(b"\r\n\r\n")
         fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+        assert len(head.decode().split("\r\n")) == 7 + ("WARC-Refers-To" in fields)
         assert head.startswith(b"WARC/1.1\r\n") and body.endswith(b"\r\n\r\n") and int(fields["Content-Length"]) == len(body) - 4
         assert (fields["WARC-Type"] == "revisit") == ("WARC-Refers-To" in fields)
         if fields["WARC-Type"] == "response":
@@ -375,6 +378,19 @@ def test_warc(spark, tmp_path):
     assert rows_of(warc.op6(pages.limit(0))) == []
 
 
+def test_warc_of_one_hot_payload(spark):
+    """A payload that most pages share, rows without an id and rows repeated among them: one response in all."""
+    rows = [(None if i % 4 == 0 else i // 2, f"u{i % 3}", "same" if i % 5 else f"own {i}") for i in range(600)]
+    got = [tuple(r) for r in warc.op6(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()]
+    ids = [i for i, _, h in rows if h == "same"]
+    same = [r for r in got if r[1] == 4]
+    assert sorted(map(str, ids)) == sorted(str(r[0]) for r in same)
+    assert [r[0] for r in same if r[3] == "response"] == [min(i for i in ids if i is not None)]
+    assert {r[4] for r in same if r[3] == "revisit"} == {min(i for i in ids if i is not None)}
+    plan = warc.op6(spark.createDataFrame(rows, "page_id long, url string, html string"))._jdf.queryExecution().toString()
+    assert "Window" not in plan
+
+
 # ---- op7 ----
 
 

@@ -7,15 +7,17 @@ and on two unrelated checksums, and again when reading, by recomputing it from t
 
 Among records of equal payload (of at least `revisit_min` bytes) that with the smallest id is the response, the
 others revisit it. A null payload counts as empty; null URLs are written as an empty URI; rows with a null id sort
-last. Repeated ids with equal payloads give repeated records; the second is a revisit of the same id.
+last. Repeated ids with equal payloads give repeated records; the second is a revisit of the same id (in the order of
+URLs; which of rows equal in all three is the response cannot be told). Line ends in a URL are written as %0D and
+%0A, so every header keeps to its line, whatever a URL holds. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import scratch_path, written
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
@@ -33,19 +35,24 @@ def base32_sha1(raw: Column) -> Column:
 
 
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", revisit_min: int = 0) -> None:
-    """Write `pages` (id, url, html) as an archive under path. Shuffles digests and sizes, and payloads once."""
+    """Write `pages` (id, url, html) as an archive under path. Pages are hashed in one pass; payloads are shuffled once, without copies in the same task."""
     raw = F.encode(F.coalesce(F.col("html"), F.lit("")), "utf-8")
-    rows = pages.select(F.col(id_col).alias("record_id"), F.regexp_replace(F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"), raw.alias("payload"))
-    rows = rows.withColumns({"digest": F.sha2("payload", 256), "sha1": base32_sha1(F.col("payload")), "n": F.octet_length("payload").cast("long")})
-    check = F.struct("n", F.xxhash64("payload").alias("x"), F.crc32("payload").alias("c"), F.col("sha1").alias("s"))
-    first = rows.groupBy("digest").agg(F.min("record_id").alias("first_id"), F.min(check).alias("lo"), F.max(check).alias("hi"))
-    first = first.select("digest", "first_id", F.when(F.col("lo") == F.col("hi"), True).otherwise(F.raise_error(F.lit("two payloads share a digest"))).alias("verified")).filter("verified")
-    light = rows.select("record_id", "url", "digest", "sha1", "n").join(first.select("digest", "first_id"), "digest")
-    # of repeated rows of the first id only one is the response
-    copies = Window.partitionBy("record_id", "digest").orderBy("url")
-    light = light.withColumn("copy", F.row_number().over(copies))
-    whole = (F.col("n") < revisit_min) | (F.col("record_id").eqNullSafe(F.col("first_id")) & (F.col("copy") == 1))
-    kind = F.when(whole, "response").otherwise("revisit")
+    url = F.regexp_replace(F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), "\r", "%0D"), "\n", "%0A")
+    rows = pages.select(F.col(id_col).alias("record_id"), url.alias("url"), raw.alias("payload"))
+    facts = rows.select(
+        "record_id", "url", F.sha2("payload", 256).alias("digest"), base32_sha1(F.col("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("n"),
+        F.xxhash64("payload").alias("x"), F.crc32("payload").alias("c"), F.monotonically_increasing_id().alias("serial"),
+    )
+    light = written(facts, "warc-records")  # one row a page, without its payload; serials are fixed from here on
+    check = F.struct("n", "x", "c", "sha1")
+    place = F.struct(F.col("record_id").isNull().alias("unnamed"), "record_id", "url", "serial")
+    # partial minima in every task: a payload that a third of all pages share arrives as one row a task
+    first = light.groupBy("digest").agg(F.min(place).alias("first"), F.min(check).alias("lo"), F.max(check).alias("hi"))
+    sure = F.when(F.col("lo") == F.col("hi"), F.col("first.serial")).otherwise(F.raise_error(F.lit("two payloads share a digest")).cast("long"))
+    # written, so that the join below has plain exchanges on both sides, whose hot digests adaptive execution may split
+    first = written(first.select(F.col("digest").alias("of"), F.col("first.record_id").alias("first_id"), sure.alias("first_serial")), "warc-first", compact=True)
+    named = light.join(first, F.col("digest") == F.col("of"))
+    kind = F.when((F.col("n") < revisit_min) | (F.col("serial") == F.col("first_serial")), "response").otherwise("revisit")
     uri = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     refers = F.when(kind == "revisit", F.concat(F.lit("WARC-Refers-To: "), uri(F.col("first_id")), F.lit(CRLF))).otherwise("")
     header = F.concat(
@@ -53,12 +60,13 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", revisit_
         F.lit(CRLF + "WARC-Payload-Digest: sha1:"), F.col("sha1"), F.lit(CRLF), refers, F.lit("Content-Type: text/html" + CRLF + "Content-Length: "),
         F.when(kind == "response", F.col("n")).otherwise(0).cast("string"), F.lit(CRLF + CRLF),
     )
-    light.select("record_id", F.encode(header, "utf-8").alias("header"), "digest").write.option("compression", "zstd").parquet(f"{path}/headers")
+    named.select("record_id", F.encode(header, "utf-8").alias("header"), "digest").write.option("compression", "zstd").parquet(f"{path}/headers")
     # all payloads of a digest are the same bytes (verified above), so a task sends on one of each, and one is stored
-    rows.groupBy("digest").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    rows.groupBy(F.sha2("payload", 256).alias("digest")).agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def _field(header: Column, name: str) -> Column:
+    """A header's value, from the line that begins with its name: other lines may hold anything."""
     found = F.regexp_extract(header, rf"(?:^|\r\n){name}: ([^\r\n]*)", 1)
     return F.when(found == "", None).otherwise(found)
 
@@ -71,7 +79,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     ident = lambda name: F.regexp_extract(_field(F.col("text"), name), "<urn:page:(.*)>", 1)
     parsed = head.select(
         "digest", ident("WARC-Record-ID").alias("record"), _field(F.col("text"), "WARC-Type").alias("record_type"),
-        ident("WARC-Refers-To").alias("refers"), F.regexp_extract("text", r"sha1:(\w+)", 1).alias("stated"),
+        ident("WARC-Refers-To").alias("refers"), F.regexp_replace(_field(F.col("text"), "WARC-Payload-Digest"), "^sha1:", "").alias("stated"),
     )
     sound = F.col("intact") & (F.col("stated") == F.col("payload_digest"))
     return parsed.join(facts, "digest").withColumn("payload_digest", F.when(sound, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a stored payload is damaged"))))
@@ -79,9 +87,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 def restore(spark: SparkSession, path: str) -> DataFrame:
     """The original records, byte for byte: header block, payload block (none in a revisit), two line ends."""
-    head = spark.read.parquet(f"{path}/headers")
-    whole = head.filter(F.decode("header", "utf-8").contains("WARC-Type: response"))
-    rest = head.filter(~F.decode("header", "utf-8").contains("WARC-Type: response"))
+    head = spark.read.parquet(f"{path}/headers").withColumn("type", _field(F.decode("header", "utf-8"), "WARC-Type"))
+    whole, rest = head.filter("type = 'response'"), head.filter("type = 'revisit'")
     end = F.lit(bytearray(b"\r\n\r\n"))
     full = whole.join(spark.read.parquet(f"{path}/payloads"), "digest").select("record_id", F.concat("header", "payload", end).alias("record"))
     return full.unionByName(rest.select("record_id", F.concat("header", end).alias("record")))

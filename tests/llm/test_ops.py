@@ -88,18 +88,30 @@ def test_simhash(docs, nothing):
     assert want == sorted((str(r[0]), r[2]) for r in got)
     assert rows_of(simhash.op1(nothing)) == []
     kept = simhash.keep_one(docs.select(*nothing.columns)).collect()
-    assert Counter(r["doc_id"] for r in kept) == Counter({**{min(v): 1 for v in least.values() if v}, None: 2})
+    assert sorted(r["doc_id"] for r in kept) == sorted(min(v) for v in least.values())
+    assert rows_of(simhash.keep_one(nothing)) == []
 
 
-def test_links_survive_any_flip():
+def test_keep_one_of_rows_with_equal_ids(spark):
+    """Rows that share an id but not a group each stand for their own group; rows equal in all columns count once."""
+    rng = random.Random(21)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, b, "en", "s", 1), (2, a, "en", "s", 1), (None, c, "en", "s", 1), (None, c, "fr", "s", 1), (None, a, "en", "s", 1), (7, None, "en", "s", 1), (8, "", "en", "s", 1)]
+    got = sorted((str(r["doc_id"]), r["text"]) for r in simhash.keep_one(spark.createDataFrame(rows, DOC)).collect())
+    assert got == sorted([("1", a), ("1", b), ("None", c), ("7", None)])
+
+
+@pytest.mark.parametrize("faces", [simhash.FACES, simhash.WIDE])
+def test_links_survive_any_flip(faces):
+    assert sum(t + 1 for _, _, t in faces) > simhash.LIMIT and sum(b for _, b, _ in faces) == 64
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
     other = base.copy()
     for i in range(200):
         for bit in rng.choice(64, rng.integers(0, 5), replace=False):
             other[i] ^= np.uint64(1) << np.uint64(bit)
-    a, ra = simhash.anchors_of(base)
-    b, rb = simhash.anchors_of(other)
+    a, ra = simhash.anchors_of(base, faces)
+    b, rb = simhash.anchors_of(other, faces)
     one, two = defaultdict(set), defaultdict(set)
     for x, r in zip(a, ra, strict=True):
         one[r].add(x)
@@ -108,8 +120,8 @@ def test_links_survive_any_flip():
     assert all(one[i] & two[i] for i in range(200))
 
 
-@pytest.mark.parametrize("block", [7, 50_000])
-def test_crowded_anchors_lose_no_link(spark, block):
+@pytest.mark.parametrize(("block", "faces"), [(7, simhash.FACES), (50_000, simhash.FACES), (7, simhash.WIDE)])
+def test_crowded_anchors_lose_no_link(spark, block, faces):
     rng = random.Random(2)
     hub = 0x0123456789ABCDEF
     fps = {hub}
@@ -121,7 +133,7 @@ def test_crowded_anchors_lose_no_link(spark, block):
     fps |= {rng.getrandbits(64) for _ in range(60)}
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    roots = {r["node"]: r["root"] for r in components.components(simhash.near_pairs(df, block)).collect()}
+    roots = {r["node"]: r["root"] for r in components.components(simhash.near_pairs(df, block, faces)).collect()}
     groups = {x: roots.get(x, x) for x in signed}
     parent = {x: x for x in signed}
 
@@ -164,9 +176,28 @@ def test_shards(docs, nothing):
     for part in by.values():
         assert sorted(r["slot"] for r in part) == list(range(len(part)))
         assert abs(sum(r["size"] for r in part) - total / 6) <= max(r["size"] for r in got)
+    # every row's shard is the piece of the line of all bytes in which its middle falls; equal texts are neighbours
+    line, at, before = sorted(got, key=lambda r: (r["shard"], r["slot"])), 0, []
+    for r in line:
+        assert r["shard"] == min(5, (at + r["size"] - r["size"] // 2) * 6 // total)
+        at += r["size"]
+        if not before or before[-1] != (r["text_crc32"], r["size"]):
+            before.append((r["text_crc32"], r["size"]))
+    assert len(before) == len(set(before))
     assert rows_of(sharding.shard(nothing)) == []
 
 
+def test_shards_of_one_row_repeated(spark):
+    """A range of one row, repeated, is cut like any other: no task sorts it whole."""
+    rows = [(None if i % 2 else 7, "hot text" if i % 3 else f"cold {i}", "en", "s", 1) for i in range(6000)]
+    got = sharding.shard(spark.createDataFrame(rows, DOC), shards=24)
+    by = got.groupBy("range").agg(F.sum("size").alias("b")).collect()
+    total = sum(r["b"] for r in by)
+    assert max(r["b"] for r in by) <= 3 * total / (24 * 8) + 32
+    sizes = [r["b"] for r in got.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 24 and max(sizes) - min(sizes) <= 40
+
+
 def test_shards_of_one_hot_text(spark):
     rows = [(i, "hot text" if i % 3 else f"cold {i}", "en", "s", 1) for i in range(3000)]
     got = sharding.shard(spark.createDataFrame(rows, DOC), shards=24).groupBy("shard").agg(F.sum("size").alias("b")).collect()
@@ -191,6 +222,11 @@ def test_pieces(docs, nothing, tokenizer_files):
         assert r["ids"] == (None if r["text"] is None else sp.encode(r["text"]))
     for r in pieces.decode(got, path, ["text"]).collect():
         assert r["decoded"] == r["text"]
+    # carried columns may have any name but that of the result
+    clash = docs.select("doc_id", "text", F.col("text").alias("of"), F.lit("x").alias("row"), F.lit(2).alias("out"), F.col("text").alias("text_"))
+    assert all(r["row"] == "x" and r["out"] == 2 and r["ids"] == (None if r["of"] is None else sp.encode(r["of"])) for r in pieces.encode(clash, path, ["doc_id", "of", "row", "out", "text_"]).collect())
+    with pytest.raises(ValueError, match="called ids"):
+        pieces.encode(docs.withColumn("ids", F.lit("x")), path, ["ids"])
     digest = {r["doc_id"]: r for r in pieces.op3(docs).collect()}
     assert digest[0]["ids_crc32"] == zlib.crc32(np.array(sp.encode(corpus_text(0)), "<u4").tobytes()) and all(r["round_trip"] for r in digest.values())
     assert rows_of(pieces.op3(nothing)) == []
@@ -599,17 +635,27 @@ def test_verdicts_against_brute_force(spark):
 # ---- op10 ----
 
 
+def brute_hash(rows):
+    """Brightness of 8 x 9 cells of an image (rows of samples), by exact overlaps; a bit for each cell brighter than its right neighbour."""
+    h, w = len(rows), len(rows[0])
+    across = lambda n, cells: [[max(0.0, min(x + 1, (k + 1) * n / cells) - max(x, k * n / cells)) for x in range(n)] for k in range(cells)]
+    cells = np.round(np.array(across(h, 8)) @ np.array(rows, float) @ np.array(across(w, 9)).T * (72 / (h * w)), 6)
+    bits = "".join("1" if cells[y, x] > cells[y, x + 1] else "0" for y in range(8) for x in range(8))
+    return f"{int(bits, 2):016x}"
+
+
 def test_media(docs, nothing):
-    got = media.op10(docs).collect()
-    for r in got:
-        text = next(t for i, t, *_ in corpus() if i == r["doc_id"])
-        if r["doc_id"] is None:
-            continue
+    rows = corpus()
+    want = Counter()
+    for i, text, *_ in rows:
         raw = (text or "").encode()
         payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        stored = b"".join(media.to_tiles(np.frombuffer(payload, np.uint8).reshape(-1, 64)))
-        assert r["media_bytes"] == len(stored) and r["media_sha256"] == hashlib.sha256(stored).hexdigest() and media.from_tiles(stored).tobytes() == payload
+        samples = [list(payload[k : k + 64]) for k in range(0, len(payload), 64)]
+        stored = b"".join(media.to_tiles(np.array(samples, np.uint8)))
+        assert media.from_tiles(stored).tobytes() == payload
+        want[(i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), brute_hash(samples))] += 1
+    got = Counter(tuple(r) for r in media.op10(docs).collect())
+    assert got.total() == len(rows) and got == want
     assert rows_of(media.op10(nothing)) == []
 
 
@@ -632,6 +678,26 @@ def test_decoders():
     assert media.decode(b"P5 1 1 65535\n\1\0").tolist() == [[256]]
     bmp = b"BM" + (62).to_bytes(4, "little") + bytes(4) + (54).to_bytes(4, "little") + (40).to_bytes(4, "little") + (1).to_bytes(4, "little") + (2).to_bytes(4, "little") + b"\1\0\x18\0" + bytes(24) + b"\3\2\1\0\6\5\4\0"
     assert media.decode(bmp).tolist() == [[[4, 5, 6]], [[1, 2, 3]]]
+    masks = b"BM" + (74).to_bytes(4, "little") + bytes(4) + (66).to_bytes(4, "little") + (40).to_bytes(4, "little") + (1).to_bytes(4, "little") * 2 + b"\1\0\x20\0\3\0\0\0" + bytes(20)
+    assert media.decode(masks + b"\0\0\xff\0\0\xff\0\0\xff\0\0\0" + b"\3\2\1\0").tolist() == [[[1, 2, 3]]]
+    assert media.decode(masks + b"\xff\0\0\0\0\xff\0\0\0\0\xff\0" + b"\3\2\1\0") is None
     for bad in (b"", None, b"P5", b"P5 9 9 255\n\0", b"BM", b"GIF89a", b"P3 1 1 255 x"):
         assert media.decode(bad) is None
     assert media.difference_hash(np.tile(np.arange(64, 0, -1), (8, 1))) == "f" * 16 and media.difference_hash(np.zeros((1, 64))) == "0" * 16
+
+
+# ---- shared parts ----
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from verdance.llm import common
+
+    class Session:
+        def __init__(self, master, folder):
+            self.conf, self.sparkContext = {"spark.checkpoint.dir": folder}, type("Context", (), {"master": master})
+
+    assert common.shared_dir(Session("spark://host:7077", "hdfs://shared/")) == "hdfs://shared"
+    assert common.shared_dir(Session("local[2]", None))
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_dir(Session(master, None))

@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql.functions import lit as pyspark_lit
 from verdance.llm import rules, simhash
 
 from .test_ops import DOC, WORDS, brute_cut, sentence
@@ -50,6 +51,31 @@ def test_stages(spark, sf_dir):
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).collect()) == sorted(r["doc_id"] for r in packed)
 
 
+def test_edges(spark, sf_dir, tmp_path):
+    """Null and repeated ids, empty and very long texts, rows of nulls, an extra column; and an empty table."""
+    rng = random.Random(13)
+    docs = spark.read.parquet(sf_dir + "/documents.parquet")
+    long = sentence(rng, 40_000) + "."
+    odd = [(None, sentence(rng, 90) + ".", "en", "s", 1), (5, sentence(rng, 80) + ".", None, None, None), (5, sentence(rng, 80) + ".", "en", "s", 1), (900, long, "en", "s", len(long)), (901, "", "en", "s", 0), (None, None, None, None, None)]
+    odd += [odd[0]] * 3
+    both = docs.unionByName(spark.createDataFrame(odd, DOC)).withColumn("tag", pyspark_lit("x"))
+    for rows, name in ((both, "odd"), (docs.limit(0), "none")):
+        path = str(tmp_path / name)
+        rows.write.parquet(path + "/documents.parquet")
+        spark.read.parquet(sf_dir + "/labels.parquet").write.parquet(path + "/labels.parquet")
+        out = corpus_pipeline.run(spark, path).collect()
+        if name == "none":
+            assert out == []
+            continue
+        pieces = {(r["doc_id"], r["piece"]) for r in out}
+        assert sum(r["length"] for r in out if r["doc_id"] == 900) > 40_000 and (900, 20) in pieces
+        assert sum(r["doc_id"] is None and r["piece"] == 0 for r in out) == 1 and sum(r["doc_id"] == 5 and r["piece"] == 0 for r in out) == 3
+        by = {}
+        for r in out:
+            by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        assert all(max(o + n for o, n in places) == sum(n for _, n in places) <= 2048 for places in by.values())
+
+
 def test_contract(spark):
     assert [n for n, _ in corpus_pipeline.STAGES][:3] == ["quality_classifier", "quality_rules", "simhash_near_dedup"] and corpus_pipeline.ORACLE_SQL is None
     from verdance.llm import catalog

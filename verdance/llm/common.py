@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import functools
 import math
+import re
 import tempfile
 import uuid
 
@@ -31,10 +32,13 @@ def bounded(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where none is set, local mode takes a temporary one; a cluster has none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="shared-")
     return _OWN["dir"]

@@ -17,8 +17,8 @@ from .common import written
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
-    """(hi, lo) edges with each hi's smallest neighbour below it."""
-    least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
+    """(hi, lo) edges with each hi's smallest neighbour below it (written first: a join with a table can be split where a hub's edges crowd, one with an aggregate can't)."""
+    least = written(edges.groupBy("hi").agg(F.min("lo").alias("m")), "least", compact=True)
     return edges.join(least, "hi")
 
 

@@ -1,6 +1,7 @@
 """Media columns: Netpbm and BMP images as numpy arrays, area resizing, NPY tiles, difference hashes.
 
-`decode` reads PBM, PGM and PPM (plain and raw, 8 and 16 bits) and uncompressed BMP (1, 4, 8, 24 and 32 bits, both row orders).
+`decode` reads PBM, PGM and PPM (plain and raw, 8 and 16 bits) and uncompressed BMP (1, 4, 8, 24 and 32 bits, both row orders;
+channel masks only where they name the usual order).
 `area_resize` averages each target cell's exact area through an integral image. `to_tiles` cuts an array into tiles
 of a bounded number of rows, each a complete NPY file; a stored form is those files one after the other.
 Everything works on one document at a time, so memory is bounded by the largest document.
@@ -73,6 +74,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     w, h, _, bits, packed = struct.unpack_from("<iiHHI", data, 18)
     if packed not in (0, 3) or bits not in (1, 4, 8, 24, 32):
         raise ValueError("this BMP is not supported")
+    if packed == 3 and (bits != 32 or struct.unpack_from("<III", data, 54) != (0xFF0000, 0xFF00, 0xFF)):
+        raise ValueError("only the common order of channels is supported")
     line = (w * bits + 31) // 32 * 4
     rows = np.frombuffer(data, np.uint8, line * abs(h), start).reshape(abs(h), line)
     rows = rows[::-1] if h > 0 else rows

@@ -204,51 +204,56 @@ class Model:
         return out[1:] if out[:1] == b" " else out
 
 
-def model(path: str) -> Model:
+def model(path) -> Model:
+    """path: a file, or a function that names it, called in the task: executors may keep their files elsewhere."""
+    path = path() if callable(path) else path
     if path not in _MODELS:
         _MODELS[path] = Model(path)
     return _MODELS[path]
 
 
-def _encoded(path: str):
+def _encoded(path):
     def run(batches):
         m = model(path)
         for b in small(batches, 2048):
-            texts = b.column("text_").to_pylist()
+            texts = b.column("of").to_pylist()
             ids = iter(m.encode([t for t in texts if t is not None]))
             out = pa.array([None if t is None else np.frombuffer(next(ids), np.int32) for t in texts], pa.list_(pa.int32()))
-            keep = [i for i, name in enumerate(b.schema.names) if name != "text_"]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), out], [*(b.schema.names[i] for i in keep), "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), out], ["row", "out"])
 
     return run
 
 
-def _decoded(path: str):
+def _decoded(path):
     def run(batches):
         m = model(path)
         for b in small(batches, 2048):
-            out = pa.array([None if x is None else m.decode(np.array(x, np.int64)).decode("utf-8", "replace") for x in b.column("ids_").to_pylist()], pa.string())
-            keep = [i for i, name in enumerate(b.schema.names) if name != "ids_"]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), out], [*(b.schema.names[i] for i in keep), "decoded"])
+            out = pa.array([None if x is None else m.decode(np.array(x, np.int64)).decode("utf-8", "replace") for x in b.column("of").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("row"), out], ["row", "out"])
 
     return run
 
 
-def _fields(df: DataFrame, carry: list[str]) -> str:
-    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in carry)
+def _beside(df: DataFrame, run, of: str, carry: list[str], name: str, kind: str) -> DataFrame:
+    """The carried columns (inside a struct meanwhile, so that no name of theirs matters) and one new column."""
+    if name in carry:
+        raise ValueError(f"the result has a column called {name}")
+    rows = df.select(F.col(of).alias("of"), F.struct(*carry).alias("row"))
+    done = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, out {kind}")
+    return done.select(*(F.col("row").getField(c).alias(c) for c in carry), F.col("out").alias(name))
 
 
-def encode(df: DataFrame, path: str, carry: list[str], text: str = "text") -> DataFrame:
-    """The carried columns and ids (array<int>)."""
-    return df.select(*carry, F.col(text).alias("text_")).mapInArrow(_encoded(path), _fields(df, carry) + "ids array<int>")
+def encode(df: DataFrame, path, carry: list[str], text: str = "text") -> DataFrame:
+    """The carried columns and ids (array<int>); a carried column called ids is an error."""
+    return _beside(df, _encoded(path), text, carry, "ids", "array<int>")
 
 
-def decode(df: DataFrame, path: str, carry: list[str], ids: str = "ids") -> DataFrame:
-    """The carried columns and decoded (string)."""
-    return df.select(*carry, F.col(ids).alias("ids_")).mapInArrow(_decoded(path), _fields(df, carry) + "decoded string")
+def decode(df: DataFrame, path, carry: list[str], ids: str = "ids") -> DataFrame:
+    """The carried columns and decoded (string); a carried column called decoded is an error."""
+    return _beside(df, _decoded(path), ids, carry, "decoded", "string")
 
 
-def _digest(path: str):
+def _digest(path):
     def run(batches):
         m = model(path)
         for b in small(batches, 2048):
@@ -266,10 +271,14 @@ def _digest(path: str):
     return run
 
 
-def op3(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (little-endian unsigned 32-bit ids), decoded_bytes and whether decoding gave the text back."""
+def model_file() -> str:
     import public_tokenizers
 
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op3(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32 (little-endian unsigned 32-bit ids), decoded_bytes and whether decoding gave the text back."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").alias("text_"))
-    return rows.mapInArrow(_digest(public_tokenizers.path("piece_bpe_32k.model")), f"doc_id {kind}, n_tokens long, ids_crc32 long, decoded_bytes long, round_trip boolean")
+    return rows.mapInArrow(_digest(model_file), f"doc_id {kind}, n_tokens long, ids_crc32 long, decoded_bytes long, round_trip boolean")

@@ -1,14 +1,15 @@
 """Quality classifier: a regularised quadratic discriminant.
 
 Each text gives 17 statistics (lengths, shares of byte classes, repetition), transformed by logarithm or root so that
-they lie nearer to a normal law. Per class, mean and covariance come from sums over every labelled row of the
-training folds, added up inside the cluster (2 x 171 numbers reach the driver, whatever the input). Covariances are
+they lie nearer to a normal law. Per class, mean and covariance come from sums over the labelled rows of the
+training folds (up to FIT_ROWS of them), added up inside the cluster (2 x 324 numbers reach the driver, whatever the input). Covariances are
 shrunk towards the pooled diagonal; their Cholesky factors are computed once and sent with the model. A score is the
 logistic of the difference of the two log densities (Mahalanobis distance and log determinant) plus that of the
 priors, divided by the number of statistics, which changes no decision and keeps scores apart.
 
 Labels of rows in other folds, and lang, source and doc_id, are never read into a score. Null texts count as empty;
-an empty text has a score like any other. Several labels of one id: the lowest counts. Without rows of both classes
+an empty text has a score like any other. Several labels of one id: the lowest counts; qualities other than 0 and 1 are
+no labels. Without rows of both classes
 every score is 0.5. Other columns are ignored, whatever their names.
 """
 
@@ -26,6 +27,8 @@ from .common import fold, small, text_bytes, trimmed, written
 from .rules import class_counts, repeated_words
 
 SIZE = 17
+#: Labelled rows that the fit takes at most.
+FIT_ROWS = 200_000
 SHRINK = 0.1
 FLOOR = 1e-4
 
@@ -77,10 +80,15 @@ def _sums(batches):
     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.float64()), strict=True)], ["y", "i", "v"])
 
 
-def fit(rows: DataFrame, labels: DataFrame) -> dict | None:
-    """Model from the labelled rows outside the held-out fold."""
-    marked = labels.filter(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").cast("int").alias("y"))
-    known = rows.filter("not held_out").join(marked, F.col("doc_id") == F.col("id")).select("x", "y")
+def training_labels(labels: DataFrame, most: int = FIT_ROWS) -> DataFrame:
+    """(id, y): labelled rows outside the held-out fold, `most` of them at most (those of the smallest hashes), hence small enough to broadcast."""
+    marked = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("y")).filter(fold(3) != 1)
+    return F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("id"), "y"))
+
+
+def fit(rows: DataFrame, marked: DataFrame) -> dict | None:
+    """Model from rows with statistics (doc_id, x) that have a training label."""
+    known = rows.join(marked, F.col("doc_id") == F.col("id")).select("x", "y")
     sums = known.mapInArrow(_sums, "y int, i int, v double").groupBy("y", "i").agg(F.sum("v").alias("v")).collect()
     by: dict[int, np.ndarray] = {}
     for r in sums:
@@ -123,7 +131,7 @@ def _scored(model):
 
 def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = written(with_statistics(docs), "statistics", compact=True)  # 17 numbers a document: texts are read once
-    model = docs.sparkSession.sparkContext.broadcast(fit(rows, labels))
+    model = docs.sparkSession.sparkContext.broadcast(fit(rows, training_labels(labels)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_scored(model), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
@@ -139,5 +147,7 @@ def _kept(model):
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that the classifier predicts to be good, with their columns."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(with_statistics(docs), labels))
+    marked = training_labels(labels)
+    known = docs.join(marked.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")  # statistics are taken of labelled texts only
+    model = docs.sparkSession.sparkContext.broadcast(fit(with_statistics(known), marked))
     return docs.mapInArrow(trimmed(_kept(model)), docs.schema)

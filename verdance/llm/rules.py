@@ -106,16 +106,19 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
 
 
 def _counted(batches):
-    """(lang, kind, key, n) summed over much of a task: kind 0 has character classes, kind 1 words."""
+    """(lang, kind, key, n) summed over much of a task: kind 0 has character classes, kind 1 words, kind 2 documents."""
     words: dict[str, Counter] = defaultdict(Counter)
     classes: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(CLASSES, np.int64))
+    texts: Counter = Counter()
     held = 0
 
     def flush():
         rows = [(lang, 1, w, n) for lang, c in words.items() for w, n in c.items()]
         rows += [(lang, 0, b"%d" % i, int(n)) for lang, c in classes.items() for i, n in enumerate(c) if n]
+        rows += [(lang, 2, b"", n) for lang, n in texts.items()]
         words.clear()
         classes.clear()
+        texts.clear()
         cols = list(zip(*rows, strict=True)) if rows else [()] * 4
         for at in range(0, max(len(rows), 1), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000], k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.binary(), pa.int64()), strict=True)], ["lang", "kind", "key", "n"])
@@ -127,6 +130,7 @@ def _counted(batches):
             c.update(raw.lower().split())
             held += len(c) - before
             classes[lang] += class_counts(raw)
+            texts[lang] += 1
             if held > FLUSH:
                 yield from flush()
                 held = 0
@@ -139,23 +143,24 @@ def references(docs: DataFrame, common: int = COMMON) -> dict[str, tuple[np.ndar
     counts = rows.mapInArrow(trimmed(_counted), "lang string, kind int, key binary, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
     top = counts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= common)
-    totals = rows.select("lang", F.lit(1).alias("x")).groupBy("lang").agg(F.count("x").alias("docs"))
-    out = {r["lang"]: [np.zeros(CLASSES), {}, np.zeros(common + 1), 0] for r in totals.collect()}
-    for r in top.collect():
+    totals = counts.groupBy("lang").agg(F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("n"))
+    # one job for both, so that they share the shuffle of the counts: the texts are walked once
+    found = top.select("lang", "kind", "key", "n", "rank").unionByName(totals.select("lang", F.lit(3).alias("kind"), F.lit(None).cast("binary").alias("key"), "n", F.lit(0).alias("rank"))).collect()
+    out: dict[str, list] = {r["lang"]: [np.zeros(CLASSES), {}, np.zeros(common + 1), r["n"]] for r in found if r["kind"] == 3}
+    for r in found:
         ref = out[r["lang"]]
         if r["kind"] == 0:
             ref[0][int(r["key"])] = r["n"]
-        else:
+        elif r["kind"] == 1:
             ref[1][bytes(r["key"])] = r["rank"] - 1
             ref[2][r["rank"] - 1] = r["n"]
-    for r in counts.filter("kind = 1").groupBy("lang").agg(F.sum("n").alias("n")).collect():
-        ref = out[r["lang"]]
-        ref[2][common] = r["n"] - ref[2][:common].sum()
-        ref[3] = r["n"]
+    for ref in out.values():
+        ref[2][common] = ref[3] - ref[2][:common].sum()
     return {k: tuple(v) for k, v in out.items()}
 
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, chars_distance double, words_distance double, kept boolean"
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
 def verdict(lang: str, raw: bytes, refs: dict, limits: dict) -> tuple:
@@ -174,19 +179,15 @@ def verdict(lang: str, raw: bytes, refs: dict, limits: dict) -> tuple:
     return (*counts, failed, d, w, not failed and d <= limits["max_chars_distance"] and w <= limits["max_words_distance"])
 
 
-def _verdicts(b: pa.RecordBatch, refs, limits) -> tuple[list[int], list[tuple]]:
-    """The carried columns' places, and each row's verdict."""
-    out = [verdict(lang, raw, refs.value, limits) for lang, raw in zip(b.column("lang_").to_pylist(), b.column("raw_").to_pylist(), strict=True)]
-    return [i for i, name in enumerate(b.schema.names) if name not in ("lang_", "raw_")], out
-
-
 def _judged(refs, limits):
+    """Batches of (lang, raw, row): row is a struct of what is carried, so no name of it can clash."""
+
     def run(batches):
         for b in small(batches):
-            keep, out = _verdicts(b, refs, limits)
+            out = [verdict(lang, raw, refs.value, limits) for lang, raw in zip(b.column("lang").to_pylist(), b.column("raw").to_pylist(), strict=True)]
             cols = list(zip(*out, strict=True)) if out else [()] * 9
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [*(b.schema.names[i] for i in keep), *(x.split()[0] for x in SCHEMA.split(", "))])
+            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["row", *NAMES])
 
     return run
 
@@ -207,11 +208,13 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
 
 
 def judge(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), **limits) -> DataFrame:
-    """The carried columns and the counts, distances and verdict of every document."""
+    """The carried columns, whatever their names, and the counts, distances and verdict of every document. A carried column called like an output is an error."""
+    if clash := set(carry) & set(NAMES):
+        raise ValueError(f"columns of the result have these names: {sorted(clash)}")
     refs = docs.sparkSession.sparkContext.broadcast(references(docs))  # languages x (bins + classes)
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    rows = docs.select(*carry, F.coalesce("lang", F.lit("")).alias("lang_"), text_bytes().alias("raw_"))
-    return rows.mapInArrow(trimmed(_judged(refs, DEFAULTS | limits)), f"{kinds}, {SCHEMA}")
+    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), text_bytes().alias("raw"), F.struct(*carry).alias("row"))
+    judged = rows.mapInArrow(trimmed(_judged(refs, DEFAULTS | limits)), f"row {rows.schema['row'].dataType.simpleString()}, {SCHEMA}")
+    return judged.select(*(F.col("row").getField(c).alias(c) for c in carry), *NAMES)
 
 
 def op9(docs: DataFrame) -> DataFrame:

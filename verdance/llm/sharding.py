@@ -6,7 +6,8 @@ allowed are subdivided by splitters drawn from a sample of their own. Exact byte
 rows) give each range's offset, a running sum inside the range gives each record's place on the line of all bytes,
 and a record's shard is the piece of that line in which the middle of the record falls. So shards differ by at most about one
 record's size, equal texts stay neighbours (a group lies in one shard or in consecutive ones), and a key with a
-third of all rows is spread like any other bytes: ids break ties, so a range of one text can be subdivided too.
+third of all rows is spread like any other bytes: ids, and places in the input, break ties, so a range of one text,
+or of one row repeated, can be subdivided too. Ranges get finer with the number of rows (up to `finest` a shard).
 
 Null texts have size 8 and the empty text's crc32; null ids sort first. An empty table gives no rows. Repeated rows
 count each. Other columns are ignored, whatever their names.
@@ -23,22 +24,21 @@ LAW = "bytes"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and the sort key (k1: text, k2: id)."""
+    """doc_id, size, text_crc32 and the sort key (k1: text, k2: id, and in its low bits the place in the input, so that equal rows can be cut apart)."""
     raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8")
     return docs.select(
         "doc_id",
         (F.octet_length(raw).cast("long") + 8).alias("size"),
         F.crc32(raw).alias("text_crc32"),
         F.xxhash64(raw).alias("k1"),
-        F.xxhash64(F.lit(7), F.col("doc_id")).alias("k2"),
+        F.xxhash64(F.lit(7), F.col("doc_id")).bitwiseAND(F.lit(-1 << 16)).bitwiseOR(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << 16) - 1))).alias("k2"),
     )
 
 
 def _sample(rows: DataFrame, total: int, wanted: int) -> list[tuple[int, int]]:
-    """About `wanted` keys drawn with a chance in proportion to the size; what reaches the driver is bounded by it."""
+    """About `wanted` keys (as its mean), each drawn by its own hash with a chance in proportion to the size."""
     u = F.pmod(F.xxhash64(F.lit("draw"), "k1", "k2"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = rows.filter(u < F.col("size") * F.lit(wanted / max(total, 1))).select("k1", "k2").orderBy("k1", "k2").limit(4 * wanted)
-    return [(r["k1"], r["k2"]) for r in drawn.collect()]
+    return sorted((r["k1"], r["k2"]) for r in rows.filter(u < F.col("size") * F.lit(wanted / max(total, 1))).select("k1", "k2").collect())
 
 
 def _quantiles(keys: list[tuple[int, int]], pieces: int) -> list[tuple[int, int]]:
@@ -63,11 +63,11 @@ def range_of(splitters: list[tuple[int, int]]):
     return F.aggregate(widths, F.lit(0), step)
 
 
-def shard(docs: DataFrame, shards: int = 24, fineness: int = 8, per_range: int = 16, rounds: int = 4) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, fineness: int = 8, per_range: int = 16, rounds: int = 4, range_rows: int = 1 << 20, finest: int = 256) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (gapless from 0), grown_shard (null: the law is `bytes`), range."""
     rows = written(keyed(docs), "shard-keys", compact=True)  # a few dozen bytes a record: the texts are read once
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    pieces = shards * fineness
+    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    pieces = shards * max(fineness, min(finest, -(-count // (shards * range_rows))))  # ranges are sorted by one task each
     splitters = _quantiles(_sample(rows, total, pieces * per_range), pieces)
     weigh = lambda cuts: {r["range"]: r for r in rows.groupBy(range_of(cuts).alias("range")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.max("size").alias("largest")).collect()}
     ranges = weigh(splitters)

@@ -6,12 +6,16 @@ fingerprints so that every point has one within the covering radius R: two point
 anchor nearest to either within R + t.
 
 One code over all 64 bits with a usable radius would send a fingerprint to thousands of anchors, so the cube is
-the product of three faces of 21, 21 and 22 bits. Of two fingerprints within 4 bits, at least one face differs by at most its
+the product of faces: up to WIDE_FROM fingerprints three, of 21, 21 and 22 bits. Of two fingerprints within 4 bits, at least one face differs by at most its
 threshold t = 1, 1, 0 (were all over, they would differ in 2 + 2 + 1 = 5). On the first two faces the code is the
 perfect Hamming code of length 15 times all words of the other 6 bits (R = 1, 131,072 anchors); a fingerprint is
 replicated to every anchor within R + t = 2 (14 or 22 of them). On the third all words are anchors (R = t = 0). Each
 anchor's fingerprints are compared with one another. No link is lost, whatever the data.
 
+Three faces have 4.5 million anchors, so with many more fingerprints each anchor's would crowd. Beyond WIDE_FROM
+distinct ones the cube is the product of two faces of 32 bits with t = 2 and 1 (both over: 3 + 2 = 5) and the perfect
+code of length 31: 268 million anchors, a fingerprint at 189 of them on average. The links are the same ones.
+
 Only distinct fingerprints are replicated, so a group of exact copies costs one row. Each anchor's comparisons run over numpy
 arrays and leave a spanning forest, not all pairs. An anchor with more than `block` fingerprints is split by hash into k
 blocks, and every two blocks are compared by a task of their own: the same pairs, in bounded memory.
@@ -22,10 +26,12 @@ but never name one (unless all of its ids are null). Repeated rows stay. Other c
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, text_bytes, trimmed, written
@@ -36,6 +42,9 @@ LIMIT = 4
 BLOCK = 50_000
 #: (first bit, bits, threshold) of each face
 FACES = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
+WIDE = ((0, 32, 2), (32, 32, 1))
+WIDE_FROM = 1 << 28
+_PAIR_BITS = 29
 _LOW = np.uint64(0x0101010101010101)
 _ONE = np.uint64(1)
 
@@ -73,52 +82,64 @@ def majority(hashes: np.ndarray) -> int:
 def _fingerprints(batches):
     for b in small(batches):
         fps = np.array([majority(shingle_hashes(raw)) for raw in b.column("raw").to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps), b.column("tag")], ["doc_id", "fp", "tag"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, tag: Column | None = None) -> DataFrame:
+    """doc_id, fp and tag (a long that tells rows of one id apart)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_bytes().alias("raw")).mapInArrow(trimmed(_fingerprints), f"doc_id {kind}, fp long")
+    rows = docs.select("doc_id", text_bytes().alias("raw"), (F.lit(0) if tag is None else tag).cast("long").alias("tag"))
+    return rows.mapInArrow(trimmed(_fingerprints), f"doc_id {kind}, fp long, tag long")
+
 
+def _code_length(bits: int) -> int:
+    """Of the perfect Hamming code laid over the low bits of a face."""
+    return (1 << (bits + 1).bit_length() - 1) - 1
 
-def _syndrome(words: np.ndarray) -> np.ndarray:
-    """Of the low 15 bits: the XOR of the places (1 to 15) of the bits that are set; zero for codewords."""
+
+def _syndrome(words: np.ndarray, length: int) -> np.ndarray:
+    """Of the low bits: the XOR of the places (from 1) of the bits that are set; zero for codewords."""
     s = np.zeros(len(words), np.int64)
-    for place in range(1, 16):
+    for place in range(1, length + 1):
         s ^= np.where((words >> (place - 1)) & 1, place, 0)
     return s
 
 
-def _near_masks() -> list[np.ndarray]:
-    """By syndrome: what to flip in 21 bits to reach each codeword within distance 2."""
-    masks = np.array([0, *(1 << i for i in range(21)), *((1 << i) | (1 << j) for i in range(21) for j in range(i))], np.int64)
-    s = _syndrome(masks)
-    return [masks[s == k] for k in range(16)]
+def _near_masks(bits: int, radius: int) -> list[np.ndarray]:
+    """By syndrome: what to flip in a face's bits to reach each codeword within the radius."""
+    masks = np.array([sum(1 << i for i in flips) for n in range(radius + 1) for flips in combinations(range(bits), n)], np.int64)
+    length = _code_length(bits)
+    s = _syndrome(masks, length)
+    return [masks[s == k] for k in range(length + 1)]
 
 
-def anchors_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def anchors_of(fps: np.ndarray, faces=FACES) -> tuple[np.ndarray, np.ndarray]:
     """(anchor, row) for every anchor of every fingerprint (uint64)."""
-    near, out, rows = _near_masks(), [], []
-    for face, (first, bits, threshold) in enumerate(FACES):
+    out, rows = [], []
+    for face, (first, bits, threshold) in enumerate(faces):
         part = ((fps >> np.uint64(first)) & np.uint64((1 << bits) - 1)).astype(np.int64)
         if not threshold:
-            out.append(part | (face << 24))
+            out.append(part | (face << 32))
             rows.append(np.arange(len(fps)))
             continue
-        s = _syndrome(part)
-        for k in range(16):
+        near = _near_masks(bits, 1 + threshold)
+        s = _syndrome(part, len(near) - 1)
+        for k in range(len(near)):
             at = np.flatnonzero(s == k)
-            out.append((part[at][:, None] ^ near[k][None, :]).ravel() | (face << 24))
+            out.append((part[at][:, None] ^ near[k][None, :]).ravel() | (face << 32))
             rows.append(np.repeat(at, len(near[k])))
     return np.concatenate(out), np.concatenate(rows)
 
 
-def _replicated(batches):
-    for b in batches:
-        fps = b.column("fp").to_numpy(zero_copy_only=False)
-        anchor, row = anchors_of(fps.view(np.uint64))
-        for at in range(0, len(row), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[at : at + 200_000]), pa.array(fps[row[at : at + 200_000]])], ["anchor", "fp"])
+def _replicated(faces):
+    def run(batches):
+        for b in small(batches, 4096):
+            fps = b.column("fp").to_numpy(zero_copy_only=False)
+            anchor, row = anchors_of(fps.view(np.uint64), faces)
+            for at in range(0, len(row), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[at : at + 200_000]), pa.array(fps[row[at : at + 200_000]])], ["anchor", "fp"])
+
+    return run
 
 
 def _links(key: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +179,7 @@ def _compared(batches):
             yield as_batch(*forest(a, b))
 
     for batch in batches:
-        key = batch.column("anchor").to_numpy(zero_copy_only=False) * (1 << 32) + batch.column("pair").to_numpy(zero_copy_only=False)
+        key = batch.column("anchor").to_numpy(zero_copy_only=False) * (1 << _PAIR_BITS) + batch.column("pair").to_numpy(zero_copy_only=False)
         held.append((key, batch.column("fp").to_numpy(zero_copy_only=False)))
         if sum(len(k) for k, _ in held) < 200_000 or held[0][0][0] == key[-1]:
             continue
@@ -170,9 +191,9 @@ def _compared(batches):
         yield from emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def near_pairs(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
+def near_pairs(distinct: DataFrame, block: int = BLOCK, faces=FACES) -> DataFrame:
     """(a, b): edges that join the same fingerprints as all links within LIMIT bits. distinct: each fingerprint once, as fp."""
-    placed = distinct.mapInArrow(trimmed(_replicated), "anchor long, fp long")
+    placed = distinct.mapInArrow(trimmed(_replicated(faces)), "anchor long, fp long")
     full = placed.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > block)
     if full.isEmpty():
         placed = placed.withColumn("pair", F.lit(0))
@@ -187,22 +208,29 @@ def near_pairs(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def groups(prints: DataFrame) -> DataFrame:
-    """(fp, component): the smallest doc_id among all that fp reaches. prints: doc_id, fp."""
-    ids = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-ids")
-    roots = components(near_pairs(ids.select("fp")))
-    rooted = written(ids.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "roots")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    """(fp, best): best names the first row of all that fp reaches, as a struct of (unnamed, id, tag): named ids first, then the least id, then the least tag."""
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), "tag")).alias("best")
+    ids = written(prints.groupBy("fp").agg(best), "fingerprint-ids")
+    faces = FACES if ids.count() <= WIDE_FROM else WIDE
+    roots = components(near_pairs(ids.select("fp"), faces=faces))
+    rooted = written(ids.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "root", "best"), "roots")
+    linked = rooted.filter("root is not null")
+    # written, so that the join below has plain exchanges on both sides: adaptive execution may split a giant component
+    least = written(linked.groupBy("root").agg(F.min("best").alias("least")), "least", compact=True)
+    return rooted.filter("root is null").select("fp", "best").unionByName(linked.join(least, "root").select("fp", F.col("least").alias("best")))
 
 
 def op1(docs: DataFrame) -> DataFrame:
     prints = written(fingerprints(docs), "fingerprints", compact=True)
-    named = groups(prints).withColumnRenamed("fp", "of")
+    named = groups(prints).select(F.col("fp").alias("of"), F.col("best.id").alias("component_id"))
     return prints.join(named, F.col("fp") == F.col("of")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates: that whose id names the component (of equal ids, one row); null ids stay."""
-    kept = op1(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    one = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id is null"))
+    """Exactly one row of each group of near-duplicates: that of the least id (rows without an id come last), and of equal ids that of the least hash of all its columns."""
+    tag = F.xxhash64(*docs.columns)
+    prints = written(fingerprints(docs, tag), "fingerprints", compact=True)
+    kept = groups(prints).select("best").distinct().select(F.col("best.id").alias("kept_id"), F.col("best.tag").alias("kept_tag"))
+    # rows equal in every column count once; each task keeps one of its own before the texts are shuffled
+    rows = docs.select(F.col("doc_id").alias("id"), tag.alias("tag"), F.struct("*").alias("row")).groupBy("id", "tag").agg(F.first("row").alias("row"))
+    return rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("tag") == F.col("kept_tag")), "left_semi").select("row.*")

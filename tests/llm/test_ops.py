@@ -254,81 +254,65 @@ def test_lm(docs, nothing):
     assert rows_of(lmscore.op4(nothing)) == []
 
 
-def test_suffix_tree_against_brute_force():
-    rng = random.Random(1)
-    train = [lmscore.spelled(sentence(rng, 60).encode()) for _ in range(30)] + [b"\n"]
-    depth, least, gap = 3, 5, 0.01
-    keys, counts = lmscore.count_grams(train, depth)
-    by = {}
-    for d in range(depth, 0, -1):
-        keys, counts = lmscore.summed(keys & np.uint64((1 << (8 * (d + 1))) - 1), counts)
-        by[d] = (keys, counts)
-    tree = lmscore.build_tree(by, depth, least, gap)
-    table = defaultdict(Counter)
-    for t in train:
-        padded = b"\n" * depth + t
-        for i in range(depth, len(padded)):
-            for d in range(depth + 1):
-                table[padded[i - d : i]][padded[i]] += 1
-
-    dist = {}
-    n0 = sum(table[b""].values())
-    dist[b""] = {s: (table[b""][s] + 1) / (n0 + 256) for s in range(256)}
-    best = lambda ctx: next(ctx[k:] for k in range(len(ctx) + 1) if ctx[k:] in dist)
-    for d in range(1, depth + 1):
-        new = {}
-        for ctx, follow in table.items():
-            n = sum(follow.values())
-            if len(ctx) != d or n < least:
-                continue
-            below, t = dist[best(ctx[1:])], len(follow)
-            p = {s: (follow[s] + t * below[s]) / (n + t) for s in range(256)}
-            if sum(p[s] * math.log2(p[s] / below[s]) for s in table[b""]) >= gap:
-                new[ctx] = p
-        dist.update(new)
-    assert tree["retained"] == len(dist)
-    texts = [train[0], b"\n", b"zq unseen \xff bytes\n", (b"the of and " * 200).strip() + b"\n"]
-    want = []
-    for t in texts:
-        padded = b"\n" * depth + t
-        want.append(sum(math.log10(dist[best(padded[i - depth : i])][padded[i]]) for i in range(depth, len(padded))))
-    assert np.allclose(lmscore.tree_scores(tree, texts), want, rtol=1e-5)
-    for ctx in dist:
-        assert abs(sum(dist[ctx].values()) - 1) < 1e-9
+def fold7(i):
+    return zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
 
 
-def one_tree(train, depth, least, gap):
-    keys, counts = lmscore.count_grams(train, depth)
-    by = {}
-    for d in range(depth, 0, -1):
-        keys, counts = lmscore.summed(keys & np.uint64((1 << (8 * (d + 1))) - 1), counts)
-        by[d] = (keys, counts)
-    return lmscore.build_tree(by, depth, least, gap)
+def lm_rows(seed=2, n=90):
+    """Invented prose with repeated phrases, copies, hapaxes, empty texts, null ids."""
+    rng = random.Random(seed)
+    phrases = [sentence(rng, rng.randint(2, 6)) for _ in range(30)]
+    texts = [" ".join(rng.choice(phrases) if rng.random() < 0.7 else f"w{rng.randint(0, 400)}" for _ in range(rng.randint(1, 60))) for _ in range(n)]
+    texts += [texts[0]] * 5 + ["", None, "", "Once", "once ONCE\x0bonce", "\u00c9t\u00e9 \u2003 x"]
+    return [(i if i % 9 else None, t, "en", "s", 1) for i, t in enumerate(texts)]
 
 
-def test_suffix_tree_in_buckets_is_the_same_model(docs):
-    rows = corpus()
-    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
-    spelled = lambda t: lmscore.spelled((t or "").encode())
-    tree = one_tree([spelled(t) for i, t, *_ in rows if not held(i)], lmscore.DEPTH, lmscore.LEAST, lmscore.MIN_DIVERGENCE)
-    want = sorted((str(r[0]), float(x)) for r, x in zip(rows, lmscore.tree_scores(tree, [spelled(t) for _, t, *_ in rows]), strict=True))
-    got = sorted((str(r["doc_id"]), r["score"]) for r in lmscore.op4(docs).collect())
+def even_rows():
+    """Words drawn one by one: most contexts tell nothing of what follows."""
+    rng = random.Random(9)
+    return [(i, " ".join(rng.choice(WORDS[:8]) for _ in range(60)), "en", "s", 1) for i in range(60)]
+
+
+@pytest.mark.parametrize(("rows", "batches", "hot"), [(lm_rows(), 1, 1 << 20), (lm_rows(), 7, 1 << 20), (lm_rows(), 7, 5), (even_rows(), 40, 1 << 20), (even_rows(), 5, 40)])
+def test_suffix_tree_in_buckets_is_the_brute_force_model(spark, monkeypatch, rows, batches, hot):
+    """Scores of op4 over any number of buckets, with hot contexts dealt by followers or not, are those of the tree in dictionaries."""
+    monkeypatch.setattr(lmscore, "batch_count", lambda *_: batches)
+    words = lambda t: lmscore.tokens((t or "").encode())
+    model = lmscore.Model([words(t) for i, t, *_ in rows if not fold7(i)])
+    # contexts of both lengths that are retained, or (words drawn one by one) some that are not
+    left = [len(s) for s, f in model.after.items() if s not in model.kept and sum(f.values()) > 1]
+    assert {len(s) for s in model.kept} == {1, 2} if len(rows) > 60 else model.kept and left.count(1) > 3 and left.count(2) > 3
+    want = sorted((str(i), model.score(words(t))) for i, t, *_ in rows)
+    if hot < 10:
+        monkeypatch.setattr(lmscore, "MOST_HOT", 10**9)
+    got = sorted((str(r["doc_id"]), r["score"]) for r in lmscore.op4(spark.createDataFrame(rows, DOC).repartition(3), hot=hot).collect())
     assert [i for i, _ in got] == [i for i, _ in want]
-    assert np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-5, atol=1e-3)
+    assert np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-9)
+
+
+def test_tree_distributions_sum_to_one():
+    rows = lm_rows()
+    model = lmscore.Model([lmscore.tokens((t or "").encode()) for i, t, *_ in rows if not fold7(i)])
+    unseen = b"never seen"
+    for s in [(), *list(model.kept)[:200]]:
+        assert abs(sum(model.probability(s, w) for w in [*model.words, unseen]) - 1) < 1e-9
+
+
+def test_tree_beats_its_base_on_unseen_texts(spark):
+    got = lmscore.op4(spark.createDataFrame(lm_rows(5, 400), DOC)).collect()
+    for held in (True, False):
+        part = [r for r in got if r["held_out"] == held]
+        assert len(part) > 40 and sum(r["score"] for r in part) > 0.95 * sum(r["base_score"] for r in part)
 
 
 def test_suffix_tree_threshold_does_not_rise_with_the_corpus(spark):
-    """A context that is seen 9 times is in the model beside 3 MB of other text, as it is alone."""
+    """A phrase seen twice in training is in the model beside a million words of other text, as it is alone."""
     rng = random.Random(3)
-    rare = "qzxjqzxjk"
     filler = [(i, sentence(rng, 60_000), "en", "s", 1) for i in range(12)]
-    rows = filler + [(100 + i, rare, "en", "s", 1) for i in range(12)]
-    out = {r["doc_id"]: r["score"] for r in lmscore.op4(spark.createDataFrame(rows, DOC), 1).collect()}
-    spelled = [lmscore.spelled(t.encode()) for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
-    assert sum(map(len, spelled)) > 1_700_000 and 8 <= sum(t == lmscore.spelled(rare.encode()) for t in spelled) < 14
-    tree = one_tree(spelled, lmscore.DEPTH, 8, lmscore.MIN_DIVERGENCE)
-    texts = [lmscore.spelled(t.encode()) for _, t, *_ in rows]
-    assert np.allclose([out[i] for i, *_ in rows], lmscore.tree_scores(tree, texts), rtol=1e-5, atol=1e-3)
+    twice = [(100 + i, "qa qb qc qd qe qf", "en", "s", 1) for i in range(40) if not fold7(100 + i)][:2]
+    alone, beside = ({r["doc_id"]: r["score"] - r["base_score"] for r in lmscore.op4(spark.createDataFrame(rows, DOC), 1).collect()} for rows in (twice, twice + filler))
+    for i, *_ in twice:
+        assert beside[i] > alone[i] > 0
 
 
 # ---- op5 ----

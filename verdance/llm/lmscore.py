@@ -1,475 +1,512 @@
-"""Language-model scores from a probabilistic suffix tree.
-
-The base score is that of a unigram model with one added to every count. The model proper reads a text as its
-tokens: lower-cased words joined by single blanks, then an end mark; that spelling gives the words back, so a probability of
-its bytes is a probability of the tokens. The tree's symbols are those bytes, its contexts the last 0 to `depth` of
-them (a text starts after end marks).
-
-Candidates are contexts seen at least `least` times, whatever the size of the corpus, so the tree grows with the texts. A
-candidate is retained if its next-symbol distribution diverges from that of its longest retained suffix by at least
-`min_divergence` bits. A distribution is smoothed with its suffix's: (count + t * P_suffix) / (n + t), t being the number of
-different next symbols; the root adds one to each of 256 counts. A score takes, for every symbol, the longest retained
-suffix of what precedes it.
-
-The tree is never in one place. Contexts of up to SHARED bytes, whose number the alphabet bounds, are counted first and
-broadcast; the others are dealt to buckets by their last SHARED + 1 bytes, so that a context lies with all its longer
-suffixes. Batches of texts ask the buckets for each different string of `depth` + 1 bytes that occurs in them, with its
-count in training texts, and buckets answer with the logarithm of the last byte's probability. `build_tree` and
-`tree_scores` are the same model as one automaton, for corpora that fit in memory; tests hold the two together.
-
-Counting is over every training text: batches count their own strings first, and buckets add up the counts. Word counts
-for the base score go through a question and answer of the same kind between batches of texts and buckets of words, so that
-no task holds the vocabulary. Words are compared by 64-bit hashes. Null texts are empty: one token, the end.
-Null ids hash as the empty string. Repeated rows count each. With no training rows all counts are zero.
+"""Language-model scores from a probabilistic suffix tree over words.
+
+The base score is that of a unigram model with one added to every count. The tree's symbols are the tokens themselves
+(lower-cased words, then an end mark; unseen words share one symbol), its contexts the last 0 to DEPTH tokens; a text
+starts after DEPTH start marks, which are contexts only. The root is the base distribution. Candidates are all contexts
+seen at least LEAST times in training, whatever the size of the corpus. A candidate's distribution is the mean of what
+followed it and of its longest retained suffix's distribution, so each sums to one:
+
+    P(w | s) = count(s w) / (2 count(s)) + P(w | suffix of s) / 2
+
+It is retained if the two diverge (Kullback-Leibler) by at least MIN_DIVERGENCE bits; for this test alone suffix
+probabilities are rounded to a 64th of a bit, so that two bytes carry them. A score takes, for every token, the
+longest retained suffix of what precedes it.
+
+The tree is never in one place. Texts are dealt to batches of about `batch_mb` by a hash of their place in the input (equal
+rows spread like others), and one shuffle of them serves all steps. In step 0 a batch asks the buckets of its words for
+their counts; in step d it asks about the strings of d + 1 tokens whose first d have LEAST occurrences. What a batch can
+tell by itself is not asked: buckets also say which strings other batches have (in any text, held out or not), and a longer
+string that contains one that is here alone is here alone. Buckets add up the counts of a context's followers, test its divergence, and answer with the
+counts and one bit a context. A context with more than `hot` occurrences (and so perhaps a follower list without
+bound) is dealt to several buckets by its followers; their shares of the divergence are added up and the contexts that pass
+(at most MOST_HOT of them, as `hot` rises with the corpus) come back as one row. Answers that a later step needs travel through the
+buckets as a compressed state of each batch. `Model` is the same model in plain dictionaries, for small
+corpora; tests hold the two together.
+
+Words and contexts are compared by 64-bit hashes, followers of one context by 40 bits of theirs. Null texts are empty: one
+token, the end. Null ids hash as the empty string. Repeated rows count each. With no training rows all counts are zero.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_count, fold, slices, text_bytes, trimmed, trimmed_group
+from .common import batch_count, fold, slices, trimmed_group
 
-DEPTH = 6
-SHARED = 2
-LEAST = 8
-MIN_DIVERGENCE = 0.005
+DEPTH = 2
+LEAST = 2
+MIN_DIVERGENCE = 0.1
 BATCH_MB = 10
-PIECE = 512
-SLOT_BITS = 23
-CHUNK = 1 << 22
+HOT = 1 << 20
+MOST_HOT = 10_000
 END = b"\n"
+#: The start marks, the one before the first token first: no word holds a line end.
+STARTS = [END * (k + 2) for k in range(DEPTH)]
+_NAMES = np.array([xxhash.xxh64_intdigest(END), *(xxhash.xxh64_intdigest(s) for s in STARTS)], np.uint64)
+_STEP = 64  # parts of a bit to which the test rounds
+_FOLLOWER = np.uint64((1 << 40) - 1)
 
 
 def tokens(raw: bytes) -> list[bytes]:
     return [*raw.lower().split(), END]
 
 
-def spelled(raw: bytes) -> bytes:
-    return b" ".join(raw.lower().split()) + END
-
-
-# ---- the tree ----
-
-
-def grams(texts: list[bytes], depth: int) -> np.ndarray:
-    """The string of depth + 1 bytes (packed, the last byte lowest) that ends at each byte of each text."""
-    pad = END * depth
-    data = np.frombuffer(b"".join(pad + t for t in texts), np.uint8)
-    lens = np.fromiter(map(len, texts), np.int64, len(texts))
-    g = np.zeros(len(data), np.uint64)
-    for back in range(depth + 1):
-        g[back:] |= data[: len(data) - back].astype(np.uint64) << np.uint64(8 * back)
-    edge = np.zeros(len(data) + 1, np.int8)
-    starts = np.cumsum(lens + depth) - lens
-    edge[starts] += 1
-    np.add.at(edge, starts + lens, -1)
-    return g[np.cumsum(edge[:-1]) > 0]
-
-
-def count_grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The different strings of `grams`, and how often each occurs."""
-    return np.unique(grams(texts, depth), return_counts=True)
-
-
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
-
-
-def chunks(texts: list[bytes], size: int = CHUNK):
-    """Runs of texts of about that many bytes."""
-    part, held = [], 0
-    for t in texts:
-        part.append(t)
-        held += len(t)
-        if held > size:
-            yield part
-            part, held = [], 0
-    if part:
-        yield part
-
-
-def _mask(n: int) -> np.uint64:
-    return np.uint64((1 << (8 * n)) - 1)
-
-
-def _starts(sorted_keys: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
-
-
-def distinct(keys: np.ndarray) -> np.ndarray:
-    """np.unique by sorting, which is faster here than its hashing."""
-    keys = np.sort(keys)
-    return keys[_starts(keys)] if len(keys) else keys
-
-
-def gram_logs(keys: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray], depth: int, least: int, min_divergence: float, shared: int = SHARED) -> np.ndarray:
-    """log10 probability of the last byte of each string of depth + 1 bytes, given those before it.
-
-    keys: sorted and distinct, with their counts in training (which may be 0), and among them every counted string that has
-    the same last shared + 1 context bytes as one of them. low: all counted strings of shared + 1 bytes.
-    """
-    if not len(keys):
-        return np.zeros(0, np.float32)
-    levels = {depth: (keys, counts)}
-    for d in range(depth - 1, shared, -1):
-        above = levels[d + 1]
-        levels[d] = summed(above[0] & _mask(d + 1), above[1])
-    own = distinct(levels[min(depth, shared + 1)][0] & _mask(shared + 1))
-    levels[shared] = summed(np.concatenate([low[0], own]), np.concatenate([low[1], np.zeros(len(own), np.int64)]))
-    for d in range(shared - 1, -1, -1):
-        above = levels[d + 1]
-        levels[d] = summed(above[0] & _mask(d + 1), above[1])
-    entries, n0 = levels[0]
-    p = (n0 + 1) / (n0.sum() + 256)
-    contexts, mass = np.zeros(1, np.uint64), np.array([p[n0 > 0].sum()])  # mass: of the bytes seen in training
-    for d in range(1, depth + 1):
-        grown, c = levels[d]
-        below = p[np.searchsorted(entries, grown & _mask(d))]
-        context = grown >> np.uint64(8)
-        first = _starts(context)
-        size = np.diff(np.append(first, len(grown)))
-        seen = c > 0
-        n, t = np.add.reduceat(c, first), np.add.reduceat(seen.astype(np.int64), first)
-        all_n, all_t = np.repeat(n, size), np.repeat(t, size)
-        q = np.where(all_n > 0, (c + all_t * below) / np.maximum(all_n + all_t, 1), below)
-        under = mass[np.searchsorted(contexts, context[first] & _mask(d - 1))]
-        share = t / np.maximum(n + t, 1)  # what the suffix's distribution counts for
-        rest = under - np.add.reduceat(np.where(seen, below, 0.0), first)
-        diverges = np.add.reduceat(np.where(seen, q * np.log2(q / below), 0.0), first) + share * np.log2(np.maximum(share, 1e-300)) * rest
-        keep = (n >= least) & (diverges >= min_divergence)
-        p = np.where(np.repeat(keep, size), q, below)
-        mass = np.where(keep, (n + t * under) / np.maximum(n + t, 1), under)
-        entries, contexts = grown, context[first]
-    return np.log10(p).astype(np.float32)
-
-
-def build_tree(by_depth: dict[int, tuple[np.ndarray, np.ndarray]], depth: int, least: int, min_divergence: float) -> dict:
-    """The automaton: class of each byte, next state and log10 probability by (state, class), and the start state."""
-    keys1, counts1 = by_depth.get(1, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-    seen = np.unique(keys1 & np.uint64(255)).astype(np.int64)
-    other = len(seen)  # the class of bytes never seen: each has the probability of one such byte
-    classes = np.full(256, other, np.int32)
-    classes[seen] = np.arange(other)
-    width = other + 2  # and a class of padding: no step, no cost
-    root = np.bincount(classes[(keys1 & np.uint64(255)).astype(np.int64)], weights=counts1, minlength=other + 1) if len(keys1) else np.zeros(other + 1)
-    probs = [((root + 1) / (root.sum() + 256))[None, :]]
-    contexts, offsets, parents, used = [np.zeros(1, np.uint64)], [0], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
-    states, rows = 1, 1
-    for d in range(1, depth + 1):
-        keys, counts = by_depth.get(d, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-        context, inverse = np.unique(keys >> np.uint64(8), return_inverse=True)
-        n = np.bincount(inverse, weights=counts, minlength=len(context)) if len(keys) else np.zeros(0)
-        keep = n >= least
-        number = np.cumsum(keep) - 1
-        mine = keep[inverse] if len(keys) else np.zeros(0, bool)
-        context, n = context[keep], n[keep]
-        matrix = np.zeros((len(context), other + 1))
-        np.add.at(matrix, (number[inverse[mine]], classes[(keys[mine] & np.uint64(255)).astype(np.int64)]), counts[mine])
-        parent = offsets[-1] + np.searchsorted(contexts[-1], context & np.uint64((1 << (8 * (d - 1))) - 1))
-        all_used = np.concatenate(used)
-        below = np.concatenate(probs)[all_used[parent]] if len(context) else np.zeros((0, other + 1))
-        t = (matrix > 0).sum(axis=1)
-        p = (matrix + t[:, None] * below) / (n + t)[:, None]
-        diverges = (p[:, :other] * np.log2(p[:, :other] / below[:, :other])).sum(axis=1) >= min_divergence
-        mine_used = all_used[parent].copy()
-        mine_used[diverges] = rows + np.arange(int(diverges.sum()))
-        probs.append(p[diverges])
-        rows += int(diverges.sum())
-        contexts.append(context)
-        offsets.append(states)
-        parents.append(parent)
-        used.append(mine_used)
-        states += len(context)
-    step = np.zeros((states, width), np.int32)
-    step[0, classes[contexts[1].astype(np.int64)]] = offsets[1] + np.arange(len(contexts[1])) if depth else 0
-    for d in range(1, depth + 1):
-        at = slice(offsets[d], offsets[d] + len(contexts[d]))
-        step[at] = step[parents[d]]
-        if d < depth and len(contexts[d + 1]):
-            child = contexts[d + 1]
-            prefix = offsets[d] + np.searchsorted(contexts[d], child >> np.uint64(8))
-            step[prefix, classes[(child & np.uint64(255)).astype(np.int64)]] = offsets[d + 1] + np.arange(len(child))
-    step[:, width - 1] = 0
-    log = np.zeros((rows, width), np.float32)
-    log[:, : other + 1] = np.log10(np.concatenate(probs))
-    start = 0
-    for _ in range(depth):
-        start = int(step[start, classes[10]])
-    return {"classes": classes, "step": step.ravel(), "used": np.concatenate(used).astype(np.int32), "log": log.ravel(), "width": width, "start": start, "depth": depth, "states": states, "retained": rows}
-
-
-def tree_scores(tree: dict, texts: list[bytes]) -> np.ndarray:
-    """log10 probability of each spelled text. Texts are cut into pieces, each warmed up on the `depth` bytes before it."""
-    d, width = tree["depth"], tree["width"]
-    out = np.zeros(len(texts))
-    lens = np.fromiter(map(len, texts), np.int64, len(texts))
-    i = 0
-    while i < len(texts):
-        j, size = i, 0
-        while j < len(texts) and (j == i or size + lens[j] <= CHUNK // 2):
-            size += int(lens[j])
-            j += 1
-        part = lens[i:j]
-        data = np.frombuffer(b"".join(END * d + t for t in texts[i:j]), np.uint8)
-        data = np.append(tree["classes"][data], np.full(PIECE + d, width - 1, np.int32))
-        begins = np.cumsum(part + d) - part - d  # where the warm-up of the text's first piece begins
-        pieces = -(-part // PIECE)
-        owner = np.repeat(np.arange(j - i), pieces)
-        place = (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
-        at = begins[owner] + place
-        left = np.minimum(part[owner] - place, PIECE)
-        order = np.argsort(-left, kind="stable")  # full pieces first, so that a column needs only the first rows
-        at, left, owner = at[order], left[order], owner[order]
-        alive = np.searchsorted(-left, -np.arange(PIECE), side="left")  # pieces longer than the column's number
-        state = np.zeros(len(at), np.int64)
-        for k in range(d):
-            state = tree["step"][state * width + data[at + k]]
-            state = state.astype(np.int64)
-        total = np.zeros(len(at))
-        for k in range(PIECE):
-            n = alive[k]
-            if not n:
-                break
-            symbol = data[at[:n] + (d + k)]
-            now = state[:n]
-            total[:n] += tree["log"][tree["used"][now].astype(np.int64) * width + symbol]
-            state[:n] = tree["step"][now * width + symbol]
-        out[i:j] = np.bincount(owner, weights=total, minlength=j - i)
-        i = j
-    return out
-
-
-# ---- the tree in buckets ----
-
-GRAM_ASK = "bucket int, batch int, n int, grams binary"
+def rounded(p: np.ndarray) -> np.ndarray:
+    """Parts of a bit, in two bytes."""
+    return np.clip(np.round(-_STEP * np.log2(p)), 0, 65535).astype(np.uint16)
+
+
+def divergence_parts(c: np.ndarray, n: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of followers seen c > 0 times after a context seen n times, q being their rounded suffix probabilities. The divergence is sum(a) - (1 - sum(b)) / 2."""
+    below = np.exp2(-q.astype(np.float64) / _STEP)
+    p = c / (2 * n) + below / 2
+    return p * np.log2(p / below), below
+
+
+class Model:
+    """The same tree in dictionaries: log10 probability of token lists."""
+
+    def __init__(self, train: list[list[bytes]], depth: int = DEPTH, least: int = LEAST, min_divergence: float = MIN_DIVERGENCE):
+        self.depth, self.words = depth, Counter(w for t in train for w in t)
+        self.total = sum(self.words.values()) + len(self.words) + 1
+        self.after: dict[tuple, Counter] = {}
+        for t in train:
+            padded = [*STARTS[:depth][::-1], *t]
+            for i in range(depth, len(padded)):
+                for d in range(1, depth + 1):
+                    self.after.setdefault(tuple(padded[i - d : i]), Counter())[padded[i]] += 1
+        self.kept: set[tuple] = set()
+        for d in range(1, depth + 1):  # a test needs the suffixes' distributions, which are shorter
+            passed = []
+            for s, follow in self.after.items():
+                n = sum(follow.values())
+                if len(s) != d or n < least:
+                    continue
+                q = rounded(np.array([self.probability(s[1:], w) for w in follow]))
+                a, b = divergence_parts(np.array(list(follow.values())), np.full(len(follow), n), q)
+                if a.sum() - (1 - b.sum()) / 2 >= min_divergence:
+                    passed.append(s)
+            self.kept.update(passed)
+
+    def probability(self, s: tuple, w: bytes) -> float:
+        """Of w after s: by the longest retained suffix of s."""
+        if not s:
+            return (self.words[w] + 1) / self.total
+        below = self.probability(s[1:], w)
+        if s not in self.kept:
+            return below
+        follow = self.after[s]
+        return follow[w] / (2 * sum(follow.values())) + below / 2
+
+    def score(self, t: list[bytes]) -> float:
+        padded = [*STARTS[: self.depth][::-1], *t]
+        return float(sum(np.log10(self.probability(tuple(padded[i - self.depth : i]), padded[i])) for i in range(self.depth, len(padded))))
+
+
+# ---- messages ----
+
+ASK = "route int, batch int, kind int, contexts int, entries int, body binary"
+ANSWER = "route int, batch int, kind int, body binary"
+_COLD, _HOT, _STATE = 0, 1, 2
+_TYPES = {"int": pa.int32(), "binary": pa.binary()}
+
+
+def _as_table(rows: list[tuple], schema: str) -> pa.Table:
+    fields = [x.split() for x in schema.split(", ")]
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+    return pa.table({name: pa.array(c, _TYPES[kind]) for c, (name, kind) in zip(cols, fields, strict=True)})
 
 
 def _planes(x: np.ndarray, width: int) -> bytes:
     """The low `width` bytes of each number, all lowest bytes first: sorted keys and small counts then compress well."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def _unplaned(raw: bytes, n: int, width: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
-    return out.view("<u8").ravel().astype(np.uint64)
-
-
-def packed_grams(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    return pa.compress(_planes(keys, 7) + _planes(counts, 5), codec="zstd", asbytes=True)
-
-
-def unpacked_grams(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    raw = pa.decompress(blob, decompressed_size=12 * n, codec="zstd", asbytes=True)
-    return _unplaned(raw[: 7 * n], n, 7), _unplaned(raw[7 * n :], n, 5).astype(np.int64)
+    return np.ascontiguousarray(x.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _routes(keys: np.ndarray, buckets: int) -> np.ndarray:
-    near = (keys >> np.uint64(8)) & _mask(SHARED + 1)  # the context's last bytes
-    return (near * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(buckets)
+def _pack(*columns: tuple[np.ndarray, int]) -> bytes:
+    """Unsigned columns in so many bytes each, compressed; `_unpack` has to know the lengths."""
+    return pa.compress(b"".join(_planes(x, width) for x, width in columns), codec="zstd", asbytes=True)
 
 
-def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """The order by bucket, keys in order within one, and the (bucket, start, end) that occur."""
-    route = _routes(keys, buckets)
-    order = np.argsort(route, kind="stable")
-    return order, slices(route[order])
-
-
-def _low_counted(buckets: int):
-    def run(batches):
-        parts = []
-        for b in batches:
-            for part in chunks([spelled(raw) for raw in b.column("raw").to_pylist()]):
-                parts.append(count_grams(part, SHARED))
-            if len(parts) > 16:
-                parts = [summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
-        if parts:
-            keys, counts = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            route = keys % np.uint64(buckets)
-            order = np.argsort(route, kind="stable")
-            keys, counts = keys[order], counts[order]
-            rows = [(b, keys[i:j].tobytes(), counts[i:j].astype(np.int64).tobytes()) for b, i, j in slices(route[order])]
-            cols = list(zip(*rows, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["bucket", "keys", "counts"])
-
-    return run
-
-
-def _low_added(key, table):
-    keys, counts = summed(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]), np.concatenate([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()]))
-    return pa.table({"keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
-
-
-def low_counts(train: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counted strings of SHARED + 1 bytes of all training texts (raw): as many as the alphabet allows, not the corpus."""
-    few = min(buckets, 256)
-    found = train.mapInArrow(trimmed(_low_counted(few)), "bucket int, keys binary, counts binary").groupBy("bucket").applyInArrow(_low_added, "keys binary, counts binary").collect()
-    empty = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    return summed(np.concatenate(empty[0] + [np.frombuffer(r["keys"], np.uint64) for r in found]), np.concatenate(empty[1] + [np.frombuffer(r["counts"], np.int64) for r in found]))
+def _unpack(blob: bytes, *shape: tuple[int, int]) -> list[np.ndarray]:
+    """shape: (length, width) of each column."""
+    raw = pa.decompress(blob, decompressed_size=sum(n * w for n, w in shape), codec="zstd", asbytes=True)
+    out, at = [], 0
+    for n, w in shape:
+        out.append(_column(raw, at, n, w))
+        at += n * w
+    return out
 
 
-def _gram_ask(buckets: int):
+def _column(raw: bytes, at: int, n: int, width: int) -> np.ndarray:
+    x = np.zeros((n, 8), np.uint8)
+    if n * width:
+        x[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+    return x.view("<u8").ravel()
+
+
+def _route(h: np.ndarray, routes: int) -> np.ndarray:
+    """Ranges of the high bits: rising with h."""
+    return (((h >> np.uint64(32)) * np.uint64(routes)) >> np.uint64(32)).astype(np.int64)
+
+
+def _mix(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    x = (h ^ (w * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and each key's place among them."""
+    order = np.argsort(keys)
+    s = keys[order]
+    fresh = np.concatenate([[True], s[1:] != s[:-1]])[: len(s)]
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(fresh) - 1
+    return s[fresh], inverse
+
+
+# ---- batches ----
+
+
+class Level:
+    """Distinct strings of d + 1 tokens of a batch, in the order of their contexts' hashes, then of their last words' hashes."""
+
+    def __init__(self, at: np.ndarray, ids: np.ndarray, context: np.ndarray, word: np.ndarray, suffix: np.ndarray, local: np.ndarray):
+        self.at = at  # positions that have such a string, whose context has LEAST occurrences
+        self.ids = ids  # the string that ends at each position, -1 elsewhere
+        self.context, self.word, self.suffix = context, word, suffix  # by string: strings of d tokens (before the word, ending with it), the word
+        self.local = local  # training occurrences in this batch
+        self.count = local  # in all batches, once known
+        self.shared = np.ones(len(local), bool)  # with other batches, in any of their texts; strings without training occurrences need not say
+        self.name = np.zeros(0, np.uint64)  # hash, by which the next level knows it as a context
+        self.kept = np.zeros(0, bool)  # by context: retained
+        self.p = np.zeros(0)  # of the word after the context's longest retained suffix
+
+
+class Batch:
+    """Texts as one array of word numbers (places among the sorted hashes), start marks before each."""
+
+    def __init__(self, texts: pa.Table):
+        col = texts.column("text").combine_chunks()
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(col))
+        values, owner = lists.flatten(), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+        full = pc.greater(pc.binary_length(values), 0)
+        owner = owner[full.to_numpy(zero_copy_only=False)]
+        coded = values.filter(full).dictionary_encode()
+        digest = xxhash.xxh64_intdigest
+        names = np.array([digest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
+        self.train = texts.column("train").to_numpy(zero_copy_only=False).astype(bool)
+        self.words, number = _distinct(np.concatenate([_NAMES, names]))
+        k = np.bincount(owner, minlength=len(col)).astype(np.int64)
+        self.size = k + 1  # tokens of each text
+        starts = np.cumsum(self.size + DEPTH) - self.size - DEPTH
+        x = np.empty(int((self.size + DEPTH).sum()), np.int64)
+        for j in range(DEPTH):
+            x[starts + j] = number[DEPTH - j]
+        x[starts + DEPTH + k] = number[0]
+        first = np.cumsum(k) - k
+        x[starts[owner] + DEPTH + np.arange(len(owner)) - first[owner]] = number[len(_NAMES) + coded.indices.to_numpy(zero_copy_only=False)]
+        self.place = np.arange(len(x)) - np.repeat(starts, self.size + DEPTH)  # in its text
+        own = np.repeat(self.train, self.size + DEPTH)
+        self.own = own.astype(np.float64)
+        self.token = self.place >= DEPTH
+        zero = np.zeros(len(self.words), np.int64)
+        local = np.bincount(x, weights=self.own, minlength=len(self.words)).astype(np.int64)
+        self.levels = [Level(np.arange(len(x)), x, zero, np.arange(len(self.words)), zero, local)]
+        self.levels[0].name = self.words
+
+    def counted(self, count: np.ndarray, shared: np.ndarray, total: int) -> None:
+        """Counts of the words in all batches, whether others have them, and the root's total."""
+        self.levels[0].count, self.levels[0].shared, self.total = count, shared.astype(bool), total
+        self.levels[0].p = (count + 1) / total
+
+    def grow(self) -> Level:
+        """The next level: strings whose context has LEAST occurrences."""
+        d, below = len(self.levels), self.levels[-1]
+        at = np.flatnonzero(self.place >= d)
+        before = below.ids[at - 1]
+        ok = before >= 0
+        ok[ok] = below.count[before[ok]] >= LEAST
+        at, before = at[ok], before[ok]
+        rank = np.empty(len(below.name), np.int64)
+        order = np.argsort(below.name)
+        rank[order] = np.arange(len(order))
+        words = len(self.words)
+        keys, inverse = _distinct(rank[before] * words + self.levels[0].ids[at])
+        ids = np.full(len(self.place), -1)
+        ids[at] = inverse
+        suffix = np.empty(len(keys), np.int64)
+        suffix[inverse] = below.ids[at]  # defined: a context with LEAST occurrences ends in one
+        new = Level(at, ids, order[keys // words], keys % words, suffix, np.bincount(inverse, weights=self.own[at], minlength=len(keys)).astype(np.int64))
+        new.name = _mix(below.name[new.context], self.words[new.word])
+        self.levels.append(new)
+        return new
+
+    def questions(self, hot: int) -> tuple[list, np.ndarray]:
+        """What the newest level has to ask: for cold and for hot contexts (kind, contexts, their shares a and b of the divergence that are known here, entries' strings, entries' contexts); and every string's rounded suffix probability. Contexts that occur here only are settled."""
+        new, below = self.levels[-1], self.levels[-2]
+        n = below.count[new.context]
+        q = rounded(below.p[new.suffix])
+        elsewhere = below.shared[new.context]
+        open_ = elsewhere & below.shared[new.suffix] & (below.count[new.suffix] > 0)
+        known = ~open_ & (new.local > 0)
+        a, b = np.zeros(len(n)), np.zeros(len(n))
+        a[known], b[known] = divergence_parts(new.local[known], n[known], q[known])
+        first = np.flatnonzero(np.concatenate([[True], new.context[1:] != new.context[:-1]])[: len(n)])
+        new.kept = np.zeros(len(below.name), bool)
+        if not len(first):
+            return [], q
+        head = new.context[first]
+        a, b = np.add.reduceat(a, first), np.add.reduceat(b, first)
+        settled = ~elsewhere[first]
+        new.kept[head[settled]] = (a - (1 - b) / 2 >= MIN_DIVERGENCE)[settled]
+        many = below.count[head] > hot
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(n))))
+        out = []
+        for kind, mine in ((_COLD, ~settled & ~many), (_HOT, ~settled & many)):
+            entries = np.flatnonzero(open_ & mine[group])
+            out.append((kind, np.flatnonzero(mine), entries, group[entries]))
+        return [(kind, head[g], a[g], b[g], entries, np.searchsorted(g, owner)) for kind, g, entries, owner in out], q
+
+    def asked(self, hot: int, routes: int):
+        """(kind, route, contexts, entries, body, entries' strings, contexts) of each message, in an order that only the batch's words and the counts decide."""
+        found, q = self.questions(hot)
+        new, below = self.levels[-1], self.levels[-2]
+        for kind, head, a, b, entries, owner in found:
+            name, n, follower = below.name[head], below.count[head], self.words[new.word[entries]]
+            key, of = name, np.arange(len(head))
+            if kind == _HOT and len(head):
+                # each slice of a context that has entries, and slice 0 in any case: it carries what is known already
+                cut = -(-n // hot)
+                piece = (follower % cut[owner].astype(np.uint64)).astype(np.int64)
+                pairs, owner = _distinct(np.concatenate([owner * (1 << 32) + piece, np.arange(len(head)) * (1 << 32)]))
+                of, owner = pairs >> 32, owner[: len(entries)]
+                key = _mix(name[of], (pairs & 0xFFFFFFFF).astype(np.uint64) + np.uint64(1))
+                lead = (pairs & 0xFFFFFFFF) == 0
+                a, b = np.where(lead, a[of], 0), np.where(lead, b[of], 0)
+                by = np.argsort(key)
+                back = np.empty(len(by), np.int64)
+                back[by] = np.arange(len(by))
+                key, of, a, b, owner = key[by], of[by], a[by], b[by], back[owner]
+                by = np.lexsort((follower, owner))
+                entries, follower, owner = entries[by], follower[by], owner[by]
+            ends = np.searchsorted(owner, np.arange(len(key) + 1))
+            for route, i, j in slices(_route(key, routes)):
+                e = slice(ends[i], ends[j])
+                body = _pack(
+                    (key[i:j], 8), (name[of[i:j]], 8 * (kind == _HOT)), (n[of[i:j]], 6), (np.diff(ends[i : j + 1]), 4), (a[i:j].astype("<f4").view("<u4"), 4), (b[i:j].astype("<f4").view("<u4"), 4),
+                    (follower[e] & _FOLLOWER, 5), (new.local[entries[e]], 5), (q[entries[e]], 2),
+                )
+                yield kind, route, j - i, e.stop - e.start, body, entries[e], head[of[i:j]]
+
+    def heard(self, answers: dict[tuple[int, int], bytes], kept_hot: np.ndarray, hot: int, routes: int) -> None:
+        """Counts and retained contexts of the newest level, from the buckets' answers."""
+        new = self.levels[-1]
+        new.count, new.shared = new.local.copy(), np.zeros(len(new.local), bool)
+        for kind, route, contexts, entries, _, strings, heads in self.asked(hot, routes):
+            count, shared, kept = _unpack(answers[kind, route], (entries, 6), (entries, 1), (contexts, 1))
+            new.count[strings], new.shared[strings] = count.astype(np.int64), shared.astype(bool)
+            if kind == _COLD:
+                new.kept[heads] = kept.astype(bool)
+            else:
+                new.kept[heads] = np.isin(self.levels[-2].name[heads], kept_hot)
+        self.finish()
+
+    def finish(self) -> None:
+        new, below = self.levels[-1], self.levels[-2]
+        p = below.p[new.suffix]
+        n = np.maximum(below.count[new.context], 1)
+        new.p = np.where(new.kept[new.context], new.count / (2 * n) + p / 2, p)
+
+    def state(self) -> bytes:
+        """What is known so far: the total, and of each level counts, what is shared and retained contexts; its unpacked size goes before it."""
+        columns = [(np.array([self.total]), 8), (self.levels[0].count, 6), (self.levels[0].shared, 1)]
+        for level in self.levels[1:]:
+            columns += [(level.count, 6), (level.shared, 1), (level.kept, 1)]
+        return sum(len(x) * width for x, width in columns).to_bytes(8, "little") + _pack(*columns)
+
+    def restore(self, blob: bytes, grown: int) -> None:
+        """The levels up to `grown` as they were when the state was packed; lengths follow from the counts before them."""
+        raw = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+        at = 0
+
+        def take(n: int, width: int) -> np.ndarray:
+            nonlocal at
+            at += n * width
+            return _column(raw, at - n * width, n, width).astype(np.int64)
+
+        total = int(take(1, 8)[0])
+        self.counted(take(len(self.words), 6), take(len(self.words), 1), total)
+        for _ in range(grown):
+            new = self.grow()
+            new.count, new.shared = take(len(new.local), 6), take(len(new.local), 1).astype(bool)
+            new.kept = take(len(self.levels[-2].name), 1).astype(bool)
+            self.finish()
+
+    def hot(self, hot: int) -> int:
+        """From how many occurrences on a context is dealt by its followers: so that at most MOST_HOT a level are."""
+        return max(hot, self.total // MOST_HOT)
+
+    def scores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By text: known tokens, base score, score (log10)."""
+        p = self.levels[0].p[self.levels[0].ids]
+        for level in self.levels[1:]:
+            p[level.at] = level.p[level.ids[level.at]]
+        first = np.cumsum(self.size) - self.size
+        word = self.levels[0].ids[self.token]
+        add = lambda x: np.add.reduceat(x, first)  # noqa: E731  (each text has at least its end mark)
+        return add((self.levels[0].count[word] > 0).astype(np.int64)), add(np.log10(self.levels[0].p)[word]), add(np.log10(p[self.token]))
+
+
+# ---- words ----
+
+
+def _ask_words(routes: int):
     def run(key, texts):
-        raws, train = texts.column("raw").to_pylist(), texts.column("train").to_pylist()
-        parts = []
-        for own in (True, False):
-            for part in chunks([spelled(r) for r, t in zip(raws, train, strict=True) if t == own]):
-                k, c = count_grams(part, DEPTH)
-                parts.append((k, c if own else np.zeros(len(k), np.int64)))
-        keys, counts = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        order, found = _dealt(keys, buckets)
-        keys, counts = keys[order], counts[order]
-        rows = [(b, j - i, packed_grams(keys[i:j], counts[i:j])) for b, i, j in found]
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "batch": pa.array([key[0].as_py()] * len(rows), pa.int32()), "n": pa.array([r[1] for r in rows], pa.int32()), "grams": pa.array([r[2] for r in rows], pa.binary())})
+        batch = Batch(texts)
+        h, n = batch.words, batch.levels[0].local
+        rows = [(r, key[0].as_py(), _COLD, 0, j - i, _pack((h[i:j], 8), (n[i:j], 6))) for r, i, j in slices(_route(h, routes))]
+        return _as_table(rows, ASK)
 
     return run
 
 
-def _gram_answer(buckets: int, low):
-    """Answers have bucket numbers from `buckets` on, so that they can go with those about words."""
+def _words_added(asked: pa.Table):
+    parts = [_unpack(x, (n, 8), (n, 6)) for x, n in zip(asked.column("body").to_pylist(), asked.column("entries").to_pylist(), strict=True)]
+    h, inverse = _distinct(np.concatenate([p[0] for p in parts]))
+    n = np.bincount(inverse, weights=np.concatenate([p[1] for p in parts]).astype(np.float64), minlength=len(h)).astype(np.int64)
+    return parts, h, n, inverse
 
-    def run(key, asked):
-        parts = [unpacked_grams(x, n) for x, n in zip(asked.column("grams").to_pylist(), asked.column("n").to_pylist(), strict=True)]
-        keys, counts = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        parts = [k for k, _ in parts]
-        logs = gram_logs(keys, counts, low.value, DEPTH, LEAST, MIN_DIVERGENCE)
-        blobs = [pa.compress(_planes(logs[np.searchsorted(keys, p)].view(np.uint32), 4), codec="zstd", asbytes=True) for p in parts]
-        number = [buckets + key[0].as_py()] * len(parts)
-        return pa.table({"batch": asked.column("batch"), "bucket": pa.array(number, pa.int32()), "counts": pa.array(blobs, pa.binary())})
 
-    return run
+def _answer_words(key, asked):
+    parts, _, n, inverse = _words_added(asked)
+    ends = np.cumsum([0, *(len(p[0]) for p in parts)])
+    shared = np.bincount(inverse) > 1  # a batch names a word once
+    rows = [(key[0].as_py(), b, _COLD, _pack((n[inverse[i:j]], 6), (shared[inverse[i:j]], 1))) for b, i, j in zip(asked.column("batch").to_pylist(), ends, ends[1:], strict=False)]
+    return _as_table(rows, ANSWER)
 
 
-def _hashed(keys: np.ndarray) -> np.ndarray:
-    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
-
-
-def places(keys: np.ndarray, parts):
-    """For each array of parts, whose values are all in the sorted distinct keys, their places there: by a table, or a search where two keys share a slot."""
-    slot = np.zeros(1 << SLOT_BITS, np.int32)
-    slot[_hashed(keys)] = np.arange(len(keys), dtype=np.int32)
-    for g in parts:
-        at = slot[_hashed(g)]
-        missed = np.flatnonzero(keys[at] != g)
-        at[missed] = np.searchsorted(keys, g[missed])
-        yield at
-
-
-def _gram_scores(raws: list[bytes], answers: dict[int, bytes], buckets: int) -> np.ndarray:
-    """log10 probability of each text, from the buckets' answers about the batch's strings."""
-    parts = [[spelled(r) for r in some] for some in chunks(raws)]
-    strings = [grams(part, DEPTH) for part in parts]
-    keys = distinct(np.concatenate([distinct(g) for g in strings]))
-    order, found = _dealt(keys, buckets)
-    logs = np.zeros(len(keys), np.float32)
-    for b, i, j in found:
-        raw = pa.decompress(answers[b], decompressed_size=4 * (j - i), codec="zstd", asbytes=True)
-        logs[order[i:j]] = np.frombuffer(raw, np.uint8).reshape(4, j - i).T.copy().view(np.float32).ravel()
-    out = []
-    for part, at in zip(parts, places(keys, strings), strict=True):
-        ends = np.cumsum([len(t) for t in part])
-        out.append(np.add.reduceat(logs[at].astype(np.float64), np.concatenate([[0], ends[:-1]])))  # a spelled text has at least its end mark
-    return np.concatenate(out)
-
-
-# ---- the base score ----
-
-ASK = "bucket int, batch int, hashes binary, counts binary"
-ANSWER = "batch int, bucket int, counts binary"
-_AT_BUCKET = 32
-
+def _totals(key, asked):
+    _, h, n, _ = _words_added(asked)
+    n = n[~np.isin(h, _NAMES[1:])]  # start marks are no tokens
+    return pa.table({"tokens": pa.array([int(n.sum())], pa.int64()), "kinds": pa.array([int((n > 0).sum())], pa.int64())})
 
-def _numbered(raws: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Number of each token of each text, and the hash of each numbered word."""
-    number: dict[bytes, int] = {}
-    codes = []
-    for raw in raws:
-        t = tokens(raw)
-        codes.append(np.fromiter((number.setdefault(w, len(number)) for w in t), np.int64, len(t)))
-    digest = xxhash.xxh64_intdigest
-    return codes, np.array([digest(w) for w in number], np.uint64)
 
+# ---- contexts ----
 
-def _buckets(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((sorted_hashes >> np.uint64(_AT_BUCKET)) * np.uint64(buckets)) >> np.uint64(_AT_BUCKET)
 
+def _ask_contexts(level: int, routes: int, hot: int):
+    """Level 1 hears of the words, later ones of the level before; each sends its state along."""
 
-def _ask(buckets: int):
-    def run(key, texts):
-        codes, h = _numbered(texts.column("raw").to_pylist())
-        train = texts.column("train").to_pylist()
-        own = [c for c, t in zip(codes, train, strict=True) if t]
-        n = np.bincount(np.concatenate(own), minlength=len(h)) if own else np.zeros(len(h), np.int64)
-        h, n = summed(h, n)
-        rows = [(b, h[i:j].tobytes(), n[i:j].astype(np.int64).tobytes()) for b, i, j in slices(_buckets(h, buckets))]
-        batch = key[0].as_py()
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "batch": pa.array([batch] * len(rows), pa.int32()), "hashes": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
+    def run(key, texts, answers):
+        batch = Batch(texts)
+        _hear(batch, level - 1, answers, routes, hot)
+        batch.grow()
+        number = key[0].as_py()
+        rows = [(route, number, kind, contexts, entries, body) for kind, route, contexts, entries, body, _, _ in batch.asked(batch.hot(hot), routes)]
+        batch.levels.pop()
+        return _as_table([*rows, (number % routes, number, _STATE, 0, 0, batch.state())], ASK)
 
     return run
 
 
-def _added(asked: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    parts = [np.frombuffer(x, np.uint64) for x in asked.column("hashes").to_pylist()]
-    return parts, *summed(np.concatenate(parts), np.concatenate([np.frombuffer(x, np.int64) for x in asked.column("counts").to_pylist()]))
-
-
-def _answer(key, asked):
-    parts, h, n = _added(asked)
-    return pa.table({"batch": asked.column("batch"), "bucket": asked.column("bucket"), "counts": pa.array([n[np.searchsorted(h, p)].tobytes() for p in parts], pa.binary())})
-
-
-def _totals(key, asked):
-    _, h, n = _added(asked)
-    return pa.table({"tokens": pa.array([int(n.sum())], pa.int64()), "kinds": pa.array([int((n > 0).sum())], pa.int64())})
-
-
-def _scored(buckets: int):
+def _hear(batch: Batch, level: int, answers: pa.Table, routes: int, hot: int) -> None:
+    """Put a batch in the state that the answers about this level leave."""
+    rows = answers.to_pylist()
+    if level == 0:
+        parts = {r["route"]: r["body"] for r in rows}
+        h = batch.words
+        count, shared = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        for r, i, j in slices(_route(h, routes)):
+            count[i:j], shared[i:j] = _unpack(parts[r], (j - i, 6), (j - i, 1))
+        batch.counted(count, shared, rows[0]["tokens"] + rows[0]["kinds"] + 1)
+        return
+    state = next(r for r in rows if r["kind"] == _STATE)
+    batch.restore(state["body"], level - 1)
+    batch.grow()
+    kept = np.array(state["kept_hot"], np.int64).view(np.uint64)
+    batch.heard({(r["kind"], r["route"]): r["body"] for r in rows if r["kind"] != _STATE}, kept, batch.hot(hot), routes)
+
+
+def _contexts_added(rows: list[dict]):
+    """Of messages: by context (name, first name, a, b, times counted), by entry (context, count over all messages), and each message's slices of both."""
+    parts = []
+    for r in rows:
+        c, e, h = r["contexts"], r["entries"], 8 * (r["kind"] == _HOT)
+        parts.append(_unpack(r["body"], (c, 8), (c, h), (c, 6), (c, 4), (c, 4), (c, 4), (e, 5), (e, 5), (e, 2)))
+    join = lambda i: np.concatenate([p[i] for p in parts])
+    names, context = _distinct(join(0))
+    if len(names) >> 24:
+        raise ValueError("a bucket has too many contexts for its keys: use smaller batches")
+    as_float = lambda x: x.astype("<u4").view("<f4").astype(np.float64)
+    a, b = (np.bincount(context, weights=as_float(join(i)), minlength=len(names)) for i in (4, 5))
+    n, original = np.zeros(len(names), np.int64), np.zeros(len(names), np.uint64)
+    n[context], original[context] = join(2).astype(np.int64), join(1)
+    owner = np.repeat(context, join(3).astype(np.int64))
+    keys, inverse = _distinct(owner.astype(np.uint64) << np.uint64(40) | join(6))
+    count = np.bincount(inverse, weights=join(7).astype(np.float64), minlength=len(keys)).astype(np.int64)
+    q = np.zeros(len(keys), np.uint16)
+    q[inverse] = join(8).astype(np.uint16)
+    of = (keys >> np.uint64(40)).astype(np.int64)
+    seen = count > 0
+    more_a, more_b = divergence_parts(count[seen], n[of[seen]], q[seen])
+    a += np.bincount(of[seen], weights=more_a, minlength=len(names))
+    b += np.bincount(of[seen], weights=more_b, minlength=len(names))
+    shared = np.bincount(inverse, minlength=len(keys)) > 1  # a message names an entry once
+    return original, a, b, context, count[inverse], shared[inverse], np.cumsum([0, *(r["contexts"] for r in rows)]), np.cumsum([0, *(r["entries"] for r in rows)])
+
+
+def _answer_contexts(key, asked):
+    rows = asked.to_pylist()
+    out = [(r["route"], r["batch"], _STATE, r["body"]) for r in rows if r["kind"] == _STATE]
+    for kind in (_COLD, _HOT):
+        if mine := [r for r in rows if r["kind"] == kind]:
+            _, a, b, context, count, shared, heads, entries = _contexts_added(mine)
+            kept = (a - (1 - b) / 2 >= MIN_DIVERGENCE)[context]  # of a hot context's slice it says nothing and isn't read
+            for r, i, j, k, m in zip(mine, heads, heads[1:], entries, entries[1:], strict=False):
+                out.append((r["route"], r["batch"], kind, _pack((count[k:m], 6), (shared[k:m], 1), (kept[i:j], 1))))
+    return _as_table(out, ANSWER)
+
+
+def _hot_parts(key, asked):
+    """What each slice of a hot context adds to its divergence."""
+    rows = [r for r in asked.to_pylist() if r["kind"] == _HOT]
+    name, a, b = _contexts_added(rows)[:3] if rows else (np.zeros(0, np.uint64), [], [])
+    return pa.table({"name": pa.array(name.view(np.int64), pa.int64()), "a": pa.array(a, pa.float64()), "b": pa.array(b, pa.float64())})
+
+
+def _scored(routes: int, hot: int):
     def run(key, texts, answers):
-        raws = texts.column("raw").to_pylist()
-        codes, h = _numbered(raws)
-        unique = np.unique(h)
-        asked = {b: (i, j) for b, i, j in slices(_buckets(unique, buckets))}
-        count = np.zeros(len(unique), np.int64)
-        about_grams = {}
-        for b, x in zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist(), strict=True):
-            if b >= buckets:
-                about_grams[b - buckets] = x
-                continue
-            i, j = asked[b]
-            count[i:j] = np.frombuffer(x, np.int64)
-        count = count[np.searchsorted(unique, h)] if len(h) else count
-        log = np.log10(count + 1.0)
-        known = count > 0
-        return pa.table({
-            "doc_id": texts.column("doc_id"), "held_out": pa.array([not t for t in texts.column("train").to_pylist()], pa.bool_()), "n_tokens": pa.array([len(c) for c in codes], pa.int64()),
-            "n_known": pa.array([int(known[c].sum()) for c in codes], pa.int64()), "logs": pa.array([float(log[c].sum()) for c in codes], pa.float64()),
-            "score": pa.array(_gram_scores(raws, about_grams, buckets), pa.float64()),
-        })
+        batch = Batch(texts)
+        _hear(batch, DEPTH, answers, routes, hot)
+        known, base, score = batch.scores()
+        return pa.table({"doc_id": texts.column("doc_id"), "held_out": pa.array(~batch.train), "n_tokens": pa.array(batch.size), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(score)})
 
     return run
 
 
-def op4(docs: DataFrame, batch_mb: int = BATCH_MB) -> DataFrame:
-    held = fold(7) == 2
+def op4(docs: DataFrame, batch_mb: int = BATCH_MB, hot: int = HOT) -> DataFrame:
     n = batch_count(docs, "text", batch_mb)
-    raw = text_bytes()
-    low = docs.sparkSession.sparkContext.broadcast(low_counts(docs.filter(~held).select(raw.alias("raw")), n))
-    by_batch = docs.select("doc_id", raw.alias("raw"), (~held).alias("train"), F.pmod(F.xxhash64("doc_id", raw), F.lit(n)).cast("int").alias("batch")).groupBy("batch")
-    by_bucket = by_batch.applyInArrow(trimmed_group(_ask(n)), ASK).groupBy("bucket")
-    asked = by_batch.applyInArrow(trimmed_group(_gram_ask(n)), GRAM_ASK).groupBy("bucket")
-    answers = by_bucket.applyInArrow(_answer, ANSWER).union(asked.applyInArrow(trimmed_group(_gram_answer(n, low)), ANSWER))
-    totals = by_bucket.applyInArrow(_totals, "tokens long, kinds long").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds"))
+    batch = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    by_batch = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (fold(7) != 2).alias("train"), batch.alias("batch")).groupBy("batch")
+    by_route = by_batch.applyInArrow(trimmed_group(_ask_words(n)), ASK).groupBy("route")
+    totals = by_route.applyInArrow(_totals, "tokens long, kinds long").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds"))
+    answers = by_route.applyInArrow(_answer_words, ANSWER).join(F.broadcast(totals))  # totals: one row
+    for level in range(1, DEPTH + 1):
+        by_route = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(trimmed_group(_ask_contexts(level, n, hot)), ASK).groupBy("route")
+        shares = by_route.applyInArrow(_hot_parts, "name long, a double, b double").groupBy("name").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        kept = shares.filter(F.col("a") - (1 - F.col("b")) / 2 >= MIN_DIVERGENCE).agg(F.collect_list("name").alias("kept"))  # at most MOST_HOT
+        answers = by_route.applyInArrow(trimmed_group(_answer_contexts), ANSWER).join(F.broadcast(kept))
+        answers = answers.withColumn("kept_hot", F.when(F.col("kind") == _STATE, F.col("kept"))).drop("kept")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(trimmed_group(_scored(n)), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double")
-    base = F.col("logs") - F.col("n_tokens") * F.log10((F.col("train_tokens") + F.col("kinds") + 1).cast("double"))
-    return scored.join(F.broadcast(totals)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")  # totals: one row
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    scored = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(trimmed_group(_scored(n, hot)), schema)
+    return scored.join(F.broadcast(totals)).select("doc_id", "held_out", "n_tokens", "n_known", F.col("tokens").alias("train_tokens"), "base_score", "score")

@@ -451,6 +451,32 @@ def test_repeats_over_many_batches(spark, monkeypatch):
     assert set(cut) == {r[0] for r in rows} and all(len(r["text"]) == r["n_chars"] for r in cut.values())
 
 
+@pytest.mark.parametrize("batches", [9, 150])
+def test_repeats_of_hot_passages(spark, monkeypatch, batches):
+    """A passage that most documents hold, in more batches than one message may stand for; equal rows, repeated and null ids among them."""
+    rng = random.Random(14)
+    hot, other = sentence(rng, 40), sentence(rng, 25)
+    rows = [(500 - i if i % 11 else None, f"{sentence(rng, rng.randint(0, 9))} {hot[rng.randint(0, 60):]} {other if i % 3 else ''} {sentence(rng, 5)}", "en", "s", 1) for i in range(300)]
+    rows += [(7, hot, "en", "s", 1)] * 4 + [(None, hot, "en", "s", 1)] * 4 + [(900, hot, "en", "s", 1)] * 30 + [(7, other + hot, "en", "s", 1)]
+    monkeypatch.setattr(suffixdedup, "batch_count", lambda *_: batches)
+    assert (batches > 2 * suffixdedup.GROUP) == (batches == 150)
+    assert sorted((str(r[0]), *r[1:]) for r in rows_of(suffixdedup.op7(spark.createDataFrame(rows, DOC)))) == brute_cut(rows)
+
+
+def test_segments_hold_every_window():
+    rng = random.Random(15)
+    raws = [bytes(rng.choice(b"abc") for _ in range(rng.choice([0, 1, 49, 50, 51, 99, 400]))) for _ in range(60)] + [b"x" * 3000, b""]
+    seen = Counter()
+    names = {}
+    for h, r, a, w in zip(*(x.tolist() for x in suffixdedup.segments(raws)), strict=True):
+        assert 0 < w <= suffixdedup.MOST_WINDOWS
+        for k in range(w):
+            seen[r, a + k] += 1
+            window = raws[r][a + k : a + k + 50]
+            assert len(window) == 50 and names.setdefault(window, h) == h  # equal windows go together
+    assert seen == Counter({(r, a): 1 for r, x in enumerate(raws) for a in range(len(x) - 49)})
+
+
 def test_column_wise_is_a_suffix_array(monkeypatch):
     rng = random.Random(6)
     strings = [bytes(rng.choice(b"ab\xc3") for _ in range(rng.randint(1, 12))) for _ in range(40)]

@@ -6,19 +6,21 @@ documents can't be sorted in one place, so they are dealt by content first: a 50
 substring stay one segment of 50 to 81 bytes. Texts are dealt to batches of about `batch_mb`, however many there are, and
 these steps follow, all of them in one plan whose only shuffle of texts is used again by each step:
 
-1. A batch sends the hashes of its segments, once each, to the hash's bucket, which answers with one bit a hash:
-   whether more than one document has it. All other segments are done.
-2. A batch finds equal segments among its own: in all but the smallest document they are flagged at once, and only
-   that one goes on to the segment's bucket. So a passage in a third of all documents reaches its bucket once a batch.
-3. A bucket takes about a megabyte of segments at a time (by other bits of the same hash) and, for hashes with more than one distinct segment, builds the generalised suffix array of those column by column: each round inserts one
-   symbol of every segment, from its end to its start, into the collection's Burrows-Wheeler transform and updates the common
-   prefixes of the neighbours. Both are kept as streams that a round reads and writes in order (in a nameless file
-   once they are large, which no other task ever sees). Runs of common prefixes of 50 or more are equal windows; the
-   smallest document of each run decides which of them are flagged.
+1. A batch sends the hashes of its segments, once each, to the hash's bucket, which answers with two bits a hash:
+   whether more than one document has it, and whether more than GROUP batches do. All other segments are done.
+2. A batch puts equal segments among its own together: the copy of its smallest document stands for them and goes on to the
+   segment's bucket, and the others are flagged at once if their document is larger. Segments that more than GROUP batches
+   have (a passage in a third of all documents) first go to a place for each GROUP batches, where again one copy stands for
+   all; so a bucket gets one message for GROUP batches, not one a batch.
+3. A bucket takes about a megabyte of different segments at a time (by other bits of the same hash) and builds their
+   generalised suffix array column by column: each round inserts one symbol of every segment, from its end to its start,
+   into the collection's Burrows-Wheeler transform and updates the common prefixes of the neighbours. Both are streams
+   that a round reads and writes in order, in nameless files (which no other task ever sees) once they are over SPOOL_BYTES.
+   Runs of common prefixes of 50 or more are equal windows; the smallest document of each run decides which are flagged.
 4. A batch takes the flags of its documents and cuts their texts.
 
 Matches never cross documents, equal strings in the same document (or rows of equal id) don't count, and strings are
-judged on the input. Null texts count as empty; texts under 50 bytes stay; rows with a null id stay whole and are no
+judged on the input. Batches are dealt by a hash of a row's place in the input, so equal rows are spread like others. Null texts count as empty; texts under 50 bytes stay; rows with a null id stay whole and are no
 source. Ids are whole numbers. Other columns pass through the general form.
 """
 
@@ -38,9 +40,10 @@ LENGTH = 50
 GRAM = 24
 MOST_WINDOWS = 32
 BATCH_MB = 5
-SPOOL_BYTES = 64 << 20
-CHUNK = 1 << 18
+SPOOL_BYTES = 1 << 19
+CHUNK = 1 << 16
 PORTION = 3 << 18
+GROUP = 64
 _B = 0x9E3779B97F4A7C15
 
 
@@ -64,6 +67,12 @@ def window_hashes(data: np.ndarray) -> np.ndarray:
     return np.minimum(h[:-11], h[11:])  # 16 + 11 = 27 = 50 - 24 + 1
 
 
+def spread(h: np.ndarray) -> np.ndarray:
+    """Minima lie low; mixed once more (one to one), they fill all buckets alike."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(33))
+
+
 def segments(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, first window, windows) of every segment of the texts."""
     out: list[tuple] = []
@@ -77,17 +86,24 @@ def segments(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         if size >= LENGTH:
             starts = np.cumsum(lens) - lens
             h = window_hashes(np.frombuffer(b"".join(raws[row:end]), np.uint8))
-            has = np.flatnonzero(lens >= LENGTH)
-            count = lens[has] - LENGTH + 1
-            owner = np.repeat(has, count)
-            at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)  # the window's place in its text
-            h = h[at + starts[owner]]
-            if len(h):
-                fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])
-                first = np.flatnonzero(fresh)
-                run = np.repeat(first, np.diff(np.append(first, len(h))))
-                first = np.flatnonzero((np.arange(len(h)) - run) % MOST_WINDOWS == 0)
-                out.append((h[first], owner[first] + row, at[first], np.diff(np.append(first, len(h)))))
+            # runs of one hash; windows that reach over a text's end are runs of their own, and left out
+            fresh = np.empty(len(h) + 1, bool)
+            fresh[0] = fresh[-1] = True
+            np.not_equal(h[1:], h[:-1], out=fresh[1:-1])
+            fresh[starts[starts < len(h)]] = True
+            over = np.maximum(starts + lens - LENGTH + 1, starts)
+            fresh[over[over < len(h)]] = True
+            edges = np.flatnonzero(fresh)
+            first, count = edges[:-1], np.diff(edges)
+            owner = np.searchsorted(starts, first, side="right") - 1  # of empty texts and the text after them: the latter
+            inside = first - starts[owner]
+            keep = inside + LENGTH <= lens[owner]
+            first, count, owner, inside = first[keep], count[keep], owner[keep], inside[keep]
+            if len(first):
+                parts = -(-count // MOST_WINDOWS)
+                which = np.repeat(np.arange(len(first)), parts)
+                skip = (np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)) * MOST_WINDOWS
+                out.append((spread(h[first])[which], owner[which] + row, inside[which] + skip, np.minimum(count[which] - skip, MOST_WINDOWS)))
         row = end
     if not out:
         return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
@@ -228,9 +244,10 @@ def _known(ids: list, raws: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
 
 
 ASK = "bucket int, batch int, hashes binary, several binary"
-ANSWER = "batch int, bucket int, bits binary"
-SENT = "route int, kind int, batch int, keys binary, windows binary, ids binary, rows binary, places binary, body binary"
-FLAGS = "batch int, rows binary, places binary, windows binary"
+ANSWER = "batch int, bucket int, bits binary, hot binary"
+SENT = "route int, bucket int, kind int, batch int, keys binary, windows binary, ids binary, rows binary, places binary, body binary"
+#: Kinds of messages: segments for their bucket, flags on their way back, hot segments for the place of their batches.
+_SEGMENTS, _FLAGS, _HOT = 0, 1, 2
 _KINDS = {"int": pa.int32(), "binary": pa.binary(), "long": pa.int64(), "string": pa.string()}
 
 
@@ -274,11 +291,14 @@ def _answer(key, asked):
     h, shared = np.concatenate(parts), np.concatenate(several).astype(bool)
     order = np.argsort(h, kind="stable")
     s = h[order]
-    same = np.concatenate([[False], s[1:] == s[:-1], [False]])
-    shared[order] |= same[1:] | same[:-1]
+    fresh = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])[: len(s)])
+    batches = np.diff(np.append(fresh, len(s)))  # that have it: a batch names a hash once
+    hot = np.zeros(len(h), bool)
+    shared[order] |= np.repeat(batches > 1, batches)
+    hot[order] = np.repeat(batches > GROUP, batches)
     out, at = [], 0
     for batch, p in zip(asked.column("batch").to_pylist(), parts, strict=True):
-        out.append((batch, key[0].as_py(), np.packbits(shared[at : at + len(p)]).tobytes()))
+        out.append((batch, key[0].as_py(), np.packbits(shared[at : at + len(p)]).tobytes(), np.packbits(hot[at : at + len(p)]).tobytes()))
         at += len(p)
     return _as_table(out, ANSWER)
 
@@ -291,12 +311,13 @@ def _send(buckets: int):
         h, row, first, windows = segments(raws)
         unique = np.unique(h)
         asked = {b: (i, j) for b, i, j in slices(_buckets(unique, buckets))}
-        shared = np.zeros(len(unique), bool)
-        for b, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True):
+        shared, hot = np.zeros(len(unique), bool), np.zeros(len(unique), bool)
+        for b, *bits in zip(*(answers.column(c).to_pylist() for c in ("bucket", "bits", "hot")), strict=True):
             i, j = asked[b]
-            shared[i:j] = np.unpackbits(np.frombuffer(bits, np.uint8))[: j - i]
-        keep = shared[np.searchsorted(unique, h)] if len(h) else np.zeros(0, bool)
-        h, row, first, windows = h[keep], row[keep], first[keep], windows[keep]
+            shared[i:j], hot[i:j] = (np.unpackbits(np.frombuffer(x, np.uint8))[: j - i] for x in bits)
+        at = np.searchsorted(unique, h)
+        keep = shared[at] if len(h) else np.zeros(0, bool)
+        h, row, first, windows, hot = h[keep], row[keep], first[keep], windows[keep], hot[at[keep]] if len(h) else np.zeros(0, bool)
         # rows are in order of id, so the first owner of a content has the smallest id
         owner: dict[bytes, int] = {}
         local = np.zeros(len(h), bool)
@@ -307,82 +328,127 @@ def _send(buckets: int):
                 local[i] = True
             else:
                 body[i] = x
-        pack = lambda v, kind: np.ascontiguousarray(v, kind).tobytes()
-        out = [(batch % buckets, 1, batch, b"", pack(windows[local], np.int32), b"", pack(row[local], np.int32), pack(first[local], np.int32), b"")] if local.any() else []
-        sent = np.flatnonzero(~local)
-        bucket = _buckets(h[sent], buckets)
-        order = np.argsort(bucket, kind="stable")
-        sent, bucket = sent[order], bucket[order]
-        for b, i, j in slices(bucket):
-            s = sent[i:j]
-            out.append((b, 0, batch, pack(h[s] & np.uint64(0xFFFFFFFF), np.uint32), pack(windows[s], np.int32), pack(ids[row[s]], np.int64), pack(row[s], np.int32), pack(first[s], np.int32), b"".join(body[x] for x in s.tolist())))
+        out = [_flag_row(batch % buckets, batch, row[local], first[local], windows[local])] if local.any() else []
+        for kind, mine in ((_SEGMENTS, ~local & ~hot), (_HOT, ~local & hot)):
+            sent = np.flatnonzero(mine)
+            bucket = _buckets(h[sent], buckets)
+            order = np.argsort(bucket, kind="stable")
+            sent, bucket = sent[order], bucket[order]
+            for b, i, j in slices(bucket):
+                s = sent[i:j]
+                route = b if kind == _SEGMENTS else (b + batch // GROUP * 7919) % buckets
+                out.append((route, b, kind, batch, _bytes(h[s] & np.uint64(0xFFFFFFFF), np.uint32), _bytes(windows[s], np.int32), _bytes(ids[row[s]], np.int64), _bytes(row[s], np.int32), _bytes(first[s], np.int32), b"".join(body[x] for x in s.tolist())))
         return _as_table(out, SENT)
 
     return run
 
 
-def _portions(parts: list[np.ndarray], windows: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Ranges of the 256 parts of a bucket (equal windows share one) that have about PORTION bytes of segments each."""
-    size = np.zeros(256)
-    for p, w in zip(parts, windows, strict=True):
-        size += np.bincount(p, weights=w + LENGTH - 1, minlength=256)
-    out, start, held = [], 0, 0.0
-    for i in range(256):
-        if held and held + size[i] > PORTION:
-            out.append((start, i))
-            start, held = i, 0.0
-        held += size[i]
-    return [*out, (start, 256)]
-
-
-def _spans(strings: list[bytes], keys: np.ndarray, which: np.ndarray, ids: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(occurrence, first window, windows) of what smaller ids have. A key with a single string needs no sorting: its windows are those of its copies."""
-    least = np.full(len(strings), np.iinfo(np.int64).max)
-    np.minimum.at(least, which, ids)
-    _, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
-    alone = count[inverse] == 1
-    whole = np.flatnonzero(alone[which] & (ids > least[which]))
-    out = [(whole, np.zeros(len(whole), np.int64), windows[whole])]
-    many = np.flatnonzero(~alone)
-    if len(many):
-        number = np.full(len(strings), -1)
-        number[many] = np.arange(len(many))
-        table, lens = smallest_owners([strings[i] for i in many.tolist()], least[many])
-        at = np.flatnonzero(~alone[which])
-        mine = number[which[at]]
-        who, start, n = flagged(table, lens[mine], windows[at], ids[at], mine)
-        out.append((at[who], start, n))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+def _bytes(v, kind) -> bytes:
+    return np.ascontiguousarray(v, kind).tobytes()
+
+
+def _flag_row(route: int, batch: int, rows, places, windows) -> tuple:
+    return (route, 0, _FLAGS, batch, b"", _bytes(windows, np.int32), b"", _bytes(rows, np.int32), _bytes(places, np.int32), b"")
+
+
+class _Held:
+    """Messages of segments, unpacked: one row a segment."""
+
+    def __init__(self, rows: list[dict]):
+        column = lambda c, kind: np.concatenate([np.frombuffer(r[c], kind) for r in rows] or [np.zeros(0, kind)])
+        self.keys, self.windows = column("keys", np.uint32), column("windows", np.int32)
+        self.ids, self.rows, self.places = column("ids", np.int64), column("rows", np.int32), column("places", np.int32)
+        count = [len(r["keys"]) // 4 for r in rows]
+        self.batch, self.bucket = (np.repeat(np.array([r[c] for r in rows], np.int64), count) for c in ("batch", "bucket"))
+        self.bodies, self.message = [r["body"] for r in rows], np.repeat(np.arange(len(rows)), count)
+        long = self.windows.astype(np.int64) + LENGTH - 1
+        ends = np.cumsum(long)
+        before = np.repeat(np.concatenate([[0], np.cumsum([len(x) for x in self.bodies])])[:-1], count) if rows else ends
+        self.end = ends - before
+        self.start = self.end - long
+
+    def strings(self, at: np.ndarray) -> list[bytes]:
+        bodies = self.bodies
+        return [bodies[m][a:b] for m, a, b in zip(self.message[at].tolist(), self.start[at].tolist(), self.end[at].tolist(), strict=True)]
+
+    def flags(self, at: np.ndarray, start: np.ndarray, windows: np.ndarray, buckets: int) -> list[tuple]:
+        """Rows of flags for the batches of these segments: windows from each one's start on."""
+        order = np.argsort(self.batch[at], kind="stable")
+        at, start, windows = at[order], start[order], windows[order]
+        return [_flag_row(b % buckets, b, self.rows[at[i:j]], self.places[at[i:j]] + start[i:j], windows[i:j]) for b, i, j in slices(self.batch[at])]
+
+
+def _combine(buckets: int):
+    """Of hot segments of GROUP batches, equal ones are put together: the copy of the smallest document goes on, the rest are flagged if their document is larger."""
+
+    def run(rows: list[dict]) -> list[tuple]:
+        held = _Held(rows)
+        order = np.argsort(held.ids, kind="stable")
+        owner: dict[tuple, int] = {}
+        lost = np.zeros(len(order), bool)
+        stays = []
+        for i, b, x in zip(order.tolist(), held.bucket[order].tolist(), held.strings(order), strict=True):
+            best = owner.setdefault((b, x), i)
+            if held.ids[best] < held.ids[i]:
+                lost[i] = True
+            else:
+                stays.append(i)
+        gone, stays = np.flatnonzero(lost), np.array(stays, np.int64)
+        out = held.flags(gone, np.zeros(len(gone), np.int64), held.windows[gone], buckets)
+        stays = stays[np.lexsort((held.batch[stays], held.bucket[stays]))]
+        for _, i, j in slices(held.bucket[stays] * (1 << 32) + held.batch[stays]):
+            s = stays[i:j]
+            b = int(held.bucket[s[0]])
+            out.append((b, b, _SEGMENTS, int(held.batch[s[0]]), _bytes(held.keys[s], np.uint32), _bytes(held.windows[s], np.int32), _bytes(held.ids[s], np.int64), _bytes(held.rows[s], np.int32), _bytes(held.places[s], np.int32), b"".join(held.strings(s))))
+        return out
+
+    return run
 
 
-def _resolve(key, sent):
-    rows = sent.to_pylist()
-    out: list[tuple] = [(r["batch"], r["rows"], r["places"], r["windows"]) for r in rows if r["kind"] == 1]
-    rows = [r for r in rows if r["kind"] == 0]
-    keys = [np.frombuffer(r["keys"], np.uint32) for r in rows]
-    parts = [(k & 255).astype(np.uint8) for k in keys]
-    windows = [np.frombuffer(r["windows"], np.int32) for r in rows]
-    ends = [np.cumsum(w + LENGTH - 1) for w in windows]
-    for low, high in _portions(parts, windows) if rows else []:
+def _portions(held: _Held) -> list[np.ndarray]:
+    """Segments by parts of the bucket (equal windows share one of 256), put together to about PORTION bytes each."""
+    part = held.keys & np.uint32(255)
+    size = np.bincount(part, weights=held.windows + LENGTH - 1, minlength=256)
+    number = np.zeros(256, np.int64)
+    portion, full = 0, 0.0
+    for i in range(256):
+        if full and full + size[i] > PORTION:
+            portion, full = portion + 1, 0.0
+        full += size[i]
+        number[i] = portion
+    mine = number[part]
+    order = np.argsort(mine, kind="stable")
+    return [order[i:j] for _, i, j in slices(mine[order])]
+
+
+def _resolve(rows: list[dict], buckets: int) -> list[tuple]:
+    """Flags of all windows that a smaller document has, from the suffix arrays of the bucket's different segments."""
+    held, out = _Held(rows), []
+    for at in _portions(held):
         number: dict[bytes, int] = {}
-        string: list[int] = []
-        held: list[tuple] = []
-        for i, r in enumerate(rows):
-            at = np.flatnonzero((parts[i] >= low) & (parts[i] < high))
-            w, body = windows[i][at], r["body"]
-            string += [number.setdefault(body[e - n : e], len(number)) for e, n in zip(ends[i][at].tolist(), (w + LENGTH - 1).tolist(), strict=True)]
-            held.append((keys[i][at], w, *(np.frombuffer(r[c], kind)[at] for c, kind in (("ids", np.int64), ("rows", np.int32), ("places", np.int32))), np.full(len(at), r["batch"])))
-        if not string:
-            continue
-        k, w, ids, row, place, batch = (np.concatenate(x) for x in zip(*held, strict=True))
-        which = np.array(string)
-        string_keys = np.zeros(len(number), np.uint32)
-        string_keys[which] = k
-        who, start, n = _spans(list(number), string_keys, which, ids, w)
-        for b in np.unique(batch[who]):
-            s = batch[who] == b
-            out.append((int(b), row[who[s]].astype(np.int32).tobytes(), (place[who[s]] + start[s]).astype(np.int32).tobytes(), n[s].astype(np.int32).tobytes()))
-    return _as_table(out, FLAGS)
+        which = np.array([number.setdefault(x, len(number)) for x in held.strings(at)])
+        least = np.full(len(number), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, held.ids[at])
+        table, lens = smallest_owners(list(number), least)
+        who, start, n = flagged(table, lens[which], held.windows[at], held.ids[at], which)
+        out += held.flags(at[who], start, n, buckets)
+    return out
+
+
+def _places(buckets: int):
+    """At a route: flags pass, segments of the bucket are resolved, hot ones of some batches are put together and go on to their bucket, for a second turn.
+
+    A hash is hot for all of its segments or for none, so no segment of the first turn has windows in common with one of the second.
+    """
+    combine = _combine(buckets)
+
+    def run(key, sent):
+        rows = sent.to_pylist()
+        by = {kind: [r for r in rows if r["kind"] == kind] for kind in (_SEGMENTS, _FLAGS, _HOT)}
+        out = [tuple(r.values()) for r in by[_FLAGS]]
+        return _as_table([*out, *(_resolve(by[_SEGMENTS], buckets) if by[_SEGMENTS] else []), *(combine(by[_HOT]) if by[_HOT] else [])], SENT)
+
+    return run
 
 
 def _cut(key, texts, flags):
@@ -426,13 +492,15 @@ def dedup(docs: DataFrame, carry: list[str], finish=_cut, output: str = "n_bytes
     """row (struct of the carried columns) and what `finish` makes of each text's flags: by default n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_sha256."""
     n = batch_count(docs, "text", batch_mb)
     raw = text_bytes()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), raw.alias("raw"), F.struct(*carry).alias("row"), F.pmod(F.xxhash64("doc_id", raw), F.lit(n)).cast("int").alias("batch"))
+    batch = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), raw.alias("raw"), F.struct(*carry).alias("row"), batch.alias("batch"))
     by_batch = texts.groupBy("batch")
     answers = by_batch.applyInArrow(trimmed_group(_ask(n)), ASK).groupBy("bucket").applyInArrow(_answer, ANSWER)
     sent = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(trimmed_group(_send(n)), SENT)
-    flags = sent.groupBy("route").applyInArrow(trimmed_group(_resolve), FLAGS)
+    for _ in range(2):
+        sent = sent.groupBy("route").applyInArrow(trimmed_group(_places(n)), SENT)
     kind = texts.schema["row"].dataType.simpleString()
-    return by_batch.cogroup(flags.groupBy("batch")).applyInArrow(trimmed_group(finish), f"row {kind}, {output}")
+    return by_batch.cogroup(sent.groupBy("batch")).applyInArrow(trimmed_group(finish), f"row {kind}, {output}")
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -337,7 +337,7 @@ def _send(buckets: int):
             for b, i, j in slices(bucket):
                 s = sent[i:j]
                 route = b if kind == _SEGMENTS else (b + batch // GROUP * 7919) % buckets
-                out.append((route, b, kind, batch, _bytes(h[s] & np.uint64(0xFFFFFFFF), np.uint32), _bytes(windows[s], np.int32), _bytes(ids[row[s]], np.int64), _bytes(row[s], np.int32), _bytes(first[s], np.int32), b"".join(body[x] for x in s.tolist())))
+                out.append((route, b, kind, batch, _bytes(h[s] & np.uint64(0xFFFFFFFF), np.uint32), _bytes(windows[s], np.int32), _bytes(ids[row[s]], np.int64), _bytes(row[s], np.int32), _bytes(first[s], np.int32), _squeezed([body[x] for x in s.tolist()])))
         return _as_table(out, SENT)
 
     return run
@@ -347,6 +347,11 @@ def _bytes(v, kind) -> bytes:
     return np.ascontiguousarray(v, kind).tobytes()
 
 
+def _squeezed(strings: list[bytes]) -> bytes:
+    """Segments one after the other, smaller than the shuffle's own compression would make them; their lengths follow from their windows."""
+    return pa.compress(b"".join(strings), codec="zstd", asbytes=True)
+
+
 def _flag_row(route: int, batch: int, rows, places, windows) -> tuple:
     return (route, 0, _FLAGS, batch, b"", _bytes(windows, np.int32), b"", _bytes(rows, np.int32), _bytes(places, np.int32), b"")
 
@@ -360,11 +365,12 @@ class _Held:
         self.ids, self.rows, self.places = column("ids", np.int64), column("rows", np.int32), column("places", np.int32)
         count = [len(r["keys"]) // 4 for r in rows]
         self.batch, self.bucket = (np.repeat(np.array([r[c] for r in rows], np.int64), count) for c in ("batch", "bucket"))
-        self.bodies, self.message = [r["body"] for r in rows], np.repeat(np.arange(len(rows)), count)
         long = self.windows.astype(np.int64) + LENGTH - 1
         ends = np.cumsum(long)
-        before = np.repeat(np.concatenate([[0], np.cumsum([len(x) for x in self.bodies])])[:-1], count) if rows else ends
-        self.end = ends - before
+        last = np.concatenate([[0], ends])[np.cumsum([0, *count])]  # where each message's segments begin, and the last one's end
+        self.bodies = [pa.decompress(r["body"], decompressed_size=int(b - a), codec="zstd", asbytes=True) for r, a, b in zip(rows, last, last[1:], strict=False)]
+        self.message = np.repeat(np.arange(len(rows)), count)
+        self.end = ends - last[self.message]
         self.start = self.end - long
 
     def strings(self, at: np.ndarray) -> list[bytes]:
@@ -399,7 +405,7 @@ def _combine(buckets: int):
         for _, i, j in slices(held.bucket[stays] * (1 << 32) + held.batch[stays]):
             s = stays[i:j]
             b = int(held.bucket[s[0]])
-            out.append((b, b, _SEGMENTS, int(held.batch[s[0]]), _bytes(held.keys[s], np.uint32), _bytes(held.windows[s], np.int32), _bytes(held.ids[s], np.int64), _bytes(held.rows[s], np.int32), _bytes(held.places[s], np.int32), b"".join(held.strings(s))))
+            out.append((b, b, _SEGMENTS, int(held.batch[s[0]]), _bytes(held.keys[s], np.uint32), _bytes(held.windows[s], np.int32), _bytes(held.ids[s], np.int64), _bytes(held.rows[s], np.int32), _bytes(held.places[s], np.int32), _squeezed(held.strings(s))))
         return out
 
     return run

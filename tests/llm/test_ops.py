@@ -278,6 +278,7 @@ def test_suffix_tree_in_buckets_is_the_brute_force_model(spark, monkeypatch, row
     """Scores of op4 over any number of buckets, with hot contexts dealt by followers or not, are those of the tree in dictionaries."""
     monkeypatch.setattr(lmscore, "batch_count", lambda *_: batches)
     words = lambda t: lmscore.tokens((t or "").encode())
+    monkeypatch.setattr(lmscore, "CHUNK", 300)
     model = lmscore.Model([words(t) for i, t, *_ in rows if not fold7(i)])
     # contexts of both lengths that are retained, or (words drawn one by one) some that are not
     left = [len(s) for s, f in model.after.items() if s not in model.kept and sum(f.values()) > 1]

@@ -9,11 +9,11 @@ followed it and of its longest retained suffix's distribution, so each sums to o
     P(w | s) = count(s w) / (2 count(s)) + P(w | suffix of s) / 2
 
 It is retained if the two diverge (Kullback-Leibler) by at least MIN_DIVERGENCE bits; for this test alone suffix
-probabilities are rounded to a 64th of a bit, so that two bytes carry them. A score takes, for every token, the
+probabilities are rounded to a fifth of a bit, so that one byte carries them. A score takes, for every token, the
 longest retained suffix of what precedes it.
 
-The tree is never in one place. Texts are dealt to batches of about `batch_mb` by a hash of their place in the input (equal
-rows spread like others), and one shuffle of them serves all steps. In step 0 a batch asks the buckets of its words for
+The tree is never in one place. Texts are dealt to batches of about `batch_mb` in chunks of neighbouring rows, by a hash of the
+chunk's place in the input (equal rows spread like others); one shuffle of the compressed chunks serves all steps. In step 0 a batch asks the buckets of its words for
 their counts; in step d it asks about the strings of d + 1 tokens whose first d have LEAST occurrences. What a batch can
 tell by itself is not asked: buckets also say which strings other batches have (in any text, held out or not), and a longer
 string that contains one that is here alone is here alone. Buckets add up the counts of a context's followers, test its divergence, and answer with the
@@ -23,7 +23,8 @@ bound) is dealt to several buckets by its followers; their shares of the diverge
 buckets as a compressed state of each batch. `Model` is the same model in plain dictionaries, for small
 corpora; tests hold the two together.
 
-Words and contexts are compared by 64-bit hashes, followers of one context by 40 bits of theirs. Null texts are empty: one
+Words and contexts are compared by 56 bits of their hashes and the bucket, followers of one context by 40 bits of theirs (by 32
+where the context has fewer than SMALL occurrences). Null texts are empty: one
 token, the end. Null ids hash as the empty string. Repeated rows count each. With no training rows all counts are zero.
 """
 
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_count, fold, slices, trimmed_group
+from .common import batch_count, fold, slices, small, trimmed, trimmed_group
 
 DEPTH = 2
 LEAST = 2
@@ -50,8 +51,10 @@ END = b"\n"
 #: The start marks, the one before the first token first: no word holds a line end.
 STARTS = [END * (k + 2) for k in range(DEPTH)]
 _NAMES = np.array([xxhash.xxh64_intdigest(END), *(xxhash.xxh64_intdigest(s) for s in STARTS)], np.uint64)
-_STEP = 64  # parts of a bit to which the test rounds
-_FOLLOWER = np.uint64((1 << 40) - 1)
+#: Bytes of text in one chunk, about.
+CHUNK = 1 << 18
+SMALL = 4096
+_STEP = 5  # parts of a bit to which the test rounds
 
 
 def tokens(raw: bytes) -> list[bytes]:
@@ -59,8 +62,8 @@ def tokens(raw: bytes) -> list[bytes]:
 
 
 def rounded(p: np.ndarray) -> np.ndarray:
-    """Parts of a bit, in two bytes."""
-    return np.clip(np.round(-_STEP * np.log2(p)), 0, 65535).astype(np.uint16)
+    """Parts of a bit, in one byte."""
+    return np.clip(np.round(-_STEP * np.log2(p)), 0, 255).astype(np.uint8)
 
 
 def divergence_parts(c: np.ndarray, n: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,6 +154,30 @@ def _column(raw: bytes, at: int, n: int, width: int) -> np.ndarray:
     return x.view("<u8").ravel()
 
 
+def _steps(sorted_keys: np.ndarray) -> np.ndarray:
+    """Each key's distance from the one before it, by their high 56 bits."""
+    return np.diff(sorted_keys >> np.uint64(8), prepend=np.uint64(0))
+
+
+def _keys(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=np.uint64)
+
+
+def _followers(h: np.ndarray, n: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of words in order of their hashes inside contexts (entries ends[i] to ends[i + 1], seen n times): the high bits, each as its distance from the one before it."""
+    f = np.where(n < SMALL, h >> np.uint64(32), h >> np.uint64(24))
+    out = np.diff(f, prepend=np.uint64(0))
+    first = ends[:-1][ends[:-1] < ends[1:]]
+    out[first] = f[first]
+    return out
+
+
+def _unstepped(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    total = np.cumsum(steps, dtype=np.uint64)
+    first = (np.cumsum(sizes) - sizes)[sizes > 0]
+    return total - np.repeat(total[first] - steps[first], sizes[sizes > 0])
+
+
 def _route(h: np.ndarray, routes: int) -> np.ndarray:
     """Ranges of the high bits: rising with h."""
     return (((h >> np.uint64(32)) * np.uint64(routes)) >> np.uint64(32)).astype(np.int64)
@@ -191,6 +218,32 @@ class Level:
         self.p = np.zeros(0)  # of the word after the context's longest retained suffix
 
 
+def _chunked(batches_of: int):
+    """Rows as compressed chunks, each with its batch."""
+    import io
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        task, number = TaskContext.get().partitionId(), 0
+        for b in small(batches, 1024):
+            at = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False)) // CHUNK
+            rows = []
+            for _, i, j in slices(at):
+                part = b.slice(i, j - i)
+                with pa.ipc.new_stream(buffer := io.BytesIO(), part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                rows.append((xxhash.xxh64_intdigest(f"{task}|{number}") % batches_of, buffer.getvalue()))
+                number += 1
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["batch", "chunk"])
+
+    return run
+
+
+def _opened(chunks: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in chunks.column("chunk").to_pylist()]).combine_chunks()
+
+
 class Batch:
     """Texts as one array of word numbers (places among the sorted hashes), start marks before each."""
 
@@ -301,10 +354,10 @@ class Batch:
             ends = np.searchsorted(owner, np.arange(len(key) + 1))
             for route, i, j in slices(_route(key, routes)):
                 e = slice(ends[i], ends[j])
-                body = _pack(
-                    (key[i:j], 8), (name[of[i:j]], 8 * (kind == _HOT)), (n[of[i:j]], 6), (np.diff(ends[i : j + 1]), 4), (a[i:j].astype("<f4").view("<u4"), 4), (b[i:j].astype("<f4").view("<u4"), 4),
-                    (follower[e] & _FOLLOWER, 5), (new.local[entries[e]], 5), (q[entries[e]], 2),
-                )
+                here = ends[i : j + 1] - ends[i]
+                steps = _followers(follower[e], np.repeat(n[of[i:j]], np.diff(here)), here)
+                share = (a[i:j] + b[i:j] / 2).astype("<f4").view("<u4")
+                body = _pack((_steps(key[i:j]), 7), (name[of[i:j]], 8 * (kind == _HOT)), (n[of[i:j]], 6), (np.diff(here), 4), (share, 4), (steps, 5), (new.local[entries[e]], 5), (q[entries[e]], 1))
                 yield kind, route, j - i, e.stop - e.start, body, entries[e], head[of[i:j]]
 
     def heard(self, answers: dict[tuple[int, int], bytes], kept_hot: np.ndarray, hot: int, routes: int) -> None:
@@ -371,16 +424,17 @@ class Batch:
 
 def _ask_words(routes: int):
     def run(key, texts):
-        batch = Batch(texts)
+        batch = Batch(_opened(texts))
         h, n = batch.words, batch.levels[0].local
-        rows = [(r, key[0].as_py(), _COLD, 0, j - i, _pack((h[i:j], 8), (n[i:j], 6))) for r, i, j in slices(_route(h, routes))]
+        rows = [(r, key[0].as_py(), _COLD, 0, j - i, _pack((_steps(h[i:j]), 7), (n[i:j], 6))) for r, i, j in slices(_route(h, routes))]
         return _as_table(rows, ASK)
 
     return run
 
 
 def _words_added(asked: pa.Table):
-    parts = [_unpack(x, (n, 8), (n, 6)) for x, n in zip(asked.column("body").to_pylist(), asked.column("entries").to_pylist(), strict=True)]
+    parts = [_unpack(x, (n, 7), (n, 6)) for x, n in zip(asked.column("body").to_pylist(), asked.column("entries").to_pylist(), strict=True)]
+    parts = [(_keys(steps), n) for steps, n in parts]
     h, inverse = _distinct(np.concatenate([p[0] for p in parts]))
     n = np.bincount(inverse, weights=np.concatenate([p[1] for p in parts]).astype(np.float64), minlength=len(h)).astype(np.int64)
     return parts, h, n, inverse
@@ -396,7 +450,7 @@ def _answer_words(key, asked):
 
 def _totals(key, asked):
     _, h, n, _ = _words_added(asked)
-    n = n[~np.isin(h, _NAMES[1:])]  # start marks are no tokens
+    n = n[~np.isin(h, _NAMES[1:] >> np.uint64(8))]  # start marks are no tokens
     return pa.table({"tokens": pa.array([int(n.sum())], pa.int64()), "kinds": pa.array([int((n > 0).sum())], pa.int64())})
 
 
@@ -407,7 +461,7 @@ def _ask_contexts(level: int, routes: int, hot: int):
     """Level 1 hears of the words, later ones of the level before; each sends its state along."""
 
     def run(key, texts, answers):
-        batch = Batch(texts)
+        batch = Batch(_opened(texts))
         _hear(batch, level - 1, answers, routes, hot)
         batch.grow()
         number = key[0].as_py()
@@ -437,31 +491,31 @@ def _hear(batch: Batch, level: int, answers: pa.Table, routes: int, hot: int) ->
 
 
 def _contexts_added(rows: list[dict]):
-    """Of messages: by context (name, first name, a, b, times counted), by entry (context, count over all messages), and each message's slices of both."""
+    """Of messages: by context (first name, divergence so far), each message's contexts, and by entry the count over all messages and whether others have it; where each message's contexts and entries begin."""
     parts = []
     for r in rows:
         c, e, h = r["contexts"], r["entries"], 8 * (r["kind"] == _HOT)
-        parts.append(_unpack(r["body"], (c, 8), (c, h), (c, 6), (c, 4), (c, 4), (c, 4), (e, 5), (e, 5), (e, 2)))
+        part = _unpack(r["body"], (c, 7), (c, h), (c, 6), (c, 4), (c, 4), (e, 5), (e, 5), (e, 1))
+        part[0], part[5] = _keys(part[0]), _unstepped(part[5], part[3].astype(np.int64))
+        parts.append(part)
     join = lambda i: np.concatenate([p[i] for p in parts])
     names, context = _distinct(join(0))
     if len(names) >> 24:
         raise ValueError("a bucket has too many contexts for its keys: use smaller batches")
-    as_float = lambda x: x.astype("<u4").view("<f4").astype(np.float64)
-    a, b = (np.bincount(context, weights=as_float(join(i)), minlength=len(names)) for i in (4, 5))
+    share = np.bincount(context, weights=join(4).astype("<u4").view("<f4").astype(np.float64), minlength=len(names))
     n, original = np.zeros(len(names), np.int64), np.zeros(len(names), np.uint64)
     n[context], original[context] = join(2).astype(np.int64), join(1)
     owner = np.repeat(context, join(3).astype(np.int64))
-    keys, inverse = _distinct(owner.astype(np.uint64) << np.uint64(40) | join(6))
-    count = np.bincount(inverse, weights=join(7).astype(np.float64), minlength=len(keys)).astype(np.int64)
-    q = np.zeros(len(keys), np.uint16)
-    q[inverse] = join(8).astype(np.uint16)
+    keys, inverse = _distinct(owner.astype(np.uint64) << np.uint64(40) | join(5))
+    count = np.bincount(inverse, weights=join(6).astype(np.float64), minlength=len(keys)).astype(np.int64)
+    q = np.zeros(len(keys), np.uint8)
+    q[inverse] = join(7).astype(np.uint8)
     of = (keys >> np.uint64(40)).astype(np.int64)
     seen = count > 0
-    more_a, more_b = divergence_parts(count[seen], n[of[seen]], q[seen])
-    a += np.bincount(of[seen], weights=more_a, minlength=len(names))
-    b += np.bincount(of[seen], weights=more_b, minlength=len(names))
+    a, b = divergence_parts(count[seen], n[of[seen]], q[seen])
+    share += np.bincount(of[seen], weights=a + b / 2, minlength=len(names))
     shared = np.bincount(inverse, minlength=len(keys)) > 1  # a message names an entry once
-    return original, a, b, context, count[inverse], shared[inverse], np.cumsum([0, *(r["contexts"] for r in rows)]), np.cumsum([0, *(r["entries"] for r in rows)])
+    return original, share, context, count[inverse], shared[inverse], np.cumsum([0, *(r["contexts"] for r in rows)]), np.cumsum([0, *(r["entries"] for r in rows)])
 
 
 def _answer_contexts(key, asked):
@@ -469,8 +523,8 @@ def _answer_contexts(key, asked):
     out = [(r["route"], r["batch"], _STATE, r["body"]) for r in rows if r["kind"] == _STATE]
     for kind in (_COLD, _HOT):
         if mine := [r for r in rows if r["kind"] == kind]:
-            _, a, b, context, count, shared, heads, entries = _contexts_added(mine)
-            kept = (a - (1 - b) / 2 >= MIN_DIVERGENCE)[context]  # of a hot context's slice it says nothing and isn't read
+            _, share, context, count, shared, heads, entries = _contexts_added(mine)
+            kept = (share - 0.5 >= MIN_DIVERGENCE)[context]  # of a hot context's slice it says nothing and isn't read
             for r, i, j, k, m in zip(mine, heads, heads[1:], entries, entries[1:], strict=False):
                 out.append((r["route"], r["batch"], kind, _pack((count[k:m], 6), (shared[k:m], 1), (kept[i:j], 1))))
     return _as_table(out, ANSWER)
@@ -479,12 +533,13 @@ def _answer_contexts(key, asked):
 def _hot_parts(key, asked):
     """What each slice of a hot context adds to its divergence."""
     rows = [r for r in asked.to_pylist() if r["kind"] == _HOT]
-    name, a, b = _contexts_added(rows)[:3] if rows else (np.zeros(0, np.uint64), [], [])
-    return pa.table({"name": pa.array(name.view(np.int64), pa.int64()), "a": pa.array(a, pa.float64()), "b": pa.array(b, pa.float64())})
+    name, share = _contexts_added(rows)[:2] if rows else (np.zeros(0, np.uint64), [])
+    return pa.table({"name": pa.array(name.view(np.int64), pa.int64()), "share": pa.array(share, pa.float64())})
 
 
 def _scored(routes: int, hot: int):
     def run(key, texts, answers):
+        texts = _opened(texts)
         batch = Batch(texts)
         _hear(batch, DEPTH, answers, routes, hot)
         known, base, score = batch.scores()
@@ -495,15 +550,15 @@ def _scored(routes: int, hot: int):
 
 def op4(docs: DataFrame, batch_mb: int = BATCH_MB, hot: int = HOT) -> DataFrame:
     n = batch_count(docs, "text", batch_mb)
-    batch = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
-    by_batch = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (fold(7) != 2).alias("train"), batch.alias("batch")).groupBy("batch")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (fold(7) != 2).alias("train"))
+    by_batch = rows.mapInArrow(trimmed(_chunked(n)), "batch int, chunk binary").groupBy("batch")
     by_route = by_batch.applyInArrow(trimmed_group(_ask_words(n)), ASK).groupBy("route")
     totals = by_route.applyInArrow(_totals, "tokens long, kinds long").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds"))
     answers = by_route.applyInArrow(_answer_words, ANSWER).join(F.broadcast(totals))  # totals: one row
     for level in range(1, DEPTH + 1):
         by_route = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(trimmed_group(_ask_contexts(level, n, hot)), ASK).groupBy("route")
-        shares = by_route.applyInArrow(_hot_parts, "name long, a double, b double").groupBy("name").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        kept = shares.filter(F.col("a") - (1 - F.col("b")) / 2 >= MIN_DIVERGENCE).agg(F.collect_list("name").alias("kept"))  # at most MOST_HOT
+        shares = by_route.applyInArrow(_hot_parts, "name long, share double").groupBy("name").agg(F.sum("share").alias("share"))
+        kept = shares.filter(F.col("share") - 0.5 >= MIN_DIVERGENCE).agg(F.collect_list("name").alias("kept"))  # at most MOST_HOT
         answers = by_route.applyInArrow(trimmed_group(_answer_contexts), ANSWER).join(F.broadcast(kept))
         answers = answers.withColumn("kept_hot", F.when(F.col("kind") == _STATE, F.col("kept"))).drop("kept")
     kind = docs.schema["doc_id"].dataType.simpleString()

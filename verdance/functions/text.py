@@ -38,13 +38,14 @@ MATH_MARKS = r"^(?:\\\[|\$\$|\\\(|\$)|(?:\\\]|\$\$|\\\)|\$)$"
 ENVIRONMENT_MARK = r"^\\(?:begin|end)\{[^{}]*\}$"
 LINE_ENDS = r"[\n.]"
 LINE_ENDS_KEEP_DECIMALS = r"\n|(?<!\d)\.|\.(?!\d)"
-SPACING = r"\\[,;:!]|\\quad|\\qquad|\\ |\;|\\thinspace"
+SPACING = r"\\[,;:!]|\\quad|\\qquad|\\ |\\;|\\thinspace"
 CURRENCY = r"[₹$€£¥]|\\rs\.?|\brs\.?\s"
 SINGLE_BRACE = r"\{(\w)\}"
 OPTION_WORD = r"(?i)\boption\b"
 BARE_OPTION = r"^\(?\s*(?:option\s*)?[a-eA-E]\s*\)?[.)]?$"
 PAREN_LETTERS = r"(?i)\(\s*[a-d]\s*\)[^\n]{0,60}\(\s*[b-e]\s*\)"
 CHOICE_LIST = r"\\begin\{enumerate\}|\\item\b"
+#: The last alternative stands for a brace that no letter comes before: a place before it is taken along, as the checking engine has no lookbehind.
 SET_MARKS = r"\\[{}]|\\(?:cup|cap|setminus|subset|supset|emptyset)\b|\\in\b|(?:^|[^a-zA-Z])\{[^{}]*,[^{}]*\}"
 DERIVATIVE = r"(?i)\\frac\s*\{\s*d(?:\^?\d?)?\s*[a-z]?\s*\}|\bd\^?2?\s*y\s*/\s*d\s*x|\\mathrm\{d\}|derivative\(|\bdy\s*/\s*dx\b"
 MALFORMED_DERIVATIVE = r"(?i)d\*\*\d\s*\*\s*[a-z]|/\s*\(?\s*dx\s*\*\*|\bdx\*\*\d"
@@ -151,6 +152,11 @@ def cosmetic(label: Column) -> Column:
     return F.coalesce(_or_null(F.regexp_replace(F.regexp_replace(bare, r"\s+", ""), r"[.,;]+$", "")), label)
 
 
+def payload(label: Column) -> Column:
+    """A label without its tier."""
+    return F.regexp_replace(label, r"(?s)^[^:]*:", "")
+
+
 def extraction_tier(field: Column) -> Column:
     return (
         F.when(field.isNull(), "parse_fail").when(field.rlike(OPTION), "option").when(field.rlike(BOXED), "boxed").when(field.rlike(DISPLAY_MATH), "display_math").otherwise("last_line")
@@ -308,11 +314,12 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(_all(F.coalesce(c, F.lit("")), TOKEN))
 
 
-def numeric_surface(*texts: Column, depth: int = 6) -> Column:
-    """Fractions as a/b (up to `depth` levels deep), thousands without commas, no blanks around the slash."""
+def numeric_surface(*texts: Column) -> Column:
+    """Fractions as a/b however deep (a round for each that the text holds: no text nests deeper), thousands without commas, no blanks around the slash."""
     joined = F.concat_ws(" ", *(F.coalesce(t, F.lit("")) for t in texts))
-    for _ in range(depth):
-        joined = F.regexp_replace(joined, r"\\[dt]?frac\s*\{([^{}]+)\}\s*\{([^{}]+)\}", "$1/$2")
+    n = F.size(_all(joined, r"\\[dt]?frac"))
+    rounds = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    joined = F.aggregate(rounds, joined, lambda s, _: F.regexp_replace(s, r"\\[dt]?frac\s*\{([^{}]+)\}\s*\{([^{}]+)\}", "$1/$2"))
     return F.regexp_replace(F.regexp_replace(joined, r"(?<=\d),(?=\d\d\d)", ""), r"\s*/\s*", "/")
 
 

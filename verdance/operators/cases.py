@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scans, text
-from .profile import payload
+from ..functions.text import payload
 from .votes import votes
 
 CATEGORIES = ("high_entropy_correct", "low_entropy_wrong", "max_entropy_degenerate", "non_engagement_says_error", "confidently_wrong_grading")

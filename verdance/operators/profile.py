@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scans, text
+from ..functions.text import payload
 from ..functions.stats import hash_key, ratio
+from .cases import traced
 from .ranking import auroc
+from .votes import classified, votes
 
 # Function names that a parsed label may hold without being prose, and shape groups.
 PARSED_NAMES = (
@@ -20,10 +23,6 @@ STRUCTURED_TYPES = ("multi_value", "set_answer", "system_answer", "derivative_eq
 SAMPLE_STRATA = ("unanimous_wrong", "max_entropy_wrong", "low_entropy_wrong", "likely_scoring_artifact", "needs_visual")
 
 
-def payload(label: Column) -> Column:
-    return F.regexp_replace(label, r"(?s)^[^:]*:", "")
-
-
 def squeeze(c: Column) -> Column:
     return F.regexp_replace(c, r"\s+", "")
 
@@ -50,6 +49,27 @@ def failure_class(model_label: Column, truth_label: Column, model_field: Column,
     )
 
 
+def failures(samples: DataFrame, truths: DataFrame, keys: list[str], rule: str = "final_term_v4", truth: str = "truth") -> DataFrame:
+    """Per item the failure class (label) of the majority under a rule, by default the loosest: what is still wrong there is no matter of form. With the labels, the field of the first sample that made the majority, and entropy."""
+    rows = traced(samples, keys, rule)
+    won = votes(rows, keys).select(*keys, "entropy", "majority")
+    made = rows.join(won, keys).filter(F.col("label").eqNullSafe(F.col("majority"))).groupBy(*keys, "entropy", "majority").agg(F.min_by(F.struct("field"), "pos").alias("_m"))
+    told = scans.with_label(truths.select(*keys, F.col(truth).alias("truth_field")), "truth_field", "truth_label", rule)
+    out = made.join(told, keys).select(*keys, "entropy", F.col("majority").alias("model_label"), "truth_label", F.col("_m.field").alias("model_field"), "truth_field")
+    return out.withColumn("label", failure_class(F.col("model_label"), F.col("truth_label"), F.col("model_field"), F.col("truth_field")))
+
+
+def presort(samples: DataFrame, truths: DataFrame, keys: list[str], *carry: str) -> DataFrame:
+    """Failure classes of the items that every rule finds wrong, with columns of the truths."""
+    wrong = classified(samples, truths, keys, 5).filter("category = 'genuinely_wrong'").select(*keys)
+    return failures(samples, truths, keys).join(wrong, keys, "left_semi").join(truths.select(*keys, *carry), keys)
+
+
+def coding_sheet(audit: DataFrame, item: str, flag: str = "has_error") -> DataFrame:
+    """The sheet that people fill in: the proposed label beside an empty one, so that both remain."""
+    return audit.select(item, "stratum", F.col("label").alias("proposed_label"), flag, "entropy", "model_label", "truth_label", F.lit("").alias("final_label"), F.lit("").alias("notes")).orderBy("stratum", item)
+
+
 def audit_sample(wrong: DataFrame, item: str, entropy: str, label: str, n: int, seed, max_entropy: float) -> DataFrame:
     """n rows in hash order of each of five overlapping strata; an item stays in the first stratum that drew it."""
     h = F.col(entropy)

@@ -295,17 +295,23 @@ def cuts_interval(df: DataFrame, score: str, correct: str, failures: str, max_sc
     return out.withColumn("robust", F.coalesce(F.max(F.when(F.col("cut") == CUTS[3], F.col("excludes_chance"))).over(Window.partitionBy()), F.lit(False)))  # four rows
 
 
-def rule_metrics(df: DataFrame, rule: str, k: int, reps: int) -> DataFrame:
-    """One row of a rule's run (entropy, correct): counts, AUROC and interval, items at the entropy of k different votes.
+def _rule_counts(df: DataFrame, rule: str) -> DataFrame:
+    return df.filter(F.col("entropy").isNotNull() & F.col("correct").isNotNull()).groupBy(rule, "entropy", "correct").agg(F.count("*").alias("n"))
 
-    The run is counted once; the estimate and the draws both start from the counts.
-    """
-    counts = df.filter(F.col("entropy").isNotNull() & F.col("correct").isNotNull()).groupBy("entropy", "correct").agg(F.count("*").alias("n"))
-    point = auroc(counts, "entropy", "correct", weight="n", few=True).withColumns({c: F.col(c).cast("long") for c in ("n_items", "n_error", "n_correct")})
+
+def rule_points(df: DataFrame, rule: str, k: int, counts: DataFrame | None = None) -> DataFrame:
+    """Per rule of a run (entropy, correct): counts, AUROC, items at the entropy of k different votes."""
+    counts = _rule_counts(df, rule) if counts is None else counts
     top = math.log(k)
-    at_max = counts.agg(F.coalesce(F.sum(F.when(F.abs(F.col("entropy") - top) <= 1e-9 * top, F.col("n"))), F.lit(0)).alias("n_at_max_entropy"))
-    out = with_interval(point, bootstrap_cells(counts, "entropy", "correct", reps, count="n")).join(F.broadcast(at_max))
-    return out.withColumn("rule", F.lit(rule))
+    at_max = counts.groupBy(F.col(rule).alias("_rule")).agg(F.coalesce(F.sum(F.when(F.abs(F.col("entropy") - top) <= 1e-9 * top, F.col("n"))), F.lit(0)).alias("n_at_max_entropy"))
+    points = auroc(counts, "entropy", "correct", [rule], weight="n", few=True).withColumns({c: F.col(c).cast("long") for c in ("n_items", "n_error", "n_correct")})
+    return points.join(at_max, F.col(rule) == F.col("_rule")).drop("_rule")
+
+
+def rule_metrics(df: DataFrame, rule: str, k: int, reps: int) -> DataFrame:
+    """`rule_points` with intervals: the run is counted once, and the estimates and the draws both start from the counts."""
+    counts = _rule_counts(df, rule)
+    return with_interval(rule_points(df, rule, k, counts), bootstrap_cells(counts, "entropy", "correct", reps, [rule], count="n"), [rule])
 
 
 # ---- verdicts ----

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from ..functions import text
 from ..functions.stats import dbl, ratio
@@ -80,17 +85,24 @@ def long_form(row: DataFrame) -> DataFrame:
     return row.select(*(dbl(F.col(c)).alias(c) for c in numeric)).unpivot([], numeric, "key", "value")
 
 
+@pandas_udf(ArrayType(StructType([StructField("key", StringType()), StructField("value", DoubleType())])))
+def _leaves(docs: pd.Series) -> pd.Series:
+    def numbers(doc) -> list[tuple[str, float]]:
+        out, open_ = [], [("", json.loads(doc) if doc else None)]
+        while open_:
+            at, x = open_.pop()
+            if isinstance(x, dict):
+                open_ += [(f"{at}.{k}" if at else k, v) for k, v in x.items()]
+            elif at and isinstance(x, int | float) and not isinstance(x, bool):
+                out.append((at, float(x)))
+        return out
+
+    return pd.Series([numbers(doc) for doc in docs], dtype=object)
+
+
 def flatten_json(docs: DataFrame, column: str) -> DataFrame:
-    """key (dotted), value of every numeric leaf of JSON objects up to eight deep; booleans are left out."""
-    frame = docs.select(F.lit("").alias("key"), F.col(column).alias("j"))
-    leaves = None
-    for _ in range(8):
-        pairs = frame.select("key", F.explode(F.from_json("j", "map<string,string>")).alias("k", "j"))
-        pairs = pairs.select(F.concat_ws(".", F.nullif("key", F.lit("")), "k").alias("key"), "j")
-        part = pairs.filter(F.col("j").rlike(r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$")).select("key", F.col("j").cast("double").alias("value"))
-        leaves = part if leaves is None else leaves.unionByName(part)
-        frame = pairs.filter(F.col("j").startswith("{"))
-    return leaves
+    """key (dotted), value of every numeric leaf of JSON objects, however deep: one scan a document. Booleans, texts and lists are left out."""
+    return docs.select(F.explode(_leaves(F.col(column))).alias("leaf")).select("leaf.key", "leaf.value")
 
 
 def diff(old: DataFrame, new: DataFrame, tol: float = 1e-6, headline: list[str] = []) -> DataFrame:  # noqa: B006

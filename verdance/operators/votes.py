@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,50 @@ def score(samples: DataFrame, truths: DataFrame, keys: list[str], rule: str = "s
     return out.withColumn("correct", F.col("majority") == F.col("truth_label"))
 
 
+def score_rules(samples: DataFrame, truths: DataFrame, keys: list[str], response: str = "response", truth: str = "truth") -> DataFrame:
+    """`score` under all four rules at once, with rule as a key: responses are parsed and labelled once, votes are counted by (item, rule)."""
+    parsed = scans.with_labels(samples.select(*keys, "pos", text.parse_answer(F.col(response)).alias("_field")), "_field")
+    marked = parsed.withColumn("_failed", F.col("_field").isNull().cast("int")).unpivot([*keys, "pos", "_failed"], list(scans.RULES), "rule", "label")
+    told = scans.with_labels(truths.select(*keys, F.col(truth).alias("_truth")), "_truth").unpivot(keys, list(scans.RULES), "rule", "truth_label")
+    by = [*keys, "rule"]
+    return votes(marked, by, extra={"n_parse_failures": "_failed"}).join(told, by).withColumn("correct", F.col("majority") == F.col("truth_label"))
+
+
+def classified(samples: DataFrame, truths: DataFrame, keys: list[str], k: int, response: str = "response", truth: str = "truth") -> DataFrame:
+    """Per item the four verdicts v1 to v4, their category, entropy, n_tiers, at_max, and whether the majority is a failed parse."""
+    of = lambda c, rule: F.max(F.when(F.col("rule") == rule, F.col(c)))
+    strict = scans.RULES[0]
+    wide = score_rules(samples, truths, keys, response, truth).groupBy(*keys).agg(
+        *(of("correct", rule).alias(f"v{i}") for i, rule in enumerate(scans.RULES, 1)), of("entropy", strict).alias("entropy"), of("k", strict).alias("k"), of("n_parse_failures", strict).alias("n_parse_failures"),
+        (of("majority", strict) == text.SENTINEL.lower()).alias("majority_is_parse_failure"),
+    )
+    out = wide.join(tiers(samples, keys, response).select(*keys, "n_tiers"), keys)
+    at_max = (F.col("k") == k) & (F.abs(F.col("entropy") - math.log(k)) < 1e-9)
+    return out.withColumns(outcome(*(F.col(f"v{i}") for i in range(1, 5)))).withColumn("at_max", at_max)
+
+
+def correct_under(samples: DataFrame, truths: DataFrame, keys: list[str], fixes: dict[str, dict], response: str = "response", truth: str = "truth") -> DataFrame:
+    """(keys, fix, correct): the verdict with each set of repairs to strict_v1 (arguments of `ablated_label`)."""
+    label = lambda df: df.select("*", *(scans.ablated_label(F.col("_field"), **fix).alias(name) for name, fix in fixes.items()))
+    said = label(samples.select(*keys, "pos", text.parse_answer(F.col(response)).alias("_field"))).unpivot([*keys, "pos"], list(fixes), "fix", "label")
+    told = label(truths.select(*keys, F.col(truth).alias("_field"))).unpivot(keys, list(fixes), "fix", "truth_label")
+    by = [*keys, "fix"]
+    return votes(said, by).join(told, by).select(*by, (F.col("majority") == F.col("truth_label")).alias("correct"))
+
+
+#: The repairs of fixed_v2 that the text tier has, one at a time.
+SINGLE_FIXES = {"unwrap": {"unwrapped": True}, "decimal_split": {"keep_decimals": True}}
+
+
+def attributed(samples: DataFrame, truths: DataFrame, keys: list[str]) -> DataFrame:
+    """`classified` with attributed_bug: the single repairs that change strict_v1's verdict of items that fixed_v2 mends or breaks (joined by +), combined_only if none does alone."""
+    found = classified(samples, truths, keys, 5)
+    flips = correct_under(samples, truths, keys, SINGLE_FIXES).join(found.select(*keys, "v1"), keys).filter(F.col("correct") != F.col("v1"))
+    names = flips.groupBy(*keys).agg(F.array_join(F.filter(F.array(*(F.lit(n) for n in SINGLE_FIXES)), lambda n: F.array_contains(F.collect_set("fix"), n)), "+").alias("_names"))
+    touched = F.col("category").isin("bug_fix_recovered", "false_pass_removed")
+    return found.join(names, keys, "left").withColumn("attributed_bug", F.when(touched, F.coalesce("_names", F.lit("combined_only")))).drop("_names")
+
+
 def nested(samples: DataFrame, keys: list[str], ks: tuple[int, ...] = (3, 5, 10), pos: str = "pos") -> DataFrame:
     """The first k samples of every item for each k, as rows with k_prefix; items with fewer than k samples lack that k."""
     if not ks or min(ks) < 1:

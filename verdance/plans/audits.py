@@ -244,11 +244,16 @@ def _(s, d):
     return cells.groupBy("cell", "final_label").agg(F.count("*").alias("n"))
 
 
-@query("confusion_violations", f"with {_AU} select item, audit_set from au where false")
+_CELL = "case final_label when 'true_correct' then case when correct then 'TP' else 'FN' end when 'needs_visual' then 'NEEDS_VISUAL' when 'extraction_issue' then case when correct then 'FP' else 'INDETERMINATE' end else case when correct then 'FP' else 'TN' end end"
+
+
+# the verdict of every 13th item is turned after its cell was given, and every 17th has a cell that there isn't
+@query("confusion_violations", f"with {_AU}, ce as (select au.item, audit_set, case when au.item % 17 = 0 then 'ELSE' else {_CELL} end cell, correct <> (au.item % 13 = 0) correct from au join ru on ru.item = au.item) select item, audit_set from ce where cell = 'ELSE' or (cell in ('TP', 'FP') and not correct) or (cell in ('FN', 'TN', 'INDETERMINATE') and correct)")
 def _(s, d):
     long, run = _audits(s, d)
     cells = long.join(run, "item").withColumn("cell", audit.confusion(F.col("correct"), F.col("final_label")))
-    return audit.confusion_violations(cells, "cell", "correct").select("item", "audit_set")
+    turned = cells.withColumns({"cell": F.when(F.col("item") % 17 == 0, "ELSE").otherwise(F.col("cell")), "correct": F.col("correct") != (F.col("item") % 13 == 0)})
+    return audit.confusion_violations(turned, "cell", "correct").select("item", "audit_set")
 
 
 @query("confusion_notes")
@@ -321,9 +326,9 @@ def _(s, d):
     return runs.diff(old, new, headline=["3", "6"])
 
 
-@query("flatten_json", "select 'a' as key, sum(p_size)::double as value from part union all select 'b.c', count(*)::double from part union all select 'b.d.e', 2.5", "value")
+@query("flatten_json", "select 'a' as key, sum(p_size)::double as value from part union all select 'b.c', count(*)::double from part union all select 'b.d.e', 2.5 union all select 'z' || repeat('.z', 11), 7.0", "value")
 def _(s, d):
-    doc = F.to_json(F.struct(F.col("t").alias("a"), F.struct(F.col("n").alias("c"), F.struct(F.lit(2.5).alias("e"), F.lit(True).alias("flag")).alias("d")).alias("b"), F.lit("x").alias("label")))
+    doc = F.to_json(F.struct(F.col("t").alias("a"), F.struct(F.col("n").alias("c"), F.struct(F.lit(2.5).alias("e"), F.lit(True).alias("flag")).alias("d")).alias("b"), F.lit("x").alias("label"), F.from_json(F.lit('{"z":' * 11 + "7" + "}" * 11), "struct<z:" * 11 + "int" + ">" * 11).alias("z")))
     row = table(s, d, "part").agg(F.sum("p_size").alias("t"), F.count("*").alias("n")).select(doc.alias("j"))
     return runs.flatten_json(row, "j")
 
@@ -478,8 +483,7 @@ def _(s, d):
 
 @query("mean_confidence", "select user_id, -avg(value) neg_mean from events group by 1", "neg_mean")
 def _(s, d):
-    arrays = table(s, d, "events").groupBy("user_id").agg(F.collect_list("value").alias("v"))
-    return arrays.select("user_id", F.explode("v").alias("x")).groupBy("user_id").agg((-F.avg("x")).alias("neg_mean"))
+    return table(s, d, "events").groupBy("user_id").agg((-F.avg("value")).alias("neg_mean"))
 
 
 @query("homogeneous_flags", "select o_orderpriority, count(distinct o_orderstatus) n_values, count(distinct o_orderstatus) = 1 homogeneous from orders group by 1")

@@ -12,7 +12,7 @@ LB = """lb as (select d.doc_id item_id, n_chars::double score, n_chars, lang, so
 
 RS = r"""li as (select l_orderkey item_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax) - 1 pos, l_partkey, l_quantity::int % 4 v from lineitem),
 rs as (select item_id, pos, case (l_partkey + pos) % 8 when 0 then '**Answer:** $x=' || v || '$' when 1 then '**Answer:** The value is ' || v || '.5 cm.' when 2 then '\textbf{Answer: Option ' || chr(65 + v) || '}'
-  when 3 then 'Working' || chr(10) || 'Answer: \boxed{' || v || '}' when 4 then '**Answer:** \[ \text{x} = ' || v || ' \]' when 5 then 'no marker ' || v when 6 then '**Answer:** {2}\,' || v || ' + y, $ 5.'
+  when 3 then 'Working' || chr(10) || 'Answer: \boxed{' || v || '}' when 4 then '**Answer:** \[ \text{x} = ' || v || ' \]' when 5 then 'no marker ' || v when 6 then '**Answer:** {2}\,' || v || ' + y; z, $ 5.'
   else '**Answer:** Option ' || chr(97 + v) || ' ``` junk' end response from li),
 od as (select o_orderkey item_id, 'Which option holds for ' || o_orderpriority || '?' question, case o_custkey % 4 when 0 then '$x=' || (o_orderkey % 4) || '$' when 1 then 'The value is ' || (o_orderkey % 4) || '.5 cm'
   when 2 then 'Option ' || chr((65 + o_orderkey % 4)::int) else '\boxed{' || (o_orderkey % 4) || '}' end truth, o_orderstatus = 'F' has_error from orders)"""

@@ -11,7 +11,7 @@ from ..functions.stats import ratio
 from ..operators import cases, judging, profile, ranking, votes
 from ..sources.tables import responses, table
 from .registry import query
-from .sql import RS, PR, SC, canonical, extract_final, strip, structural, tier
+from .sql import RS, PR, SC, auroc, canonical, extract_final, normalize, strip, structural, tier
 
 # ---- parsing ----
 
@@ -85,7 +85,7 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", scans.unwrap_macro(t, "textcolor").alias("colour_free"), scans.unwrap_macro(t, "text").alias("text_free"))
 
 
-_COSMETIC = r"coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '\\[,;:!]|\\quad|\\qquad|\\ |;|\\thinspace', '', 'g'), '[₹$€£¥]|\\rs\.?|\brs\.?\s', '', 'g'), '\{{(\w)\}}', '\1', 'g'), '\s+', '', 'g'), '[.,;]+$', ''), ''), {x})"
+_COSMETIC = r"coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '\\[,;:!]|\\quad|\\qquad|\\ |\\;|\\thinspace', '', 'g'), '[₹$€£¥]|\\rs\.?|\brs\.?\s', '', 'g'), '\{{(\w)\}}', '\1', 'g'), '\s+', '', 'g'), '[.,;]+$', ''), ''), {x})"
 
 
 @query("cosmetic", f"with {RS}, {SC} select item_id, pos, {_COSMETIC.format(x='lab')} label from sl")
@@ -134,36 +134,68 @@ def _scored(s, d, rule="strict_v1"):
     return votes.score(samples, orders, ["item_id"], rule)
 
 
+#: Labels under the four rules, in SQL: the responses hold no nested macros and no equals signs inside brackets, so regular expressions do.
+_BARE = r"regexp_replace(regexp_replace({x}, '\\textcolor\{{[^{{}}]*\}}\{{([^{{}}]*)\}}', '\1', 'g'), '\\text\{{([^{{}}]*)\}}', '\1', 'g')"
+_TERM = r"case when contains(loose, '=') then coalesce(list_filter(list_transform(string_split(loose, '='), lambda t: trim(t)), lambda t: t <> '')[-1], loose) else loose end"
+
+
+def _four(src: str, field: str, carry: str) -> str:
+    """In steps, so that no step repeats a large expression. src has the strict label as strict."""
+    steps = [f"{_BARE.format(x=field)} b_", f"{extract_final('b_', True)} f_", f"{canonical('f_')} c_", f"{normalize('c_')} fixed", f"case when fixed = '<parse_failure>' then fixed else {_COSMETIC.format(x='fixed')} end loose", f"case when fixed = '<parse_failure>' then loose else {_TERM} end term"]
+    for step in steps:
+        src = f"(select *, {step} from {src})"
+    return f"(select {carry}, unnest(['strict_v1', 'fixed_v2', 'relaxed_v3', 'final_term_v4']) rule, unnest([strict, fixed, loose, term]) label from {src})"
+
+
+RULE_LABELS = f"""labels4 as {_four("(select *, lab strict from sl)", "field", "item_id, pos, field")}, truths4 as {_four("(select od.item_id, od.truth, tl.lab strict from od join tl using (item_id))", "truth", "item_id")},
+counts4 as (select item_id, rule, label, count(*) n, min(pos) f from labels4 group by all), votes4 as (select item_id, rule, (list(label order by n desc, f))[1] as label, abs(round(ln(sum(n)::double) - sum(n*ln(n::double))/sum(n)::double, 12)) entropy, sum(n)::bigint k from counts4 group by all),
+scored4 as (select v.item_id, v.rule, v.entropy, v.k, v.label = t.label correct from votes4 v join truths4 t on v.item_id = t.item_id and v.rule = t.rule)"""
+RULE_VERDICTS = """ver4 as (select item_id, bool_or(correct) filter (rule = 'strict_v1') v1, bool_or(correct) filter (rule = 'fixed_v2') v2, bool_or(correct) filter (rule = 'relaxed_v3') v3, bool_or(correct) filter (rule = 'final_term_v4') v4, max(entropy) filter (rule = 'strict_v1') entropy, max(k) k from scored4 group by 1),
+cat4 as (select *, case when v1 and v2 and v4 then 'correct_robust' when v1 and v2 then 'broken_by_relaxation' when v1 then 'false_pass_removed' when v2 then 'bug_fix_recovered' when v3 then 'cosmetic_mismatch' when v4 then 'scope_mismatch' else 'genuinely_wrong' end category, case when v1 then null when v2 then 'fixed_v2' when v3 then 'relaxed_v3' when v4 then 'final_term_v4' end first_fixing_rule, not v1 and (v2 or v3) and not v4 later_regression from ver4)"""
+
+
+@query("rule_labels", f"with {RS}, {SC}, {RULE_LABELS} select item_id, pos, rule, label from labels4")
+def _(s, d):
+    rows = scans.with_labels(responses(s, d)[0].select("item_id", "pos", text.parse_answer(F.col("response")).alias("field")), "field")
+    return rows.unpivot(["item_id", "pos"], list(scans.RULES), "rule", "label")
+
+
 @query("rule_sensitivity")
 def _(s, d):
-    out = None
-    for rule in ("strict_v1", "fixed_v2", "relaxed_v3", "final_term_v4"):
-        part = ranking.rule_metrics(_scored(s, d, rule).select("entropy", "correct"), rule, 5, 10_000)
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("accuracy", ratio(F.col("n_correct"), F.col("n_items")))
+    """With intervals of 10,000 draws."""
+    return ranking.rule_metrics(votes.score_rules(*responses(s, d), ["item_id"]), "rule", 5, 10_000).withColumn("accuracy", ratio(F.col("n_correct"), F.col("n_items")))
+
+
+@query("rule_points", f"with {RS}, {SC}, {RULE_LABELS}, a as ({auroc('scored4', 'entropy', 'correct', 'rule')}) select a.*, n_correct / n_items::double accuracy, (select count(*) from scored4 s where s.rule = a.rule and abs(s.entropy - ln(5)) <= 1e-9 * ln(5)) n_at_max_entropy from a", "auroc accuracy")
+def _(s, d):
+    return ranking.rule_points(votes.score_rules(*responses(s, d), ["item_id"]), "rule", 5).withColumn("accuracy", ratio(F.col("n_correct"), F.col("n_items")))
 
 
 def _classified(s, d):
-    out = None
-    for i, rule in enumerate(("strict_v1", "fixed_v2", "relaxed_v3", "final_term_v4"), 1):
-        part = _scored(s, d, rule).select("item_id", F.col("correct").alias(f"v{i}"), *(("entropy", "k") if i == 1 else ()))
-        out = part if out is None else out.join(part, "item_id")
-    out = out.join(votes.tiers(responses(s, d)[0], ["item_id"]).select("item_id", "n_tiers"), "item_id")
-    found = votes.outcome(*(F.col(f"v{i}") for i in range(1, 5)))
-    at_max = (F.col("k") == 5) & (F.abs(F.col("entropy") - math.log(5)) < 1e-9)
-    return out.withColumns(found).withColumn("at_max", at_max)
+    return votes.classified(*responses(s, d), ["item_id"], 5)
 
 
-@query("scoring_categories")
+@query("scoring_categories", f"with {RS}, {SC}, {RULE_LABELS}, {RULE_VERDICTS} select item_id, category, first_fixing_rule, later_regression, v1, v2, v3, v4 from cat4")
 def _(s, d):
     return _classified(s, d).select("item_id", "category", "first_fixing_rule", "later_regression", "v1", "v2", "v3", "v4")
 
 
-@query("category_summary")
+@query(
+    "category_summary",
+    f"with {RS}, {SC}, {RULE_LABELS}, {RULE_VERDICTS}, nt as (select item_id, count(distinct {tier('field')}) n_tiers from pr group by 1), o as (select unnest(range(7))::int rank, unnest(['correct_robust', 'bug_fix_recovered', 'cosmetic_mismatch', 'scope_mismatch', 'false_pass_removed', 'broken_by_relaxation', 'genuinely_wrong']) category) "
+    "select o.rank, o.category, count(cat4.item_id) n, count(cat4.item_id) / (select count(*) from cat4)::double share, avg(entropy) mean_entropy, avg((n_tiers > 1)::int) frac_multi_tier, avg((k = 5 and abs(entropy - ln(5)) < 1e-9)::int) frac_at_max_entropy from o left join cat4 using (category) left join nt using (item_id) group by all",
+    "share mean_entropy frac_multi_tier frac_at_max_entropy",
+)
 def _(s, d):
     return votes.outcome_summary(_classified(s, d))
 
 
+@query("bug_attribution")
+def _(s, d):
+    """Which single repair changes the verdict of items that the repairs mend or break."""
+    return votes.attributed(*responses(s, d), ["item_id"]).select("item_id", "category", "attributed_bug")
+
+
 _VERDICTS = "vx as (select c_custkey item_id, c_custkey % 2 = 0 v1, c_custkey % 3 = 0 v2, c_custkey % 5 = 0 v3, c_custkey % 7 = 0 v4, c_acctbal e from customer)"
 _CATEGORY = "case when v1 and v2 and v4 then 'correct_robust' when v1 and v2 then 'broken_by_relaxation' when v1 then 'false_pass_removed' when v2 then 'bug_fix_recovered' when v3 then 'cosmetic_mismatch' when v4 then 'scope_mismatch' else 'genuinely_wrong' end"
 
@@ -299,11 +331,31 @@ def _(s, d):
 
 
 @query("failure_classes")
+def _(s, d):
+    return profile.failures(*responses(s, d), ["item_id"]).select("item_id", "label")
+
+
+# the classes that need neither token overlap nor a likeness ratio, and a digest of the rest
+@query(
+    "failure_majority",
+    f"with {RS}, {SC}, {RULE_LABELS}, w as (select item_id, label from votes4 where rule = 'final_term_v4'), f as (select l.item_id, arg_min(field, pos) field from labels4 l join w using (item_id) where l.rule = 'final_term_v4' and l.label = w.label group by 1) "
+    "select f.item_id, w.label model_label, t.label truth_label, f.field model_field, w.label = '<parse_failure>' or t.label = '<parse_failure>' or regexp_matches(regexp_replace(t.label, '(?s)^[^:]*:', ''), '^[a-z]$') by_scoring from f join w using (item_id) join truths4 t on t.item_id = f.item_id and t.rule = 'final_term_v4'",
+)
+def _(s, d):
+    x = profile.failures(*responses(s, d), ["item_id"])
+    return x.select("item_id", "model_label", "truth_label", "model_field", ((F.col("model_label") == text.SENTINEL.lower()) | (F.col("truth_label") == text.SENTINEL.lower()) | profile.payload(F.col("truth_label")).rlike("^[a-z]$")).alias("by_scoring"))
+
+
+@query("presort", f"with {RS}, {SC}, {RULE_LABELS}, {RULE_VERDICTS} select item_id, has_error from cat4 join od using (item_id) where category = 'genuinely_wrong'")
+def _(s, d):
+    samples, orders = responses(s, d)
+    return profile.presort(samples, orders, ["item_id"], "has_error").select("item_id", "has_error")
+
+
+@query("coding_sheet")
 def _(s, d):
     samples, orders = responses(s, d)
-    first = samples.groupBy("item_id").agg(F.min_by("response", "pos").alias("r")).join(orders, "item_id")
-    field = text.parse_answer(F.col("r"))
-    return first.select("item_id", profile.failure_class(text.answer_label(field), text.answer_label(F.col("truth")), field, F.col("truth")).alias("failure"))
+    return profile.coding_sheet(profile.audit_sample(profile.presort(samples, orders, ["item_id"], "has_error"), "item_id", "entropy", "label", 6, 0, math.log(5)), "item_id")
 
 
 @query("answer_tokens", r"with x as (select part.p_partkey, list_distinct(regexp_extract_all(p_name || ' ' || p_retailprice::int || ' \alpha', '-?\d+(?:\.\d+)?|[A-Za-z]+|\\[A-Za-z]+')) t from part) select p_partkey, len(t)::int n_tokens, array_to_string(list_sort(t), '|') tokens from x")
@@ -314,14 +366,14 @@ def _(s, d):
 
 # ---- judges ----
 
-_JD = r"jd as (select conv_id, turn, case (conv_id + turn) % 5 when 0 then 'so \boxed{Yes} but \boxed{no}' when 1 then 'thinking' || chr(10) || '**Yes.**' when 2 then 'it is yes' when 3 then 'Equivalence Judgement: TRUE' else left(text, 60) end raw, conv_id % 2 = 0 rule, case conv_id % 3 when 0 then 'correct' when 1 then 'wrong' end human from conversations)"
+_JD = r"jd as (select conv_id, turn, case (conv_id + turn) % 5 when 0 then 'so \boxed{Yes} but \boxed{no}' when 1 then 'thinking' || chr(10) || '**Yes.**' when 2 then 'it is yes' when 3 then 'Equivalence Judgement: TRUE' else text end raw, conv_id % 2 = 0 rule, case conv_id % 3 when 0 then 'correct' when 1 then 'wrong' end human from conversations)"
 _PV = rf"""pv as (select *, coalesce(lower(regexp_extract_all(raw, '(?i)\\boxed\s*\{{\s*(yes|no)\s*\}}', 1)[-1]), lower(nullif(regexp_extract({strip("string_split(" + strip("raw") + ", chr(10))[-1]")}, '(?i)^\**\s*(yes|no)\s*[.!]?\**$', 1), ''))) said from jd),
 jv as (select *, case said when 'yes' then 'correct' when 'no' then 'incorrect' else 'unclear' end verdict, case lower(regexp_extract_all(regexp_replace(raw, '\s+', '', 'g'), '(?i)judg?e?ment\W{{0,4}}(true|false)', 1)[-1]) when 'true' then 'correct' when 'false' then 'incorrect' else 'unclear' end squashed from pv)"""
 
 
 def _judged(s, d):
     m = (F.col("conv_id") + F.col("turn")) % 5
-    raw = F.when(m == 0, "so \\boxed{Yes} but \\boxed{no}").when(m == 1, "thinking\n**Yes.**").when(m == 2, "it is yes").when(m == 3, "Equivalence Judgement: TRUE").otherwise(F.substring("text", 1, 60))
+    raw = F.when(m == 0, "so \\boxed{Yes} but \\boxed{no}").when(m == 1, "thinking\n**Yes.**").when(m == 2, "it is yes").when(m == 3, "Equivalence Judgement: TRUE").otherwise(F.col("text"))
     c = F.col("conv_id") % 3
     rows = table(s, d, "conversations").select("conv_id", "turn", raw.alias("raw"), (F.col("conv_id") % 2 == 0).alias("rule"), F.when(c == 0, "correct").when(c == 1, "wrong").alias("human"))
     return rows.withColumns({"verdict": text.parse_verdict(F.col("raw")), "squashed": text.parse_squashed_verdict(F.col("raw"))})
@@ -359,10 +411,12 @@ def _(s, d):
     return judging.judge_kappa(rows, "a", "b", ["g"])
 
 
-@query("judge_gate", "select count(*) n_probes, false passed from customer where c_custkey in (5, 6)")
+# a gate that opens, one with a probe that isn't judged incorrect, and one with a probe that is missing
+@query("judge_gate", "select p.n gate, count(c_custkey) n_probes, count(*) filter (c_custkey % 2 = 0) = max(len(p.k)) passed from (values (1, [4, 6, 8]), (2, [5, 6]), (3, [2, -1])) p(n, k) left join customer on list_contains(p.k, c_custkey) group by 1")
 def _(s, d):
     rows = table(s, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, "incorrect").otherwise("correct").alias("verdict"))
-    return judging.gate(rows, "c_custkey", [5, 6])
+    gates = [judging.gate(rows, "c_custkey", probes).select(F.lit(i).alias("gate"), "n_probes", "passed") for i, probes in enumerate(([4, 6, 8], [5, 6], [2, -1]), 1)]
+    return gates[0].unionByName(gates[1]).unionByName(gates[2])
 
 
 @query("judge_backend", "select p_partkey, case when p_size > 25 then '\\boxed{yes}' else '\\boxed{no}' end raw_output, case when p_size > 25 then 'correct' else 'incorrect' end verdict from part")

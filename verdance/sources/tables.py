@@ -64,7 +64,7 @@ def responses(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         F.when(form == 0, F.concat(F.lit("**Answer:** $x="), s, F.lit("$"))).when(form == 1, F.concat(F.lit("**Answer:** The value is "), s, F.lit(".5 cm.")))
         .when(form == 2, F.concat(F.lit("\\textbf{Answer: Option "), F.char(v + 65), F.lit("}"))).when(form == 3, F.concat(F.lit("Working\nAnswer: \\boxed{"), s, F.lit("}")))
         .when(form == 4, F.concat(F.lit("**Answer:** \\[ \\text{x} = "), s, F.lit(" \\]"))).when(form == 5, F.concat(F.lit("no marker "), s))
-        .when(form == 6, F.concat(F.lit("**Answer:** {2}\\,"), s, F.lit(" + y, $ 5."))).otherwise(F.concat(F.lit("**Answer:** Option "), F.char(v + 97), F.lit(" ``` junk")))
+        .when(form == 6, F.concat(F.lit("**Answer:** {2}\\,"), s, F.lit(" + y; z, $ 5."))).otherwise(F.concat(F.lit("**Answer:** Option "), F.char(v + 97), F.lit(" ``` junk")))
     )
     t, tf = F.col("o_orderkey") % 4, F.col("o_custkey") % 4
     truth = F.when(tf == 0, F.concat(F.lit("$x="), t.cast("string"), F.lit("$"))).when(tf == 1, F.concat(F.lit("The value is "), t.cast("string"), F.lit(".5 cm"))).when(tf == 2, F.concat(F.lit("Option "), F.char(t + 65))).otherwise(F.concat(F.lit("\\boxed{"), t.cast("string"), F.lit("}")))

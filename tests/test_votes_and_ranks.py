@@ -89,7 +89,7 @@ def test_intervals_by_cut_rule_and_weight(spark):
     df = spark.createDataFrame(rows, "entropy double, correct boolean, fails int, w int")
     cuts = {r["cut"]: r for r in ranking.cuts_interval(df, "entropy", "correct", "fails", top, 300).collect()}
     assert set(cuts) == set(ranking.CUTS) and all(r["robust"] and r["n_boot_valid"] == 300 and r["ci_low"] <= r["auroc"] <= r["ci_high"] for r in cuts.values())
-    one = ranking.rule_metrics(df, "r", 5, 300).first()
+    one = ranking.rule_metrics(df.withColumn("rule", F.lit("r")), "rule", 5, 300).first()
     assert (one["n_items"], one["n_error"], one["n_correct"], one["n_at_max_entropy"], one["rule"]) == (125, 55, 70, 30, "r")
     assert abs(one["auroc"] - cuts["full"]["auroc"]) < 1e-12 and (one["ci_low"], one["ci_high"]) == (cuts["full"]["ci_low"], cuts["full"]["ci_high"])
     # within strata: with one item a stratum nothing can vary
@@ -114,11 +114,10 @@ def test_resampling_is_registered_at_the_reference_size(monkeypatch):
     from verdance.plans import core
 
     seen = {}
-    monkeypatch.setattr(core.nullmodel, "cells", lambda s, truths, p, k: len(truths) * len(p) * len(k))
-    monkeypatch.setattr(core.nullmodel, "simulate", lambda grid, items, sims, seed: seen.update(null=(grid, items, sims)) or 1 / 0)
+    monkeypatch.setattr(core.nullmodel, "null_grid", lambda s, truths, p, k, items, sims, seed: seen.update(null=(len(truths) * len(p) * len(k), items, sims)) or 1 / 0)
     with pytest.raises(ZeroDivisionError):
         entry.queries()["null_simulation"](None, "")
-    assert seen["null"] == (30, 650, 2000)
+    assert seen["null"] == (285, 650, 2000)
     assert core.REPS == 10_000 and {"bootstrap_auroc_full", "paired_auroc_diff_full", "conformal_splits_full"} <= set(entry.queries())
 
 
@@ -166,3 +165,69 @@ def test_resample_keys_must_match(spark):
 def test_impossible_entropy_is_an_error(spark):
     with pytest.raises(Exception, match="five labels"):
         spark.createDataFrame([(0.3,)], "h double").select(stats.k5_distinct(F.col("h"))).collect()
+
+
+def test_null_simulations_agree_with_the_closed_form(spark):
+    """Strata lie on their exact values, and a sample with half of each truth is back at chance."""
+    grid = nullmodel.null_grid(spark, nullmodel.CONDITIONS, [0.5, 0.8], [5], 650, 400, 7).collect()
+    by = {(r["truth_condition"], r["p"]): r for r in grid}
+    for (condition, _), r in by.items():
+        if condition == "pooled_balanced":
+            assert r["auroc_exact"] is None and abs(r["auroc_median"] - 0.5) < 0.02
+        else:
+            assert abs(r["auroc_median"] - r["auroc_exact"]) < 0.02 and r["auroc_low"] <= r["auroc_exact"] <= r["auroc_high"]
+        assert r["n_valid"] + r["n_invalid"] == 400
+    assert nullmodel.bias_only(spark, 300, 1.0, 5, 50).first()["n_valid"] == 0
+
+
+def test_deep_documents_and_fractions(spark):
+    """No depth is too deep: JSON leaves at depth 12, fractions in fractions, commas and bare semicolons kept apart."""
+    from verdance.functions import text
+
+    row = spark.range(1).select(F.lit('{"a":' * 12 + '3, "s": "x", "t": true, "l": [1]' + "}" * 12).alias("j"))
+    got = runs.flatten_json(row.select(F.replace("j", F.lit('3, "s"'), F.lit('{"n": 3, "s"')).alias("j")).select(F.concat("j", F.lit("}")).alias("j")), "j").collect()
+    assert [(r["key"], r["value"]) for r in got] == [(".".join(["a"] * 12 + ["n"]), 3.0)]
+    nested = "1"
+    for i in range(9):
+        nested = "\\frac{" + nested + "}{" + str(i + 2) + "}"
+    assert spark.range(1).select(text.numeric_surface(F.lit(nested))).first()[0] == "1/2/3/4/5/6/7/8/9/10"
+    assert spark.range(1).select(text.cosmetic(F.lit("text:x=1;y=2\\;z"))).first()[0] == "text:x=1;y=2z"
+
+
+def test_conformal_draws_agree_with_hashed_splits(spark):
+    from verdance.functions.stats import hash_key
+
+    df = spark.createDataFrame([(i, float(i % 7) / 4, (i * 7919) % 10 >= i % 7) for i in range(700)], "item int, s double, ok boolean")
+    order = hash_key("split", F.concat_ws("|", "rep", "item"))
+    one = {r["target_risk"]: r for r in deferral.conformal_splits(df, "item", "s", "ok", [0.2, 0.4], 60, order).collect()}
+    two = {r["target_risk"]: r for r in deferral.conformal_draws(df, "s", "ok", [0.2, 0.4], 600).collect()}
+    assert set(one) == set(two) and {r["n_valid"] + r["n_unachievable"] for r in two.values()} == {600}
+    for t in one:
+        assert abs(one[t]["n_valid"] / 60 - two[t]["n_valid"] / 600) < 0.15 and abs(one[t]["mean_coverage"] - two[t]["mean_coverage"]) < 0.05 and abs(one[t]["mean_test_risk"] - two[t]["mean_test_risk"]) < 0.03
+
+
+def test_sheets_refuse_to_lose_answers(spark):
+    from verdance.operators import sheets
+
+    new = spark.createDataFrame([(1, ""), (2, "")], "item int, answer string")
+    assert {tuple(r) for r in sheets.keep_answers(new, spark.createDataFrame([(1, "yes"), (3, " ")], "item int, answer string"), "item", ["answer"], "answer").collect()} == {(1, "yes"), (2, "")}
+    with pytest.raises(Exception, match="people have coded"):
+        sheets.keep_answers(new, spark.createDataFrame([(3, "yes")], "item int, answer string"), "item", ["answer"], "answer").collect()
+    texts = spark.createDataFrame([("aĠb",), ("x",)], "t string")
+    with pytest.raises(Exception, match="corrupt judge outputs"):
+        sheets.decode_guard(texts, F.when(F.col("t").contains("Ġ"), "shredded").otherwise("clean")).collect()
+    low, high = spark.range(1).select(sheets.binomial_interval(F.lit(61), F.lit(57), 20_000).alias("c")).select("c.*").first()
+    assert abs(low - 0.869) < 0.01 and abs(high - 0.984) < 0.01
+
+
+def test_span_scores_of_written_items(spark):
+    from verdance.operators import sheets
+
+    samples = spark.createDataFrame([(1, 0, "**Answer:** $a \\times b$."), (1, 1, "**Answer:** $a*b$"), (1, 2, "nothing"), (2, 0, "**Answer:** 5"), (3, 0, "none"), (3, 1, "none")], "item_id int, pos int, response string")
+    truths = spark.createDataFrame([(1, "q", "$A * b$"), (2, "which option?", "6"), (3, "q", "7")], "item_id int, question string, truth string")
+    got = {r["item_id"]: r for r in sheets.span_scores(samples, truths, ["item_id"]).collect()}
+    assert got[1]["correct_v2"] and not got[1]["correct_v1"] and got[1]["model_span_norm"] == "a*b"
+    assert not got[2]["correct_v2"] and got[2]["is_mcq"] and got[2]["tiny_valid_mcq"]
+    assert not got[3]["correct_v2"] and got[3]["model_span"] is None and got[3]["model_label"] == "<parse_failure>"
+    summary = sheets.accuracy_summary(sheets.span_scores(samples, truths, ["item_id"])).first()
+    assert (summary["n"], summary["v2_correct"], summary["v2_only_correct"], summary["v1_only_correct"]) == (3, 1, 1, 0)

@@ -58,6 +58,9 @@ def coverage_at_risk(points: DataFrame, targets: list[float]) -> DataFrame:
     return F.broadcast(want).join(best, "target_risk", "left").select("target_risk", F.col("b").isNotNull().alias("achievable"), F.coalesce("b.coverage", F.lit(0.0)).alias("coverage"), F.coalesce("b.n_kept", F.lit(0)).alias("n_kept"), "b.threshold", "b.risk_kept")
 
 
+MOST_LEVELS = 10_000
+
+
 def bound(risk: Column, n: Column, delta: float = 0.1, conservative: bool = True) -> Column:
     return risk + F.sqrt(F.log(F.lit(1.0 / delta)) / (2.0 * dbl(n))) if conservative else risk
 
@@ -89,3 +92,48 @@ def conformal_splits(df: DataFrame, key: str, score: str, correct: str, targets:
         F.count_if(valid).alias("n_valid"), F.count_if(~valid).alias("n_unachievable"), F.avg(F.when(valid, ratio(F.col("kept"), F.col("n")))).alias("mean_coverage"), F.avg(risk).alias("mean_test_risk"),
         F.avg(F.when(valid, (risk > F.col("target_risk")).cast("int"))).alias("violation_rate"),
     )
+
+
+def conformal_draws(df: DataFrame, score: str, correct: str, targets: list[float], splits: int, seed: int = 0, calibration: float = 0.5, delta: float = 0.1, conservative: bool = True, chunk: int = 250) -> DataFrame:
+    """`conformal_splits` by draws over counted levels: the half of a split is a multivariate hypergeometric draw from the counts of (level, verdict), which is what a random half of the items is. The cost doesn't grow with the items.
+
+    For scores with few values (entropies of K votes): more than MOST_LEVELS is an error.
+    """
+    import numpy as np
+    import pandas as pd
+
+    rows = df.filter(F.col(score).isNotNull() & F.col(correct).isNotNull())
+    counts = rows.groupBy(F.round(score, 12).alias("s")).agg(F.count_if(~F.col(correct)).alias("bad"), F.count_if(F.col(correct)).alias("good"))
+    few = F.when(F.count("*") <= MOST_LEVELS, True).otherwise(F.raise_error(F.lit("a score with this many values has no few levels")).cast("boolean"))
+    packed = counts.agg(few.alias("_few"), F.sort_array(F.collect_list(F.struct("s", "bad", "good"))).alias("rows")).filter("_few").select("rows")
+
+    def run(batches):
+        for b in batches:
+            for first, found in zip(b["first"], b["rows"], strict=True):
+                bad, good = (np.array([r[c] for r in found], np.int64) for c in ("bad", "good"))
+                cells, m = np.concatenate([bad, good]), min(chunk, splits - first)
+                total, levels = int(cells.sum()), len(bad)
+                # half to even, as the other form rounds
+                drawn = np.random.default_rng([seed, first]).multivariate_hypergeometric(cells, round(total * calibration), size=m, method="marginals")
+                upto = lambda x: np.cumsum(x, axis=1)
+                kept, errors = upto(drawn[:, :levels] + drawn[:, levels:]), upto(drawn[:, :levels])
+                rest = cells - drawn
+                left, wrong = upto(rest[:, :levels] + rest[:, levels:]), upto(rest[:, :levels])
+                present = drawn[:, :levels] + drawn[:, levels:] > 0  # only a level that occurs in the half can be a threshold
+                risk = np.where(kept > 0, errors / np.maximum(kept, 1), np.inf)
+                bounded = risk + np.sqrt(np.log(1 / delta) / (2 * np.maximum(kept, 1))) if conservative else risk
+                for t in targets:
+                    ok = present & (bounded <= t)
+                    last = np.where(ok.any(axis=1), levels - 1 - np.argmax(ok[:, ::-1], axis=1), -1)
+                    n, w = (np.where(last >= 0, x[np.arange(m), np.maximum(last, 0)], 0) for x in (left, wrong))
+                    yield pd.DataFrame({"target_risk": t, "kept": n, "bad": w, "n": rest.sum(axis=1)})
+
+    spark = df.sparkSession
+    starts = spark.range(0, splits, chunk).withColumnRenamed("id", "first")
+    met = starts.join(F.broadcast(packed)).repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "target_risk double, kept long, bad long, n long")  # one row of at most MOST_LEVELS levels
+    valid = F.col("kept") > 0
+    risk = F.when(valid, ratio(F.col("bad"), F.col("kept")))
+    return met.groupBy("target_risk").agg(
+        F.count_if(valid).alias("n_valid"), F.count_if(~valid).alias("n_unachievable"), F.avg(F.when(valid, ratio(F.col("kept"), F.col("n")))).alias("mean_coverage"), F.avg(risk).alias("mean_test_risk"),
+        F.avg(F.when(valid, (risk > F.col("target_risk")).cast("int"))).alias("violation_rate"),
+    )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import dbl, hash_number, ratio
 
 RANGES = 64
+MOST_LEVELS = 100_000
 
 
 def levels(df: DataFrame, score: str, correct: str, by: list[str] = [], weight: str | None = None) -> DataFrame:  # noqa: B006
@@ -154,12 +155,13 @@ def bootstrap_difference(df: DataFrame, key: str, a: tuple[str, str], b: tuple[s
 def bootstrap_levels(hist: DataFrame, reps: int, seed: int = 0, chunk: int = 500) -> DataFrame:
     """(rep, auroc) from multinomial draws over the counted levels: the same estimator, at a cost that doesn't grow with the items.
 
-    The levels (score, bad, good) are gathered once per task, so this is for scores with few values.
+    The levels (score, bad, good) are gathered once per task, so this is for scores with few values: more than MOST_LEVELS is an error.
     """
     import numpy as np
     import pandas as pd
 
-    packed = hist.agg(F.sort_array(F.collect_list(F.struct("score", "bad", "good"))).alias("rows"))
+    few = F.when(F.count("*") <= MOST_LEVELS, True).otherwise(F.raise_error(F.lit("a score with this many values has no few levels")).cast("boolean"))
+    packed = hist.agg(few.alias("_few"), F.sort_array(F.collect_list(F.struct("score", "bad", "good"))).alias("rows")).filter("_few").select("rows")
     spark = hist.sparkSession
 
     def run(batches):

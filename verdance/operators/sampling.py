@@ -98,8 +98,13 @@ def queue(items: DataFrame, item: str, stratum: str, n: int, seed, challenge: li
     rank = F.row_number().over(Window.partitionBy(stratum, "_challenge").orderBy(hash_key(seed, F.col(item)), item))
     joined = tagged.join(F.broadcast(share), stratum, "left").withColumn("_rank", rank)
     kind = F.when(F.col("_challenge"), "challenge").when(F.col("_rank") <= F.col("take"), "core").otherwise("extension")
-    place = F.row_number().over(Window.orderBy(hash_key(f"{seed}-review", F.col(item)), item)) - 1  # the queue is read by people
-    out = joined.withColumn("queue", kind).withColumn("review_order", place)
+    out = joined.withColumn("queue", kind).withColumn("_h", hash_key(f"{seed}-review", F.col(item)))
+    # hashes are even, so their first digits cut the order into parts of like size, ranked apart; a row a part tells what comes before
+    part = F.substring("_h", 1, 3)
+    sizes = out.groupBy(part.alias("_part")).agg(F.count("*").alias("_c"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")  # 4,096 rows at most
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy("_h", item)) - 1
+    out = out.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("review_order", place)
     return out.select(*items.columns, "queue", F.when(F.col("queue") == "core", F.round(ratio(F.col("take"), F.col("size")), 6)).alias("selection_prob"), "review_order", F.format_string("R%04d", "review_order").alias("review_id"))
 
 

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import audits, core, texts  # noqa: F401
+from . import audits, core, reports, texts  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -323,8 +323,7 @@ def _(s, d):
 
 @query("conformal_splits_full")
 def _(s, d):
-    order = hash_key("split", F.concat_ws("|", "rep", "item_id"))
-    return deferral.conformal_splits(labelled(s, d), "item_id", "h", "correct", [0.2, 0.3], 1_000, order)
+    return deferral.conformal_draws(labelled(s, d), "h", "correct", [0.2, 0.3], 1_000)
 
 
 # ---- null models and grids ----
@@ -348,14 +347,26 @@ def _(s, d):
     return nullmodel.cells(s, ["y=1", "y=0"], _P, _K).withColumn("seed", nullmodel.cell_seed(20260814, F.col("truth_condition"), F.col("p"), F.col("k")))
 
 
+_FULL_P, _FULL_K = [round(0.05 * i, 2) for i in range(1, 20)], [3, 5, 7, 9, 15]  # the reference's grid: 285 cells
+
+
 @query("null_simulation")
 def _(s, d):
-    return nullmodel.simulate(nullmodel.cells(s, ["y=1", "y=0"], _P, _K), 650, 2_000, 20260814)
+    return nullmodel.null_grid(s, nullmodel.CONDITIONS, _FULL_P, _FULL_K, 650, 2_000, 20260814)
+
+
+@query("bias_only_null")
+def _(s, d):
+    return nullmodel.bias_only(s, 300, 0.8, 5, 2_000, 0)
 
 
-@query("vote_collapse", "select count(*) n_items, 0::bigint breaks_y1, 0::bigint breaks_y0, 0.0::double largest_mirror_gap from customer", "largest_mirror_gap")
+# every 13th item's correctness is stored wrongly
+@query("vote_collapse", "select y truth, count(*) n_items, count(*) filter (bad) n_broken, count(distinct m) n_entropy_levels from (select (c_custkey // 6) % 2 y, c_custkey % 13 = 0 bad, least(c_custkey % 6, 5 - c_custkey % 6) m from customer) group by 1")
 def _(s, d):
-    return nullmodel.collapse(table(s, d, "customer").select((F.col("c_custkey") % 6).alias("votes")), 5)
+    c = F.col("c_custkey")
+    said, y = 2 * (c % 6) > 5, F.floor(c / 6) % 2
+    rows = table(s, d, "customer").select((c % 6).alias("votes"), y.alias("y"), ((said == (y == 1)) != (c % 13 == 0)).alias("correct"))
+    return nullmodel.collapse(rows, "votes", "y", "correct", 5)
 
 
 @query("binary_entropy", "select p, case when p <= 0 or p >= 1 then 0.0 else -(p * ln(p) + (1 - p) * ln(1 - p)) end h from (select distinct (p_size % 51) / 50.0::double p from part)", "p h")

@@ -23,8 +23,8 @@ bound) is dealt to several buckets by its followers; their shares of the diverge
 buckets as a compressed state of each batch. `Model` is the same model in plain dictionaries, for small
 corpora; tests hold the two together.
 
-Words and contexts are compared by 56 bits of their hashes and the bucket, followers of one context by 40 bits of theirs (by 32
-where the context has fewer than SMALL occurrences). Null texts are empty: one
+Words are compared by 56 bits of their hashes, contexts by 48 bits of theirs, followers of one context by 24, 32 or 40 bits,
+more the more often the context occurs. Null texts are empty: one
 token, the end. Null ids hash as the empty string. Repeated rows count each. With no training rows all counts are zero.
 """
 
@@ -53,7 +53,10 @@ STARTS = [END * (k + 2) for k in range(DEPTH)]
 _NAMES = np.array([xxhash.xxh64_intdigest(END), *(xxhash.xxh64_intdigest(s) for s in STARTS)], np.uint64)
 #: Bytes of text in one chunk, about.
 CHUNK = 1 << 18
-SMALL = 4096
+#: Contexts seen fewer times than these tell their followers apart by 24 and by 32 bits.
+RARE, SMALL = 16, 4096
+#: Bits of a hash that are left out where words and contexts are named.
+_WORD, _CONTEXT = 8, 16
 _STEP = 5  # parts of a bit to which the test rounds
 
 
@@ -118,6 +121,7 @@ class Model:
 ASK = "route int, batch int, kind int, contexts int, entries int, body binary"
 ANSWER = "route int, batch int, kind int, body binary"
 _COLD, _HOT, _STATE = 0, 1, 2
+_CODEC = pa.Codec("zstd", compression_level=3)
 _TYPES = {"int": pa.int32(), "binary": pa.binary()}
 
 
@@ -134,7 +138,7 @@ def _planes(x: np.ndarray, width: int) -> bytes:
 
 def _pack(*columns: tuple[np.ndarray, int]) -> bytes:
     """Unsigned columns in so many bytes each, compressed; `_unpack` has to know the lengths."""
-    return pa.compress(b"".join(_planes(x, width) for x, width in columns), codec="zstd", asbytes=True)
+    return _CODEC.compress(b"".join(_planes(x, width) for x, width in columns), asbytes=True)
 
 
 def _unpack(blob: bytes, *shape: tuple[int, int]) -> list[np.ndarray]:
@@ -154,9 +158,9 @@ def _column(raw: bytes, at: int, n: int, width: int) -> np.ndarray:
     return x.view("<u8").ravel()
 
 
-def _steps(sorted_keys: np.ndarray) -> np.ndarray:
-    """Each key's distance from the one before it, by their high 56 bits."""
-    return np.diff(sorted_keys >> np.uint64(8), prepend=np.uint64(0))
+def _steps(sorted_keys: np.ndarray, less: int) -> np.ndarray:
+    """Each key's distance from the one before it, without that many low bits."""
+    return np.diff(sorted_keys >> np.uint64(less), prepend=np.uint64(0))
 
 
 def _keys(steps: np.ndarray) -> np.ndarray:
@@ -165,7 +169,7 @@ def _keys(steps: np.ndarray) -> np.ndarray:
 
 def _followers(h: np.ndarray, n: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Of words in order of their hashes inside contexts (entries ends[i] to ends[i + 1], seen n times): the high bits, each as its distance from the one before it."""
-    f = np.where(n < SMALL, h >> np.uint64(32), h >> np.uint64(24))
+    f = h >> np.select([n < RARE, n < SMALL], [np.uint64(40), np.uint64(32)], np.uint64(24))
     out = np.diff(f, prepend=np.uint64(0))
     first = ends[:-1][ends[:-1] < ends[1:]]
     out[first] = f[first]
@@ -227,11 +231,14 @@ def _chunked(batches_of: int):
 
         task, number = TaskContext.get().partitionId(), 0
         for b in small(batches, 1024):
+            # what tokens don't depend on goes: case, and which white space it is
+            plain = pc.replace_substring_regex(pc.ascii_lower(b.column("text")), r"[\t-\r ]+", " ")
+            b = b.set_column(b.schema.get_field_index("text"), "text", plain)
             at = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False)) // CHUNK
             rows = []
             for _, i, j in slices(at):
                 part = b.slice(i, j - i)
-                with pa.ipc.new_stream(buffer := io.BytesIO(), part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                with pa.ipc.new_stream(buffer := io.BytesIO(), part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
                     out.write_batch(part)
                 rows.append((xxhash.xxh64_intdigest(f"{task}|{number}") % batches_of, buffer.getvalue()))
                 number += 1
@@ -267,13 +274,12 @@ class Batch:
         x[starts + DEPTH + k] = number[0]
         first = np.cumsum(k) - k
         x[starts[owner] + DEPTH + np.arange(len(owner)) - first[owner]] = number[len(_NAMES) + coded.indices.to_numpy(zero_copy_only=False)]
-        self.place = np.arange(len(x)) - np.repeat(starts, self.size + DEPTH)  # in its text
-        own = np.repeat(self.train, self.size + DEPTH)
-        self.own = own.astype(np.float64)
+        self.place = (np.arange(len(x)) - np.repeat(starts, self.size + DEPTH)).astype(np.int32)  # in its text
+        self.own = np.repeat(self.train, self.size + DEPTH)
         self.token = self.place >= DEPTH
         zero = np.zeros(len(self.words), np.int64)
-        local = np.bincount(x, weights=self.own, minlength=len(self.words)).astype(np.int64)
-        self.levels = [Level(np.arange(len(x)), x, zero, np.arange(len(self.words)), zero, local)]
+        local = np.bincount(x[self.own], minlength=len(self.words))
+        self.levels = [Level(np.zeros(0, np.int64), x.astype(np.int32), zero, np.arange(len(self.words)), zero, local)]
         self.levels[0].name = self.words
 
     def counted(self, count: np.ndarray, shared: np.ndarray, total: int) -> None:
@@ -294,11 +300,11 @@ class Batch:
         rank[order] = np.arange(len(order))
         words = len(self.words)
         keys, inverse = _distinct(rank[before] * words + self.levels[0].ids[at])
-        ids = np.full(len(self.place), -1)
+        ids = np.full(len(self.place), -1, np.int32)
         ids[at] = inverse
         suffix = np.empty(len(keys), np.int64)
         suffix[inverse] = below.ids[at]  # defined: a context with LEAST occurrences ends in one
-        new = Level(at, ids, order[keys // words], keys % words, suffix, np.bincount(inverse, weights=self.own[at], minlength=len(keys)).astype(np.int64))
+        new = Level(at, ids, order[keys // words], keys % words, suffix, np.bincount(inverse[self.own[at]], minlength=len(keys)))
         new.name = _mix(below.name[new.context], self.words[new.word])
         self.levels.append(new)
         return new
@@ -357,7 +363,8 @@ class Batch:
                 here = ends[i : j + 1] - ends[i]
                 steps = _followers(follower[e], np.repeat(n[of[i:j]], np.diff(here)), here)
                 share = (a[i:j] + b[i:j] / 2).astype("<f4").view("<u4")
-                body = _pack((_steps(key[i:j]), 7), (name[of[i:j]], 8 * (kind == _HOT)), (n[of[i:j]], 6), (np.diff(here), 4), (share, 4), (steps, 5), (new.local[entries[e]], 5), (q[entries[e]], 1))
+                seen = n[of[i:j]] if kind == _HOT else below.local[head[of[i:j]]]  # a bucket hears of every occurrence of a cold context
+                body = _pack((_steps(key[i:j], _CONTEXT), 6), (name[of[i:j]], 8 * (kind == _HOT)), (seen, 6), (np.diff(here), 4), (share, 4), (steps, 5), (new.local[entries[e]], 5), (q[entries[e]], 1))
                 yield kind, route, j - i, e.stop - e.start, body, entries[e], head[of[i:j]]
 
     def heard(self, answers: dict[tuple[int, int], bytes], kept_hot: np.ndarray, hot: int, routes: int) -> None:
@@ -381,9 +388,10 @@ class Batch:
 
     def state(self) -> bytes:
         """What is known so far: the total, and of each level counts, what is shared and retained contexts; its unpacked size goes before it."""
-        columns = [(np.array([self.total]), 8), (self.levels[0].count, 6), (self.levels[0].shared, 1)]
+        others = lambda level: [(level.count - level.local, 6), (level.shared, 1)]
+        columns = [(np.array([self.total]), 8), *others(self.levels[0])]
         for level in self.levels[1:]:
-            columns += [(level.count, 6), (level.shared, 1), (level.kept, 1)]
+            columns += [*others(level), (level.kept, 1)]
         return sum(len(x) * width for x, width in columns).to_bytes(8, "little") + _pack(*columns)
 
     def restore(self, blob: bytes, grown: int) -> None:
@@ -397,10 +405,10 @@ class Batch:
             return _column(raw, at - n * width, n, width).astype(np.int64)
 
         total = int(take(1, 8)[0])
-        self.counted(take(len(self.words), 6), take(len(self.words), 1), total)
+        self.counted(self.levels[0].local + take(len(self.words), 6), take(len(self.words), 1), total)
         for _ in range(grown):
             new = self.grow()
-            new.count, new.shared = take(len(new.local), 6), take(len(new.local), 1).astype(bool)
+            new.count, new.shared = new.local + take(len(new.local), 6), take(len(new.local), 1).astype(bool)
             new.kept = take(len(self.levels[-2].name), 1).astype(bool)
             self.finish()
 
@@ -426,7 +434,7 @@ def _ask_words(routes: int):
     def run(key, texts):
         batch = Batch(_opened(texts))
         h, n = batch.words, batch.levels[0].local
-        rows = [(r, key[0].as_py(), _COLD, 0, j - i, _pack((_steps(h[i:j]), 7), (n[i:j], 6))) for r, i, j in slices(_route(h, routes))]
+        rows = [(r, key[0].as_py(), _COLD, 0, j - i, _pack((_steps(h[i:j], _WORD), 7), (n[i:j], 6))) for r, i, j in slices(_route(h, routes))]
         return _as_table(rows, ASK)
 
     return run
@@ -450,7 +458,7 @@ def _answer_words(key, asked):
 
 def _totals(key, asked):
     _, h, n, _ = _words_added(asked)
-    n = n[~np.isin(h, _NAMES[1:] >> np.uint64(8))]  # start marks are no tokens
+    n = n[~np.isin(h, _NAMES[1:] >> np.uint64(_WORD))]  # start marks are no tokens
     return pa.table({"tokens": pa.array([int(n.sum())], pa.int64()), "kinds": pa.array([int((n > 0).sum())], pa.int64())})
 
 
@@ -495,7 +503,7 @@ def _contexts_added(rows: list[dict]):
     parts = []
     for r in rows:
         c, e, h = r["contexts"], r["entries"], 8 * (r["kind"] == _HOT)
-        part = _unpack(r["body"], (c, 7), (c, h), (c, 6), (c, 4), (c, 4), (e, 5), (e, 5), (e, 1))
+        part = _unpack(r["body"], (c, 6), (c, h), (c, 6), (c, 4), (c, 4), (e, 5), (e, 5), (e, 1))
         part[0], part[5] = _keys(part[0]), _unstepped(part[5], part[3].astype(np.int64))
         parts.append(part)
     join = lambda i: np.concatenate([p[i] for p in parts])
@@ -504,7 +512,11 @@ def _contexts_added(rows: list[dict]):
         raise ValueError("a bucket has too many contexts for its keys: use smaller batches")
     share = np.bincount(context, weights=join(4).astype("<u4").view("<f4").astype(np.float64), minlength=len(names))
     n, original = np.zeros(len(names), np.int64), np.zeros(len(names), np.uint64)
-    n[context], original[context] = join(2).astype(np.int64), join(1)
+    if rows[0]["kind"] == _HOT:
+        n[context] = join(2).astype(np.int64)
+    else:
+        np.add.at(n, context, join(2).astype(np.int64))
+    original[context] = join(1)
     owner = np.repeat(context, join(3).astype(np.int64))
     keys, inverse = _distinct(owner.astype(np.uint64) << np.uint64(40) | join(5))
     count = np.bincount(inverse, weights=join(6).astype(np.float64), minlength=len(keys)).astype(np.int64)

@@ -50,10 +50,15 @@ def test_unwrap(spark, value, macro, want):
     assert one(spark, lambda c: scans.unwrap_macro(c, macro), value) == want
 
 
-def test_terms_and_spans():
+def test_terms_and_spans(spark):
     assert scans.last_term("a=b=c") == "c" and scans.last_term("f(x=1)") == "f(x=1)" and scans.last_term("a<=b") == "a<=b" and scans.last_term("a==b") == "a==b" and scans.last_term("x= ") == "x"
     assert scans.red(r"\textcolor{red}{a{b}} \textcolor{ red } {c} \textcolor{blue}{d}") == ["a{b}", "c"]
-    assert scans.span_form(r"\text{Area} \times 2 , 3.") == "area*2,3"
+    forms = {
+        r"\text{Area} \times 2 , 3.": "area*2,3", r"\textcolor{red}{\mathbf{X}} = \frac{1}{2};": r"x=\frac {1}{2}", r"$a \div b$ \\ c": "a/b c", r"\{1 ,\, 2\}": "{1,2}", "": "", None: "", " A  -\tB\n": "a-b",
+        r"\hspace{2em}x\quad y": "x y",
+    }
+    for raw, want in forms.items():
+        assert one(spark, scans.normalize_span, raw) == want, raw
 
 
 def test_rules(spark):
@@ -65,6 +70,7 @@ def test_rules(spark):
         df = spark.createDataFrame([(v,) for v in (value, None, "", "The area is 75.46 cm.", "{2}\\,1 + y, $ 5.")], "x string")
         direct = [r[0] for r in df.select(scans.label(F.col("x"), rule)).collect()]
         assert [r["l"] for r in scans.with_label(df, "x", "l", rule).collect()] == direct
+        assert [r[rule] for r in scans.with_labels(df, "x").collect()] == direct
 
 
 @pytest.mark.parametrize(("raw", "want"), [(r"\boxed{yes} \boxed{no}", "incorrect"), ("so\n**Yes.**", "correct"), ("yes it is", "unclear"), (None, "unclear"), ("", "unclear")])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.stats import dbl, hash_key, ratio, wilson
-from ..operators import audit, profile, runs, sampling, semantic
+from ..operators import audit, profile, ranking, runs, sampling, semantic
 from ..sources.tables import event_run, event_votes, labelled, table
 from .registry import query
 from .sql import EV, LB, auroc, hash_key as sql_key
@@ -274,9 +274,19 @@ select lang as "group", count(*) n, avg(v1::int) v1_accuracy, avg(v2::int) v2_ac
     "v1_accuracy v2_accuracy mean_entropy median_entropy parse_failure_rate extraction_issue_rate share auroc",
 )
 def _(s, d):
+    return profile.group_metrics(_profile(s, d), "lang", "v1")
+
+
+@query("group_metrics_interval")
+def _(s, d):
+    """With each group's interval of 10,000 draws."""
+    p = _profile(s, d).withColumnRenamed("lang", "group")
+    return ranking.with_interval(profile.group_metrics(p, "group", "v1"), ranking.bootstrap_cells(p, "entropy", "v1", 10_000, ["group"]), ["group"])
+
+
+def _profile(s, d):
     m = F.col("item_id") % 4
-    p = labelled(s, d).select("lang", F.col("correct").alias("v1"), (~F.col("toxic")).alias("v2"), F.col("h").alias("entropy"), (F.col("fails") == 1).alias("parse_failed"), F.when(m == 0, "extraction_issue").when(m == 1, "true_correct").alias("human_label"), F.when(m == 1, "correct").when(m == 2, "wrong").alias("human_truth"))
-    return profile.group_metrics(p, "lang", "v1")
+    return labelled(s, d).select("lang", F.col("correct").alias("v1"), (~F.col("toxic")).alias("v2"), F.col("h").alias("entropy"), (F.col("fails") == 1).alias("parse_failed"), F.when(m == 0, "extraction_issue").when(m == 1, "true_correct").alias("human_label"), F.when(m == 1, "correct").when(m == 2, "wrong").alias("human_truth"))
 
 
 @query("membership_sensitivity", f"with {LB}, f as (select correct, item_id % 3 = 0 fl, item_id % 6 = 0 wk, item_id % 7 = 1 and item_id % 3 <> 0 ms from lb), x as (select count(*) filter (fl) n_flagged, count(*) filter (fl and wk) n_weak, count(*) filter (ms) n_missed, avg(correct::int) filter (fl) as_reported, avg(correct::int) filter (fl and not wk) drop_weak, avg(correct::int) filter ((fl and not wk) or ms) drop_weak_add_missed from f) select *, least(as_reported, drop_weak, drop_weak_add_missed) range_low, greatest(as_reported, drop_weak, drop_weak_add_missed) range_high from x", "as_reported drop_weak drop_weak_add_missed range_low range_high")

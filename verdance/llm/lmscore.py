@@ -17,7 +17,7 @@ chunk's place in the input (equal rows spread like others); one shuffle of the c
 their counts; in step d it asks about the strings of d + 1 tokens whose first d have LEAST occurrences. What a batch can
 tell by itself is not asked: buckets also say which strings other batches have (in any text, held out or not), and a longer
 string that contains one that is here alone is here alone. Buckets add up the counts of a context's followers, test its divergence, and answer with the
-counts and one bit a context. A context with more than `hot` occurrences (and so perhaps a follower list without
+other batches' counts and one bit a context. A context with more than `hot` occurrences (and so perhaps a follower list without
 bound) is dealt to several buckets by its followers; their shares of the divergence are added up and the contexts that pass
 (at most MOST_HOT of them, as `hot` rises with the corpus) come back as one row. Answers that a later step needs travel through the
 buckets as a compressed state of each batch. `Model` is the same model in plain dictionaries, for small
@@ -54,7 +54,7 @@ _NAMES = np.array([xxhash.xxh64_intdigest(END), *(xxhash.xxh64_intdigest(s) for
 #: Bytes of text in one chunk, about.
 CHUNK = 1 << 18
 #: Contexts seen fewer times than these tell their followers apart by 24 and by 32 bits.
-RARE, SMALL = 16, 4096
+RARE, SMALL = 64, 4096
 #: Bits of a hash that are left out where words and contexts are named.
 _WORD, _CONTEXT = 8, 16
 _STEP = 5  # parts of a bit to which the test rounds
@@ -238,7 +238,7 @@ def _chunked(batches_of: int):
             rows = []
             for _, i, j in slices(at):
                 part = b.slice(i, j - i)
-                with pa.ipc.new_stream(buffer := io.BytesIO(), part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
+                with pa.ipc.new_stream(buffer := io.BytesIO(), part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))) as out:
                     out.write_batch(part)
                 rows.append((xxhash.xxh64_intdigest(f"{task}|{number}") % batches_of, buffer.getvalue()))
                 number += 1
@@ -362,9 +362,9 @@ class Batch:
                 e = slice(ends[i], ends[j])
                 here = ends[i : j + 1] - ends[i]
                 steps = _followers(follower[e], np.repeat(n[of[i:j]], np.diff(here)), here)
-                share = (a[i:j] + b[i:j] / 2).astype("<f4").view("<u4")
+                share = (a[i:j] + b[i:j] / 2).astype("<f4").view("<u4") >> np.uint32(8)  # 16 bits of precision
                 seen = n[of[i:j]] if kind == _HOT else below.local[head[of[i:j]]]  # a bucket hears of every occurrence of a cold context
-                body = _pack((_steps(key[i:j], _CONTEXT), 6), (name[of[i:j]], 8 * (kind == _HOT)), (seen, 6), (np.diff(here), 4), (share, 4), (steps, 5), (new.local[entries[e]], 5), (q[entries[e]], 1))
+                body = _pack((_steps(key[i:j], _CONTEXT), 6), (name[of[i:j]], 8 * (kind == _HOT)), (seen, 6), (np.diff(here), 4), (share, 3), (steps, 5), (new.local[entries[e]], 5), (q[entries[e]], 1))
                 yield kind, route, j - i, e.stop - e.start, body, entries[e], head[of[i:j]]
 
     def heard(self, answers: dict[tuple[int, int], bytes], kept_hot: np.ndarray, hot: int, routes: int) -> None:
@@ -373,7 +373,8 @@ class Batch:
         new.count, new.shared = new.local.copy(), np.zeros(len(new.local), bool)
         for kind, route, contexts, entries, _, strings, heads in self.asked(hot, routes):
             count, shared, kept = _unpack(answers[kind, route], (entries, 6), (entries, 1), (contexts, 1))
-            new.count[strings], new.shared[strings] = count.astype(np.int64), shared.astype(bool)
+            new.count[strings] += count.astype(np.int64)  # those of other batches
+            new.shared[strings] = shared.astype(bool)
             if kind == _COLD:
                 new.kept[heads] = kept.astype(bool)
             else:
@@ -499,18 +500,18 @@ def _hear(batch: Batch, level: int, answers: pa.Table, routes: int, hot: int) ->
 
 
 def _contexts_added(rows: list[dict]):
-    """Of messages: by context (first name, divergence so far), each message's contexts, and by entry the count over all messages and whether others have it; where each message's contexts and entries begin."""
+    """Of messages: by context (first name, divergence so far), each message's contexts, and by entry the count of all other messages and whether any has it; where each message's contexts and entries begin."""
     parts = []
     for r in rows:
         c, e, h = r["contexts"], r["entries"], 8 * (r["kind"] == _HOT)
-        part = _unpack(r["body"], (c, 6), (c, h), (c, 6), (c, 4), (c, 4), (e, 5), (e, 5), (e, 1))
+        part = _unpack(r["body"], (c, 6), (c, h), (c, 6), (c, 4), (c, 3), (e, 5), (e, 5), (e, 1))
         part[0], part[5] = _keys(part[0]), _unstepped(part[5], part[3].astype(np.int64))
         parts.append(part)
     join = lambda i: np.concatenate([p[i] for p in parts])
     names, context = _distinct(join(0))
     if len(names) >> 24:
         raise ValueError("a bucket has too many contexts for its keys: use smaller batches")
-    share = np.bincount(context, weights=join(4).astype("<u4").view("<f4").astype(np.float64), minlength=len(names))
+    share = np.bincount(context, weights=(join(4).astype("<u4") << np.uint32(8)).view("<f4").astype(np.float64), minlength=len(names))
     n, original = np.zeros(len(names), np.int64), np.zeros(len(names), np.uint64)
     if rows[0]["kind"] == _HOT:
         n[context] = join(2).astype(np.int64)
@@ -519,7 +520,8 @@ def _contexts_added(rows: list[dict]):
     original[context] = join(1)
     owner = np.repeat(context, join(3).astype(np.int64))
     keys, inverse = _distinct(owner.astype(np.uint64) << np.uint64(40) | join(5))
-    count = np.bincount(inverse, weights=join(6).astype(np.float64), minlength=len(keys)).astype(np.int64)
+    local = join(6).astype(np.int64)
+    count = np.bincount(inverse, weights=local, minlength=len(keys)).astype(np.int64)
     q = np.zeros(len(keys), np.uint8)
     q[inverse] = join(7).astype(np.uint8)
     of = (keys >> np.uint64(40)).astype(np.int64)
@@ -527,7 +529,7 @@ def _contexts_added(rows: list[dict]):
     a, b = divergence_parts(count[seen], n[of[seen]], q[seen])
     share += np.bincount(of[seen], weights=a + b / 2, minlength=len(names))
     shared = np.bincount(inverse, minlength=len(keys)) > 1  # a message names an entry once
-    return original, share, context, count[inverse], shared[inverse], np.cumsum([0, *(r["contexts"] for r in rows)]), np.cumsum([0, *(r["entries"] for r in rows)])
+    return original, share, context, count[inverse] - local, shared[inverse], np.cumsum([0, *(r["contexts"] for r in rows)]), np.cumsum([0, *(r["entries"] for r in rows)])
 
 
 def _answer_contexts(key, asked):

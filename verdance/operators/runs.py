@@ -168,7 +168,25 @@ def vocabulary_problems(rows: DataFrame, key: str, known: DataFrame, fields: dic
     return repeated.unionByName(unknown).unionByName(bad)
 
 
-def paged(df: DataFrame, group: str, order: list[Column], per_page: int) -> DataFrame:
-    """page and cell of each row in its group, from 1."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    return df.withColumn("page", (F.floor(n / per_page) + 1).cast("int")).withColumn("cell", (n % per_page + 1).cast("int"))
+def places(df: DataFrame, group: list[str], level: Column, item: str, name: str = "place", ranges: int = 64) -> DataFrame:
+    """df with each row's place in its group, from 0: by level (of which a group has few), then by item (a number).
+
+    Items are cut into ranges at approximate quantiles; a row's place is its rank inside its level and range, after the sizes of those before. No task sorts a whole group.
+    """
+    cuts = df.agg(F.array_distinct(F.percentile_approx(item, [i / ranges for i in range(1, ranges)], 1000)).alias("_cuts"))  # one row
+    cut = df.withColumn("_level", level).join(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col(item)))).drop("_cuts")
+    sizes = cut.groupBy(*group, "_level", "_range").agg(F.count("*").alias("_c"))
+    ahead = Window.partitionBy(*group).orderBy("_level", "_range").rowsBetween(Window.unboundedPreceding, -1)  # levels times ranges
+    keys = [*group, "_level", "_range"]
+    before = sizes.select(*(F.col(c).alias(f"_b{i}") for i, c in enumerate(keys)), F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_before"))
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_b{i}"))
+    inside = Window.partitionBy(*keys).orderBy(item)
+    return cut.join(before, same).withColumn(name, F.col("_before") + F.row_number().over(inside) - 1).select(*df.columns, name)
+
+
+def paged(df: DataFrame, group: str, level: Column, item: str, per_page: int) -> DataFrame:
+    """page and cell of each row in its group, from 1: rows by level, then item."""
+    n = F.col("_place")
+    return places(df, [group], level, item, "_place").withColumn("page", (F.floor(n / per_page) + 1).cast("int")).withColumn("cell", (n % per_page + 1).cast("int")).drop("_place")

@@ -1,7 +1,6 @@
 """Sheets for people: strict span scoring of a run, wide item profiles, review sets, confusion examples, spot checks.
 
-Draws follow hash orders; ranks are inside cells, after a cut to what a cell can need, except the pages of a review set,
-which a person reads to the end.
+Draws follow hash orders; ranks are inside cells, after a cut to what a cell can need.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from ..functions import scans, text
 from ..functions.stats import dbl, hash_key, ratio
 from . import votes
 from .cases import traced
+from .runs import places
 
 #: Flags by which the audit sheet is sorted, orders of trigger classes and of answer shapes.
 AUDIT_SORT = ("rules_disagree", "tiny_suspicious_non_mcq", "sympy_partial_parse_risk", "multi_answer_collapse")
@@ -22,13 +22,13 @@ FLAGS = (
     "mcq_option", "tiny_valid_mcq", "tiny_suspicious_non_mcq", "multi_value_answer", "set_answer", "system_answer", "derivative_equation", "text_conclusion", "sympy_partial_parse_risk", "sympy_malformed_derivative",
     "multi_answer_collapse",
 )
-#: Flags that describe one side only; all others count if either side has them.
-ONE_SIDED = ("mcq_option", "tiny_valid_mcq")
+#: Those of the answer's shape; the others tell what a parsed label has lost.
+SHAPE_FLAGS = FLAGS[:8]
 SHORTEST_EXEMPLAR = 4
 
 
 def span_scores(samples: DataFrame, truths: DataFrame, keys: list[str], question: str = "question", truth: str = "truth") -> DataFrame:
-    """Per item the verdict on spans (strict_v2) beside that on labels (strict_v1): majority of the normalised spans against the truth's, both entropies, both sides' spans, labels and tiers, and the flags."""
+    """Per item the verdict on spans (strict_v2) beside that on labels (strict_v1): majority of the normalised spans against the truth's, both entropies, both sides' spans, labels and tiers, and the flags, each up if either side has it."""
     rows = traced(samples, keys).withColumn("norm", F.when(F.col("final").isNull(), text.SENTINEL).otherwise(scans.normalize_span(F.col("final"))))
     spans = votes.votes(rows, keys, label="norm").select(*keys, F.col("entropy").alias("span_entropy"), F.col("majority").alias("model_span_norm"))
     labels = votes.votes(rows, keys).select(*keys, "entropy", F.col("majority").alias("_label"))
@@ -43,7 +43,7 @@ def span_scores(samples: DataFrame, truths: DataFrame, keys: list[str], question
     out = out.withColumn("is_mcq", F.coalesce(text.looks_multiple_choice(F.col("question"), F.col("truth_span"), F.col("truth_field")), F.lit(False)))
     side = lambda span, label: text.answer_flags(F.coalesce(F.col(span), F.lit("")), scans.normalize_span(F.col(span)), F.col(label), F.col("is_mcq"))
     mine, theirs = side("model_span", "model_label"), side("truth_span", "truth_label")
-    return out.withColumns({f: F.coalesce(mine[f] if f in ONE_SIDED else mine[f] | theirs[f], F.lit(False)) for f in FLAGS})
+    return out.withColumns({f: F.coalesce(mine[f], F.lit(False)) | F.coalesce(theirs[f], F.lit(False)) for f in FLAGS})
 
 
 def traced_truth(truths: DataFrame, keys: list[str], truth: str) -> DataFrame:
@@ -66,8 +66,7 @@ def accuracy_summary(scored: DataFrame) -> DataFrame:
 def risk_sheet(scored: DataFrame, item: str) -> DataFrame:
     """Items on which the rules disagree or a flag is up, with their priority and empty answers; the high ones come first."""
     flags = {f: F.col(f) for f in FLAGS}
-    risky = [flags[f] for f in FLAGS if f not in ONE_SIDED]
-    sheet = scored.withColumn("rules_disagree", F.col("correct_v1") != F.col("correct_v2")).filter(F.col("rules_disagree") | text.any_of(risky))
+    sheet = scored.withColumn("rules_disagree", F.col("correct_v1") != F.col("correct_v2")).filter(F.col("rules_disagree") | text.any_of(flags.values()))
     sheet = sheet.withColumn("priority", text.review_priority(F.col("rules_disagree"), flags)).withColumns({c: F.lit("") for c in ("final_label", "confidence", "note")})
     return sheet.orderBy(F.when(F.col("priority") == "high", 0).when(F.col("priority") == "medium", 1).otherwise(2), item)
 
@@ -99,18 +98,17 @@ def item_profile(run: DataFrame, scored: DataFrame, item: str, human: DataFrame
     )
 
 
-def choice_review(scored: DataFrame, item: str, per_page: int = 9) -> DataFrame:
-    """Items taken for multiple choice, to confirm or reject, and those that only show a list, to recover; sorted by group, trigger and item, with page and cell."""
+def choice_review(scored: DataFrame, run: DataFrame, item: str, per_page: int = 9) -> DataFrame:
+    """Items taken for multiple choice, to confirm or reject, and those that only show a list, to recover; with page and cell in the order of trigger and item. run: item, has_error."""
     out = scored.withColumns(text.choice_trigger(F.col("question"), F.col("truth_span"), F.col("truth_field")))
     out = out.filter(F.col("is_mcq") | (F.col("presort") == "choice_list_only")).withColumn("mcq_group", F.when(F.col("is_mcq"), "flagged_mcq_like").otherwise("candidate_missed"))
-    rank = F.coalesce(F.array_position(F.array(*(F.lit(t) for t in TRIGGERS)), F.col("presort")), F.lit(99))
-    place = F.row_number().over(Window.partitionBy("mcq_group").orderBy(rank, item)) - 1
-    out = out.withColumn("_n", place)
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*(F.lit(t) for t in TRIGGERS)), F.col("presort")), F.lit(0)), F.lit(99))
+    out = places(out.join(run.select(item, "has_error"), item), ["mcq_group"], rank, item, "_n")
     stem = F.when(F.col("mcq_group") == "flagged_mcq_like", "mcq_flagged").otherwise("mcq_candidate_missed")
-    flags = F.concat_ws(",", *(F.when(F.col(f), f) for f in FLAGS if f not in ONE_SIDED))
     return out.select(
-        F.col(item).alias("item_id"), "mcq_group", "presort", F.lit("").alias("confirmed_mcq"), F.lit("").alias("reviewer_note"), F.col("correct_v1").alias("strict_v1_correct"), F.col("correct_v2").alias("strict_v2_correct"), "entropy",
-        flags.alias("flags"), "option_word_in", (F.col("is_mcq") & (F.col("option_word_in") == "")).alias("flagged_by_weak_trigger_only"), "question_has_choice_list", "paren_letters_match",
+        F.col(item).alias("item_id"), "mcq_group", "presort", F.col("is_mcq").alias("heuristic_mcq_like"), F.lit("").alias("confirmed_mcq"), F.lit("").alias("reviewer_note"), "has_error", F.col("correct_v1").alias("strict_v1_correct"),
+        F.col("correct_v2").alias("strict_v2_correct"), "entropy", F.col("model_span").alias("span_m_disp"), F.col("truth_span").alias("span_t_disp"), F.col("model_label").alias("label_m"), F.col("truth_label").alias("label_t"), "model_tier", "truth_tier",
+        F.concat_ws(",", *(F.when(F.col(f), f) for f in SHAPE_FLAGS)).alias("flags"), "option_word_in", (F.col("is_mcq") & (F.col("option_word_in") == "")).alias("flagged_by_weak_trigger_only"), "question_has_choice_list", "paren_letters_match",
         F.substring(text.strip(F.regexp_replace("question", r"\s+", " ")), 1, 160).alias("question_head"), F.concat(stem, F.lit("_p"), (F.floor(F.col("_n") / per_page) + 1).cast("string"), F.lit(".png")).alias("contact_sheet_file"),
         (F.col("_n") % per_page + 1).cast("int").alias("contact_sheet_cell"),
     )

@@ -309,7 +309,7 @@ def _(s, d):
 
 @query("paged_sheet", f"with {LB}, n as (select item_id, lang, row_number() over (partition by lang order by h desc, item_id) - 1 n from lb) select item_id, lang, (n // 9 + 1)::int page, (n % 9 + 1)::int cell from n")
 def _(s, d):
-    return runs.paged(labelled(s, d), "lang", [F.col("h").desc(), F.col("item_id")], 9).select("item_id", "lang", "page", "cell")
+    return runs.paged(labelled(s, d), "lang", -F.col("h"), "item_id", 9).select("item_id", "lang", "page", "cell")
 
 
 # ---- snapshots, cases, provenance ----

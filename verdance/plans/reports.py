@@ -11,8 +11,8 @@ from ..operators import cases, judging, ranking, semantic, sheets, snapshots, vo
 from ..sources.tables import event_votes, labelled, responses, table
 from .audits import _AU, _LABELS, _audits
 from .registry import query
-from .sql import EV, LB, RS, SC, auroc, curve, hash_key as sql_key
-from .texts import RULE_LABELS, RULE_VERDICTS
+from .sql import EV, LB, RS, SC, auroc, curve, extract_final, normal_span, tier, hash_key as sql_key
+from .texts import _FLAG_NAMES, _FLAGS, _TYPE, RULE_LABELS, RULE_VERDICTS
 
 _SCORED = f"with {RS}, {SC}, {RULE_LABELS}, {RULE_VERDICTS}"
 KEYS = ["item_id"]
@@ -25,7 +25,23 @@ def _spans(s, d):
 # ---- strict_v2 over a run ----
 
 
-@query("span_scores")
+_PAREN = r"(?i)\(\s*[a-d]\s*\)[^\n]{0,60}\(\s*[b-e]\s*\)"  # fixed value of the rule
+_ANY = " or ".join(_FLAG_NAMES)
+#: From the responses to the verdicts: spans and labels of both sides, flags a side, then an item. v2 has a row an item.
+_V2 = rf"""with {RS}, {SC}, sp as (select *, case when fin is null then '<PARSE_FAILURE>' else {normal_span("fin")} end nm from (select item_id, pos, field, {extract_final("field")} fin, {tier("field")} tier from pr)),
+mc as (select item_id, nm, count(*) n, min(pos) f from sp group by all), mv as (select item_id, abs(round(ln(sum(n)::double) - sum(n * ln(n::double)) / sum(n)::double, 12)) span_entropy, (list(nm order by n desc, f))[1] model_span_norm from mc group by 1),
+md as (select item_id, span_entropy, model_span_norm, arg_min(struct_pack(s := fin, l := lab, t := tier), pos) m from sp join mv using (item_id) join (select item_id, pos, lab from sl) using (item_id, pos) where nm = model_span_norm group by all),
+tt as (select item_id, question, truth, has_error, truth_span, {normal_span("truth_span")} truth_span_norm, {tier("truth")} truth_tier from (select *, {extract_final("truth")} truth_span from od)),
+it as (select sc.item_id, sc.entropy, span_entropy, question, tt.has_error, m.s model_span, m.l model_label, m.t model_tier, truth, truth_span, sc.truth_label, truth_tier, model_span_norm, truth_span_norm, sc.correct correct_v1, sc.n_parse_failures,
+  model_span_norm = truth_span_norm and truth_span_norm <> '' correct_v2, regexp_matches(concat_ws(' ', question, truth_span, truth), '(?i)\boption\b') or regexp_matches(concat_ws(' ', question, truth_span, truth), '{_PAREN}') is_mcq from sc join md using (item_id) join tt using (item_id)),
+fx as (select item_id, is_mcq, 'm' side, coalesce(model_span, '') span, {normal_span("model_span")} bare, coalesce(regexp_replace(model_label, '^[^:]*:', ''), '') payload from it union all select item_id, is_mcq, 't', coalesce(truth_span, ''), truth_span_norm, coalesce(regexp_replace(truth_label, '^[^:]*:', ''), '') from it),
+{_FLAGS}, fe as (select item_id, {", ".join(f"bool_or({f}) {f}" for f in _FLAG_NAMES)} from fm group by 1),
+v2 as (select *, correct_v1 <> correct_v2 rules_disagree from it join fe using (item_id)),
+rk as (select *, case when rules_disagree or tiny_suspicious_non_mcq or multi_answer_collapse or sympy_partial_parse_risk or sympy_malformed_derivative then 'high' when multi_value_answer or set_answer or system_answer or derivative_equation or text_conclusion then 'medium' else 'low' end priority from v2 where rules_disagree or {_ANY})"""
+_SIDE = "model_span, model_label, model_tier, truth_span, truth_label, truth_tier, model_span_norm, truth_span_norm"
+
+
+@query("span_scores", f"{_V2} select item_id, entropy, span_entropy, {_SIDE}, correct_v1, correct_v2, is_mcq, {', '.join(_FLAG_NAMES)} from v2", "entropy span_entropy")
 def _(s, d):
     return _spans(s, d).drop("question", "truth_field")
 
@@ -35,31 +51,57 @@ def _(s, d):
     return _spans(s, d).select("item_id", "entropy", "correct_v1")
 
 
-@query("accuracy_summary")
+@query(
+    "accuracy_summary",
+    f"{_V2} select count(*) n, count(*) filter (correct_v1) v1_correct, avg(correct_v1::int) v1_accuracy, count(*) filter (correct_v2) v2_correct, avg(correct_v2::int) v2_accuracy, count(*) filter (rules_disagree) n_disagree, count(*) filter (correct_v1 and not correct_v2) v1_only_correct, count(*) filter (correct_v2 and not correct_v1) v2_only_correct, "
+    f"{', '.join(f'count(*) filter ({f}) n_{f}' for f in _FLAG_NAMES)} from v2",
+    "v1_accuracy v2_accuracy",
+)
 def _(s, d):
     return sheets.accuracy_summary(_spans(s, d))
 
 
-@query("risk_sheet_run")
+@query("risk_sheet_run", f"{_V2} select item_id, rules_disagree, priority, '' final_label, '' confidence, '' note from rk")
 def _(s, d):
     return sheets.risk_sheet(_spans(s, d), "item_id").select("item_id", "rules_disagree", "priority", "final_label", "confidence", "note")
 
 
-@query("audit_sheet")
+@query("audit_sheet", f"{_V2} select item_id, printf('images/item%03d.png', item_id) image_path, priority, model_span span_m_disp, truth_span span_t_disp, model_label label_m, truth_label label_t, correct_v1 strict_v1_correct, correct_v2 strict_v2_correct, rules_disagree, {', '.join(_FLAG_NAMES)}, '' final_label, '' confidence, '' note from rk where priority = 'high'")
 def _(s, d):
     return sheets.audit_sheet(sheets.risk_sheet(_spans(s, d), "item_id"), "item_id")
 
 
-@query("item_profile")
+_EITHER = "case when mcq_option or tiny_valid_mcq then 'mcq_option' when set_answer then 'set_answer' when system_answer then 'system_answer' when derivative_equation then 'derivative_equation' when multi_value_answer then 'multi_value' when text_conclusion then 'text_conclusion' else 'numeric_or_expression' end"
+
+
+@query(
+    "item_profile",
+    f"{_V2}, ty as (select item_id, {_TYPE} answer_type from fm where side = 't') select item_id, has_error, correct_v1 strict_v1_correct, correct_v2 strict_v2_correct, answer_type, case when is_mcq then 'mcq' else 'free_response' end question_type_if_available, entropy, n_parse_failures > 0 parse_failed, entropy >= max(entropy) over () - 1e-9 max_entropy, "
+    "model_span span_m_disp, truth_span span_t_disp, model_label label_m, truth_label label_t, '' human_label_if_available, '' human_truth_if_available, '' extraction_status_if_available, '' error_location_if_available, '' error_type_if_available, '' image_path_if_available, 0 n_red_spans, '' red_spans_approx_only, "
+    f"{_EITHER} answer_type_either_side, len(coalesce(truth_span, ''))::int truth_span_len, len(coalesce(model_span, ''))::int model_span_len from v2 join ty using (item_id)",
+    "entropy",
+)
 def _(s, d):
     samples, orders = responses(s, d)
     run = votes.score(samples, orders, KEYS).select("item_id", "n_parse_failures").join(orders.select("item_id", "has_error"), KEYS)
     return sheets.item_profile(run, _spans(s, d), "item_id")
 
 
-@query("choice_review")
+_NAMED = ", ".join(f"case when {f} then '{f}' end" for f in _FLAG_NAMES[:8])
+
+
+@query(
+    "choice_review",
+    rf"{_V2}, tg as (select *, concat_ws(',', case when regexp_matches(question, '(?i)\boption\b') then 'question' end, case when regexp_matches(truth_span, '(?i)\boption\b') then 'truth_span' end, case when regexp_matches(truth, '(?i)\boption\b') then 'answer_field' end) option_word_in, regexp_matches(question, '\\begin\{{enumerate\}}|\\item\b') ql, "
+    rf"left(regexp_extract(concat_ws(' ', coalesce(question, ''), coalesce(truth_span, ''), coalesce(truth, '')), '{_PAREN}'), 60) pl from v2), pg as (select *, case when option_word_in <> '' and ql then 'option_word_and_choice_list' when option_word_in <> '' then 'option_word_only' when ql then 'choice_list_only' when pl <> '' then 'paren_letters_only' else 'not_flagged' end presort from tg), "
+    "ch as (select *, case when is_mcq then 'flagged_mcq_like' else 'candidate_missed' end mcq_group, list_position(['option_word_and_choice_list', 'option_word_only', 'choice_list_only', 'paren_letters_only'], presort) o from pg where is_mcq or presort = 'choice_list_only'), nb as (select *, row_number() over (partition by mcq_group order by o, item_id) - 1 n from ch) "
+    "select item_id, mcq_group, presort, is_mcq heuristic_mcq_like, '' confirmed_mcq, '' reviewer_note, has_error, correct_v1 strict_v1_correct, correct_v2 strict_v2_correct, entropy, model_span span_m_disp, truth_span span_t_disp, model_label label_m, truth_label label_t, model_tier, truth_tier, "
+    f"concat_ws(',', {_NAMED}) flags, option_word_in, is_mcq and option_word_in = '' flagged_by_weak_trigger_only, ql question_has_choice_list, pl paren_letters_match, left(question, 160) question_head, "
+    "case when mcq_group = 'flagged_mcq_like' then 'mcq_flagged' else 'mcq_candidate_missed' end || '_p' || (n // 9 + 1) || '.png' contact_sheet_file, (n % 9 + 1)::int contact_sheet_cell from nb",
+    "entropy",
+)
 def _(s, d):
-    return sheets.choice_review(_spans(s, d), "item_id")
+    return sheets.choice_review(_spans(s, d), responses(s, d)[1], "item_id")
 
 
 # ---- audits ----

@@ -14,7 +14,7 @@ RS = r"""li as (select l_orderkey item_id, row_number() over (partition by l_ord
 rs as (select item_id, pos, case (l_partkey + pos) % 8 when 0 then '**Answer:** $x=' || v || '$' when 1 then '**Answer:** The value is ' || v || '.5 cm.' when 2 then '\textbf{Answer: Option ' || chr(65 + v) || '}'
   when 3 then 'Working' || chr(10) || 'Answer: \boxed{' || v || '}' when 4 then '**Answer:** \[ \text{x} = ' || v || ' \]' when 5 then 'no marker ' || v when 6 then '**Answer:** {2}\,' || v || ' + y; z, $ 5.'
   else '**Answer:** Option ' || chr(97 + v) || ' ``` junk' end response from li),
-od as (select o_orderkey item_id, 'Which option holds for ' || o_orderpriority || '?' question, case o_custkey % 4 when 0 then '$x=' || (o_orderkey % 4) || '$' when 1 then 'The value is ' || (o_orderkey % 4) || '.5 cm'
+od as (select o_orderkey item_id, ['Which option holds for ', 'What is x for ', 'Is it (a) more or (b) less of ', 'Match \item x with ', 'Find y for '][(o_custkey % 5 + 1)::int] || o_orderpriority || '?' question, case o_custkey % 4 when 0 then '$x=' || (o_orderkey % 4) || '$' when 1 then 'The value is ' || (o_orderkey % 4) || '.5 cm'
   when 2 then 'Option ' || chr((65 + o_orderkey % 4)::int) else '\boxed{' || (o_orderkey % 4) || '}' end truth, o_orderstatus = 'F' has_error from orders)"""
 
 
@@ -67,6 +67,17 @@ def tier(x: str) -> str:
     return rf"case when {x} is null then 'parse_fail' when regexp_matches({x}, '(?i)option\s*[:\-]?\s*([a-d])\b') then 'option' when regexp_matches({x}, '\\boxed\{{([^{{}}]*)\}}') then 'boxed' when regexp_matches({x}, '{DISPLAY}') then 'display_math' else 'last_line' end"
 
 
+def normal_span(x: str) -> str:
+    """normalize_span where macros are not nested. Macros, spacing and operators of the rule."""
+    rules = (
+        (r"\\(?:textcolor\{[^{}]*\}|text|mathrm|mathbf|textbf|mbox|operatorname)\{([^{}]*)\}", r"\1"), (r"\\(?:,|;|:|!|quad|qquad|ensuremath|displaystyle|left|right|bigl|bigr|hspace\{[^}]*\})", " "), (r"\\times|\\cdot", "*"), (r"\\div", "/"),
+        (r"\\([{}])", r"\1"), (r"(\\[a-zA-Z]+)\s*", r"\1 "), (r"\$", ""), (r"\\\\", " "), (r"[ \t\n\r]+", " "), (r"^\s+|\s+$", ""), (r"[.;,]+$", ""), (r"\s*([=+\-*/,])\s*", r"\1"), (r"^\s+|\s+$", ""),
+    )
+    for a, b in rules:
+        x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
+    return f"coalesce(lower({x}), '')"
+
+
 PR = f"pr as (select *, {parse_answer('response')} field from rs)"
 #: Votes over strict_v1 labels of the responses, with the truth's label.
 SC = f"""{PR}, sl as {label('field', 'pr', 'item_id, pos, field')}, tl as {label('truth', 'od', 'item_id, has_error')},

@@ -240,13 +240,14 @@ def _(s, d):
 
 # ---- flags ----
 
-_FLAG_SRC = r"fx as (select o_orderkey item_id, case o_custkey % 6 when 0 then 'x=1, y=' || (o_orderkey % 9) when 1 then '(b)' when 2 then '{1, 2}' when 3 then 'the area of square is ' || (o_orderkey % 9) when 4 then '\frac{dy}{dx}=2' else (o_orderkey % 900)::varchar end span, o_custkey % 4 = 0 is_mcq from orders)"
+_FLAG_SRC = r"fx as (select o_orderkey item_id, case o_custkey % 6 when 0 then 'x=1, y=' || (o_orderkey % 9) when 1 then '(b)' when 2 then '{1, 2}' when 3 then 'the area of square is ' || (o_orderkey % 9) when 4 then '\frac{dy}{dx}=2' else (o_orderkey % 900)::varchar end span, o_custkey % 4 = 0 is_mcq, lower(span) bare, lower(span) payload from orders)"
 _WORDS = "('eq','log','tan','sin','cos','cot','sec','csc','exp','sqrt','abs','integral','derivative','limit','sum','pi','oo','re','im','conjugate','matrix','and','or','true','false')"
-_FLAGS = rf"""fl as (select item_id, span, is_mcq, bare, len(bare) <= 3 tiny, regexp_matches(bare, '(?i)\boption\b') or (is_mcq and regexp_matches(bare, '^\(?\s*(?:option\s*)?[a-eA-E]\s*\)?[.)]?$')) mcq_option,
+# The rule's patterns and words. fx has item_id, span, bare (its normal form), payload (of the label), is_mcq.
+_FLAGS = rf"""fw as (select *, len(bare) <= 3 tiny, regexp_matches(bare, '(?i)\boption\b') or (is_mcq and regexp_matches(bare, '^\(?\s*(?:option\s*)?[a-eA-E]\s*\)?[.)]?$')) mcq_option,
  len(list_filter(string_split(bare, ','), lambda p: trim(p) <> '')) >= 2 and not contains(bare, '=') and len(bare) > 3 multi_value_answer, regexp_matches(span, '\\[{{}}]|\\(?:cup|cap|setminus|subset|supset|emptyset)\b|\\in\b|(?:^|[^a-zA-Z])\{{[^{{}}]*,[^{{}}]*\}}') set_answer,
  len(list_filter(string_split_regex(bare, ',|;|\band\b|\\quad'), lambda p: contains(p, '='))) >= 2 system_answer, regexp_matches(span, '(?i)\\frac\s*\{{\s*d(?:\^?\d?)?\s*[a-z]?\s*\}}|\bd\^?2?\s*y\s*/\s*d\s*x|\\mathrm\{{d\}}|derivative\(|\bdy\s*/\s*dx\b') derivative_equation,
- len(list_filter(regexp_extract_all(bare, '[A-Za-z]{{3,}}'), lambda w: lower(w) not in {_WORDS})) >= 3 text_conclusion from (select *, lower(span) bare from fx)),
-fm as (select *, tiny and is_mcq tiny_valid_mcq, tiny and not is_mcq tiny_suspicious_non_mcq, system_answer sympy_partial_parse_risk, false sympy_malformed_derivative, multi_value_answer and len(bare) <= greatest(3, len(bare) // 3) multi_answer_collapse from fl)"""
+ len(list_filter(regexp_extract_all(bare, '[A-Za-z]{{3,}}'), lambda w: lower(w) not in {_WORDS})) >= 3 text_conclusion from fx),
+fm as (select *, tiny and is_mcq tiny_valid_mcq, tiny and not is_mcq tiny_suspicious_non_mcq, payload <> '' and system_answer and len(regexp_extract_all(payload, 'eq\(')) <= 1 sympy_partial_parse_risk, regexp_matches(payload, '(?i)d\*\*\d\s*\*\s*[a-z]|/\s*\(?\s*dx\s*\*\*|\bdx\*\*\d') sympy_malformed_derivative, payload <> '' and multi_value_answer and len(payload) <= greatest(3, len(bare) // 3) multi_answer_collapse from fw)"""
 _FLAG_NAMES = ("mcq_option", "tiny_valid_mcq", "tiny_suspicious_non_mcq", "multi_value_answer", "set_answer", "system_answer", "derivative_equation", "text_conclusion", "sympy_partial_parse_risk", "sympy_malformed_derivative", "multi_answer_collapse")
 
 

@@ -68,7 +68,8 @@ def responses(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     )
     t, tf = F.col("o_orderkey") % 4, F.col("o_custkey") % 4
     truth = F.when(tf == 0, F.concat(F.lit("$x="), t.cast("string"), F.lit("$"))).when(tf == 1, F.concat(F.lit("The value is "), t.cast("string"), F.lit(".5 cm"))).when(tf == 2, F.concat(F.lit("Option "), F.char(t + 65))).otherwise(F.concat(F.lit("\\boxed{"), t.cast("string"), F.lit("}")))
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"), F.concat(F.lit("Which option holds for "), "o_orderpriority", F.lit("?")).alias("question"), truth.alias("truth"), (F.col("o_orderstatus") == "F").alias("has_error"))
+    asked = F.element_at(F.array(*(F.lit(x) for x in ("Which option holds for ", "What is x for ", "Is it (a) more or (b) less of ", "Match \\item x with ", "Find y for "))), (F.col("o_custkey") % 5 + 1).cast("int"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"), F.concat(asked, "o_orderpriority", F.lit("?")).alias("question"), truth.alias("truth"), (F.col("o_orderstatus") == "F").alias("has_error"))
     return items.select(F.col("l_orderkey").alias("item_id"), "pos", text.alias("response")), orders
 
 

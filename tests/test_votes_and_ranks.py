@@ -109,6 +109,46 @@ def test_paired_difference_at_full_size_agrees_with_the_hashed_one(spark):
     assert abs(full["ci_low"] - small["ci_low"]) < 0.02 and abs(full["ci_high"] - small["ci_high"]) < 0.02
 
 
+def test_resampling_by_ranges_gathers_nothing(spark, monkeypatch):
+    """Poisson draws by cell: equal to a walk over all cells with the same draws, however the scores are cut, and near the multinomial form."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(8)
+    rows = [("a" if k % 3 else None, round(rng.gauss(0.4 * (not ok), 1), 3), ok) for k in range(900) for ok in [rng.random() < 0.6]]
+    df = spark.createDataFrame(rows + [("b", 1.0, True), ("a", None, True)], "g string, s double, ok boolean")
+    gathered = {r["g"]: r for r in ranking.interval(ranking.bootstrap_cells(df, "s", "ok", 2000, ["g"]), "auroc", ["g"]).collect()}
+    found = []
+    for size in (10_000, 100):
+        monkeypatch.setattr(ranking, "CELLS_A_RANGE", size)
+        per = ranking.bootstrap_ranges(df, "s", "ok", 2000, ["g"])
+        found.append({(r["g"], r["rep"]): r["auroc"] for r in per.collect()})
+        got = {r["g"]: r for r in ranking.interval(per, "auroc", ["g"]).collect()}
+        for g in ("a", None):
+            assert got[g]["n_boot_valid"] == 2000 and abs(got[g]["ci_low"] - gathered[g]["ci_low"]) < 0.01 and abs(got[g]["ci_high"] - gathered[g]["ci_high"]) < 0.01
+        assert got["b"]["n_boot_valid"] == 0
+    assert found[0].keys() == found[1].keys() and all(a == b or abs(a - b) < 1e-12 for a, b in ((found[0][k], found[1][k]) for k in found[0]))
+    cells = df.filter("g = 'a' and s is not null").groupBy("g", "s", "ok").count().withColumn("k", F.xxhash64("g", "s", "ok", F.lit(1.0))).collect()
+    draws = {r["k"]: np.random.Generator(np.random.Philox(key=[r["k"] & (2**64 - 1), 0])).poisson(r["count"], 2000) for r in cells}
+    for rep in (0, 1999):
+        bad, good = ([(r["s"], draws[r["k"]][rep]) for r in cells if r["ok"] is ok] for ok in (False, True))
+        won = sum(x * y * (1.0 if s > t else 0.5 if s == t else 0.0) for s, x in bad for t, y in good)
+        assert abs(found[0]["a", rep] - won / (sum(x for _, x in bad) * sum(y for _, y in good))) < 1e-9
+
+
+def test_too_many_cells_are_an_error_only_where_they_are_gathered(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "MOST_LEVELS", 50)
+    df = spark.range(200).select((F.col("id") / 7).alias("s"), (F.col("id") * 3 % 11 / 2).alias("t"), (F.col("id") % 3 > 0).alias("ok"))
+    for gathered in (lambda: ranking.bootstrap_cells(df, "s", "ok", 20), lambda: ranking.difference_cells(df, ("s", "ok"), ("t", "ok"), 20), lambda: ranking.bootstrap_levels(ranking.levels(df, "s", "ok"), 20)):
+        with pytest.raises(Exception, match="no few levels"):
+            gathered().collect()
+    assert ranking.bootstrap_ranges(df, "s", "ok", 20).count() == 20
+    monkeypatch.setattr(ranking, "MOST_LEVELS", 1000)
+    got, want = ranking.difference_ranges(df, ("s", "ok"), ("t", "ok"), 4000).first(), ranking.difference_cells(df, ("s", "ok"), ("t", "ok"), 4000).first()
+    assert got["difference"] == want["difference"] and abs(got["ci_low"] - want["ci_low"]) < 0.01 and abs(got["ci_high"] - want["ci_high"]) < 0.01
+
+
 def test_resampling_is_registered_at_the_reference_size(monkeypatch):
     entry = __import__("__spark_entry__")
     from verdance.plans import core

@@ -152,6 +152,11 @@ def bootstrap_difference(df: DataFrame, key: str, a: tuple[str, str], b: tuple[s
     return out.select("n_items", (F.col("_a") - F.col("_b")).alias("difference"), "ci_low", "ci_high", "n_boot_valid", F.coalesce((F.col("ci_low") > 0) | (F.col("ci_high") < 0), F.lit(False)).alias("difference_excludes_zero"), F.col("_g").alias("guard")).drop("guard")
 
 
+def _few() -> Column:
+    """True, or an error: what is gathered in one row and sent to every task has at most MOST_LEVELS entries."""
+    return F.when(F.count("*") <= MOST_LEVELS, True).otherwise(F.raise_error(F.lit("a score with this many values has no few levels")).cast("boolean")).alias("_few")
+
+
 def bootstrap_levels(hist: DataFrame, reps: int, seed: int = 0, chunk: int = 500) -> DataFrame:
     """(rep, auroc) from multinomial draws over the counted levels: the same estimator, at a cost that doesn't grow with the items.
 
@@ -160,8 +165,7 @@ def bootstrap_levels(hist: DataFrame, reps: int, seed: int = 0, chunk: int = 500
     import numpy as np
     import pandas as pd
 
-    few = F.when(F.count("*") <= MOST_LEVELS, True).otherwise(F.raise_error(F.lit("a score with this many values has no few levels")).cast("boolean"))
-    packed = hist.agg(few.alias("_few"), F.sort_array(F.collect_list(F.struct("score", "bad", "good"))).alias("rows")).filter("_few").select("rows")
+    packed = hist.agg(_few(), F.sort_array(F.collect_list(F.struct("score", "bad", "good"))).alias("rows")).filter("_few").select("rows")
     spark = hist.sparkSession
 
     def run(batches):
@@ -187,7 +191,8 @@ def bootstrap_cells(df: DataFrame, score: str, correct: str, reps: int, by: list
 
     Items that share score, verdict, weight and `within` are one cell, so the estimator is that of drawing items, and the cost
     grows with the cells, not the items. within: its levels are drawn apart, each as often as it has items. count: how many
-    items a row of df stands for (else one). A task holds one group's cells; draws are made a few million numbers at a time.
+    items a row of df stands for (else one). A task holds one group's cells, so more than MOST_LEVELS of them are an error
+    (`bootstrap_ranges` has no such bound); draws are made a few million numbers at a time.
     """
     import numpy as np
     import pandas as pd
@@ -195,7 +200,7 @@ def bootstrap_cells(df: DataFrame, score: str, correct: str, reps: int, by: list
     rows = df.filter(F.col(score).isNotNull() & F.col(correct).isNotNull())
     cell = (dbl(F.col(score)).alias("score"), (F.col(within).cast("string") if within else F.lit("")).alias("side"), (dbl(F.col(weight)) if weight else F.lit(1.0)).alias("weight"), F.col(correct).alias("ok"))
     cells = rows.groupBy(*by, *cell).agg((F.sum(count) if count else F.count("*")).alias("n"))
-    packed = cells.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("score", "side", "weight", "ok", "n"))).alias("rows"))
+    packed = cells.groupBy(*by).agg(_few(), F.sort_array(F.collect_list(F.struct("score", "side", "weight", "ok", "n"))).alias("rows")).filter("_few").drop("_few")
     spark = df.sparkSession
 
     def drawn(rng, sides, n, m):
@@ -234,7 +239,7 @@ def bootstrap_cells(df: DataFrame, score: str, correct: str, reps: int, by: list
 def difference_cells(df: DataFrame, a: tuple[str, str], b: tuple[str, str], reps: int, seed: int = 0, chunk: int = 500) -> DataFrame:
     """bootstrap_difference by multinomial draws over the counted cells of both pairs: both AUROCs of a replicate come from the same draw.
 
-    A task holds the cells, of which there are at most as many as items.
+    A task holds the cells: more than MOST_LEVELS are an error (`difference_ranges` has no such bound).
     """
     import numpy as np
     import pandas as pd
@@ -243,7 +248,7 @@ def difference_cells(df: DataFrame, a: tuple[str, str], b: tuple[str, str], reps
     names = ("sa", "ca", "sb", "cb")
     rows = df.filter(F.col(a[0]).isNotNull() & F.col(b[0]).isNotNull() & F.col(a[1]).isNotNull() & F.col(b[1]).isNotNull())
     rows = rows.select(*((dbl(F.col(c)) if n[0] == "s" else F.col(c)).alias(n) for c, n in zip((*a, *b), names, strict=True)))
-    packed = rows.groupBy(*names).agg(F.count("*").alias("n")).agg(F.sort_array(F.collect_list(F.struct(*names, "n"))).alias("rows"))
+    packed = rows.groupBy(*names).agg(F.count("*").alias("n")).agg(_few(), F.sort_array(F.collect_list(F.struct(*names, "n"))).alias("rows")).filter("_few").select("rows")
     spark = df.sparkSession
 
     def value(draw, score, ok):
@@ -271,6 +276,68 @@ def difference_cells(df: DataFrame, a: tuple[str, str], b: tuple[str, str], reps
     starts = spark.range(0, reps, chunk).withColumnRenamed("id", "first")
     per = starts.join(F.broadcast(packed)).repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "difference double")
     ci = interval(per.select(F.when(~F.isnan("difference"), F.col("difference")).alias("difference")), "difference").drop("excludes_chance")
+    return _difference(rows, uneven, ci)
+
+
+CELLS_A_RANGE = 20_000
+
+
+def _resampled(cells: DataFrame, score: str, ok: str, reps: int, by: list[str], seed: int) -> DataFrame:
+    """(by, rep, auroc) of cells (by, score, ok, weight, n, key): each counts as often as a Poisson draw of mean n says.
+
+    A replicate's draw for a cell comes from the cell's key alone, so it is the same in every order of the cells, range and
+    task. Cells are dealt by ranges of the score; a range's task walks its cells in order, and holds three numbers a
+    replicate: wrong items, right items, and pairs won inside. Running totals over ranges make the rest.
+    """
+    import numpy as np
+    import pandas as pd
+
+    n_ranges = max(1, -(-cells.count() // CELLS_A_RANGE))
+    cuts = cells.agg(F.array_distinct(F.percentile_approx(score, [i / n_ranges for i in range(1, n_ranges)], 10 * n_ranges)).alias("_cuts")) if n_ranges > 1 else cells.sparkSession.range(1).select(F.array().cast("array<double>").alias("_cuts"))
+    placed = cells.join(F.broadcast(cuts)).withColumn("range", F.size(F.filter("_cuts", lambda c: c <= F.col(score)))).drop("_cuts")  # one row, a number a range
+
+    def walk(keys, rows):
+        wrong, right, won = (np.zeros(reps) for _ in range(3))
+        for _, level in rows.sort_values([score, "key"]).groupby(score, sort=False):
+            e, c = np.zeros(reps), np.zeros(reps)
+            for good, weight, n, key in zip(level[ok], level["weight"], level["n"], level["key"], strict=True):
+                drawn = np.random.Generator(np.random.Philox(key=[int(key) & (2**64 - 1), seed])).poisson(n, reps) * weight
+                (c if good else e).__iadd__(drawn)
+            won += e * (right + c / 2)
+            wrong += e
+            right += c
+        return pd.DataFrame([[*keys, wrong, right, won]], columns=[*by, "range", "e", "c", "w"])
+
+    kinds = ", ".join([*(f"`{c}` {cells.schema[c].dataType.simpleString()}" for c in by), "range int, e array<double>, c array<double>, w array<double>"])
+    sums = placed.groupBy(*by, "range").applyInPandas(walk, kinds)
+    per = sums.select(*by, "range", F.posexplode(F.arrays_zip("e", "c", "w")).alias("rep", "x")).select(*by, "range", "rep", "x.*")
+    before = F.coalesce(F.sum("c").over(Window.partitionBy(*by, "rep").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))  # a row a range
+    won = per.withColumn("won", F.col("w") + F.col("e") * before).groupBy(*by, "rep").agg(F.sum("won").alias("won"), (F.sum("e") * F.sum("c")).alias("pairs"))
+    return won.select(*by, F.col("rep").cast("long").alias("rep"), F.try_divide("won", "pairs").alias("auroc"))
+
+
+def bootstrap_ranges(df: DataFrame, score: str, correct: str, reps: int, by: list[str] = [], weight: str | None = None, count: str | None = None, seed: int = 0) -> DataFrame:  # noqa: B006
+    """(by, rep, auroc), null if a replicate lacks a class: Poisson resampling, which gathers nothing, for scores with any number of values."""
+    rows = df.filter(F.col(score).isNotNull() & F.col(correct).isNotNull())
+    cell = (dbl(F.col(score)).alias("score"), F.col(correct).alias("ok"), (dbl(F.col(weight)) if weight else F.lit(1.0)).alias("weight"))
+    cells = rows.groupBy(*by, *cell).agg((F.sum(count) if count else F.count("*")).alias("n"))
+    return _resampled(cells.withColumn("key", F.xxhash64(*by, "score", "ok", "weight")), "score", "ok", reps, by, seed)
+
+
+def difference_ranges(df: DataFrame, a: tuple[str, str], b: tuple[str, str], reps: int, seed: int = 0) -> DataFrame:
+    """`bootstrap_difference` by Poisson resampling, which gathers nothing: a cell counts alike in both pairs' orders."""
+    uneven = df.filter(F.col(a[0]).isNull() != F.col(b[0]).isNull())
+    names = ("sa", "ca", "sb", "cb")
+    rows = df.filter(F.col(a[0]).isNotNull() & F.col(b[0]).isNotNull() & F.col(a[1]).isNotNull() & F.col(b[1]).isNotNull())
+    rows = rows.select(*((dbl(F.col(c)) if n[0] == "s" else F.col(c)).alias(n) for c, n in zip((*a, *b), names, strict=True)))
+    cells = rows.groupBy(*names).agg(F.count("*").alias("n")).withColumns({"weight": F.lit(1.0), "key": F.xxhash64(*names)})
+    one, two = (_resampled(cells, s, c, reps, [], seed).select("rep", F.col("auroc").alias(n)) for s, c, n in (("sa", "ca", "_a"), ("sb", "cb", "_b")))
+    ci = interval(one.join(two, "rep").select((F.col("_a") - F.col("_b")).alias("difference")), "difference").drop("excludes_chance")
+    return _difference(rows, uneven, ci)
+
+
+def _difference(rows: DataFrame, uneven: DataFrame, ci: DataFrame) -> DataFrame:
+    """Both pairs' point estimates (sa, ca; sb, cb), their difference's interval, and an error for rows that lack one score."""
     point = auroc(rows, "sa", "ca").select("n_items", F.col("auroc").alias("_a")).join(F.broadcast(auroc(rows, "sb", "cb").select(F.col("auroc").alias("_b"))))
     guard = uneven.agg(F.when(F.count("*") > 0, F.raise_error(F.lit("a paired comparison needs both scores"))).alias("_g"))
     out = point.join(F.broadcast(ci)).join(F.broadcast(guard))

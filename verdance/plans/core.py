@@ -157,7 +157,7 @@ REPS = 10_000  # the reference's
 
 def _by_lang(s, d):
     run = labelled(s, d)
-    return ranking.with_interval(ranking.auroc(run, "score", "correct", ["lang"]), ranking.bootstrap_cells(run, "score", "correct", REPS, ["lang"]), ["lang"])
+    return ranking.with_interval(ranking.auroc(run, "score", "correct", ["lang"]), ranking.bootstrap_ranges(run, "score", "correct", REPS, ["lang"]), ["lang"])
 
 
 @query("stratum_verdict_bootstrap")
@@ -173,7 +173,7 @@ def _(s, d):
 @query("auroc_strata_interval")
 def _(s, d):
     run, by = ranking.with_strata(labelled(s, d), "score", "correct", "lang"), ["pooled", "stratum"]
-    return ranking.with_interval(ranking.auroc(run, "score", "correct", by), ranking.bootstrap_cells(run, "score", "correct", REPS, by), by)
+    return ranking.with_interval(ranking.auroc(run, "score", "correct", by), ranking.bootstrap_ranges(run, "score", "correct", REPS, by), by)
 
 
 @query("auroc_cuts_interval")
@@ -211,12 +211,12 @@ def _(s, d):
 
 @query("bootstrap_auroc_full")
 def _(s, d):
-    return ranking.with_interval(ranking.auroc(labelled(s, d), "score", "correct"), ranking.bootstrap_cells(labelled(s, d), "score", "correct", REPS))
+    return ranking.with_interval(ranking.auroc(labelled(s, d), "score", "correct"), ranking.bootstrap_ranges(labelled(s, d), "score", "correct", REPS))
 
 
 @query("paired_auroc_diff_full")
 def _(s, d):
-    return ranking.difference_cells(labelled(s, d), ("score", "correct"), ("h", "correct"), REPS)
+    return ranking.difference_ranges(labelled(s, d), ("score", "correct"), ("h", "correct"), REPS)
 
 
 @query("bootstrap_auroc_levels")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
+from . import formulas
 from . import text as T
 
 _OPENERS, _CLOSERS = "{[(", "}])"
@@ -160,7 +161,9 @@ def with_labels(df: DataFrame, field: str) -> DataFrame:
 
 
 def with_label(df: DataFrame, field: str, name: str, rule: str = "strict_v1") -> DataFrame:
-    """df with a label of the field, like `label`, in steps: each step's column is computed once, however often the next one uses it."""
+    """df with a label of the field, like `label`, in steps: each step's column is computed once, however often the next one uses it. parsed_v1 is strict_v1 with its tier of formulas."""
+    if rule == "parsed_v1":
+        return formulas.with_label(df, field, name)
     fixed = rule != "strict_v1"
     source = unwrap_macro(unwrap_macro(F.col(field), "textcolor"), "text") if fixed else F.col(field)
     out = df.withColumn("_text", T.strip(source)).withColumn("_final", T.extract_final(F.col("_text"), keep_decimals=fixed)).withColumn("_clean", T.structural_clean(F.col("_final")))

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..functions import scans, text
+from ..functions import formulas, scans, text
 from ..functions.stats import ratio
 from ..operators import cases, judging, profile, ranking, votes
 from ..sources.tables import responses, table
@@ -79,6 +79,61 @@ def _(s, d):
     return responses(s, d)[0].select("item_id", "pos", text.canonical(text.extract_final(text.parse_answer(F.col("response")))).alias("canonical"))
 
 
+_RED = "case when {b} // gcd({a}, {b}) = 1 then ({a} // gcd({a}, {b}))::varchar else ({a} // gcd({a}, {b})) || '/' || ({b} // gcd({a}, {b})) end"
+_AB = "case when {n} = 1 then '' else {n} || '*' end"
+_FORMULAS = rf"""fm as (select o_orderkey item_id, o_orderkey % 9 + 1 a, o_custkey % 7 + 2 b, o_custkey % 13 f from orders),
+ft as (select *, case f when 0 then '\frac{{' || a || '}}{{' || b || '}}' when 1 then a || ' / ' || b when 2 then a || '.5' when 3 then 'x = \frac{{' || a || '}}{{' || b || '}}' when 4 then a || 'x + ' || b || 'x' when 5 then '(' || a || '+' || b || ')\times ' || b
+  when 6 then 'Hence, ' || a when 7 then 'hence ' || a when 8 then '-' || a || '^2' when 9 then '2^{{-' || b || '}}' when 10 then a || ' = ' || b when 11 then a || ' + \sqrt{{' || a || '+' || b || '}}' else '\[ \frac{{x}}{{' || b || '}}+\frac{{x}}{{' || (2 * b) || '}} \]' end answer from fm),
+fv as (select *, case f when 0 then {_RED.format(a="a", b="b")} when 1 then {_RED.format(a="a", b="b")} when 2 then (2 * a + 1) || '/2' when 3 then 'eq(x, ' || {_RED.format(a="a", b="b")} || ')' when 4 then (a + b) || '*x' when 5 then ((a + b) * b)::varchar
+  when 7 then {_AB.format(n="a")} || 'c*e^2*h*n' when 8 then '-' || a * a when 9 then '1/' || (2 ** b)::bigint when 11 then a || ' + sqrt(' || (a + b) || ')' when 12 then {_RED.format(a="3", b="(2 * b)")} || '*x' end v from ft)"""
+
+
+def _formulas(s, d):
+    a, b, f = F.col("o_orderkey") % 9 + 1, F.col("o_custkey") % 7 + 2, F.col("o_custkey") % 13
+    put = lambda pattern, *x: F.format_string(pattern, *x)
+    forms = [put("\\frac{%d}{%d}", a, b), put("%d / %d", a, b), put("%d.5", a), put("x = \\frac{%d}{%d}", a, b), put("%dx + %dx", a, b), put("(%d+%d)\\times %d", a, b, b), put("Hence, %d", a), put("hence %d", a), put("-%d^2", a), put("2^{-%d}", b), put("%d = %d", a, b), put("%d + \\sqrt{%d+%d}", a, a, b)]
+    answer = F.coalesce(*(F.when(f == i, x) for i, x in enumerate(forms)), put("\\[ \\frac{x}{%d}+\\frac{x}{%d} \\]", b, 2 * b))
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("item_id"), answer.alias("answer"))
+
+
+_TEXT_TIER = f"'text:' || {structural('answer')}"
+
+
+@query("formula_labels", f"with {_FORMULAS} select item_id, coalesce('sympy:' || v, {_TEXT_TIER}) as label, case when f = 7 then {_TEXT_TIER} else coalesce('sympy:' || v, {_TEXT_TIER}) end strict_label from fv")
+def _(s, d):
+    rows = _formulas(s, d)
+    told = rows.select("answer").distinct().select("answer", formulas.label(F.col("answer")).alias("label"), formulas.label(F.col("answer"), strict=True).alias("strict_label"))
+    return rows.join(told, "answer").select("item_id", "label", "strict_label")
+
+
+@query("formula_classes", f"with {_FORMULAS} select coalesce('sympy:' || v, {_TEXT_TIER}) as label, count(*) n, count(distinct answer) n_spellings from fv group by 1 having count(distinct answer) > 1")
+def _(s, d):
+    rows = _formulas(s, d).groupBy("answer").count()
+    return rows.withColumn("label", formulas.label(F.col("answer"))).groupBy("label").agg(F.sum("count").alias("n"), F.count("*").alias("n_spellings")).filter("n_spellings > 1")
+
+
+#: Labels of the responses under the tier of formulas: what their forms can become.
+_PARSED = rf"case when f_ is null or {structural('f_')} = '' then '<parse_failure>' when regexp_matches({structural('f_')}, '^x ?= ?\d+$') then 'sympy:eq(x, ' || regexp_extract(f_, '\d+') || ')' when regexp_matches({structural('f_')}, '^\d+$') then 'sympy:' || {structural('f_')} when regexp_matches({structural('f_')}, '^\d+ cm$') then 'sympy:' || regexp_extract(f_, '\d+') || '*c*m' else 'text:' || {structural('f_')} end"
+_PSL = f"psl as (select item_id, pos, field is null failed, {_PARSED} lab from (select *, {extract_final('field')} f_ from pr)), ptl as (select item_id, {_PARSED} lab from (select *, {extract_final('truth')} f_ from od))"
+
+
+@query("parsed_labels", f"with {RS}, {PR}, {_PSL} select item_id, pos, lab as label from psl")
+def _(s, d):
+    rows = responses(s, d)[0].select("item_id", "pos", text.parse_answer(F.col("response")).alias("field"))
+    return scans.with_label(rows, "field", "label", "parsed_v1").select("item_id", "pos", "label")
+
+
+@query(
+    "parsed_scoring",
+    f"with {RS}, {PR}, {_PSL}, pc as (select item_id, lab, count(*) n, min(pos) f from psl group by all), pv as (select item_id, sum(n)::bigint k, count(*) n_distinct, abs(round(ln(sum(n)::double) - sum(n * ln(n::double)) / sum(n)::double, 12)) entropy, (list(lab order by n desc, f))[1] majority from pc group by 1) "
+    "select item_id, k, n_distinct, entropy, majority, ptl.lab truth_label, majority = ptl.lab correct from pv join ptl using (item_id)",
+    "entropy",
+)
+def _(s, d):
+    samples, orders = responses(s, d)
+    return votes.score(samples, orders, ["item_id"], "parsed_v1").select("item_id", "k", "n_distinct", "entropy", "majority", "truth_label", "correct")
+
+
 @query("unwrap_macro", r"with x as (select doc_id, '\textcolor{red}{' || left(source, 5) || ' \text{in {' || lang || '}}}' t from documents) select doc_id, left(source, 5) || ' \text{in {' || lang || '}}' colour_free, '\textcolor{red}{' || left(source, 5) || ' in {' || lang || '}}' text_free from documents")
 def _(s, d):
     t = F.concat(F.lit("\\textcolor{red}{"), F.substring("source", 1, 5), F.lit(" \\text{in {"), F.col("lang"), F.lit("}}}"))

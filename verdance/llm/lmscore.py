@@ -44,7 +44,7 @@ from .common import batch_count, fold, slices, small, trimmed, trimmed_group
 DEPTH = 2
 LEAST = 2
 MIN_DIVERGENCE = 0.1
-BATCH_MB = 10
+BATCH_MB = 11
 HOT = 1 << 20
 MOST_HOT = 10_000
 END = b"\n"

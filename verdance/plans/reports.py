@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import cases, judging, ranking, semantic, sheets, snapshots, votes
+from ..operators import cases, judging, ranking, runs, semantic, sheets, snapshots, votes
 from ..sources.tables import event_votes, labelled, responses, table
 from .audits import _AU, _LABELS, _audits
 from .registry import query
@@ -295,6 +295,7 @@ _RUN = f"rn as (select item_id item, n_chars % 2 = 0 e, {_LEVELS}[(n_chars % 7 +
 _GRADES = "select 'grading.accuracy' k, avg(gc::int) v from rn union all select 'grading.accuracy_on_error_items', avg(gc::int) filter (e) from rn union all select 'grading.accuracy_on_clean_items', avg(gc::int) filter (not e) from rn union all select 'grading.baseline_accuracy', greatest(avg(e::int), 1 - avg(e::int)) from rn"
 _STRATA = f"st as (select unnest(['pooled', case when e then 'error_stratum' else 'clean_stratum' end]) stratum, re, gc from rn), sa as ({auroc('st', 're', 'gc', 'stratum')})"
 _ARM = "select 'reasoning.' || stratum || '.auroc', auroc from sa union all select 'reasoning.' || stratum || '.n_items', n_items from sa union all select 'reasoning.' || stratum || '.n_error', n_error from sa"
+_OWN_POOL = _ARM.replace("'reasoning.' || stratum || '", "'reasoning' || case when stratum = 'pooled' then '' else '.' || stratum end || '")
 
 
 def _area(score: str, correct: str) -> str:
@@ -305,37 +306,60 @@ _MAXED = f"abs(pe - {math.log(5)}) <= {1e-8 + 1e-5 * math.log(5)}"
 _CUTS = f"ct as (select unnest(list_filter(['full', case when tf = 0 then 'excl_parse_failures' end, case when not ({_MAXED}) then 'excl_max_entropy' end, case when tf = 0 and not ({_MAXED}) then 'excl_both' end], lambda x: x is not null)) cut, pe, pc from rn), ca as ({auroc('ct', 'pe', 'pc', 'cut')})"
 
 
-@query(
-    "snapshot_points",
-    f"with {LB}, {_RUN}, {_STRATA}, {_CUTS}, rc as ({curve('rn', 'pe', 'pc')}), al as (select 'n_items' k, count(*)::double v from rn union all select 'frac_has_error', avg(e::int) from rn union all select 'perception.accuracy', avg(pc::int) from rn union all select 'abstention.n_flagged', count(*) filter ({_MAXED}) from rn "
+_POINTS = (
+    f"with {LB}, {_RUN}, {_STRATA}, {_CUTS}, rc as ({curve('rn', 'pe', 'pc')}), al as (select 'n_items' k, count(*)::double v from rn union all select 'k_transcription', 5 union all select 'k_grading', 5 union all select 'frac_has_error', avg(e::int) from rn union all select 'perception.accuracy', avg(pc::int) from rn union all select 'abstention.n_flagged', count(*) filter ({_MAXED}) from rn "
     f"union all select 'abstention.n_flagged_wrong', count(*) filter ({_MAXED} and not pc) from rn union all select 'abstention.precision', count(*) filter ({_MAXED} and not pc) / nullif(count(*) filter ({_MAXED}), 0)::double from rn union all select 'abstention.recall', count(*) filter ({_MAXED} and not pc) / nullif(count(*) filter (not pc), 0)::double from rn "
-    f"union all select 'integrity.transcription_parse_failure_rate', sum(tf) / (count(*) * 5)::double from rn union all select 'integrity.grading_parse_failure_rate', sum(gf) / (count(*) * 5)::double from rn union all {_GRADES} union all {_ARM} "
+    f"union all select 'integrity.transcription_parse_failure_rate', sum(tf) / (count(*) * 5)::double from rn union all select 'integrity.grading_parse_failure_rate', sum(gf) / (count(*) * 5)::double from rn union all {_GRADES} union all {_OWN_POOL} "
     f"union all select 'perception.sensitivity.' || cut || '.auroc', auroc from ca union all select 'perception.sensitivity.' || cut || '.n_items', n_items from ca "
+    f"union all select 'perception.auroc', auroc from ca where cut = 'full' union all select 'perception.n_items', n_items from ca where cut = 'full' union all select 'perception.n_error', n_error from ca where cut = 'full' "
     f"union all select 'perception.aurc', aurc from {_area('pe', 'pc')} union all select 'perception.aurc_baseline', base from {_area('pe', 'pc')} union all select 'reasoning.aurc', aurc from {_area('re', 'gc')} union all select 'reasoning.aurc_baseline', base from {_area('re', 'gc')} "
-    "union all select 'risk_coverage.level_' || printf('%.6f', threshold) || '.coverage', coverage from rc union all select 'risk_coverage.level_' || printf('%.6f', threshold) || '.risk_kept', risk_kept from rc union all select 'risk_coverage.level_' || printf('%.6f', threshold) || '.n_kept', n_kept from rc) select k as key, v as value from al",
-    "value",
+    "union all select 'risk_coverage.level_' || printf('%.6f', threshold) || '.coverage', coverage from rc union all select 'risk_coverage.level_' || printf('%.6f', threshold) || '.risk_kept', risk_kept from rc union all select 'risk_coverage.level_' || printf('%.6f', threshold) || '.n_kept', n_kept from rc)"
 )
+
+
+@query("snapshot_points", f"{_POINTS} select k as key, v as value from al", "value")
 def _(s, d):
-    return snapshots.metrics(_run(s, d), 5, 0, 0)
+    return snapshots.metrics(_run(s, d), 5, 0, 0).drop("path")
 
 
 @query("snapshot_metrics")
 def _(s, d):
     """With intervals of 10,000 draws and 1,000 conformal splits."""
-    return snapshots.metrics(_run(s, d), 5)
+    return snapshots.metrics(_run(s, d), 5).drop("path")
 
 
-@query(
-    "snapshot_grading_points",
-    f"with {LB}, {_RUN}, {_STRATA}, lv as (select round(re, 3) r, count(*) n from rn group by 1), al as (select 'composition.n_items' k, count(*)::double v from rn union all select 'composition.n_has_error', count(*) filter (e) from rn union all select 'composition.n_clean', count(*) filter (not e) from rn union all select 'composition.frac_has_error', avg(e::int) from rn "
-    f"union all select 'composition.is_balanced', (abs(avg(e::int) - 0.5) < 0.01)::int from rn union all select 'composition.grading_parse_failure_rate', sum(gf) / (count(*) * 5)::double from rn union all {_GRADES} union all {_ARM} union all select 'entropy_distribution.n_distinct_values', count(*) from lv union all select 'entropy_distribution.largest_single_value_share', max(n) / sum(n)::double from lv "
-    "union all select 'entropy_distribution.is_degenerate', (max(n) / sum(n)::double >= 0.6)::int from lv union all select 'entropy_distribution.counts.' || printf('%.3f', r) || '.n', n from lv) select k as key, v as value from al",
-    "value",
+@query("snapshot_document", f"{_POINTS} select k as key, v as value, k in {snapshots.HEADLINE} is_headline from al where v is not null and not starts_with(k, 'risk_coverage.')", "value")
+def _(s, d):
+    """The nested document, taken apart again: its numbers by their keys."""
+    run = _run(s, d)
+    figures = snapshots.metrics(run, 5, 0, 0)
+    doc = snapshots.document(figures, snapshots.curve_list(run).unionByName(snapshots.notes(figures, {"label": "run", "latex_parser_available": False})))
+    return runs.flatten_json(doc, "document").withColumn("is_headline", F.col("key").isin(*snapshots.HEADLINE))
+
+
+_GRADED = (
+    f"with {LB}, {_RUN}, {_STRATA}, lv as (select round(re, 3) r, count(*) n from rn group by 1), al as (select 'n_items' k, count(*)::double v from rn union all select 'k_grading', 5 union all select 'composition.n_has_error', count(*) filter (e) from rn union all select 'composition.n_clean', count(*) filter (not e) from rn union all select 'composition.frac_has_error', avg(e::int) from rn "
+    f"union all select 'composition.is_balanced', (abs(avg(e::int) - 0.5) < 0.01)::int from rn union all select 'reasoning.pooled_is_misleading_unless_balanced', 1 - (abs(avg(e::int) - 0.5) < 0.01)::int from rn union all select 'integrity.grading_parse_failure_rate', sum(gf) / (count(*) * 5)::double from rn union all {_GRADES} union all {_ARM} union all select 'entropy_distribution.n_distinct_values', count(*) from lv union all select 'entropy_distribution.largest_single_value_share', max(n) / sum(n)::double from lv "
+    "union all select 'entropy_distribution.is_degenerate', (max(n) / sum(n)::double >= 0.6)::int from lv union all select 'entropy_distribution.counts.' || r::varchar, n from lv)"
 )
+
+
+@query("snapshot_grading_points", f"{_GRADED} select k as key, v as value from al", "value")
 def _(s, d):
-    return snapshots.grading_metrics(_run(s, d), 5, 0)
+    return snapshots.grading_metrics(_run(s, d), 5, 0).drop("path")
 
 
 @query("snapshot_grading_metrics")
 def _(s, d):
-    return snapshots.grading_metrics(_run(s, d), 5)
+    return snapshots.grading_metrics(_run(s, d), 5).drop("path")
+
+
+@query("snapshot_grading_document", f"{_GRADED} select k as key, v as value from al where v is not null and not regexp_matches(k, '(^|\\.)(is_balanced|is_degenerate|pooled_is_misleading_unless_balanced)$')", "value")
+def _(s, d):
+    return runs.flatten_json(snapshots.document(snapshots.grading_metrics(_run(s, d), 5, 0)), "document")
+
+
+@query("snapshot_grading_verdicts")
+def _(s, d):
+    """Both strata's verdicts as they stand in the document, from intervals of 10,000 draws."""
+    return snapshots.stratum_verdicts(snapshots.grading_metrics(_run(s, d), 5)).select(F.array_join("path", ".").alias("key"), "json")

@@ -149,6 +149,22 @@ def test_too_many_cells_are_an_error_only_where_they_are_gathered(spark, monkeyp
     assert got["difference"] == want["difference"] and abs(got["ci_low"] - want["ci_low"]) < 0.01 and abs(got["ci_high"] - want["ci_high"]) < 0.01
 
 
+def test_every_bucket_of_the_registered_hypotheses(spark):
+    """Each hypothesis with metrics that lead to each of its verdicts."""
+    rows = [(i, m, *x) for i, x in enumerate([(40, 40, 0.8, 0.7, True), (40, 29, 0.8, 0.7, True), (40, 40, 0.6, 0.56, True), (40, 40, 0.6, 0.51, True), (40, 40, 0.4, 0.3, False), (0, 0, None, None, False)]) for m in ("perception", "perception_error_stratum", "reasoning_pooled", "reasoning_error_stratum", "reasoning_clean_stratum") if i < 5 or m == "reasoning_clean_stratum"]
+    df = spark.createDataFrame(rows, "g int, measure string, n_error int, n_correct int, auroc double, ci_low double, excludes_chance boolean")
+    got = {(r["g"], r["hypothesis"]): r["verdict"] for r in ranking.judged(df, ["g"]).collect()}
+    assert len(got) == 30
+    want = {
+        "perception": ["replicated", "inconclusive_underpowered", "weaker_than_pilot", "weaker_than_pilot", "failed_to_replicate", "not_measured"], "reasoning_pooled": ["signal_confirmed", "inconclusive_underpowered", "signal_confirmed", "no_signal", "no_signal", "not_measured"],
+        "reasoning_stratified": ["confirmed", "inconclusive_underpowered", "not_confirmed", "not_confirmed", "not_confirmed", "not_measured"], "clean_stratum_inversion": ["not_confirmed", "inconclusive_underpowered", "not_confirmed", "not_confirmed", "confirmed", "not_measured"],
+    }
+    for name, verdicts in want.items():
+        assert [got[i, name] for i in range(6)] == verdicts, name
+    assert [got[i, "perception_pooled_not_comparable"] for i in range(6)] == want["perception"]
+    assert ranking.judged(df.filter("g = 0")).count() == 5
+
+
 def test_resampling_is_registered_at_the_reference_size(monkeypatch):
     entry = __import__("__spark_entry__")
     from verdance.plans import core

@@ -383,8 +383,59 @@ def rule_metrics(df: DataFrame, rule: str, k: int, reps: int) -> DataFrame:
     return with_interval(rule_points(df, rule, k, counts), bootstrap_cells(counts, "entropy", "correct", reps, [rule], count="n"), [rule])
 
 
+def hashed_weights(df: DataFrame, key: str, reps: int, seed: int = 0) -> DataFrame:
+    """df's rows for each replicate (rep) that draws them, with weight: how often. A Poisson draw of mean one from sha256 of seed, replicate and key, so that any engine makes the same replicates, and no draw has to be joined to its row."""
+    number = hash_number(F.concat_ws("|", F.lit(str(seed)), F.col("rep"), F.col(key)))
+    drawn = F.size(F.filter(F.array(*(F.lit(t) for t in POISSON)), lambda t: t <= number))
+    return df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("weight", drawn).filter("weight > 0")
+
+
+#: Of the 2^32 numbers, how many draw at most 0, 1, 2, ... from a Poisson law of mean one.
+POISSON = [int(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12)]
+
+
 # ---- verdicts ----
 
+#: Hypotheses registered before a larger run, each with what it measures and its verdicts in order; the first whose conditions hold is given.
+#: Conditions: missing, few (of either class), ci_low and auroc at least, auroc below, an interval above chance.
+SCALEUP = (
+    ("perception_pooled_not_comparable", "perception", (("not_measured", "missing"), ("inconclusive_underpowered", "few"), ("replicated", "ci_low", 0.65), ("weaker_than_pilot", "excludes"), ("failed_to_replicate",))),
+    ("perception", "perception_error_stratum", (("not_measured", "missing"), ("inconclusive_underpowered", "few"), ("replicated", "ci_low", 0.65), ("weaker_than_pilot", "excludes"), ("failed_to_replicate",))),
+    ("reasoning_pooled", "reasoning_pooled", (("not_measured", "missing"), ("inconclusive_underpowered", "few"), ("signal_confirmed", "ci_low", 0.55), ("no_signal",))),
+    ("reasoning_stratified", "reasoning_error_stratum", (("not_measured", "missing"), ("inconclusive_underpowered", "few"), ("confirmed", "auroc", 0.70, "excludes"), ("not_confirmed",))),
+    ("clean_stratum_inversion", "reasoning_clean_stratum", (("not_measured", "undefined"), ("inconclusive_underpowered", "few"), ("confirmed", "below", 0.50), ("not_confirmed",))),
+)
+_RULE = "hypothesis string, measure string, place int, verdict string, missing boolean, undefined boolean, few boolean, ci_low_min double, auroc_min double, auroc_below double, above boolean"
+
+
+def _rules(table=SCALEUP):
+    for hypothesis, measure, verdicts in table:
+        for place, (verdict, *when) in enumerate(verdicts):
+            at = lambda name: float(when[when.index(name) + 1]) if name in when else None  # noqa: B023, E731
+            yield (hypothesis, measure, place, verdict, "missing" in when, "undefined" in when, "few" in when, at("ci_low"), at("auroc"), at("below"), "excludes" in when)
+
+
+def judged(metrics: DataFrame, by: list[str] = [], table=SCALEUP, minority: int = 30) -> DataFrame:  # noqa: B006
+    """by, hypothesis, measure, verdict: every hypothesis of a table for every group of metrics (by, measure, n_error, n_correct, auroc, ci_low, excludes_chance), by one join with the table's rules.
+
+    A measure that a group doesn't have is not measured.
+    """
+    rules = metrics.sparkSession.createDataFrame(list(_rules(table)), _RULE)
+    groups = metrics.select(*by).distinct() if by else metrics.sparkSession.range(1).select()
+    found = metrics.select(*(F.col(c).alias(f"_g_{c}") for c in by), F.col("measure").alias("_measure"), "n_error", "n_correct", "auroc", "ci_low", "excludes_chance")
+    same = F.col("measure") == F.col("_measure")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    rows = groups.crossJoin(F.broadcast(rules)).join(found, same, "left")  # rules: a few dozen, fixed
+    absent = F.col("n_error").isNull()
+    least = lambda limit, value: F.col(limit).isNull() | F.coalesce(F.col(value) >= F.col(limit), F.lit(False))
+    holds = (
+        (~F.col("missing") | absent) & (~F.col("undefined") | F.col("auroc").isNull()) & (~F.col("few") | F.coalesce(F.least("n_error", "n_correct") < minority, F.lit(False))) & least("ci_low_min", "ci_low") & least("auroc_min", "auroc")
+        & (F.col("auroc_below").isNull() | F.coalesce(F.col("auroc") < F.col("auroc_below"), F.lit(False))) & (~F.col("above") | F.coalesce("excludes_chance", F.lit(False)))
+    )
+    return rows.filter(holds).groupBy(*by, "hypothesis", "measure").agg(F.min_by("verdict", "place").alias("verdict"))
+
+
 
 def stratum_verdict(n_items: Column, n_error: Column, n_correct: Column, auroc_: Column, ci_high: Column, excludes: Column, threshold: float = 0.70, minority: int = 30) -> Column:
     """Inversion is tested before chance."""
@@ -409,6 +460,14 @@ def capability_verdict(accuracy: Column, capable: float = 0.65, chance: float =
     return F.when(accuracy >= capable, "capable").when(accuracy < chance, "at_chance").otherwise("marginal")
 
 
+def capability(df: DataFrame, correct: str, label: str, by: list[str] = [], capable: float = 0.65, chance: float = 0.55) -> DataFrame:  # noqa: B006
+    """Per group, whether a grader is good enough for its uncertainty to mean anything: accuracy, that of always naming the larger class, the margin between them, and the verdict."""
+    p = F.avg(F.col(label).cast("int"))
+    out = df.groupBy(*by).agg(F.count("*").alias("n_items"), F.avg(F.col(correct).cast("int")).alias("accuracy"), F.greatest(p, 1 - p).alias("baseline_accuracy"))
+    out = out.withColumns({"margin_over_baseline": F.col("accuracy") - F.col("baseline_accuracy"), "verdict": capability_verdict(F.col("accuracy"), capable, chance), "threshold_capable": F.lit(capable), "threshold_chance": F.lit(chance)})
+    return out.withColumn("entropy_result_meaningful", F.col("verdict") == "capable")
+
+
 def class_baseline(df: DataFrame, label: str) -> DataFrame:
     p = F.avg(F.col(label).cast("int"))
     return df.agg(F.count(label).alias("n"), p.alias("frac_positive"), (p >= 0.5).alias("majority_label"), F.greatest(p, 1 - p).alias("baseline_accuracy"))

@@ -117,10 +117,46 @@ def _(s, d):
     return ranking.class_baseline(labelled(s, d), "correct")
 
 
-@query("capability", f"with {LB} select avg(correct::int) accuracy, case when avg(correct::int) >= 0.65 then 'capable' when avg(correct::int) < 0.55 then 'at_chance' else 'marginal' end verdict from lb", "accuracy")
+@query(
+    "capability",
+    f"with {LB}, g as (select unnest(['all', lang]) part, correct, toxic from lb), a as (select part, count(*) n_items, avg(correct::int) accuracy, greatest(avg(toxic::int), 1 - avg(toxic::int)) baseline_accuracy from (select part, case when part = 'all' then correct else correct = toxic end correct, toxic from g) group by 1) "
+    "select *, accuracy - baseline_accuracy margin_over_baseline, case when accuracy >= 0.65 then 'capable' when accuracy < 0.55 then 'at_chance' else 'marginal' end verdict, 0.65::double threshold_capable, 0.55::double threshold_chance, accuracy >= 0.65 entropy_result_meaningful from a",
+    "accuracy baseline_accuracy margin_over_baseline",
+)
+def _(s, d):
+    """All items, and in each language whether its quality is taken for its toxicity."""
+    part = F.explode(F.array(F.struct(F.lit("all").alias("part"), F.col("correct").alias("ok")), F.struct(F.col("lang").alias("part"), (F.col("correct") == F.col("toxic")).alias("ok"))))
+    return ranking.capability(labelled(s, d).select(part.alias("p"), "toxic").select("p.part", "p.ok", "toxic"), "ok", "toxic", ["part"])
+
+
+_SCALE_REPS = 40
+_SCALED = f"""ov as (select o_orderkey k, ((o_orderkey // 32) % 6)::int g, o_orderstatus = 'F' e, o_custkey % 3 <> 0 ok, (o_orderkey * 7919 % 1000) / 1000.0::double base, [0.0, 0.25, 1.0, -0.5, 0.06, 0.4][((o_orderkey // 32) % 6 + 1)::int]::double pull from orders where (o_orderkey // 32) % 6 <> 5 or o_orderkey % 1024 < 40),
+om as (select k, g, ok, unnest(list_filter(['perception', case when e then 'perception_error_stratum' end, 'reasoning_pooled', case when e then 'reasoning_error_stratum' else 'reasoning_clean_stratum' end], lambda m: m is not null and not (g = 4 and (m like 'perception%' or k % 2 = 1)))) measure, base + case when ok then 0 else pull end s from ov),
+ow as (select *, len(list_filter({ranking.POISSON}, lambda t: t <= {uniform('0', 'rep', 'k')})) weight from om, (select unnest(range({_SCALE_REPS})) rep)), os as (select g, measure, rep, s, sum(weight) filter (not ok) e, sum(weight) filter (ok) c from ow where weight > 0 group by all),
+oc as (select *, coalesce(e, 0) e0, coalesce(c, 0) c0, sum(coalesce(c, 0)) over (partition by g, measure, rep order by s) cum from os), oa as (select g, measure, rep, sum(e0 * (cum - c0 / 2.0::double)) / nullif(sum(e0) * sum(c0), 0)::double a from oc group by all), oi as (select g, measure, quantile_cont(a, 0.025::double) lo from oa group by all),
+op as ({auroc('om', 's', 'ok', 'g, measure')}), mt as (select op.*, lo, coalesce(lo > 0.5, false) ex, least(n_error, n_correct) < 30 few from op join oi using (g, measure)),
+hy as (select unnest(['perception_pooled_not_comparable', 'perception', 'reasoning_pooled', 'reasoning_stratified', 'clean_stratum_inversion']) hypothesis, unnest(['perception', 'perception_error_stratum', 'reasoning_pooled', 'reasoning_error_stratum', 'reasoning_clean_stratum']) measure)"""
+
+
+@query(
+    "scaleup_hypotheses",
+    f"with {_SCALED} select gs.g, hy.hypothesis, hy.measure, case when mt.n_error is null or (hypothesis = 'clean_stratum_inversion' and auroc is null) then 'not_measured' when few then 'inconclusive_underpowered' when hypothesis in ('perception', 'perception_pooled_not_comparable') then case when lo >= 0.65 then 'replicated' when ex then 'weaker_than_pilot' else 'failed_to_replicate' end "
+    "when hypothesis = 'reasoning_pooled' then case when lo >= 0.55 then 'signal_confirmed' else 'no_signal' end when hypothesis = 'reasoning_stratified' then case when auroc >= 0.7 and ex then 'confirmed' else 'not_confirmed' end else case when auroc < 0.5 then 'confirmed' else 'not_confirmed' end end verdict from (select distinct g from om) gs cross join hy left join mt on mt.g = gs.g and mt.measure = hy.measure",
+)
 def _(s, d):
-    out = labelled(s, d).agg(F.avg(F.col("correct").cast("int")).alias("accuracy"))
-    return out.withColumn("verdict", ranking.capability_verdict(F.col("accuracy")))
+    """Five registered hypotheses for six runs, fed by intervals of hashed replicates."""
+    k = F.col("o_orderkey")
+    g = F.floor(k / 32) % 6
+    ok = F.col("o_custkey") % 3 != 0
+    pull = F.element_at(F.array(*(F.lit(x) for x in (0.0, 0.25, 1.0, -0.5, 0.06, 0.4))), (g + 1).cast("int"))
+    score = (k * 7919 % 1000) / 1000.0 + F.when(ok, 0.0).otherwise(pull)
+    stratum = F.when(F.col("o_orderstatus") == "F", "reasoning_error_stratum").otherwise("reasoning_clean_stratum")
+    measure = F.array_compact(F.array(F.lit("perception"), F.when(F.col("o_orderstatus") == "F", "perception_error_stratum"), F.lit("reasoning_pooled"), stratum))
+    items = table(s, d, "orders").filter((g != 5) | (k % 1024 < 40)).select(k.alias("k"), g.cast("int").alias("g"), ok.alias("ok"), score.alias("s"), measure.alias("measures"))
+    each = lambda df: df.withColumn("measure", F.explode("measures")).filter(~((F.col("g") == 4) & (F.col("measure").startswith("perception") | (F.col("k") % 2 == 1))))
+    runs_, by = each(items), ["g", "measure"]
+    drawn = ranking.auroc(each(ranking.hashed_weights(items, "k", _SCALE_REPS)), "s", "ok", [*by, "rep"], weight="weight", few=True)  # the scores have 1,000 levels a verdict
+    return ranking.judged(ranking.with_interval(ranking.auroc(runs_, "s", "ok", by), drawn, by), ["g"])
 
 
 @query("collapse_check", f"with {LB} select count(*) n_items, avg((correct = not toxic)::int) agreement, coalesce(avg((correct = not toxic)::int) >= 0.95 or avg((correct = not toxic)::int) <= 0.05, false) degenerate from lb", "agreement")

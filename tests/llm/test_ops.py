@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -388,14 +389,32 @@ def test_warc(spark, tmp_path):
     path = str(tmp_path / "archive")
     warc.write_archive(pages, path)
     assert spark.read.parquet(path + "/payloads").count() == len(first)
+    line = re.compile(rb"[!#$%&'*+.^_`|~0-9A-Za-z-]+: [^\r\n]*\r\n")  # a named field of the standard's grammar, unfolded
+    sha1 = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
     for r in warc.restore(spark, path).collect():
-        head, _, body = bytes(r["record"]).partition(b"\r\n\r\n")
-        fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-        assert len(head.decode().split("\r\n")) == 7 + ("WARC-Refers-To" in fields)
-        assert head.startswith(b"WARC/1.1\r\n") and body.endswith(b"\r\n\r\n") and int(fields["Content-Length"]) == len(body) - 4
-        assert (fields["WARC-Type"] == "revisit") == ("WARC-Refers-To" in fields)
+        raw = bytes(r["record"])
+        assert raw.startswith(b"WARC/1.1\r\n")
+        at, fields = 10, {}
+        while found := line.match(raw, at):
+            name, value = found.group()[:-2].decode().split(": ", 1)
+            assert name not in fields
+            fields[name], at = value, found.end()
+        assert raw[at : at + 2] == b"\r\n"
+        block, end = raw[at + 2 : at + 2 + int(fields["Content-Length"])], raw[at + 2 + int(fields["Content-Length"]) :]
+        assert end == b"\r\n\r\n" and {"WARC-Record-ID", "WARC-Date", "WARC-Type", "WARC-Target-URI", "Content-Type"} <= fields.keys()
+        assert re.fullmatch(r"<[a-z]+:[^<>\s]*>", fields["WARC-Record-ID"]) and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"]) and fields["WARC-Block-Digest"] == sha1(block)
+        http, _, payload = block.partition(b"\r\n\r\n")
+        assert http.startswith(b"HTTP/1.1 200 OK\r\n") and fields["WARC-Type"] in ("response", "revisit")
         if fields["WARC-Type"] == "response":
-            assert base64.b32encode(hashlib.sha1(body[:-4]).digest()).decode() == fields["WARC-Payload-Digest"].removeprefix("sha1:")
+            assert fields["WARC-Payload-Digest"] == sha1(payload) and not {"WARC-Refers-To", "WARC-Profile"} & fields.keys()
+        else:
+            assert payload == b"" and fields["WARC-Profile"].endswith("/revisit/identical-payload-digest") and fields["WARC-Refers-To"].startswith("<urn:page:")
+    other = str(tmp_path / "named")
+    warc.write_archive(spark.createDataFrame([("a\r\nb <c>", "u", "x"), ("z", "u", "x")], "page_id string, url string, html string"), other, date="2024-05-01T12:00:00Z")
+    assert sorted(r["record"] for r in warc.read_archive(spark, other).collect()) == ["a\r\nb <c>", "z"] and {r["refers"] for r in warc.read_archive(spark, other).collect()} == {None, "a\r\nb <c>"}
+    assert all(b"WARC-Date: 2024-05-01T12:00:00Z\r\n" in bytes(r["record"]) for r in warc.restore(spark, other).collect())
+    with pytest.raises(ValueError, match="no date"):
+        warc.write_archive(pages, other, date="yesterday")
     assert rows_of(warc.op6(pages.limit(0))) == []
 
 

@@ -471,6 +471,30 @@ def test_repeats_over_many_batches(spark, monkeypatch):
     assert set(cut) == {r[0] for r in rows} and all(len(r["text"]) == r["n_chars"] for r in cut.values())
 
 
+def test_repeats_around_one_phrase(spark, monkeypatch):
+    """Thousands of documents share a phrase and little else: its hash is crowded, its windows are dealt one by one, and equal ones still meet."""
+    rng = random.Random(12)
+    phrase = "the quick brown fox jumps over lazy dogs"
+    rows = [(i, f"{sentence(rng, 6)} {phrase} {sentence(rng, 6)}", "en", "s", 1) for i in range(5000)]
+    for i in range(0, 200, 2):  # windows over the phrase's edges that two documents share
+        rows[i + 1] = (i + 1, rows[i][1][5:] + f" {i}", "en", "s", 1)
+    rows += [(6000 + i, rows[7][1], "en", "s", 1) for i in range(40)]
+    df = spark.createDataFrame(rows, DOC)
+    want = brute_cut(rows)
+    monkeypatch.setattr(suffixdedup, "batch_count", lambda *_: 9)
+    for crowd in (1 << 14, 300):
+        cut = suffixdedup.dedup(df, ["doc_id"], suffixdedup._cut_light, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", crowd=crowd)
+        assert sorted((str(r["row"][0]), *r[1:]) for r in cut.collect()) == want
+    # what reaches a bucket: under one hash at most a few different windows, not the crowd
+    raws = [t.encode() for _, t, *_ in rows[:5000]]
+    h, row, first, windows = suffixdedup.segments(raws)
+    value, count = np.unique(h, return_counts=True)
+    crowded = h == value[count.argmax()]
+    assert crowded.sum() > 1000
+    keys, of, place = suffixdedup._single([raws[r][a : a + w + 49] for r, a, w in zip(row[crowded].tolist(), first[crowded].tolist(), windows[crowded].tolist(), strict=True)])
+    assert len(keys) == windows[crowded].sum() and np.unique(keys, return_counts=True)[1].max() < 60  # of 5,000
+
+
 @pytest.mark.parametrize("batches", [9, 150])
 def test_repeats_of_hot_passages(spark, monkeypatch, batches):
     """A passage that most documents hold, in more batches than one message may stand for; equal rows, repeated and null ids among them."""

@@ -6,12 +6,14 @@ documents can't be sorted in one place, so they are dealt by content first: a 50
 substring stay one segment of 50 to 81 bytes. Texts are dealt to batches of about `batch_mb`, however many there are, and
 these steps follow, all of them in one plan whose only shuffle of texts is used again by each step:
 
-1. A batch sends the hashes of its segments, once each, to the hash's bucket, which answers with two bits a hash:
-   whether more than one document has it, and whether more than GROUP batches do. All other segments are done.
+1. A batch sends the hashes of its segments, once each, with how many segments it has of each, to the hash's bucket, which answers with three bits a hash:
+   whether more than one document has it, whether more than GROUP batches do, and whether over CROWD segments have it. Segments of one document are done.
 2. A batch puts equal segments among its own together: the copy of its smallest document stands for them and goes on to the
    segment's bucket, and the others are flagged at once if their document is larger. Segments that more than GROUP batches
    have (a passage in a third of all documents) first go to a place for each GROUP batches, where again one copy stands for
    all; so a bucket gets one message for GROUP batches, not one a batch.
+   What is left of a crowded hash (one phrase with different words around it) is cut into single windows, each dealt by all
+   of its own bytes, so that only equal windows meet, however many segments share the phrase.
 3. A bucket takes about a megabyte of different segments at a time (by other bits of the same hash) and builds their
    generalised suffix array column by column: each round inserts one symbol of every segment, from its end to its start,
    into the collection's Burrows-Wheeler transform and updates the common prefixes of the neighbours. Both are streams
@@ -44,6 +46,7 @@ SPOOL_BYTES = 1 << 19
 CHUNK = 1 << 16
 PORTION = 3 << 18
 GROUP = 64
+CROWD = 1 << 14
 _B = 0x9E3779B97F4A7C15
 
 
@@ -243,8 +246,8 @@ def _known(ids: list, raws: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     return np.array(ids[:n], np.int64), raws[:n]
 
 
-ASK = "bucket int, batch int, hashes binary, several binary"
-ANSWER = "batch int, bucket int, bits binary, hot binary"
+ASK = "bucket int, batch int, hashes binary, several binary, count binary"
+ANSWER = "batch int, bucket int, bits binary, hot binary, crowded binary"
 SENT = "route int, bucket int, kind int, batch int, keys binary, windows binary, ids binary, rows binary, places binary, body binary"
 #: Kinds of messages: segments for their bucket, flags on their way back, hot segments for the place of their batches.
 _SEGMENTS, _FLAGS, _HOT = 0, 1, 2
@@ -280,27 +283,34 @@ def _ask(buckets: int):
         last = np.append(first[1:], len(h)) - 1
         several = row[first] != row[last] if len(h) else np.zeros(0, bool)
         batch = key[0].as_py()
-        return _as_table([(b, batch, _short(unique[i:j]), np.packbits(several[i:j]).tobytes()) for b, i, j in slices(_buckets(unique, buckets))], ASK)
+        count = np.minimum(last + 1 - first, 65535).astype(np.uint16)
+        return _as_table([(b, batch, _short(unique[i:j]), np.packbits(several[i:j]).tobytes(), count[i:j].tobytes()) for b, i, j in slices(_buckets(unique, buckets))], ASK)
 
     return run
 
 
-def _answer(key, asked):
-    parts = [_long(x) for x in asked.column("hashes").to_pylist()]
-    several = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(p)] for x, p in zip(asked.column("several").to_pylist(), parts, strict=True)]
-    h, shared = np.concatenate(parts), np.concatenate(several).astype(bool)
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    fresh = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])[: len(s)])
-    batches = np.diff(np.append(fresh, len(s)))  # that have it: a batch names a hash once
-    hot = np.zeros(len(h), bool)
-    shared[order] |= np.repeat(batches > 1, batches)
-    hot[order] = np.repeat(batches > GROUP, batches)
-    out, at = [], 0
-    for batch, p in zip(asked.column("batch").to_pylist(), parts, strict=True):
-        out.append((batch, key[0].as_py(), np.packbits(shared[at : at + len(p)]).tobytes(), np.packbits(hot[at : at + len(p)]).tobytes()))
-        at += len(p)
-    return _as_table(out, ANSWER)
+def _answer(crowd: int):
+    def run(key, asked):
+        parts = [_long(x) for x in asked.column("hashes").to_pylist()]
+        several = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(p)] for x, p in zip(asked.column("several").to_pylist(), parts, strict=True)]
+        h, shared = np.concatenate(parts), np.concatenate(several).astype(bool)
+        count = np.concatenate([np.frombuffer(x, np.uint16) for x in asked.column("count").to_pylist()]).astype(np.int64)
+        order = np.argsort(h, kind="stable")
+        s = h[order]
+        fresh = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])[: len(s)])
+        batches = np.diff(np.append(fresh, len(s)))  # that have it: a batch names a hash once
+        hot, crowded = np.zeros(len(h), bool), np.zeros(len(h), bool)
+        shared[order] |= np.repeat(batches > 1, batches)
+        hot[order] = np.repeat(batches > GROUP, batches)
+        if len(h):
+            crowded[order] = np.repeat(np.add.reduceat(count[order], fresh) > crowd, batches)
+        out, at = [], 0
+        for batch, p in zip(asked.column("batch").to_pylist(), parts, strict=True):
+            out.append((batch, key[0].as_py(), *(np.packbits(x[at : at + len(p)]).tobytes() for x in (shared, hot, crowded))))
+            at += len(p)
+        return _as_table(out, ANSWER)
+
+    return run
 
 
 def _send(buckets: int):
@@ -311,13 +321,14 @@ def _send(buckets: int):
         h, row, first, windows = segments(raws)
         unique = np.unique(h)
         asked = {b: (i, j) for b, i, j in slices(_buckets(unique, buckets))}
-        shared, hot = np.zeros(len(unique), bool), np.zeros(len(unique), bool)
-        for b, *bits in zip(*(answers.column(c).to_pylist() for c in ("bucket", "bits", "hot")), strict=True):
+        shared, hot, crowded = (np.zeros(len(unique), bool) for _ in range(3))
+        for b, *bits in zip(*(answers.column(c).to_pylist() for c in ("bucket", "bits", "hot", "crowded")), strict=True):
             i, j = asked[b]
-            shared[i:j], hot[i:j] = (np.unpackbits(np.frombuffer(x, np.uint8))[: j - i] for x in bits)
+            shared[i:j], hot[i:j], crowded[i:j] = (np.unpackbits(np.frombuffer(x, np.uint8))[: j - i] for x in bits)
         at = np.searchsorted(unique, h)
         keep = shared[at] if len(h) else np.zeros(0, bool)
-        h, row, first, windows, hot = h[keep], row[keep], first[keep], windows[keep], hot[at[keep]] if len(h) else np.zeros(0, bool)
+        h, row, first, windows, at = h[keep], row[keep], first[keep], windows[keep], at[keep]
+        hot, crowded = hot[at], crowded[at]
         # rows are in order of id, so the first owner of a content has the smallest id
         owner: dict[bytes, int] = {}
         local = np.zeros(len(h), bool)
@@ -329,6 +340,13 @@ def _send(buckets: int):
             else:
                 body[i] = x
         out = [_flag_row(batch % buckets, batch, row[local], first[local], windows[local])] if local.any() else []
+        if (cut := np.flatnonzero(crowded & ~local)).size:
+            keys, of, place = _single([body[i] for i in cut.tolist()])
+            whole, of = np.flatnonzero(~crowded & ~local), cut[of]
+            body = [*(body[i] for i in whole.tolist()), *(body[i][w : w + LENGTH] for i, w in zip(of.tolist(), place.tolist(), strict=True))]
+            h, row, hot = (np.concatenate([x[whole], y]) for x, y in ((h, keys), (row, row[of]), (hot, hot[of])))
+            first, windows = np.concatenate([first[whole], first[of] + place]), np.concatenate([windows[whole], np.ones(len(of), windows.dtype)])
+            local = np.zeros(len(h), bool)
         for kind, mine in ((_SEGMENTS, ~local & ~hot), (_HOT, ~local & hot)):
             sent = np.flatnonzero(mine)
             bucket = _buckets(h[sent], buckets)
@@ -343,6 +361,18 @@ def _send(buckets: int):
     return run
 
 
+def _single(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, string, first byte) of every window of the strings. By all of its bytes, so that equal windows of any two strings have one hash."""
+    keys, of, place = [], [], []
+    for i, x in enumerate(strings):
+        for w in range(len(x) - LENGTH + 1):
+            k = hashlib.blake2b(x[w : w + LENGTH], digest_size=8).digest()
+            keys.append(k)
+            of.append(i)
+            place.append(w)
+    return np.frombuffer(b"".join(keys), np.uint64), np.array(of, np.int64), np.array(place, np.int64)
+
+
 def _bytes(v, kind) -> bytes:
     return np.ascontiguousarray(v, kind).tobytes()
 
@@ -494,14 +524,14 @@ def _cut_text(key, texts, flags):
     return pa.table({"row": cut.column("row"), "text": pa.array([x.decode("utf-8", "ignore") for x in cut.column("kept").to_pylist()], pa.string())})
 
 
-def dedup(docs: DataFrame, carry: list[str], finish=_cut, output: str = "n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string", batch_mb: int = BATCH_MB) -> DataFrame:
+def dedup(docs: DataFrame, carry: list[str], finish=_cut, output: str = "n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string", batch_mb: int = BATCH_MB, crowd: int = CROWD) -> DataFrame:
     """row (struct of the carried columns) and what `finish` makes of each text's flags: by default n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_sha256."""
     n = batch_count(docs, "text", batch_mb)
     raw = text_bytes()
     batch = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), raw.alias("raw"), F.struct(*carry).alias("row"), batch.alias("batch"))
     by_batch = texts.groupBy("batch")
-    answers = by_batch.applyInArrow(trimmed_group(_ask(n)), ASK).groupBy("bucket").applyInArrow(_answer, ANSWER)
+    answers = by_batch.applyInArrow(trimmed_group(_ask(n)), ASK).groupBy("bucket").applyInArrow(_answer(crowd), ANSWER)
     sent = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(trimmed_group(_send(n)), SENT)
     for _ in range(2):
         sent = sent.groupBy("route").applyInArrow(trimmed_group(_places(n)), SENT)

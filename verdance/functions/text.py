@@ -307,6 +307,12 @@ def build_prompt(template: str, **fields: Column) -> Column:
     return reduce(lambda c, kv: F.replace(c, F.lit("{" + kv[0] + "}"), strip(F.coalesce(kv[1], F.lit("")))), fields.items(), F.lit(template))
 
 
+def build_question_prompt(template: str, question: Column) -> Column:
+    """A template whose question is all that states the task: a blank one is an error, not an unanswerable prompt."""
+    blank = F.raise_error(F.lit("a prompt needs a question that is not blank")).cast("string")
+    return build_prompt(template, question=F.when(strip(F.coalesce(question, F.lit(""))) == "", blank).otherwise(question))
+
+
 # ---- surfaces and tokens ----
 
 

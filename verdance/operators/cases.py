@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scans, text
@@ -47,6 +49,22 @@ def label_views(samples: DataFrame, truths: DataFrame, keys: list[str], rule: st
     )
 
 
+#: Which rows show a category: verdict wanted (null: any), and whether high or low entropies come first.
+SELECTED = {"low_entropy_correct": (True, False), "high_entropy_wrong": (False, True), "high_entropy_correct": (True, True), "low_entropy_wrong": (False, False), "confidently_wrong_grading": (False, False)}
+
+
+def select(df: DataFrame, category: str, entropy: str, correct: str, key: str, n: int, k: int = 5, predicate: Column | None = None) -> DataFrame:
+    """n rows of a category by rank of entropy, of equals the smaller key; wrong ones at the highest entropy of k answers for the degenerate one; a predicate defines any other."""
+    if predicate is not None:
+        return df.filter(predicate).orderBy(key).limit(n)
+    if category == "max_entropy_degenerate":
+        return df.filter((F.abs(F.col(entropy) - math.log(k)) <= 1e-9 * math.log(k)) & ~F.col(correct)).orderBy(key).limit(n)
+    if category not in SELECTED:
+        raise ValueError(f"category {category!r} needs a predicate")
+    want, high = SELECTED[category]
+    return df.filter(F.col(correct) == want).orderBy(F.col(entropy).desc_nulls_last() if high else F.col(entropy).asc_nulls_last(), key).limit(n)
+
+
 def bundles(traces: DataFrame, category: str, run_label: str = "", note: str = "") -> DataFrame:
     """A JSON document an item: what was asked and told, every sample's steps, and what follows from them. Unknown categories are an error."""
     if category not in CATEGORIES:

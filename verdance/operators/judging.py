@@ -33,8 +33,8 @@ def agreement(verdict: Column, rule: Column) -> Column:
     return F.when(verdict.isin("correct", "incorrect") & rule.isNotNull(), (verdict == "correct") == rule)
 
 
-def diagnostics(judged: DataFrame, rules: list[str], human: str | None = None) -> DataFrame:
-    """Counts, both accuracy conventions, each rule's 2 x 2 with the judge, and per-class agreement with people."""
+def diagnostics(judged: DataFrame, rules: list[str], human: str | None = None, flag: str | None = None) -> DataFrame:
+    """Counts, both accuracy conventions, each rule's 2 x 2 with the judge, how often it says yes to either truth (flag: has an error), and agreement with people per class and overall (which says little where one class is rare)."""
     v = F.col("verdict")
     right, wrong, unclear = (F.count_if(v == x) for x in ("correct", "incorrect", "unclear"))
     n = F.count("*")
@@ -42,9 +42,13 @@ def diagnostics(judged: DataFrame, rules: list[str], human: str | None = None) -
     said = v == "correct"
     for r in rules:
         aggs += [F.count_if(said != F.col(r)).alias(f"disagree_{r}"), F.count_if(said & ~F.col(r)).alias(f"judge_yes_{r}_no"), F.count_if(~said & F.col(r)).alias(f"judge_no_{r}_yes")]
+    if flag:
+        for name, side in (("has_error", F.col(flag)), ("clean", ~F.col(flag))):
+            aggs += [F.count_if(side).alias(f"{name}_n"), ratio(F.count_if(side & said), F.count_if(side)).alias(f"{name}_correct_rate")]
     if human:
         h = F.col(human)
         aggs += [F.count(h).alias("human_n"), F.count_if((h == "wrong") & said).alias("human_false_pass"), F.count_if((h == "correct") & (v == "incorrect")).alias("human_false_fail"), ratio(F.count_if((h == "correct") & said), F.count_if(h == "correct")).alias("agrees_on_correct"), ratio(F.count_if((h == "wrong") & (v == "incorrect")), F.count_if(h == "wrong")).alias("agrees_on_wrong")]
+        aggs.append(ratio(F.count_if(((h == "correct") & said) | ((h == "wrong") & (v == "incorrect"))), F.count(h)).alias("agrees_overall"))
     return judged.agg(*aggs)
 
 

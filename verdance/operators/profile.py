@@ -94,7 +94,7 @@ def group_metrics(profile: DataFrame, by: str, verdict: str, minority: int = 30)
     decided = F.col("human_truth").isin("correct", "wrong")
     labelled = F.coalesce("human_label", F.lit("")) != ""
     per = profile.groupBy(by).agg(
-        F.count("*").alias("n"), mean("v1").alias("v1_accuracy"), mean("v2").alias("v2_accuracy"), F.avg("entropy").alias("mean_entropy"), F.median("entropy").alias("median_entropy"), mean("parse_failed").alias("parse_failure_rate"),
+        F.count("*").alias("n"), mean("v1").alias("v1_accuracy"), mean("v2").alias("v2_accuracy"), F.avg("entropy").alias("mean_entropy"), F.median("entropy").alias("median_entropy"), mean("parse_failed").alias("parse_failure_rate"), mean("max_entropy").alias("max_entropy_rate"), F.median("truth_span_len").alias("median_truth_span_len"),
         F.count_if(verdict).alias("_good"), F.count_if(labelled).alias("n_human_labelled"), ratio(F.count_if(F.col("human_label") == "extraction_issue"), F.count_if(labelled)).alias("extraction_issue_rate"), F.count_if(decided).alias("n_human_determinate"),
         *(F.count_if(decided & (F.col("human_truth") == "wrong") & F.col(r)).alias(f"false_pass_{r}") for r in ("v1", "v2")), *(F.count_if(decided & (F.col("human_truth") == "correct") & ~F.col(r)).alias(f"false_fail_{r}") for r in ("v1", "v2")),
     )
@@ -107,6 +107,17 @@ def group_metrics(profile: DataFrame, by: str, verdict: str, minority: int = 30)
     return out.withColumnRenamed(by, "group").drop("_good", "_all", "_g", "_auroc")
 
 
+def group_metrics_interval(profile: DataFrame, by: str, verdict: str, reps: int, minority: int = 30) -> DataFrame:
+    """`group_metrics` with each group's interval, whose lower end tells whether the AUROC excludes chance; refused ones have none."""
+    from .ranking import bootstrap_cells, with_interval
+
+    named = profile.withColumnRenamed(by, "group")
+    out = with_interval(group_metrics(named, "group", verdict, minority), bootstrap_cells(named, "entropy", verdict, reps, ["group"]), ["group"])
+    told = F.col("auroc_status") == "measured"
+    out = out.withColumns({c: F.when(told, F.col(c)) for c in ("ci_low", "ci_high")})
+    return out.withColumn("auroc_status", F.when(told, F.when(F.col("ci_low") > 0.5, "excludes_chance").otherwise("includes_chance")).otherwise(F.col("auroc_status"))).drop("excludes_chance")
+
+
 def markup_report(items: DataFrame, spans: str, flag: str) -> DataFrame:
     n = F.size(spans)
     side = lambda f, x: f(F.when(F.col(flag) == x, n))

@@ -116,6 +116,12 @@ def diff(old: DataFrame, new: DataFrame, tol: float = 1e-6, headline: list[str]
 # ---- cases, manifests, logs ----
 
 
+def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The whole row that comes first in each group of equal keys (null is a key); one aggregation, so a task sends on one row a group."""
+    first = df.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.min_by(F.struct(*df.columns), F.struct(F.col(order).isNull(), order)).alias("_row"))
+    return first.select("_row.*")
+
+
 def top_cases(df: DataFrame, correct: str, want: bool, score: str, key: str, n: int, highest: bool = True) -> DataFrame:
     """The n rows of that verdict with the highest (lowest) score, of equals the first key."""
     order = F.col(score).desc_nulls_last() if highest else F.col(score).asc_nulls_last()
@@ -168,6 +174,20 @@ def vocabulary_problems(rows: DataFrame, key: str, known: DataFrame, fields: dic
     return repeated.unionByName(unknown).unionByName(bad)
 
 
+def sheet_report(rows: DataFrame, key: str, known: DataFrame, fields: dict[str, list[str]], answer: str) -> DataFrame:
+    """One row on a completed sheet: rows, rows that carry an answer, repeated and unknown ids, answers outside each field's vocabulary, and whether all is well (some answer, no problem). The sheet is read once."""
+    said = lambda f: F.lower(text.strip(F.coalesce(F.col(f).cast("string"), F.lit(""))))
+    bad = {f: F.count_if((said(f) != "") & (said(f) != "nan") & ~text.strip(F.col(f).cast("string")).isin(*allowed)) for f, allowed in fields.items()}
+    per = rows.groupBy(key).agg(F.count("*").alias("_n"), F.count_if(said(answer) != "").alias("_answered"), *(c.alias(f"_bad_{f}") for f, c in bad.items()))
+    seen = per.join(known.select(key).distinct().withColumn("_known", F.lit(True)), key, "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    out = seen.agg(
+        total("_n").alias("n_rows"), total("_answered").alias("n_answered"), F.count_if(F.col("_n") > 1).alias("n_duplicate_ids"), F.count_if(F.col("_known").isNull()).alias("n_unknown_ids"), *(total(f"_bad_{f}").alias(f"n_bad_{f}") for f in fields)
+    )
+    wrong = F.col("n_duplicate_ids") + F.col("n_unknown_ids") + sum((F.col(f"n_bad_{f}") for f in fields), F.lit(0))
+    return out.withColumn("ok", (wrong == 0) & (F.col("n_answered") > 0))
+
+
 def places(df: DataFrame, group: list[str], level: Column, item: str, name: str = "place", ranges: int = 64) -> DataFrame:
     """df with each row's place in its group, from 0: by level (of which a group has few), then by item (a number).
 

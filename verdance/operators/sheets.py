@@ -122,19 +122,22 @@ def keep_answers(rebuilt: DataFrame, old: DataFrame, item: str, answers: list[st
     return kept.join(F.broadcast(lost)).filter(safe).drop("_lost").withColumns({c: F.coalesce(c, F.lit("")) for c in answers})
 
 
-def confusion_examples(cells: DataFrame, item: str, category: str, label: str, span: str, n: int, seed, prefer: list[int] = [], per_page: int = 6) -> DataFrame:  # noqa: B006
-    """n items of every cell: the preferred ones first, then turns over the labels, rarest label first, in hash order; among true passes, spans too short to show anything come last. With page and cell."""
-    wanted = F.col(item).isin(prefer) if prefer else F.lit(False)
+def confusion_examples(cells: DataFrame, item: str, category: str, label: str, span: str, n: int, seed, prefer: dict[str, list[int]] = {}, per_page: int = 6, exclude: list[int] = []) -> DataFrame:  # noqa: B006
+    """n items of every cell: those that are preferred for it, in their order, then turns over the labels, rarest label first, in hash order; among true passes, spans too short to show anything come last; excluded items are left out. With all columns of cells, page and cell."""
+    cells = cells.filter(~F.col(item).isin(exclude)) if exclude else cells
+    asked = F.coalesce(*(F.when((F.col(category) == c) & (F.col(item) == i), F.lit(k)) for c, items in prefer.items() for k, i in enumerate(items)), F.lit(None).cast("int"))
+    cells = cells.withColumn("_asked", asked)
+    wanted = F.col("_asked").isNotNull()
     short = (F.col(category) == "TP") & (F.length(text.strip(F.regexp_replace(F.coalesce(span, F.lit("")), r"\s+", " "))) < SHORTEST_EXEMPLAR)
     sizes = cells.filter(~wanted).groupBy(category, label).agg(F.count("*").alias("_size"))
     rows = cells.withColumn("_first", wanted).join(F.broadcast(sizes), [category, label], "left")  # a row a cell and label
     turn = F.row_number().over(Window.partitionBy(category, "_first", label).orderBy(short, hash_key(seed, F.col(item)), item))
     rows = rows.withColumn("_turn", F.when(F.col("_first"), 0).otherwise(turn)).filter(F.col("_turn") <= n)
-    place = F.row_number().over(Window.partitionBy(category).orderBy("_turn", F.coalesce("_size", F.lit(0)), label, item))
+    place = F.row_number().over(Window.partitionBy(category).orderBy("_turn", F.coalesce("_asked", F.lit(0)), F.coalesce("_size", F.lit(0)), label, item))
     picked = rows.withColumn("_place", place).filter(F.col("_place") <= n)
-    at = F.row_number().over(Window.partitionBy(category).orderBy(F.when(F.col("_first"), 0).otherwise(1), item)) - 1
+    at = F.row_number().over(Window.partitionBy(category).orderBy(F.coalesce("_asked", F.lit(1 << 30)), item)) - 1
     page = F.concat(F.lit("confusion_"), F.col(category), F.lit("_p"), (F.floor(at / per_page) + 1).cast("string"), F.lit(".png"))
-    return picked.withColumn("contact_sheet_file", page).withColumn("contact_sheet_cell", (at % per_page + 1).cast("int")).drop("_first", "_size", "_turn", "_place")
+    return picked.withColumn("contact_sheet_file", page).withColumn("contact_sheet_cell", (at % per_page + 1).cast("int")).drop("_first", "_size", "_turn", "_place", "_asked")
 
 
 def spot_check(classified: DataFrame, item: str, n: int, seed) -> DataFrame:
@@ -217,9 +220,9 @@ def decode_guard(texts: DataFrame, status: Column, corrupt: tuple[str, ...] = ("
     return out.filter(ok)
 
 
-def feasibility(run: DataFrame, correct: str, minority: int = 30, least: float = 0.05) -> DataFrame:
-    """Whether a run misgrades enough to go on, and how many items it takes for that many misgrades."""
-    out = run.agg(F.count("*").alias("n"), F.count_if(~F.col(correct)).alias("n_misgraded")).withColumn("misgrade_rate", ratio(F.col("n_misgraded"), F.col("n")))
+def feasibility(run: DataFrame, correct: str, by: list[str] = [], minority: int = 30, least: float = 0.05) -> DataFrame:  # noqa: B006
+    """Per group whether a run misgrades enough to go on, and how many items it takes for that many misgrades."""
+    out = run.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(~F.col(correct)).alias("n_misgraded")).withColumn("misgrade_rate", ratio(F.col("n_misgraded"), F.col("n")))
     ok = F.coalesce(F.col("misgrade_rate") >= least, F.lit(False))
     return out.withColumns({"gate": F.when(ok, "feasible").otherwise("gated"), "projected_items": F.when(ok, F.floor(F.lit(float(minority)) / F.col("misgrade_rate")))})
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.stats import dbl, hash_key, ratio, wilson
-from ..operators import audit, profile, ranking, runs, sampling, semantic
+from ..operators import audit, cases, profile, ranking, runs, sampling, semantic
 from ..sources.tables import event_run, event_votes, labelled, table
 from .registry import query
 from .sql import EV, LB, auroc, hash_key as sql_key
@@ -52,6 +52,13 @@ def _(s, d):
     return sampling.sample(sampling.pooled(parts, "study_level"), 50, 42, "k").select("k", "study_level", "v")
 
 
+@query("pooled_continuation", f"with p as (select 'c' || c_custkey k, c_acctbal v, 'customer' study_level from customer union all select 's' || s_suppkey, s_acctbal, 'supplier' from supplier) select k, study_level, v from p order by {sql_key('42', 'k')}, k limit 40 offset 50", "v")
+def _(s, d):
+    """What follows pooled_union_sample in the same order: no row is in both."""
+    parts = {"customer": table(s, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("k"), F.col("c_acctbal").alias("v")), "supplier": table(s, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))}
+    return sampling.sample(sampling.pooled(parts, "study_level"), 40, 42, "k", skip=50).select("k", "study_level", "v")
+
+
 @query(
     "sample_vs_corpus",
     f"""with {LB}, b as (select lb.*, text from lb join documents d on d.doc_id = item_id), s as (select * from b order by {sql_key('42', 'item_id')}, item_id limit 60), f as (select 'n' field, (select count(*) from b)::double corpus, (select count(*) from s)::double sample
@@ -267,11 +274,11 @@ def _(s, d):
 
 @query(
     "group_metrics",
-    f"""with {LB}, p as (select lang, correct v1, not toxic v2, h entropy, fails = 1 parse_failed, case item_id % 4 when 0 then 'extraction_issue' when 1 then 'true_correct' end human_label, case item_id % 4 when 1 then 'correct' when 2 then 'wrong' end human_truth from lb), a as ({auroc('p', 'entropy', 'v1', 'lang')})
-select lang as "group", count(*) n, avg(v1::int) v1_accuracy, avg(v2::int) v2_accuracy, avg(entropy) mean_entropy, median(entropy) median_entropy, avg(parse_failed::int) parse_failure_rate, count(human_label) n_human_labelled, (count(*) filter (human_label = 'extraction_issue')) / nullif(count(human_label), 0)::double extraction_issue_rate, count(human_truth) n_human_determinate,
+    f"""with {LB}, p as (select lang, correct v1, not toxic v2, h entropy, fails = 1 parse_failed, h >= 1.6 max_entropy, n_chars % 40 truth_span_len, case item_id % 4 when 0 then 'extraction_issue' when 1 then 'true_correct' end human_label, case item_id % 4 when 1 then 'correct' when 2 then 'wrong' end human_truth from lb), a as ({auroc('p', 'entropy', 'v1', 'lang')})
+select lang as "group", count(*) n, avg(v1::int) v1_accuracy, avg(v2::int) v2_accuracy, avg(entropy) mean_entropy, median(entropy) median_entropy, avg(parse_failed::int) parse_failure_rate, avg(max_entropy::int) max_entropy_rate, median(truth_span_len)::double median_truth_span_len, count(human_label) n_human_labelled, (count(*) filter (human_label = 'extraction_issue')) / nullif(count(human_label), 0)::double extraction_issue_rate, count(human_truth) n_human_determinate,
  count(*) filter (human_truth = 'wrong' and v1) false_pass_v1, count(*) filter (human_truth = 'wrong' and v2) false_pass_v2, count(*) filter (human_truth = 'correct' and not v1) false_fail_v1, count(*) filter (human_truth = 'correct' and not v2) false_fail_v2, count(*) / (select count(*) from p)::double share,
  case when least(count(*) filter (v1), count(*) filter (not v1)) < 30 then 'underpowered_minority_' || least(count(*) filter (v1), count(*) filter (not v1)) else 'measured' end auroc_status, case when least(count(*) filter (v1), count(*) filter (not v1)) >= 30 then any_value(a.auroc) end auroc from p join a using (lang) group by lang""",
-    "v1_accuracy v2_accuracy mean_entropy median_entropy parse_failure_rate extraction_issue_rate share auroc",
+    "v1_accuracy v2_accuracy mean_entropy median_entropy parse_failure_rate max_entropy_rate median_truth_span_len extraction_issue_rate share auroc",
 )
 def _(s, d):
     return profile.group_metrics(_profile(s, d), "lang", "v1")
@@ -280,13 +287,12 @@ def _(s, d):
 @query("group_metrics_interval")
 def _(s, d):
     """With each group's interval of 10,000 draws."""
-    p = _profile(s, d).withColumnRenamed("lang", "group")
-    return ranking.with_interval(profile.group_metrics(p, "group", "v1"), ranking.bootstrap_cells(p, "entropy", "v1", 10_000, ["group"]), ["group"])
+    return profile.group_metrics_interval(_profile(s, d), "lang", "v1", 10_000)
 
 
 def _profile(s, d):
     m = F.col("item_id") % 4
-    return labelled(s, d).select("lang", F.col("correct").alias("v1"), (~F.col("toxic")).alias("v2"), F.col("h").alias("entropy"), (F.col("fails") == 1).alias("parse_failed"), F.when(m == 0, "extraction_issue").when(m == 1, "true_correct").alias("human_label"), F.when(m == 1, "correct").when(m == 2, "wrong").alias("human_truth"))
+    return labelled(s, d).select("lang", F.col("correct").alias("v1"), (~F.col("toxic")).alias("v2"), F.col("h").alias("entropy"), (F.col("fails") == 1).alias("parse_failed"), (F.col("h") >= 1.6).alias("max_entropy"), (F.col("n_chars") % 40).alias("truth_span_len"), F.when(m == 0, "extraction_issue").when(m == 1, "true_correct").alias("human_label"), F.when(m == 1, "correct").when(m == 2, "wrong").alias("human_truth"))
 
 
 @query("membership_sensitivity", f"with {LB}, f as (select correct, item_id % 3 = 0 fl, item_id % 6 = 0 wk, item_id % 7 = 1 and item_id % 3 <> 0 ms from lb), x as (select count(*) filter (fl) n_flagged, count(*) filter (fl and wk) n_weak, count(*) filter (ms) n_missed, avg(correct::int) filter (fl) as_reported, avg(correct::int) filter (fl and not wk) drop_weak, avg(correct::int) filter ((fl and not wk) or ms) drop_weak_add_missed from f) select *, least(as_reported, drop_weak, drop_weak_add_missed) range_low, greatest(as_reported, drop_weak, drop_weak_add_missed) range_high from x", "as_reported drop_weak drop_weak_add_missed range_low range_high")
@@ -390,6 +396,36 @@ def _(s, d):
     return runs.vocabulary_problems(twice, "id", table(s, d, "customer").select(c.alias("id")), {"confidence": ["high", "medium", "low"]})
 
 
+@query(
+    "sheet_report",
+    "with r as (select case when c_custkey % 400 = 9 then c_custkey + 100000 else c_custkey end id, case when c_custkey % 50 = 3 then 'unsure' when c_custkey % 2 = 0 then ' high ' else '' end confidence from customer), t as (select * from r union all select * from r where id % 300 = 4), g as (select id, count(*) n from t group by 1) "
+    "select (select count(*) from t) n_rows, (select count(*) from t where trim(confidence) <> '') n_answered, (select count(*) from g where n > 1) n_duplicate_ids, (select count(*) from g where id not in (select c_custkey from customer)) n_unknown_ids, (select count(*) from t where confidence = 'unsure') n_bad_confidence, false ok",
+)
+def _(s, d):
+    c = F.col("c_custkey")
+    rows = table(s, d, "customer").select(F.when(c % 400 == 9, c + 100000).otherwise(c).alias("id"), F.when(c % 50 == 3, "unsure").when(c % 2 == 0, " high ").otherwise("").alias("confidence"))
+    return runs.sheet_report(rows.unionByName(rows.filter(F.col("id") % 300 == 4)), "id", table(s, d, "customer").select(c.alias("id")), {"confidence": ["high", "medium", "low"]}, "confidence")
+
+
+_RANKED = "select '{c}' category, item_id, h from (select item_id, h from lb where {w} order by h {o}, item_id limit 6)"
+
+
+@query(
+    "case_selection",
+    f"with {LB} " + " union all ".join(_RANKED.format(c=c, w=w, o=o) for c, w, o in (("low_entropy_correct", "correct", "asc"), ("high_entropy_wrong", "not correct", "desc"), ("high_entropy_correct", "correct", "desc"), ("low_entropy_wrong", "not correct", "asc"), ("confidently_wrong_grading", "not correct", "asc")))
+    + " union all select 'max_entropy_degenerate', item_id, h from (select * from lb where h > 1.6 and not correct order by item_id limit 6) union all select 'non_engagement_says_error', item_id, h from (select * from lb where fails = 1 order by item_id limit 6)",
+    "h",
+)
+def _(s, d):
+    """Six cases of every category, the text-defined one by a predicate."""
+    from functools import reduce
+
+    x = labelled(s, d).withColumn("h", F.when(F.col("h") > 1.6, F.log(F.lit(5.0))).otherwise(F.col("h")))
+    picked = [cases.select(x, c, "h", "correct", "item_id", 6).withColumn("category", F.lit(c)) for c in (*cases.SELECTED, "max_entropy_degenerate")]
+    picked.append(cases.select(x, "non_engagement_says_error", "h", "correct", "item_id", 6, predicate=F.col("fails") == 1).withColumn("category", F.lit("non_engagement_says_error")))
+    return reduce(lambda a, b: a.unionByName(b), picked).select("category", "item_id", F.round("h", 6).alias("h"))
+
+
 # ---- semantic clusters ----
 
 _CH = "ch as (select vec_id // 5 item_id, vec_id % 5 pos, embedding e, label from embeddings)"
@@ -439,10 +475,9 @@ def _(s, d):
     return counts.join(F.broadcast(counts.agg(F.sum("n").alias("all")))).select("event_type", "n", ratio(F.col("n"), F.col("all")).alias("share"))
 
 
-@query("keep_first", "select text, min(doc_id) doc_id from documents group by 1")
+@query("keep_first", "select doc_id, text, lang, source, n_chars from (select *, row_number() over (partition by text, lang order by doc_id) n from documents) where n = 1")
 def _(s, d):
-    docs = table(s, d, "documents").select("text", "doc_id")
-    return docs.groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    return runs.keep_first(table(s, d, "documents"), ["text", "lang"], "doc_id")
 
 
 @query("duplicate_keys", "select l_orderkey, l_linenumber, count(*) n from lineitem group by all having count(*) > 1")

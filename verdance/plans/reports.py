@@ -129,17 +129,17 @@ _CELL = "case final_label when 'true_correct' then case when correct then 'TP' e
 
 @query(
     "confusion_examples",
-    f"with {_AU}, ce as (select au.item, {_CELL} cell, final_label, repeat('x', (au.item % 6)::int) sp, au.item in (15, 30) fst from au join ru on ru.item = au.item where audit_set = 'census'), sz as (select cell, final_label, count(*) z from ce where not fst group by all), "
-    f"t as (select *, case when fst then 0 else row_number() over (partition by cell, fst, final_label order by cell = 'TP' and len(sp) < 4, {sql_key('7', 'item')}, item) end tn from ce left join sz using (cell, final_label)), "
-    "p as (select *, row_number() over (partition by cell order by tn, coalesce(z, 0), final_label, item) pl from t where tn <= 6), q as (select *, row_number() over (partition by cell order by case when fst then 0 else 1 end, item) - 1 n from p where pl <= 6) "
-    "select item, cell, 'confusion_' || cell || '_p' || (n // 4 + 1) || '.png' contact_sheet_file, (n % 4 + 1)::int contact_sheet_cell from q",
+    f"with {_AU}, ce as (select au.item, {_CELL} cell, final_label, repeat('x', (au.item % 6)::int) sp, list_position(case {_CELL} when 'TP' then [30, 15] when 'FP' then [12] else []::int[] end, au.item) ask from au join ru on ru.item = au.item where audit_set = 'census' and au.item not in (7, 9)), cf as (select *, ask is not null and ask > 0 fst from ce), sz as (select cell, final_label, count(*) z from cf where not fst group by all), "
+    f"t as (select *, case when fst then 0 else row_number() over (partition by cell, fst, final_label order by cell = 'TP' and len(sp) < 4, {sql_key('7', 'item')}, item) end tn from cf left join sz using (cell, final_label)), "
+    "p as (select *, row_number() over (partition by cell order by tn, case when fst then ask else 0 end, coalesce(z, 0), final_label, item) pl from t where tn <= 6), q as (select *, row_number() over (partition by cell order by case when fst then ask else 1000 end, item) - 1 n from p where pl <= 6) "
+    "select item, cell, final_label, sp, 'confusion_' || cell || '_p' || (n // 4 + 1) || '.png' contact_sheet_file, (n % 4 + 1)::int contact_sheet_cell from q",
 )
 def _(s, d):
     from ..operators import audit
 
     sets, run = _audits(s, d)
     x = sets.filter("audit_set = 'census'").join(run, "item").withColumn("cell", audit.confusion(F.col("correct"), F.col("final_label"))).withColumn("sp", F.repeat(F.lit("x"), (F.col("item") % 6).cast("int")))
-    return sheets.confusion_examples(x.select("item", "cell", "final_label", "sp"), "item", "cell", "final_label", "sp", 6, 7, [15, 30], 4).select("item", "cell", "contact_sheet_file", "contact_sheet_cell")
+    return sheets.confusion_examples(x.select("item", "cell", "final_label", "sp"), "item", "cell", "final_label", "sp", 6, 7, {"TP": [30, 15], "FP": [12]}, 4, [7, 9])
 
 
 @query(
@@ -252,9 +252,11 @@ def _(s, d):
 # ---- gates ----
 
 
-@query("feasibility", f"with {LB} select lang, count(*) n, count(*) filter (not correct) n_misgraded, avg((not correct)::int) misgrade_rate, case when avg((not correct)::int) >= 0.05 then 'feasible' else 'gated' end gate, case when avg((not correct)::int) >= 0.05 then floor(30 / avg((not correct)::int))::bigint end projected_items from lb where lang = 'en' group by 1", "misgrade_rate")
+@query("feasibility", f"with {LB}, fz as (select lang, correct from lb union all select 'self', item_id % 40 <> 7 from lb) select lang, count(*) n, count(*) filter (not correct) n_misgraded, avg((not correct)::int) misgrade_rate, case when avg((not correct)::int) >= 0.05 then 'feasible' else 'gated' end gate, case when avg((not correct)::int) >= 0.05 then floor(30 / avg((not correct)::int))::bigint end projected_items from fz group by 1", "misgrade_rate")
 def _(s, d):
-    return sheets.feasibility(labelled(s, d).filter("lang = 'en'"), "correct").withColumn("lang", F.lit("en"))
+    """By language, and for one that grades itself: both sides of the gate."""
+    own = labelled(s, d).select(F.explode(F.array(F.struct("lang", "correct"), F.struct(F.lit("self").alias("lang"), (F.col("item_id") % 40 != 7).alias("correct")))).alias("x")).select("x.*")
+    return sheets.feasibility(own, "correct", ["lang"])
 
 
 @query("screen_verdict", f"with {LB}, x as ({auroc('lb', 'h', 'correct', 'lang')}) select lang, case when least(n_error, n_correct) < 30 then 'inconclusive_underpowered' when auroc >= 0.5 and auroc > 0.49 then 'passes_screen' else 'does_not_pass' end verdict from x")

@@ -446,9 +446,9 @@ def _(s, d):
     return table(s, d, "events").select("event_id", text.parse_prefix_verdict(F.when(m == 0, " true, it is").when(m == 1, "False").otherwise(F.col("event_type"))).alias("verdict"))
 
 
-@query("judge_diagnostics", f"with {_JD}, {_PV} select count(*) n, count(*) filter (verdict = 'correct') n_correct, count(*) filter (verdict = 'incorrect') n_incorrect, count(*) filter (verdict = 'unclear') n_unclear, avg((verdict = 'unclear')::int) unclear_rate, count(*) filter (verdict = 'correct') / nullif(count(*) filter (verdict <> 'unclear'), 0)::double accuracy_excluding_unclear, avg((verdict = 'correct')::int) accuracy_unclear_as_wrong, count(*) filter ((verdict = 'correct') <> rule) disagree_rule, count(*) filter (verdict = 'correct' and not rule) judge_yes_rule_no, count(*) filter (verdict <> 'correct' and rule) judge_no_rule_yes, count(human) human_n, count(*) filter (human = 'wrong' and verdict = 'correct') human_false_pass, count(*) filter (human = 'correct' and verdict = 'incorrect') human_false_fail, avg((verdict = 'correct')::int) filter (human = 'correct') agrees_on_correct, avg((verdict = 'incorrect')::int) filter (human = 'wrong') agrees_on_wrong from jv", "unclear_rate accuracy_excluding_unclear accuracy_unclear_as_wrong agrees_on_correct agrees_on_wrong")
+@query("judge_diagnostics", f"with {_JD}, {_PV} select count(*) n, count(*) filter (verdict = 'correct') n_correct, count(*) filter (verdict = 'incorrect') n_incorrect, count(*) filter (verdict = 'unclear') n_unclear, avg((verdict = 'unclear')::int) unclear_rate, count(*) filter (verdict = 'correct') / nullif(count(*) filter (verdict <> 'unclear'), 0)::double accuracy_excluding_unclear, avg((verdict = 'correct')::int) accuracy_unclear_as_wrong, count(*) filter ((verdict = 'correct') <> rule) disagree_rule, count(*) filter (verdict = 'correct' and not rule) judge_yes_rule_no, count(*) filter (verdict <> 'correct' and rule) judge_no_rule_yes, count(human) human_n, count(*) filter (human = 'wrong' and verdict = 'correct') human_false_pass, count(*) filter (human = 'correct' and verdict = 'incorrect') human_false_fail, avg((verdict = 'correct')::int) filter (human = 'correct') agrees_on_correct, avg((verdict = 'incorrect')::int) filter (human = 'wrong') agrees_on_wrong, avg((verdict = case human when 'correct' then 'correct' else 'incorrect' end)::int) filter (human is not null) agrees_overall, count(*) filter (turn % 2 = 0) has_error_n, avg((verdict = 'correct')::int) filter (turn % 2 = 0) has_error_correct_rate, count(*) filter (turn % 2 <> 0) clean_n, avg((verdict = 'correct')::int) filter (turn % 2 <> 0) clean_correct_rate from jv", "agrees_overall has_error_correct_rate clean_correct_rate unclear_rate accuracy_excluding_unclear accuracy_unclear_as_wrong agrees_on_correct agrees_on_wrong")
 def _(s, d):
-    return judging.diagnostics(_judged(s, d), ["rule"], "human")
+    return judging.diagnostics(_judged(s, d).withColumn("flag", F.col("turn") % 2 == 0), ["rule"], "human", "flag")
 
 
 @query("nullable_agreement", f"with {_JD}, {_PV} select conv_id, turn, case when verdict <> 'unclear' then (verdict = 'correct') = rule end agrees from jv")

@@ -22,6 +22,13 @@ def sample(df: DataFrame, n: int, seed, key: str, skip: int = 0) -> DataFrame:
     return df.orderBy(hash_key(seed, F.col(key)), key).offset(skip).limit(n) if skip else df.orderBy(hash_key(seed, F.col(key)), key).limit(n)
 
 
+def extension(pool: DataFrame, existing: DataFrame, key: str, n: int, seed) -> DataFrame:
+    """n more rows of a pool in hash order, none of an existing sheet's; a sheet with items that are not in the pool is an error."""
+    stray = existing.select(key).join(pool.select(key), key, "left_anti").agg(F.count("*").alias("_stray"))
+    sound = F.when(F.col("_stray") == 0, True).otherwise(F.raise_error(F.lit("the existing sheet holds items that are not in the pool")).cast("boolean"))
+    return sample(pool.join(existing.select(key), key, "left_anti"), n, seed, key).join(F.broadcast(stray)).filter(sound).drop("_stray")
+
+
 def quotas(n: int, fraction: float, n_true: Column, n_false: Column) -> tuple[Column, Column]:
     """Rows to take of either kind: where a pool is short both shrink, so that the ratio stays."""
     if not 0 < fraction < 1:

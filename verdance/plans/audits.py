@@ -236,9 +236,9 @@ def _(s, d):
 
 @query("spot_check_extension", f"with {_AU}, p as (select item from ru where correct and item not in (select item from au where audit_set = 'spot')) select item, '' final_label from (select * from p order by {sql_key('20260812', 'item')}, item limit 60)")
 def _(s, d):
-    run = _audits(s, d)[1]
-    pool = run.filter("correct").join(_one(s, d, "spot").select("item"), "item", "left_anti")
-    return sampling.sample(pool, 60, 20260812, "item").select("item", F.lit("").alias("final_label"))
+    right = _audits(s, d)[1].filter("correct")
+    first = _one(s, d, "spot").select("item").join(right.select("item"), "item", "left_semi")
+    return sampling.extension(right, first, "item", 60, 20260812).select("item", F.lit("").alias("final_label"))
 
 
 _CF = "case when final_label = 'true_correct' then case when correct then 'TP' else 'FN' end when final_label in ('notation_misread', 'copied_wrong_line', 'true_wrong', 'hallucination') then case when correct then 'FP' else 'TN' end when final_label = 'extraction_issue' then case when correct then 'FP' else 'INDETERMINATE' end else 'NEEDS_VISUAL' end"
@@ -426,6 +426,20 @@ def _(s, d):
     return reduce(lambda a, b: a.unionByName(b), picked).select("category", "item_id", F.round("h", 6).alias("h"))
 
 
+@query("blank_answers", "select c_custkey item, c_custkey % 6 in (0, 1) blank from customer")
+def _(s, d):
+    c = F.col("c_custkey")
+    rows = table(s, d, "customer").select(c.alias("item"), F.when(c % 2 == 0, " ").when(c % 6 != 1, "x").alias("a"), F.when(c % 3 != 0, F.when(c % 6 != 1, 1)).alias("b"))
+    return rows.select("item", sampling.is_blank(["a", "b"]).alias("blank"))
+
+
+@query("truth_words", "select c_custkey item, c_custkey % 6 in (0, 1, 2) truth from customer")
+def _(s, d):
+    c = F.col("c_custkey")
+    word = F.when(c % 6 == 0, " True ").when(c % 6 == 1, "1").when(c % 6 == 2, "YES").when(c % 6 == 3, "False").when(c % 6 == 4, "")
+    return table(s, d, "customer").select(c.alias("item"), text.as_bool(word).alias("truth"))
+
+
 # ---- semantic clusters ----
 
 _CH = "ch as (select vec_id // 5 item_id, vec_id % 5 pos, embedding e, label from embeddings)"

@@ -11,7 +11,7 @@ from ..functions.stats import ratio
 from ..operators import cases, judging, profile, ranking, votes
 from ..sources.tables import responses, table
 from .registry import query
-from .sql import RS, PR, SC, auroc, canonical, extract_final, normalize, strip, structural, tier
+from .sql import RS, PR, SC, auroc, canonical, extract_final, normal_span, normalize, strip, structural, tier
 
 # ---- parsing ----
 
@@ -355,7 +355,12 @@ def _(s, d):
     return x.withColumns({"shape": profile.shape(F.col("answer_type")), "bucket": profile.length_bucket(F.col("n"))})
 
 
-@query("normalize_span")
+@query("judge_answer_types", f"with {_FLAG_SRC}, {_FLAGS} select item_id, case when mcq_option or tiny_valid_mcq then 'mcq' when derivative_equation then 'derivative' when set_answer then 'set' when system_answer then 'system' when multi_value_answer then 'multi_value' when text_conclusion then 'text_conclusion' else 'numeric_or_algebra' end answer_type from fm")
+def _(s, d):
+    return _flagged(s, d).select("item_id", text.judge_answer_type({f: F.col(f) for f in _FLAG_NAMES}).alias("answer_type"))
+
+
+@query("normalize_span", f"with {RS} select item_id, pos, {normal_span('response')} span from rs")
 def _(s, d):
     return responses(s, d)[0].select("item_id", "pos", scans.normalize_span(F.col("response")).alias("span"))
 

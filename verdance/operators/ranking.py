@@ -378,8 +378,12 @@ def rule_points(df: DataFrame, rule: str, k: int, counts: DataFrame | None = Non
 
 
 def rule_metrics(df: DataFrame, rule: str, k: int, reps: int) -> DataFrame:
-    """`rule_points` with intervals: the run is counted once, and the estimates and the draws both start from the counts."""
-    counts = _rule_counts(df, rule)
+    """`rule_points` with intervals. The run is counted once: the counts (rules times levels of an entropy times two, at most MOST_LEVELS) come to the driver, and estimates and draws both start from there."""
+    found = _rule_counts(df, rule)
+    rows = found.limit(MOST_LEVELS + 1).collect()
+    if len(rows) > MOST_LEVELS:
+        raise ValueError("a score with this many values has no few levels")
+    counts = df.sparkSession.createDataFrame(rows, found.schema)
     return with_interval(rule_points(df, rule, k, counts), bootstrap_cells(counts, "entropy", "correct", reps, [rule], count="n"), [rule])
 
 

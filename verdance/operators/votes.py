@@ -11,13 +11,13 @@ from ..functions import scans, text
 from ..functions.stats import dbl, ratio
 
 
-def votes(samples: DataFrame, keys: list[str], label: str = "label", pos: str = "pos", extra: dict[str, str] = {}) -> DataFrame:  # noqa: B006
+def votes(samples: DataFrame, keys: list[str], label: str = "label", pos: str = "pos", extra: dict[str, str] = {}, count: str | None = None) -> DataFrame:  # noqa: B006
     """Per item: k, n_distinct, entropy (nats, from exact counts), majority (of equals the first met), majority_count, fraction, margin.
 
     Two aggregations on the item's key: labels are counted map-side, and the second shares the first's partitioning
-    where the item is the leading key. Null labels are a cluster of their own. extra: sums of more columns to carry along.
+    where the item is the leading key. Null labels are a cluster of their own. extra: sums of more columns to carry along. count: how many samples a row stands for (else one).
     """
-    counts = samples.groupBy(*keys, label).agg(F.count("*").alias("n"), F.min(pos).alias("first"), *(F.sum(c).alias(n) for n, c in extra.items()))
+    counts = samples.groupBy(*keys, label).agg((F.sum(count) if count else F.count("*")).alias("n"), F.min(pos).alias("first"), *(F.sum(c).alias(n) for n, c in extra.items()))
     best = F.max(F.struct("n", (-F.col("first")).alias("early"), F.col(label).alias("label")))
     sizes = F.sort_array(F.collect_list("n"), asc=False)
     per = counts.groupBy(*keys).agg(
@@ -41,12 +41,24 @@ def score(samples: DataFrame, truths: DataFrame, keys: list[str], rule: str = "s
 
 
 def score_rules(samples: DataFrame, truths: DataFrame, keys: list[str], response: str = "response", truth: str = "truth") -> DataFrame:
-    """`score` under all four rules at once, with rule as a key: responses are parsed and labelled once, votes are counted by (item, rule)."""
-    parsed = scans.with_labels(samples.select(*keys, "pos", text.parse_answer(F.col(response)).alias("_field")), "_field")
-    marked = parsed.withColumn("_failed", F.col("_field").isNull().cast("int")).unpivot([*keys, "pos", "_failed"], list(scans.RULES), "rule", "label")
-    told = scans.with_labels(truths.select(*keys, F.col(truth).alias("_truth")), "_truth").unpivot(keys, list(scans.RULES), "rule", "truth_label")
+    """`score` under all four rules at once, with rule as a key: an item's equal fields are counted together, different fields are labelled once each, votes are counted by (item, rule)."""
+    labels = lambda forms: scans.with_labels(forms, "_field")
+    marked = once(fields(samples, keys, response), "_field", labels).withColumn("_failed", F.when(F.col("_field").isNull(), F.col("_n")).otherwise(0))
+    marked = marked.unpivot([*keys, "pos", "_n", "_failed"], list(scans.RULES), "rule", "label")
+    told = once(truths.select(*keys, F.col(truth).alias("_field")), "_field", labels).unpivot(keys, list(scans.RULES), "rule", "truth_label")
     by = [*keys, "rule"]
-    return votes(marked, by, extra={"n_parse_failures": "_failed"}).join(told, by).withColumn("correct", F.col("majority") == F.col("truth_label"))
+    return votes(marked, by, extra={"n_parse_failures": "_failed"}, count="_n").join(told, by).withColumn("correct", F.col("majority") == F.col("truth_label"))
+
+
+def fields(samples: DataFrame, keys: list[str], response: str = "response") -> DataFrame:
+    """(keys, _field, _n, pos): each different answer field of an item, how often it has it, and where first."""
+    return samples.select(*keys, "pos", text.parse_answer(F.col(response)).alias("_field")).groupBy(*keys, "_field").agg(F.count("*").alias("_n"), F.min("pos").alias("pos"))
+
+
+def once(df: DataFrame, field: str, label) -> DataFrame:
+    """df with what `label` adds to a frame of the field's different values, each of which is worked out once; adaptive execution chooses the join by the size that they turn out to have."""
+    told = label(df.select(field).distinct()).withColumnRenamed(field, "_once")
+    return df.join(told, F.col(field).eqNullSafe(F.col("_once"))).drop("_once")
 
 
 def classified(samples: DataFrame, truths: DataFrame, keys: list[str], k: int, response: str = "response", truth: str = "truth") -> DataFrame:
@@ -65,10 +77,10 @@ def classified(samples: DataFrame, truths: DataFrame, keys: list[str], k: int, r
 def correct_under(samples: DataFrame, truths: DataFrame, keys: list[str], fixes: dict[str, dict], response: str = "response", truth: str = "truth") -> DataFrame:
     """(keys, fix, correct): the verdict with each set of repairs to strict_v1 (arguments of `ablated_label`)."""
     label = lambda df: df.select("*", *(scans.ablated_label(F.col("_field"), **fix).alias(name) for name, fix in fixes.items()))
-    said = label(samples.select(*keys, "pos", text.parse_answer(F.col(response)).alias("_field"))).unpivot([*keys, "pos"], list(fixes), "fix", "label")
-    told = label(truths.select(*keys, F.col(truth).alias("_field"))).unpivot(keys, list(fixes), "fix", "truth_label")
+    said = once(fields(samples, keys, response), "_field", label).unpivot([*keys, "pos", "_n"], list(fixes), "fix", "label")
+    told = once(truths.select(*keys, F.col(truth).alias("_field")), "_field", label).unpivot(keys, list(fixes), "fix", "truth_label")
     by = [*keys, "fix"]
-    return votes(said, by).join(told, by).select(*by, (F.col("majority") == F.col("truth_label")).alias("correct"))
+    return votes(said, by, count="_n").join(told, by).select(*by, (F.col("majority") == F.col("truth_label")).alias("correct"))
 
 
 #: The repairs of fixed_v2 that the text tier has, one at a time.

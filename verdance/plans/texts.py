@@ -211,7 +211,7 @@ cat4 as (select *, case when v1 and v2 and v4 then 'correct_robust' when v1 and
 
 @query("rule_labels", f"with {RS}, {SC}, {RULE_LABELS} select item_id, pos, rule, label from labels4")
 def _(s, d):
-    rows = scans.with_labels(responses(s, d)[0].select("item_id", "pos", text.parse_answer(F.col("response")).alias("field")), "field")
+    rows = votes.once(responses(s, d)[0].select("item_id", "pos", text.parse_answer(F.col("response")).alias("field")), "field", lambda forms: scans.with_labels(forms, "field"))
     return rows.unpivot(["item_id", "pos"], list(scans.RULES), "rule", "label")
 
 

@@ -4,22 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.stats import dbl, kappa, ratio
+from .backends import called
 
 
-def judge(items: DataFrame, backend: Callable[[str], str], prompt: str, key: str) -> DataFrame:
-    """(key, raw_output): a backend called once a row, in batches."""
-
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({key: b[key], "raw_output": [backend(p) for p in b[prompt]]})
-
-    return items.select(key, prompt).mapInPandas(run, f"`{key}` {items.schema[key].dataType.simpleString()}, raw_output string")
+def judge(items: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]], prompt: str, key: str, batch: int = 64, done: DataFrame | None = None) -> DataFrame:
+    """(key, raw_output, error): a judge's model, built once a worker and called with batches of prompts; see `backends.called`."""
+    return called(items, [key], [prompt], make, "raw_output", "string", batch, done)
 
 
 def gate(judged: DataFrame, key: str, probes: list) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import cosine, dbl
+from .backends import called
 
 
 def comparable(samples: DataFrame, text: str = "text") -> DataFrame:
@@ -26,6 +27,27 @@ def edges(samples: DataFrame, keys: list[str], value: str, similar: Callable[[Co
     return a.join(b, keys).filter((F.col("i") < F.col("j")) & similar(F.col("_a"), F.col("_b"))).select(*keys, "i", "j")
 
 
+def model_edges(samples: DataFrame, keys: list[str], value: str, make, entails: int = 1, pos: str = "pos", batch: int = 64) -> DataFrame:
+    """(keys, i, j), i < j, of an item's samples that entail each other by an inference model's scores: both directions of a pair are in one call, equal pairs of texts are asked once."""
+    a = samples.select(*keys, F.col(pos).alias("i"), F.col(value).alias("a"))
+    b = samples.select(*keys, F.col(pos).alias("j"), F.col(value).alias("b"))
+    pairs = a.join(b, keys).filter(F.col("i") < F.col("j")).withColumns({"one": F.least("a", "b"), "two": F.greatest("a", "b")})
+
+    def both():
+        model = make()
+
+        def ask(texts):
+            scores = list(model([p for x, y in texts for p in ((x, y), (y, x))]))
+            return [[list(map(float, scores[2 * n])), list(map(float, scores[2 * n + 1]))] for n in range(len(texts))]
+
+        return ask
+
+    told = called(pairs.select("one", "two").distinct(), ["one", "two"], ["one", "two"], both, "scores", "array<array<double>>", batch)
+    sound = F.when(F.col("error").isNull(), F.col("scores")).otherwise(F.raise_error(F.col("error")).cast("array<array<double>>"))
+    told = told.select("one", "two", sound.alias("scores"))
+    return pairs.join(told, ["one", "two"]).filter(agreed(F.get("scores", F.lit(0)), F.get("scores", F.lit(1)), entails)).select(*keys, "i", "j")
+
+
 def components(samples: DataFrame, linked: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
     """(keys, pos, cluster): the smallest position that a sample reaches."""
     nodes = samples.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(pos).cast("int"))).alias("nodes"))

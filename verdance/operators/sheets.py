@@ -260,7 +260,11 @@ def grading_samples(raw: Column, arm: str) -> Column:
 
 
 def case_index(bundles: DataFrame, item: str, case: str = "case") -> DataFrame:
-    """What a reader needs to find a bundle: run, category, entropy, verdict, and the note's beginning."""
-    doc = F.from_json(case, "run_label string, category string, note string, derived struct<entropy: double, correct: boolean>")
-    return bundles.select(F.col(item).cast("string").alias("case_id"), doc.alias("d")).select("case_id", "d.run_label", "d.category", F.col("d.derived.entropy").alias("entropy"), F.col("d.derived.correct").alias("correct"), F.substring("d.note", 1, 200).alias("note")).orderBy("case_id")
-
+    """What a reader needs to find a bundle: run, category, arm, model, entropy, verdict, whether there is an image, the note's beginning; of a damaged document its text instead."""
+    kind = "run_label string, category string, arm string, model_id string, image string, note string, derived struct<entropy: double, correct: boolean>, _damaged string"
+    doc = F.from_json(case, kind, {"columnNameOfCorruptRecord": "_damaged"})
+    rows = bundles.select(F.col(item).cast("string").alias("case_id"), doc.alias("d"))
+    return rows.select(
+        "case_id", "d.run_label", "d.category", "d.arm", "d.model_id", F.col("d.derived.entropy").alias("entropy"), F.col("d.derived.correct").alias("correct"), F.col("d.image").isNotNull().alias("has_image"),
+        F.substring(F.coalesce("d.note", F.lit("")), 1, 200).alias("note"), F.col("d._damaged").alias("damaged"),
+    ).orderBy("case_id")

@@ -201,8 +201,7 @@ def _(s, d):
 def _entailed(s, d):
     """Samples clustered by a stub of an inference model: two entail each other if they have one label."""
     samples = event_votes(s, d)[0]
-    scores = lambda hit: F.when(hit, F.array(F.lit(0.1), F.lit(0.8), F.lit(0.1))).otherwise(F.array(F.lit(0.8), F.lit(0.1), F.lit(0.1)))
-    linked = semantic.edges(samples, KEYS, "label", lambda a, b: semantic.agreed(scores(a == b), scores(b == a)))
+    linked = semantic.model_edges(samples, KEYS, "label", lambda: lambda pairs: [[0.1, 0.8, 0.1] if a == b else [0.8, 0.1, 0.1] for a, b in pairs])
     return samples, semantic.components(samples, linked, KEYS)
 
 

@@ -483,8 +483,8 @@ def _(s, d):
 @query("judge_backend", "select p_partkey, case when p_size > 25 then '\\boxed{yes}' else '\\boxed{no}' end raw_output, case when p_size > 25 then 'correct' else 'incorrect' end verdict from part")
 def _(s, d):
     prompts = table(s, d, "part").select("p_partkey", text.build_prompt("Is {size} over 25?", size=F.col("p_size").cast("string")).alias("prompt"))
-    out = judging.judge(prompts, lambda p: "\\boxed{yes}" if int(p.split()[1]) > 25 else "\\boxed{no}", "prompt", "p_partkey")
-    return out.withColumn("verdict", text.parse_verdict(F.col("raw_output")))
+    out = judging.judge(prompts, lambda: lambda asked: ["\\boxed{yes}" if int(p.split()[1]) > 25 else "\\boxed{no}" for p in asked], "prompt", "p_partkey")
+    return out.drop("error").withColumn("verdict", text.parse_verdict(F.col("raw_output")))
 
 
 _HT = "ht as (select event_id, case event_id % 7 when 0 then ' ' when 1 then 'aĠb' when 2 then repeat('#a', 30) when 3 then 'Equivalence Judgement: no' when 4 then 'all true' when 5 then 'short' else repeat('long ', 40) end t from events)"

@@ -32,6 +32,18 @@ def read_log(spark: SparkSession, path: str, schema: str = RAW_LOG) -> DataFrame
     return spark.read.option("columnNameOfCorruptRecord", "_corrupt").schema(f"{schema}, _corrupt STRING").json(path)
 
 
+def read_tree(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """case_id (the folder's name, without what a partitioned write puts before it) and case (the whole file) of every file in a tree of folders."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
+    folder = F.url_decode(F.regexp_replace(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1), r"\+", "%2B"))
+    return files.select(F.regexp_replace(folder, "^case_id=", "").alias("case_id"), F.col("value").alias("case"))
+
+
+def write_tree(bundles: DataFrame, item: str, path: str, case: str = "case") -> None:
+    """One folder and file a bundle."""
+    bundles.select(F.col(item).cast("string").alias("case_id"), F.col(case)).write.partitionBy("case_id").text(path)
+
+
 def numbered(df: DataFrame, by: str, order: list[Column], name: str = "pos") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1)
 

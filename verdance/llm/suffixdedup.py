@@ -457,12 +457,40 @@ def _portions(held: _Held) -> list[np.ndarray]:
     return [order[i:j] for _, i, j in slices(mine[order])]
 
 
+def _alone(strings: list[bytes]) -> np.ndarray:
+    """Which strings have no window that comes twice, by hashes of whole windows: equal windows have one hash, so none with a partner is alone."""
+    n = np.array([len(x) for x in strings], np.int64)
+    h1 = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint64) + np.uint64(1)
+    h2 = _step(h1[:-1], h1[1:], 1)
+    h4 = _step(h2[:-2], h2[2:], 2)
+    h8 = _step(h4[:-4], h4[4:], 4)
+    h16 = _step(h8[:-8], h8[8:], 8)
+    h = _step(_step(h16[:-16], h16[16:], 16)[:-18], _step(h16[32:-2], h2[48:], 2), 18)  # 32 + 16 + 2 bytes
+    start = np.cumsum(n) - n
+    windows = n - LENGTH + 1
+    of = np.repeat(np.arange(len(n)), windows)
+    at = start[of] + np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+    value = h[at]
+    order = np.argsort(value)
+    same = value[order[1:]] == value[order[:-1]]
+    alone = np.ones(len(n), bool)
+    alone[of[order[1:][same]]] = alone[of[order[:-1][same]]] = False
+    return alone
+
+
 def _resolve(rows: list[dict], buckets: int) -> list[tuple]:
-    """Flags of all windows that a smaller document has, from the suffix arrays of the bucket's different segments."""
+    """Flags of all windows that a smaller document has, from the suffix arrays of the bucket's different segments. Segments that came once and have no window with a partner have nothing to be decided, and are left out."""
     held, out = _Held(rows), []
     for at in _portions(held):
         number: dict[bytes, int] = {}
         which = np.array([number.setdefault(x, len(number)) for x in held.strings(at)])
+        idle = _alone(list(number)) & (np.bincount(which, minlength=len(number)) == 1)
+        if idle.any():
+            stays = ~idle[which]
+            at, place = at[stays], np.cumsum(~idle) - 1
+            which, number = place[which[stays]], {x: None for x, i in zip(number, idle.tolist(), strict=True) if not i}
+            if not len(at):
+                continue
         least = np.full(len(number), np.iinfo(np.int64).max)
         np.minimum.at(least, which, held.ids[at])
         table, lens = smallest_owners(list(number), least)

@@ -135,13 +135,39 @@ def membership_sensitivity(profile: DataFrame, verdict: str, flagged: str, weak:
     return out.withColumns({"range_low": F.least("as_reported", "drop_weak", "drop_weak_add_missed"), "range_high": F.greatest("as_reported", "drop_weak", "drop_weak_add_missed")})
 
 
+# What the notes on tiles and on confusion cells say.
+NOTES = {
+    "prose": "prose conclusion; strict matching cannot score a sentence",
+    "tiny_truth": "tiny truth span; a coincidental match or miss is cheap here",
+    "all_differ": "all five samples differ; entropy at its ceiling",
+    "failed": "at least one sample failed to parse",
+    "rules_differ": "the two rules disagree on this item",
+    "both_right": "scored correct by both rules",
+    "wrong": "scored wrong; span and label shown for comparison",
+    "fp_vacuous": "both labels collapse to one symbol; the match is vacuous",
+    "fp_tiny": "the extractor picked a 1-3 character span; a match is cheap",
+    "fp_other": "scored correct on a span that is not the page's answer",
+    "fn_prose": "model answered in prose, truth collapsed to a bare symbol, so the two never compare",
+    "fn_colour": "the truth span still carries LaTeX colour markup the model had no way to reproduce",
+    "fn_stop": "spans differ only by trailing punctuation",
+    "fn_spacing": "spans differ only by LaTeX spacing",
+    "fn_other": "the page's answer is right; the label comparison is what failed",
+    "tn_misread": "genuine misread of the handwriting",
+    "tn_line": "copied a different line of the page",
+    "tn_wrong": "model answer is wrong on the page's own terms",
+    "tn_other": "human confirms the model was wrong",
+    "indeterminate": "verdict unearned; what the model actually answered is unknown",
+    "tp": "human confirms the model was correct",
+}
+
+
 def tile_note(model_label: Column, truth_label: Column, truth_span: Column, answer_type: Column, v1: Column, v2: Column, at_max: Column, failed: Column) -> Column:
     vacuous = (model_label == truth_label) & (F.length(payload(model_label)) <= 2) & (F.length(truth_span) > 20)
     return (
         F.when(vacuous, F.concat(F.lit("both labels collapsed to `"), model_label, F.lit("` from a long span; the match is vacuous")))
-        .when((answer_type == "text_conclusion") & ~v1, "prose conclusion; strict matching cannot score a sentence").when((F.length(truth_span) <= 3) & ~v1, "tiny truth span; a coincidental match or miss is cheap here")
-        .when(at_max, "all five samples differ; entropy at its ceiling").when(failed, "at least one sample failed to parse").when(v1 != v2, "the two rules disagree on this item")
-        .when(v1, "scored correct by both rules").otherwise("scored wrong; span and label shown for comparison")
+        .when((answer_type == "text_conclusion") & ~v1, NOTES["prose"]).when((F.length(truth_span) <= 3) & ~v1, NOTES["tiny_truth"])
+        .when(at_max, NOTES["all_differ"]).when(failed, NOTES["failed"]).when(v1 != v2, NOTES["rules_differ"])
+        .when(v1, NOTES["both_right"]).otherwise(NOTES["wrong"])
     )
 
 
@@ -151,14 +177,14 @@ def confusion_note(category: Column, human: Column, model_label: Column, truth_l
     bare = lambda c: F.regexp_replace(c, r"[.,;]+$", "")
     packed = lambda c: F.replace(F.replace(c, F.lit("\\,"), F.lit("")), F.lit(" "), F.lit(""))
     fp = (
-        F.when((model_label == truth_label) & (F.length(payload(model_label)) <= 2), "both labels collapse to one symbol; the match is vacuous")
-        .when(F.length(text.strip(F.coalesce(model_span, F.lit("")))) <= 3, "the extractor picked a 1-3 character span; a match is cheap").otherwise("scored correct on a span that is not the page's answer")
+        F.when((model_label == truth_label) & (F.length(payload(model_label)) <= 2), NOTES["fp_vacuous"])
+        .when(F.length(text.strip(F.coalesce(model_span, F.lit("")))) <= 3, NOTES["fp_tiny"]).otherwise(NOTES["fp_other"])
     )
     fn = (
-        F.when(model_label.startswith("text:") & truth_label.startswith("sympy:"), "model answered in prose, truth collapsed to a bare symbol, so the two never compare")
-        .when(F.contains(st, F.lit("\\textcolor")), "the truth span still carries LaTeX colour markup the model had no way to reproduce").when((bare(sm) == bare(st)) & (sm != st), "spans differ only by trailing punctuation")
-        .when(packed(sm) == packed(st), "spans differ only by LaTeX spacing").otherwise("the page's answer is right; the label comparison is what failed")
+        F.when(model_label.startswith("text:") & truth_label.startswith("sympy:"), NOTES["fn_prose"])
+        .when(F.contains(st, F.lit("\\textcolor")), NOTES["fn_colour"]).when((bare(sm) == bare(st)) & (sm != st), NOTES["fn_stop"])
+        .when(packed(sm) == packed(st), NOTES["fn_spacing"]).otherwise(NOTES["fn_other"])
     )
-    tn = F.when(human == "notation_misread", "genuine misread of the handwriting").when(human == "copied_wrong_line", "copied a different line of the page").when(human == "true_wrong", "model answer is wrong on the page's own terms").otherwise("human confirms the model was wrong")
+    tn = F.when(human == "notation_misread", NOTES["tn_misread"]).when(human == "copied_wrong_line", NOTES["tn_line"]).when(human == "true_wrong", NOTES["tn_wrong"]).otherwise(NOTES["tn_other"])
     unread = F.concat(F.lit("scorer "), F.when(v1, "passed").otherwise("failed"), F.lit(" it, but the coder could not read the page: correctness is unknown either way"))
-    return F.when(category == "FP", fp).when(category == "FN", fn).when(category == "TN", tn).when(category == "INDETERMINATE", "verdict unearned; what the model actually answered is unknown").when(category == "NEEDS_VISUAL", unread).otherwise("human confirms the model was correct")
+    return F.when(category == "FP", fp).when(category == "FN", fn).when(category == "TN", tn).when(category == "INDETERMINATE", NOTES["indeterminate"]).when(category == "NEEDS_VISUAL", unread).otherwise(NOTES["tp"])

@@ -81,3 +81,8 @@ def test_gates_and_strata(spark):
     assert (d["has_error_n"], d["has_error_correct_rate"], d["clean_n"], d["clean_correct_rate"]) == (2, 0.5, 2, 0.5) and abs(d["agrees_overall"] - 2 / 3) < 1e-12
     with pytest.raises(Exception, match="corrupt judge outputs"):
         sheets.decode_guard(spark.createDataFrame([("aĠb",), ("Equivalence Judgement: TRUE",)], "t string"), text.output_health(F.col("t"))).collect()
+
+
+def test_a_damaged_document_has_no_leaves(spark):
+    docs = spark.createDataFrame([('{"a": {"b": 1.5}}',), ("{broken",), (None,), ("[1]",)], "d string")
+    assert [tuple(r) for r in runs.flatten_json(docs, "d").collect()] == [("a.b", 1.5)]

@@ -88,7 +88,10 @@ def long_form(row: DataFrame) -> DataFrame:
 @pandas_udf(ArrayType(StructType([StructField("key", StringType()), StructField("value", DoubleType())])))
 def _leaves(docs: pd.Series) -> pd.Series:
     def numbers(doc) -> list[tuple[str, float]]:
-        out, open_ = [], [("", json.loads(doc) if doc else None)]
+        try:
+            out, open_ = [], [("", json.loads(doc) if doc else None)]
+        except ValueError:  # a damaged document has no leaves
+            return []
         while open_:
             at, x = open_.pop()
             if isinstance(x, dict):

@@ -138,6 +138,32 @@ def public_view(run: DataFrame, keep: list[str], hashed: dict[str, Column], sour
     return out.select(*keep, *(c.alias(n) for n, c in hashed.items()), F.col("audit_sources").isNotNull().alias("in_audit_union"), F.coalesce("audit_sources", F.lit("")).alias("audit_sources"))
 
 
+def manifests(run: DataFrame, item: str, keep: list[str], hashed: dict[str, Column], private: list[str], sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The public view of a run, which holds hashes of its texts and no text, and the private one, which holds the texts; both have the item."""
+    both = set(private) & {*keep, *hashed}
+    if both:
+        raise ValueError(f"private columns in the public view: {sorted(both)}")
+    return public_view(run, list(dict.fromkeys([item, *keep])), hashed, sources, item), run.select(item, *private)
+
+
+def manifests_agree(public: DataFrame, private: DataFrame, item: str, hashed: dict[str, Column]) -> DataFrame:
+    """n_public, n_private, n_agree, verified: items of both views whose texts give the published hashes. hashed: each hash from the private columns."""
+    told = public.select(F.col(item).alias("_i"), F.struct(*hashed).alias("_told"))
+    have = private.select(F.col(item).alias("_j"), F.struct(*(c.alias(n) for n, c in hashed.items())).alias("_have"))
+    both = told.join(have, F.col("_i") == F.col("_j"), "full_outer")
+    agree = F.coalesce(F.col("_told") == F.col("_have"), F.lit(False))
+    return both.agg(F.count("_i").alias("n_public"), F.count("_j").alias("n_private"), F.count_if(agree).alias("n_agree"), F.coalesce(F.every(agree), F.lit(False)).alias("verified"))
+
+
+def source_alignment(run: DataFrame, source: DataFrame, index: str, parts: list[str]) -> DataFrame:
+    """alignment_status, n_aligned, n_expected: rows of a run whose parts are those of the source's row at their index. VERIFIED only if all are, and there are some."""
+    said = run.select(F.col(index).alias("_i"), text.content_hash(*(F.col(p) for p in parts)).alias("_said"))
+    there = source.select(F.col(index).alias("_j"), text.content_hash(*(F.col(p) for p in parts)).alias("_there"))
+    ok = F.count_if(F.col("_said") == F.col("_there"))
+    out = said.join(there, F.col("_i") == F.col("_j"), "left").agg(ok.alias("n_aligned"), F.count("*").alias("n_expected"))
+    return out.select(F.when((F.col("n_aligned") == F.col("n_expected")) & (F.col("n_expected") > 0), "VERIFIED").otherwise("FAILED").alias("alignment_status"), "n_aligned", "n_expected")
+
+
 def leaks(public: DataFrame, patterns: list[str], allowed: list[str]) -> DataFrame:
     """pattern, n_rows: rows in which a text column contains it. Columns outside the allow-list are an error."""
     extra = [c for c in public.columns if c not in allowed]
@@ -160,6 +186,22 @@ def valid_prefix(log: DataFrame, line: str, ok: Column, stream: str | None = Non
     return joined.filter(F.col("_bad").isNull() | (F.col(line) < F.col("_bad"))).drop("_bad")
 
 
+def log_damage(entries: DataFrame, checks: dict[str, Column], log: str = "log") -> DataFrame:
+    """log, n_entries, n_kept, line, damage of every log: where its first entry lies that fails a check, and the first check that it fails (both null for a sound log).
+
+    entries: log, line and entry as places.read_lines gives them; a check that is null fails. One aggregation.
+    """
+    failed = F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()))
+    found = entries.withColumn("_failed", failed).groupBy(log).agg(F.count("*").alias("n_entries"), F.min(F.when(F.col("_failed").isNotNull(), F.struct("entry", "line", F.col("_failed").alias("damage")))).alias("_b"))
+    return found.select(log, "n_entries", F.coalesce("_b.entry", "n_entries").alias("n_kept"), "_b.line", "_b.damage")
+
+
+def log_prefix(entries: DataFrame, checks: dict[str, Column], log: str = "log") -> DataFrame:
+    """The entries before each log's first that fails a check: what a resumed run goes on from."""
+    kept = log_damage(entries, checks, log).select(F.col(log).alias("_log"), F.col("n_kept").alias("_kept"))
+    return entries.join(kept, F.col(log) == F.col("_log")).filter(F.col("entry") < F.col("_kept")).drop("_log", "_kept")
+
+
 def aligned(got: DataFrame, expected: DataFrame, pos: str, parts: list[str]) -> DataFrame:
     """Whether two ordered frames hold the same rows: n_aligned, n_expected, n_got, verified. Rows are compared by content hash."""
     a = got.select(pos, text.content_hash(*(F.col(p) for p in parts)).alias("_a"))

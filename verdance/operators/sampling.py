@@ -39,10 +39,13 @@ def quotas(n: int, fraction: float, n_true: Column, n_false: Column) -> tuple[Co
     return F.floor(want_true * scale), F.floor(want_false * scale)
 
 
-def balanced(df: DataFrame, flag: str, n: int, seed, key: str, fraction: float = 0.5) -> DataFrame:
-    """Two-stratum quota sample, with review_order: its place in a second shuffle of the sample."""
+def balanced(df: DataFrame, flag: str, n: int, seed, key: str, fraction: float = 0.5, whole: bool = False) -> DataFrame:
+    """Two-stratum quota sample, with review_order: its place in a second shuffle of the sample. whole: a pool too short for n rows is an error."""
     counts = df.agg(F.count_if(F.col(flag)).alias("_t"), F.count_if(~F.col(flag)).alias("_f"))
     take_true, take_false = quotas(n, fraction, F.col("_t"), F.col("_f"))
+    if whole:
+        short = F.raise_error(F.format_string(f"the source can't supply n={n} at fraction={fraction}: it would give %d", (take_true + take_false).cast("long")))
+        counts = counts.filter(F.when(take_true + take_false == n, True).otherwise(short.cast("boolean")))
     pools = [df.filter(F.col(flag) == f).orderBy(hash_key(seed, F.col(key)), key).limit(n).withColumn("_rn", F.row_number().over(Window.orderBy(hash_key(seed, F.col(key)), key))) for f in (True, False)]
     chosen = pools[0].unionByName(pools[1]).join(F.broadcast(counts)).filter(F.col("_rn") <= F.when(F.col(flag), take_true).otherwise(take_false)).drop("_rn", "_t", "_f")
     return chosen.withColumn("review_order", F.row_number().over(Window.orderBy(hash_key(f"{seed}-shuffle", F.col(key)), key)) - 1)  # at most n rows

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.stats import dbl, hash_key, ratio, wilson
 from ..operators import audit, cases, profile, ranking, runs, sampling, semantic
-from ..sources.tables import event_run, event_votes, labelled, table
+from ..sources.places import read_lines, read_rows, write_lines
+from ..sources.scratch import scratch_path
+from ..sources.tables import SAMPLE_LOG, event_run, event_votes, labelled, table
 from .registry import query
 from .sql import EV, LB, auroc, hash_key as sql_key
 
@@ -385,6 +387,81 @@ def _(s, d):
     return runs.valid_prefix(table(s, d, "events"), "event_id", F.col("event_id") % 83 != 5, "user_id").select("user_id", "event_id")
 
 
+# one log an event type, of one JSON entry an event; the damages of an append log at some events, and blank lines after others
+_DAMAGES = [(997, 500, "truncated JSON"), (991, 600, "duplicate or gap"), (983, 700, "different source text"), (977, 400, "samples")]
+_LOGS = """e as (select event_id, event_type log, row_number() over w - 1 entry, coalesce(sum((event_id % 50 = 0)::int) over (w rows between unbounded preceding and 1 preceding), 0) blanks from events window w as (partition by event_type order by event_id)),
+d as (select *, (entry + blanks)::bigint line, case {cases} end damage from e), b as (select log, count(*) n_entries, min(entry) filter (damage is not null) bad, arg_min(line, entry) filter (damage is not null) line, arg_min(damage, entry) filter (damage is not null) damage from d group by log)""".format(
+    cases=" ".join(f"when event_id % {m} = {r} then '{name}'" for m, r, name in _DAMAGES)
+)
+
+
+def _event_logs(s, d):
+    """Entries of the events' logs, read back from files in their physical order, with each entry parsed in e and the hash that it should have."""
+    e = F.col("event_id")
+    hit = lambda i: e % _DAMAGES[i][0] == _DAMAGES[i][1]
+    rows = runs.places(table(s, d, "events").select("event_id", "event_type", "props"), ["event_type"], F.lit(0), "event_id")
+    content = text.content_hash(F.col("props"), e)
+    entry = F.to_json(F.struct((F.col("place") + hit(1).cast("int")).alias("item_id"), e.alias("seed"), F.when(hit(2), "0").otherwise(content).alias("content_sha256"), F.transform(F.sequence(F.lit(1), F.when(hit(3), 3).otherwise(4)), lambda k: k.cast("string")).alias("raw_samples")))
+    line = F.when(hit(0), F.left(entry, F.lit(20))).otherwise(entry)
+    path = scratch_path(s, "event-logs")
+    write_lines(rows.select("event_type", "place", F.when(e % 50 == 0, F.concat(line, F.lit("\n "))).otherwise(line).alias("line")), path, "line", ["place"], "event_type")
+    parsed = read_lines(s, path, folders=True).withColumn("e", F.from_json("value", f"{SAMPLE_LOG}, _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt"}))
+    known = table(s, d, "events").select(e.alias("_seed"), content.alias("_hash"))
+    return parsed.withColumn("log", F.regexp_extract("log", "event_type=([^/]*)$", 1)).join(known, F.col("e.seed") == F.col("_seed"), "left")
+
+
+def _log_checks():
+    return {"truncated JSON": F.col("e._corrupt").isNull(), "duplicate or gap": F.col("e.item_id") == F.col("entry"), "different source text": F.col("e.content_sha256") == F.col("_hash"), "samples": F.size("e.raw_samples") == 4}
+
+
+@query("log_file_repair", f"with {_LOGS} select d.log, d.line, d.entry, d.event_id from d join b using (log) where b.bad is null or d.entry < b.bad")
+def _(s, d):
+    return runs.log_prefix(_event_logs(s, d), _log_checks()).select("log", "line", "entry", F.col("e.seed").alias("event_id"))
+
+
+@query("log_file_damage", f"with {_LOGS} select log, n_entries, coalesce(bad, n_entries) n_kept, line, damage from b")
+def _(s, d):
+    return runs.log_damage(_event_logs(s, d), _log_checks())
+
+
+# labels as the source: its rows are numbered as they lie in their files
+_SOURCE = f"src as (select doc_id, toxic = 1 toxic, quality, row_number() over () - 1 source_row_index from labels), c as (select least(1.0::double, count(*) filter (toxic) / 10.0, count(*) filter (not toxic) / 10.0) sc from src), r as (select *, row_number() over (partition by toxic order by {sql_key('7', 'doc_id')}, doc_id) rn from src), t as (select doc_id, toxic, quality, source_row_index from r, c where rn <= floor(10.0 * sc))"
+
+
+def _source(s, d):
+    return read_rows(s, f"{d}/labels.parquet").withColumn("toxic", F.col("toxic") == 1)
+
+
+@query("balanced_source_rows", f"with {_SOURCE} select doc_id, toxic, source_row_index, (row_number() over (order by {sql_key('7-shuffle', 'doc_id')}, doc_id) - 1)::int review_order from t")
+def _(s, d):
+    return sampling.balanced(_source(s, d), "toxic", 20, 7, "doc_id").select("doc_id", "toxic", "source_row_index", "review_order")
+
+
+@query("source_alignment", f"with {_SOURCE} select case when count(*) filter (doc_id % 3 = 1) = 0 and count(*) > 0 then 'VERIFIED' else 'FAILED' end alignment_status, count(*) filter (doc_id % 3 <> 1) n_aligned, count(*) n_expected from t")
+def _(s, d):
+    """Rows of a sample whose ids don't leave 1 over by 3 are where they say that they are; the others were altered."""
+    run = sampling.balanced(_source(s, d), "toxic", 20, 7, "doc_id").withColumn("quality", F.when(F.col("doc_id") % 3 == 1, F.col("quality") + 1).otherwise(F.col("quality")))
+    return runs.source_alignment(run, _source(s, d), "source_row_index", ["doc_id", "quality"])
+
+
+def _manifests(s, d):
+    hashed = {"name_sha256": F.sha2(F.coalesce("c_name", F.lit("")), 256)}
+    return *runs.manifests(table(s, d, "customer"), "c_custkey", ["c_mktsegment"], hashed, ["c_name", "c_acctbal"], _audits(s, d)[0]), hashed
+
+
+@query("private_manifest", "select c_custkey, c_name, c_acctbal from customer", "c_acctbal")
+def _(s, d):
+    return _manifests(s, d)[1]
+
+
+@query("manifest_agreement", "select count(*) n_public, count(*) filter (c_custkey % 50 <> 9) n_private, count(*) filter (c_custkey % 50 <> 9 and c_custkey % 100 <> 7) n_agree, false verified from customer")
+def _(s, d):
+    """A private view that lacks some items and has other texts for others."""
+    public, private, hashed = _manifests(s, d)
+    other = private.filter(F.col("c_custkey") % 50 != 9).withColumn("c_name", F.when(F.col("c_custkey") % 100 == 7, "else").otherwise(F.col("c_name")))
+    return runs.manifests_agree(public, other, "c_custkey", hashed)
+
+
 @query(
     "sheet_problems",
     "select 'confidence' problem, 'unsure' as value from customer where c_custkey % 50 = 3 having count(*) > 0 union all select distinct 'unknown_id', (c_custkey + 100000)::varchar from customer where c_custkey % 400 = 9 union all select 'duplicate_id', c_custkey::varchar from customer where c_custkey % 300 = 4",

@@ -287,3 +287,13 @@ def test_span_scores_of_written_items(spark):
     assert not got[3]["correct_v2"] and got[3]["model_span"] is None and got[3]["model_label"] == "<parse_failure>"
     summary = sheets.accuracy_summary(sheets.span_scores(samples, truths, ["item_id"])).first()
     assert (summary["n"], summary["v2_correct"], summary["v2_only_correct"], summary["v1_only_correct"]) == (3, 1, 1, 0)
+
+
+def test_the_row_before_needs_no_single_task(spark):
+    rows = [(g, float(i) + 0.5 * (i % 3 == 0), i // 4) for g in ("a", None) for i in range(700)]
+    df = spark.createDataFrame(rows, "g string, x double, v int")
+    got = {(r["g"], r["x"]): r["prev_v"] for r in ranking.before(df, ["v"], "x", ["g"]).collect()}
+    for g in ("a", None):
+        own = sorted((x, v) for h, x, v in rows if h == g)
+        assert [got[(g, x)] for x, _ in own] == [0] + [v for _, v in own[:-1]]
+    assert {(r["x"], r["prev_v"]) for r in ranking.before(df.filter("g is null"), ["v"], "x").collect()} == {(r["x"], r["prev_v"]) for r in ranking.before(df.filter("g is null"), ["v"], "x", few=True).collect()}

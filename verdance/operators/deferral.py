@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import dbl, oracle_aurc, ratio
-from .ranking import levels, running
+from .ranking import before, levels, running
 
 
 def curve(df: DataFrame, score: str, correct: str, by: list[str] = [], compat: bool = False, few: bool = False) -> DataFrame:  # noqa: B006
@@ -20,9 +20,8 @@ def curve(df: DataFrame, score: str, correct: str, by: list[str] = [], compat: b
     run = running(hist, ["bad", "good"], by, few=few)
     if compat:
         # rows up to the threshold: those of the last level at or below it, which is this level or the one before it
-        order = Window.partitionBy(*by).orderBy("score")
-        run = run.withColumn("threshold", F.bround("score", 6))
-        kept = lambda c: F.when(F.col("score") <= F.col("threshold") + 1e-9, F.col(c)).otherwise(F.coalesce(F.lag(c).over(order), F.lit(0)))
+        run = before(run, ["cum_bad", "cum_good"], "score", by, few).withColumn("threshold", F.bround("score", 6))
+        kept = lambda c: F.when(F.col("score") <= F.col("threshold") + 1e-9, F.col(c)).otherwise(F.col(f"prev_{c}"))
         run = run.withColumns({"kb": kept("cum_bad"), "kg": kept("cum_good")})
         run = run.groupBy(*by, "threshold").agg(F.max("kb").alias("kb"), F.max("kg").alias("kg"))
     else:
@@ -33,10 +32,10 @@ def curve(df: DataFrame, score: str, correct: str, by: list[str] = [], compat: b
     return run.filter(n > 0).select(*by, "threshold", n.alias("n_kept"), F.col("kb").alias("n_errors_kept"), "n_items", "n_errors", ratio(n, F.col("n_items")).alias("coverage"), ratio(F.col("kb"), n).alias("risk_kept"))
 
 
-def aurc(points: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
-    """Area by right steps over the curve's points, its baseline, and both perfect rankers."""
-    order = Window.partitionBy(*by).orderBy("threshold")
-    step = F.col("coverage") - F.coalesce(F.lag("coverage").over(order), F.lit(0.0))
+def aurc(points: DataFrame, by: list[str] = [], few: bool = False) -> DataFrame:  # noqa: B006
+    """Area by right steps over the curve's points, its baseline, and both perfect rankers. few: as for the curve."""
+    points = before(points, ["coverage"], "threshold", by, few)
+    step = F.col("coverage") - F.col("prev_coverage")
     perfect = ratio(F.greatest(F.lit(0), F.col("n_kept") - (F.col("n_items") - F.col("n_errors"))), F.col("n_kept"))
     stepped = points.withColumns({"_w": step * F.col("risk_kept"), "_p": step * perfect})
     out = stepped.groupBy(*by).agg(F.max("n_items").alias("n_items"), F.max("n_errors").alias("n_errors"), F.count("*").alias("n_operating_points"), F.sum("_w").alias("aurc"), F.sum("_p").alias("oracle_aurc_on_grid"))

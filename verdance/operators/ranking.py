@@ -46,6 +46,23 @@ def running(hist: DataFrame, columns: list[str], by: list[str] = [], order: str
     return out.select(*hist.columns, *((F.sum(c).over(inside) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in columns))
 
 
+def before(df: DataFrame, columns: list[str], order: str, by: list[str] = [], few: bool = False) -> DataFrame:  # noqa: B006
+    """df with prev_<c>: the value of columns that never fall along the order, in the group's row before (0 in its first); in ranges of the order, and few, as in `running`."""
+    if few:
+        along = Window.partitionBy(*by).orderBy(order)
+        return df.select(*df.columns, *(F.coalesce(F.lag(c).over(along), F.lit(0)).alias(f"prev_{c}") for c in columns))
+    cuts = df.agg(F.array_distinct(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 1000)).alias("_cuts"))  # one row
+    ranged = df.join(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col(order)))).drop("_cuts")
+    highest = ranged.groupBy(*by, "_range").agg(*(F.max(c).alias(f"_m_{c}") for c in columns))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows a group
+    offsets = highest.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_range").alias("_at"), *(F.max(f"_m_{c}").over(earlier).alias(f"_o_{c}") for c in columns))
+    same = F.col("_range") == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    inside = Window.partitionBy(*by, "_range").orderBy(order)
+    return ranged.join(offsets, same).select(*df.columns, *(F.coalesce(F.lag(c).over(inside), F.col(f"_o_{c}"), F.lit(0)).alias(f"prev_{c}") for c in columns))
+
+
 def auroc(df: DataFrame, score: str, correct: str, by: list[str] = [], weight: str | None = None, few: bool = False) -> DataFrame:  # noqa: B006
     """Per group: n_items, n_error, n_correct, auroc (that a wrong item scores higher, ties half); null if a class is empty."""
     run = running(levels(df, score, correct, by, weight), ["good"], by, few=few)

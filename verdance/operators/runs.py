@@ -32,7 +32,7 @@ def grid_summary(scored: DataFrame, score: str, correct: str, failures: str) ->
     by = ["temperature", "k"]
     base = scored.groupBy(*by).agg(F.count("*").alias("n_items"), F.count_if(~F.col(correct)).alias("n_error"), F.count_if(F.col(correct)).alias("n_correct"), F.avg(F.col(correct).cast("int")).alias("accuracy"), F.count_distinct(F.round(score, 12)).alias("n_entropy_values"), ratio(F.sum(failures), F.count("*") * F.first("k")).alias("parse_failure_rate"))
     ranks = auroc(scored, score, correct, by, few=True).select(*by, "auroc")
-    area = aurc(curve(scored, score, correct, by, few=True), by).select(*by, "aurc", F.col("baseline_aurc").alias("random_aurc"))
+    area = aurc(curve(scored, score, correct, by, few=True), by, few=True).select(*by, "aurc", F.col("baseline_aurc").alias("random_aurc"))
     return base.join(ranks, by).join(area, by)
 
 

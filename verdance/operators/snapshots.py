@@ -77,7 +77,7 @@ def metrics(run: DataFrame, k: int, reps: int = 10_000, splits: int = 1_000, tar
     for arm in ("perception", "reasoning"):
         correct = "perception_correct" if arm == "perception" else "grading_correct"
         points = curve(run, f"{arm}_entropy", correct, few=True)
-        parts.append(long(aurc(points).select("aurc", F.col("baseline_aurc").alias("aurc_baseline")), arm, ["aurc", "aurc_baseline"]))
+        parts.append(long(aurc(points, few=True).select("aurc", F.col("baseline_aurc").alias("aurc_baseline")), arm, ["aurc", "aurc_baseline"]))
         if arm == "perception":
             level = F.concat(F.lit("level_"), F.format_string("%.6f", "threshold"))
             parts.append(long(points, "risk_coverage", ["coverage", "risk_kept", "n_kept"], level))

@@ -265,6 +265,35 @@ def _(s, d):
     return audit.confusion_violations(turned, "cell", "correct").select("item", "audit_set")
 
 
+# every cell and every reason for a note, in turn
+_CELLS = ("FP", "FN", "TN", "INDETERMINATE", "NEEDS_VISUAL", "TP")
+_HUMANS = ("notation_misread", "copied_wrong_line", "true_wrong", "hallucination")
+_SPANS = (("a long span.", "a long span"), ("a\\, b c", "a b c"), ("abcd", "\\textcolor{red}{abcd}"), (" ab ", "abcd"), ("x +  1", "y + 1"), (None, None))
+_LABELS_OF = (("text:xy z", "sympy:x"), ("text:x", "text:x"), ("text:abc", "text:abc"), ("text:a", "text:b"), (None, "text:b"))
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("null" if v is None else f"'{v}'" for v in values) + "]"
+
+
+@query(
+    "confusion_note_kinds",
+    f"""with i as (select c_custkey k, {_sql_list(_CELLS)}[(c_custkey % 6 + 1)::int] cell, {_sql_list(_HUMANS)}[(c_custkey // 6 % 4 + 1)::int] human, {_sql_list(x for x, _ in _SPANS)}[(c_custkey // 6 % 6 + 1)::int] ms, {_sql_list(x for _, x in _SPANS)}[(c_custkey // 6 % 6 + 1)::int] ts, {_sql_list(x for x, _ in _LABELS_OF)}[(c_custkey // 6 % 5 + 1)::int] ml, {_sql_list(x for _, x in _LABELS_OF)}[(c_custkey // 6 % 5 + 1)::int] tl, c_custkey // 6 % 2 = 0 ok from customer),
+n as (select *, trim(regexp_replace(coalesce(ms, ''), '\\s+', ' ', 'g')) sm, trim(regexp_replace(coalesce(ts, ''), '\\s+', ' ', 'g')) st from i)
+select k, case when cell = 'FP' and ml = tl and len(split_part(ml, ':', 2)) <= 2 then 'both labels collapse to one symbol; the match is vacuous' when cell = 'FP' and len(trim(coalesce(ms, ''))) <= 3 then 'the extractor picked a 1-3 character span; a match is cheap' when cell = 'FP' then 'scored correct on a span that is not the page''s answer'
+when cell = 'FN' and ml like 'text:%' and tl like 'sympy:%' then 'model answered in prose, truth collapsed to a bare symbol, so the two never compare' when cell = 'FN' and contains(st, '\\textcolor') then 'the truth span still carries LaTeX colour markup the model had no way to reproduce'
+when cell = 'FN' and rtrim(sm, '.,;') = rtrim(st, '.,;') and sm <> st then 'spans differ only by trailing punctuation' when cell = 'FN' and replace(replace(sm, '\\,', ''), ' ', '') = replace(replace(st, '\\,', ''), ' ', '') then 'spans differ only by LaTeX spacing' when cell = 'FN' then 'the page''s answer is right; the label comparison is what failed'
+when cell = 'TN' then case human when 'notation_misread' then 'genuine misread of the handwriting' when 'copied_wrong_line' then 'copied a different line of the page' when 'true_wrong' then 'model answer is wrong on the page''s own terms' else 'human confirms the model was wrong' end
+when cell = 'INDETERMINATE' then 'verdict unearned; what the model actually answered is unknown' when cell = 'NEEDS_VISUAL' then 'scorer ' || case when ok then 'passed' else 'failed' end || ' it, but the coder could not read the page: correctness is unknown either way' else 'human confirms the model was correct' end note from n""",
+)
+def _(s, d):
+    k, turn = F.col("c_custkey"), F.floor(F.col("c_custkey") / 6)
+    pick = lambda values, n: F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (n % len(values) + 1).cast("int"))
+    both = lambda pairs: [pick([p[side] for p in pairs], turn) for side in (0, 1)]
+    note = profile.confusion_note(pick(_CELLS, k), pick(_HUMANS, turn), *both(_LABELS_OF), *both(_SPANS), turn % 2 == 0)
+    return table(s, d, "customer").select(k.alias("k"), note.alias("note"))
+
+
 @query("confusion_notes")
 def _(s, d):
     long, run = _audits(s, d)
@@ -529,7 +558,7 @@ def _(s, d):
     return semantic.embedding_clusters(rows, ["item_id"], "embedding", 0.1).select("item_id", F.col("pos").cast("long").alias("pos"), F.col("cluster").cast("long").alias("cluster"))
 
 
-@query("greedy_clusters")
+@query("greedy_clusters", f"with {EV} select item_id, pos, min(pos) over (partition by item_id, left(label, 1)) as cluster from sm")
 def _(s, d):
     return semantic.greedy(event_votes(s, d)[0], ["item_id"], "label", lambda a, b: a[0] == b[0])
 

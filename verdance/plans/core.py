@@ -314,7 +314,13 @@ _AREA_COLS = "aurc baseline_aurc improvement oracle_aurc e_aurc oracle_aurc_on_g
 
 @query("aurc", f"with {LB}, cv as ({_CURVE}) {_AREA}", _AREA_COLS)
 def _(s, d):
-    return deferral.aurc(deferral.curve(labelled(s, d), "h", "correct", few=True))
+    return deferral.aurc(deferral.curve(labelled(s, d), "h", "correct", few=True), few=True)
+
+
+@query("aurc_lengths", f"with {LB}, cv as ({curve('lb', 'score', 'correct')}) {_AREA}", _AREA_COLS)
+def _(s, d):
+    """Of a score with any number of values: no task sees all of them."""
+    return deferral.aurc(deferral.curve(labelled(s, d), "score", "correct"))
 
 
 @query("oracle_aurc", "select r, case when r = 0 then 0.0 when r = 1 then 1.0 else r + (1 - r) * ln(1 - r) end oracle_aurc from (select (c_custkey % 101) / 100.0::double r from customer group by 1)", "r oracle_aurc")

@@ -209,6 +209,15 @@ RULE_VERDICTS = """ver4 as (select item_id, bool_or(correct) filter (rule = 'str
 cat4 as (select *, case when v1 and v2 and v4 then 'correct_robust' when v1 and v2 then 'broken_by_relaxation' when v1 then 'false_pass_removed' when v2 then 'bug_fix_recovered' when v3 then 'cosmetic_mismatch' when v4 then 'scope_mismatch' else 'genuinely_wrong' end category, case when v1 then null when v2 then 'fixed_v2' when v3 then 'relaxed_v3' when v4 then 'final_term_v4' end first_fixing_rule, not v1 and (v2 or v3) and not v4 later_regression from ver4)"""
 
 
+def _ablated(src: str, field: str, carry: str) -> str:
+    """strict_v1's labels with repairs of fixed_v2, in steps: macros shed, stops inside numbers kept, both."""
+    src = f"(select *, {_BARE.format(x=field)} b_ from {src})"
+    for name, text_, keep in (("base", field, False), ("unwrapped", "b_", False), ("decimals", field, True), ("fixed", "b_", True)):
+        src = f"(select *, {normalize('c_')} {name} from (select * exclude (f_), {canonical('f_')} c_ from (select *, {extract_final(text_, keep)} f_ from {src})))"
+        src = f"(select * exclude (c_) from {src})"
+    return f"(select {carry}, base, unwrapped, decimals, fixed from {src})"
+
+
 @query("rule_labels", f"with {RS}, {SC}, {RULE_LABELS} select item_id, pos, rule, label from labels4")
 def _(s, d):
     rows = votes.once(responses(s, d)[0].select("item_id", "pos", text.parse_answer(F.col("response")).alias("field")), "field", lambda forms: scans.with_labels(forms, "field"))
@@ -245,7 +254,13 @@ def _(s, d):
     return votes.outcome_summary(_classified(s, d))
 
 
-@query("bug_attribution")
+@query(
+    "bug_attribution",
+    f"""with {RS}, {SC}, {RULE_LABELS}, {RULE_VERDICTS}, sa as (select item_id, pos, unnest(['unwrap', 'decimal_split']) fix, unnest([unwrapped, decimals]) l from {_ablated('pr', 'field', 'item_id, pos')}), ta as (select item_id, unnest(['unwrap', 'decimal_split']) fix, unnest([unwrapped, decimals]) l from {_ablated('od', 'truth', 'item_id')}),
+na as (select item_id, fix, l, count(*) n, min(pos) f from sa group by all), ma as (select item_id, fix, (list(l order by n desc, f))[1] m from na group by all),
+fx2 as (select item_id, string_agg(fix, '+' order by fix desc) names from ma join ta using (item_id, fix) join cat4 using (item_id) where (m = ta.l) <> v1 group by 1)
+select item_id, category, case when category in ('bug_fix_recovered', 'false_pass_removed') then coalesce(names, 'combined_only') end attributed_bug from cat4 left join fx2 using (item_id)""",
+)
 def _(s, d):
     """Which single repair changes the verdict of items that the repairs mend or break."""
     return votes.attributed(*responses(s, d), ["item_id"]).select("item_id", "category", "attributed_bug")
@@ -283,7 +298,7 @@ def _(s, d):
     return table(s, d, "nation").select(k, text.first_difference(a, b).cast("int").alias("at"), text.clip(a, 4).alias("clipped"))
 
 
-@query("ablated_labels")
+@query("ablated_labels", f"with {RS}, {PR}, ab as {_ablated('pr', 'field', 'item_id')} select unwrapped <> base changed_unwrapped, decimals <> base changed_decimals, fixed <> base changed_both, count(*) n from ab group by all")
 def _(s, d):
     rows = responses(s, d)[0].select("item_id", "pos", text.parse_answer(F.col("response")).alias("field"))
     # few forms of answers repeat: each is labelled once

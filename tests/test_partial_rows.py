@@ -5,8 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from verdance.functions import text
-from verdance.operators import cases, judging, profile, runs, sampling, sheets
+from verdance.functions import stats, text
+from verdance.operators import cases, deferral, judging, profile, ranking, runs, sampling, sheets
 
 
 def test_a_blank_question_is_an_error(spark):
@@ -86,3 +86,33 @@ def test_gates_and_strata(spark):
 def test_a_damaged_document_has_no_leaves(spark):
     docs = spark.createDataFrame([('{"a": {"b": 1.5}}',), ("{broken",), (None,), ("[1]",)], "d string")
     assert [tuple(r) for r in runs.flatten_json(docs, "d").collect()] == [("a.b", 1.5)]
+
+
+def test_row_by_row_draws_are_few(spark):
+    df = spark.range(20).select("id", F.col("id").cast("double").alias("s"), (F.col("id") % 2 == 0).alias("ok"))
+    with pytest.raises(ValueError, match="replicates"):
+        ranking.replicates(df.withColumnRenamed("id", "idx"), 10_000)
+    with pytest.raises(ValueError, match="splits"):
+        deferral.conformal_splits(df, "id", "s", "ok", [0.1], 1_000, F.col("id"))
+
+
+def test_places_by_hash(spark):
+    df = spark.range(900).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), F.sha2(F.concat(F.lit("k"), "id"), 256).alias("h"))
+    rows = sampling.hash_places(df, ["g"], "h", "id", "place").collect()
+    for g in (None, 1, 2):
+        assert [r["place"] for r in sorted((r for r in rows if r["g"] == g), key=lambda r: r["h"])] == list(range(300))
+
+
+def test_coding_sheet_draws_from_five_strata(spark):
+    labels = ["extraction_issue", "needs_visual", "hallucination"]
+    rows = [(i, [0.0, 0.3, 1.0, math.log(5)][i % 4], labels[i % 3], i % 2 == 0, "text:m", "text:t") for i in range(240)]
+    df = spark.createDataFrame(rows, "item int, entropy double, label string, has_error boolean, model_label string, truth_label string")
+    order = {r["item"]: r["h"] for r in df.select("item", stats.hash_key(0, F.col("item")).alias("h")).collect()}
+    members = [lambda r: r[1] < 1e-9, lambda r: r[1] > math.log(5) - 1e-9, lambda r: 1e-9 <= r[1] < 0.7, lambda r: r[2] == "extraction_issue", lambda r: r[2] == "needs_visual"]
+    want = {}
+    for name, member in zip(profile.SAMPLE_STRATA, members, strict=True):
+        for r in sorted(filter(member, rows), key=lambda r: (order[r[0]], r[0]))[:30]:
+            want.setdefault(r[0], name)
+    got = profile.coding_sheet(profile.audit_sample(df, "item", "entropy", "label", 30, 0, math.log(5)), "item").collect()
+    assert {r["item"]: r["stratum"] for r in got} == want and [(r["stratum"], r["item"]) for r in got] == sorted((r["stratum"], r["item"]) for r in got)
+    assert all(r["proposed_label"] == labels[r["item"] % 3] and r["final_label"] == r["notes"] == "" for r in got)

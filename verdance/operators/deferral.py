@@ -58,6 +58,7 @@ def coverage_at_risk(points: DataFrame, targets: list[float]) -> DataFrame:
 
 
 MOST_LEVELS = 10_000
+MOST_SPLITS = 100  # halvings that are ranked row by row
 
 
 def bound(risk: Column, n: Column, delta: float = 0.1, conservative: bool = True) -> Column:
@@ -75,6 +76,8 @@ def conformal(points: DataFrame, targets: list[float], by: list[str] = [], delta
 
 def conformal_splits(df: DataFrame, key: str, score: str, correct: str, targets: list[float], splits: int, order: Column, calibration: float = 0.5, conservative: bool = True) -> DataFrame:
     """Over `splits` halvings by the hash order (a column of rep and key): how often a threshold calibrated on one half holds on the other. For scores with few values."""
+    if splits > MOST_SPLITS:
+        raise ValueError(f"{splits} splits of every item: use conformal_draws beyond {MOST_SPLITS}")
     reps = df.sparkSession.range(splits).withColumnRenamed("id", "rep")
     rows = df.filter(F.col(score).isNotNull() & F.col(correct).isNotNull()).select(key, F.round(score, 12).alias("s"), F.col(correct).alias("c"))
     ranked = rows.join(F.broadcast(reps)).withColumn("rn", F.row_number().over(Window.partitionBy("rep").orderBy(order, key)))

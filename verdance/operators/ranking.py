@@ -16,6 +16,7 @@ from ..functions.stats import dbl, hash_number, ratio
 
 RANGES = 64
 MOST_LEVELS = 100_000
+MOST_HASHED = 200  # replicates that are drawn row by row
 
 
 def levels(df: DataFrame, score: str, correct: str, by: list[str] = [], weight: str | None = None) -> DataFrame:  # noqa: B006
@@ -126,6 +127,8 @@ def replicates(items: DataFrame, reps: int, seed: int = 0) -> DataFrame:
 
     items has a dense idx from 0. Draws are generated, not collected, and joined to the items by idx.
     """
+    if reps > MOST_HASHED:
+        raise ValueError(f"{reps} replicates of every item: use bootstrap_levels, bootstrap_cells or bootstrap_ranges beyond {MOST_HASHED}")
     n = items.agg(F.count("*").alias("_n"))
     spark = items.sparkSession
     draws = items.select(F.col("idx").alias("draw")).join(F.broadcast(n)).join(F.broadcast(spark.range(reps).withColumnRenamed("id", "rep")))

@@ -100,21 +100,29 @@ def entropy_bin(h: Column) -> Column:
     return F.when(h <= 0, "H=0").when(h < 0.7, "H_low").when(h < 1.4, "H_mid").otherwise("H_high")
 
 
+def hash_places(df: DataFrame, by: list[str], h: str, item: str, name: str) -> DataFrame:
+    """df with each row's place in its group by a hash, then item, from 0. Hashes are even, so their first three digits cut a group into 4,096 parts of like size, which are ranked apart; counts of parts tell what comes before."""
+    cut = df.withColumn("_part", F.substring(h, 1, 3))
+    keys = [*by, "_part"]
+    ahead = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(*keys).agg(F.count("*").alias("_c"))
+    before = sizes.select(*(F.col(c).alias(f"_b{i}") for i, c in enumerate(keys)), F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_before"))
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_b{i}"))
+    inside = Window.partitionBy(*keys).orderBy(h, item)
+    return cut.join(before, same).withColumn(name, F.col("_before") + F.row_number().over(inside) - 1).select(*df.columns, name)
+
+
 def queue(items: DataFrame, item: str, stratum: str, n: int, seed, challenge: list[int] = []) -> DataFrame:  # noqa: B006
     """Every item with its queue (core, challenge, extension), selection_prob (core only), review_order and review_id."""
     tagged = items.withColumn("_challenge", F.col(item).isin(challenge) if challenge else F.lit(False))
     pool = tagged.filter(~F.col("_challenge"))
     share = allocation(pool, stratum, n)
-    rank = F.row_number().over(Window.partitionBy(stratum, "_challenge").orderBy(hash_key(seed, F.col(item)), item))
-    joined = tagged.join(F.broadcast(share), stratum, "left").withColumn("_rank", rank)
-    kind = F.when(F.col("_challenge"), "challenge").when(F.col("_rank") <= F.col("take"), "core").otherwise("extension")
-    out = joined.withColumn("queue", kind).withColumn("_h", hash_key(f"{seed}-review", F.col(item)))
-    # hashes are even, so their first digits cut the order into parts of like size, ranked apart; a row a part tells what comes before
-    part = F.substring("_h", 1, 3)
-    sizes = out.groupBy(part.alias("_part")).agg(F.count("*").alias("_c"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")  # 4,096 rows at most
-    place = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy("_h", item)) - 1
-    out = out.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("review_order", place)
+    ranked = hash_places(tagged.withColumn("_h", hash_key(seed, F.col(item))), [stratum, "_challenge"], "_h", item, "_rank")
+    joined = ranked.join(F.broadcast(share), stratum, "left")
+    kind = F.when(F.col("_challenge"), "challenge").when(F.col("_rank") < F.col("take"), "core").otherwise("extension")
+    out = hash_places(joined.withColumn("queue", kind).withColumn("_h", hash_key(f"{seed}-review", F.col(item))), [], "_h", item, "review_order")
     return out.select(*items.columns, "queue", F.when(F.col("queue") == "core", F.round(ratio(F.col("take"), F.col("size")), 6)).alias("selection_prob"), "review_order", F.format_string("R%04d", "review_order").alias("review_id"))
 
 

@@ -320,6 +320,42 @@ def test_suffix_tree_threshold_does_not_rise_with_the_corpus(spark):
 # ---- op5 ----
 
 
+# classes of characters, as patterns over decoded text: space, line end, lower, upper, digit, sentence marks, symbols, other ASCII, longer characters
+CLASS_PATTERNS = (r"[ \t\x0b\x0c\r]", r"\n", r"[a-z]", r"[A-Z]", r"[0-9]", r"[.,;:?'\"\-()]", r"[#*$%&|<>]", r"[\x00-\x08\x0e-\x1f!/=@\[\\\]^_`{}~+\x7f]", r"[^\x00-\x7f]")
+
+
+def brute_classes(text):
+    return [len(re.findall(p, text)) for p in CLASS_PATTERNS]
+
+
+def brute_statistics(text):
+    words = re.findall(r"[^\x20\x09-\x0d]+", text)
+    if not words:
+        return [0.0] * 17
+    size, n = len(text.encode()), len(words)
+    space, ends, lower, upper, digit, marks, symbols, other, longer = brute_classes(text)
+    windows = Counter(tuple(words[i : i + 8]) for i in range(n - 7))
+    again = {j for i in range(n - 7) if windows[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0d]", x)]
+    parts = [(upper, max(1, lower + upper + longer)), (digit, size), (marks, size), (symbols, size), (other, size), (longer, size), (ends, size)]
+    repeats = [(max(Counter(words).values()), n), (sum(words[i] == words[i + 1] for i in range(n - 1)), n), (len(again), n), (len(lines) - len(set(lines)), max(1, len(lines))), (text.count("!"), n), (text.count("|"), n)]
+    return [math.log(size + 1), math.log(n + 1), math.log(size / n), *(math.sqrt(x / y) for x, y in parts), math.log(len(set(words)) + 1) / math.log(n + 1), *(math.sqrt(x / y) for x, y in repeats)]
+
+
+def test_statistics_against_brute_force(docs):
+    rng = random.Random(12)
+    texts = [t or "" for _, t, *_ in corpus()] + ["".join(rng.choice("aB1.,#|!=~ \n\té\U0001f600\x00") for _ in range(rng.randrange(400))) for _ in range(60)]
+    texts += [" ".join(rng.choice(["a", "b"]) for _ in range(40)) + "\nx y\nx y\n\n", "a b c d e f g h " * 3]
+    for t in texts:
+        assert rules.class_counts(t.encode()).tolist() == brute_classes(t)
+        assert np.allclose(quality.statistics(t.encode()), brute_statistics(t), rtol=0, atol=1e-12)
+    by_id = defaultdict(list)
+    for i, t, *_ in corpus():
+        by_id[i].append(t)
+    for r in quality.with_statistics(docs).collect():
+        assert any(np.allclose(r["x"], brute_statistics(t or ""), rtol=0, atol=1e-12) for t in by_id[r["doc_id"]])
+
+
 def test_classifier(spark, docs, nothing):
     rng = random.Random(8)
     good = [sentence(rng, rng.randint(40, 200)) + "." for _ in range(150)]
@@ -668,7 +704,7 @@ def test_verdicts_against_brute_force(spark):
     got = {r["doc_id"]: r for r in rules.op9(spark.createDataFrame(rows, DOC)).collect()}
     words = Counter(w for t in texts for w in t.lower().encode().split())
     common = [w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:64]]
-    classes = sum(rules.class_counts(t.encode()) for t in texts).astype(float)
+    classes = sum(np.array(brute_classes(t), float) for t in texts)
     ref = np.array([words[w] for w in common] + [sum(words.values()) - sum(words[w] for w in common)], float)
 
     def js(p, q):
@@ -680,7 +716,7 @@ def test_verdicts_against_brute_force(spark):
         own = Counter(t.lower().encode().split())
         mine = np.array([own[w] for w in common] + [sum(own.values()) - sum(own[w] for w in common)], float)
         assert abs(got[i]["words_distance"] - js(mine, np.resize(ref, 65) if len(ref) == 65 else ref)) < 1e-6
-        assert abs(got[i]["chars_distance"] - js(rules.class_counts(t.encode()).astype(float), classes)) < 1e-6
+        assert abs(got[i]["chars_distance"] - js(np.array(brute_classes(t), float), classes)) < 1e-6
         limits = rules.DEFAULTS
         assert got[i]["kept"] == (not got[i]["base_failed"] and got[i]["chars_distance"] <= limits["max_chars_distance"] and got[i]["words_distance"] <= limits["max_words_distance"])
     assert sum(got[i]["kept"] for i in range(60)) >= 50 and not any(got[i]["kept"] for i in (60, 62))
@@ -698,6 +734,18 @@ def brute_hash(rows):
     return f"{int(bits, 2):016x}"
 
 
+def brute_tiles(payload, rows=None):
+    """The NPY format written out: magic, version, length of the header, header to a multiple of 64, bytes."""
+    rows = rows or media.TILE_ROWS
+    out = b""
+    for at in range(0, len(payload), 64 * rows):
+        part = payload[at : at + 64 * rows]
+        head = f"{{'descr': '|u1', 'fortran_order': False, 'shape': ({len(part) // 64}, 64), }}"
+        head += " " * (-(10 + len(head) + 1) % 64) + "\n"
+        out += b"\x93NUMPY\x01\x00" + len(head).to_bytes(2, "little") + head.encode() + part
+    return out
+
+
 def test_media(docs, nothing):
     rows = corpus()
     want = Counter()
@@ -705,7 +753,7 @@ def test_media(docs, nothing):
         raw = (text or "").encode()
         payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         samples = [list(payload[k : k + 64]) for k in range(0, len(payload), 64)]
-        stored = b"".join(media.to_tiles(np.array(samples, np.uint8)))
+        stored = brute_tiles(payload)
         assert media.from_tiles(stored).tobytes() == payload
         want[(i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), brute_hash(samples))] += 1
     got = Counter(tuple(r) for r in media.op10(docs).collect())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats, text
 from ..functions.stats import dbl, hash_key
-from ..operators import deferral, nullmodel, ranking, runs, votes
+from ..operators import deferral, nullmodel, ranking, runs, sheets, votes
 from ..sources.tables import event_run, event_votes, labelled, table
 from .registry import query
 from .sql import EV, LB, auroc, curve, hash_key as sql_key, uniform
@@ -133,8 +133,8 @@ _SCALE_REPS = 40
 _SCALED = f"""ov as (select o_orderkey k, ((o_orderkey // 32) % 6)::int g, o_orderstatus = 'F' e, o_custkey % 3 <> 0 ok, (o_orderkey * 7919 % 1000) / 1000.0::double base, [0.0, 0.25, 1.0, -0.5, 0.06, 0.4][((o_orderkey // 32) % 6 + 1)::int]::double pull from orders where (o_orderkey // 32) % 6 <> 5 or o_orderkey % 1024 < 40),
 om as (select k, g, ok, unnest(list_filter(['perception', case when e then 'perception_error_stratum' end, 'reasoning_pooled', case when e then 'reasoning_error_stratum' else 'reasoning_clean_stratum' end], lambda m: m is not null and not (g = 4 and (m like 'perception%' or k % 2 = 1)))) measure, base + case when ok then 0 else pull end s from ov),
 ow as (select *, len(list_filter({ranking.POISSON}, lambda t: t <= {uniform('0', 'rep', 'k')})) weight from om, (select unnest(range({_SCALE_REPS})) rep)), os as (select g, measure, rep, s, sum(weight) filter (not ok) e, sum(weight) filter (ok) c from ow where weight > 0 group by all),
-oc as (select *, coalesce(e, 0) e0, coalesce(c, 0) c0, sum(coalesce(c, 0)) over (partition by g, measure, rep order by s) cum from os), oa as (select g, measure, rep, sum(e0 * (cum - c0 / 2.0::double)) / nullif(sum(e0) * sum(c0), 0)::double a from oc group by all), oi as (select g, measure, quantile_cont(a, 0.025::double) lo from oa group by all),
-op as ({auroc('om', 's', 'ok', 'g, measure')}), mt as (select op.*, lo, coalesce(lo > 0.5, false) ex, least(n_error, n_correct) < 30 few from op join oi using (g, measure)),
+oc as (select *, coalesce(e, 0) e0, coalesce(c, 0) c0, sum(coalesce(c, 0)) over (partition by g, measure, rep order by s) cum from os), oa as (select g, measure, rep, sum(e0 * (cum - c0 / 2.0::double)) / nullif(sum(e0) * sum(c0), 0)::double a from oc group by all), oi as (select g, measure, quantile_cont(a, 0.025::double) lo, quantile_cont(a, 0.975::double) hi from oa group by all),
+op as ({auroc('om', 's', 'ok', 'g, measure')}), mt as (select op.*, lo, hi, coalesce(lo > 0.5, false) ex, least(n_error, n_correct) < 30 few from op join oi using (g, measure)),
 hy as (select unnest(['perception_pooled_not_comparable', 'perception', 'reasoning_pooled', 'reasoning_stratified', 'clean_stratum_inversion']) hypothesis, unnest(['perception', 'perception_error_stratum', 'reasoning_pooled', 'reasoning_error_stratum', 'reasoning_clean_stratum']) measure)"""
 
 
@@ -145,6 +145,21 @@ hy as (select unnest(['perception_pooled_not_comparable', 'perception', 'reasoni
 )
 def _(s, d):
     """Five registered hypotheses for six runs, fed by intervals of hashed replicates."""
+    return ranking.judged(_scaled_intervals(s, d), ["g"])
+
+
+@query(
+    "interval_verdicts",
+    f"with {_SCALED} select g, measure, case when few then 'inconclusive_underpowered' when hi < 0.5 then 'confirmed_inverted' when not ex then 'no_signal' when auroc >= 0.7 then 'confirmed' else 'resolved_below_threshold' end stratum_verdict, case when few then 'inconclusive_underpowered' when auroc >= 0.7 and ex then 'passes_screen' else 'does_not_pass' end screen_verdict from mt",
+)
+def _(s, d):
+    """Verdicts on strata and screens from resampled intervals, not from a margin: each of them occurs."""
+    n, a = (F.col("n_error"), F.col("n_correct")), F.col("auroc")
+    x = _scaled_intervals(s, d)
+    return x.select("g", "measure", ranking.stratum_verdict(F.col("n_items"), *n, a, F.col("ci_high"), F.col("excludes_chance")).alias("stratum_verdict"), sheets.screen_verdict(*n, a, F.col("excludes_chance")).alias("screen_verdict"))
+
+
+def _scaled_intervals(s, d):
     k = F.col("o_orderkey")
     g = F.floor(k / 32) % 6
     ok = F.col("o_custkey") % 3 != 0
@@ -156,7 +171,7 @@ def _(s, d):
     each = lambda df: df.withColumn("measure", F.explode("measures")).filter(~((F.col("g") == 4) & (F.col("measure").startswith("perception") | (F.col("k") % 2 == 1))))
     runs_, by = each(items), ["g", "measure"]
     drawn = ranking.auroc(each(ranking.hashed_weights(items, "k", _SCALE_REPS)), "s", "ok", [*by, "rep"], weight="weight", few=True)  # the scores have 1,000 levels a verdict
-    return ranking.judged(ranking.with_interval(ranking.auroc(runs_, "s", "ok", by), drawn, by), ["g"])
+    return ranking.with_interval(ranking.auroc(runs_, "s", "ok", by), drawn, by)
 
 
 @query("collapse_check", f"with {LB} select count(*) n_items, avg((correct = not toxic)::int) agreement, coalesce(avg((correct = not toxic)::int) >= 0.95 or avg((correct = not toxic)::int) <= 0.05, false) degenerate from lb", "agreement")

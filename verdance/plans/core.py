@@ -167,11 +167,13 @@ def _scaled_intervals(s, d):
     score = (k * 7919 % 1000) / 1000.0 + F.when(ok, 0.0).otherwise(pull)
     stratum = F.when(F.col("o_orderstatus") == "F", "reasoning_error_stratum").otherwise("reasoning_clean_stratum")
     measure = F.array_compact(F.array(F.lit("perception"), F.when(F.col("o_orderstatus") == "F", "perception_error_stratum"), F.lit("reasoning_pooled"), stratum))
-    items = table(s, d, "orders").filter((g != 5) | (k % 1024 < 40)).select(k.alias("k"), g.cast("int").alias("g"), ok.alias("ok"), score.alias("s"), measure.alias("measures"))
-    each = lambda df: df.withColumn("measure", F.explode("measures")).filter(~((F.col("g") == 4) & (F.col("measure").startswith("perception") | (F.col("k") % 2 == 1))))
-    runs_, by = each(items), ["g", "measure"]
-    drawn = ranking.auroc(each(ranking.hashed_weights(items, "k", _SCALE_REPS)), "s", "ok", [*by, "rep"], weight="weight", few=True)  # the scores have 1,000 levels a verdict
-    return ranking.with_interval(ranking.auroc(runs_, "s", "ok", by), drawn, by)
+    kept = F.filter(measure, lambda m: ~((g == 4) & (m.startswith("perception") | (k % 2 == 1))))
+    items = table(s, d, "orders").filter((g != 5) | (k % 1024 < 40)).select(k.alias("k"), g.cast("int").alias("g"), ok.alias("ok"), score.alias("s"), kept.alias("measures"))
+    each = lambda df: df.withColumn("measure", F.explode("measures"))
+    by, cell = ["g", "measure"], ["g", "measures", "ok", "s"]
+    runs_ = each(items.groupBy(*cell).agg(F.count("*").alias("n")))
+    drawn = ranking.auroc(each(ranking.hashed_cells(items, "k", cell, _SCALE_REPS)), "s", "ok", [*by, "rep"], weight="weight", few=True)  # the scores have 1,000 levels a verdict
+    return ranking.with_interval(ranking.auroc(runs_, "s", "ok", by, weight="n", few=True), drawn, by)
 
 
 @query("collapse_check", f"with {LB} select count(*) n_items, avg((correct = not toxic)::int) agreement, coalesce(avg((correct = not toxic)::int) >= 0.95 or avg((correct = not toxic)::int) <= 0.05, false) degenerate from lb", "agreement")

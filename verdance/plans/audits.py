@@ -499,7 +499,9 @@ def _(s, d):
     c = F.col("c_custkey")
     rows = table(s, d, "customer").select(F.when(c % 400 == 9, c + 100000).otherwise(c).alias("id"), F.when(c % 50 == 3, "unsure").when(c % 2 == 0, " high ").otherwise("").alias("confidence"))
     twice = rows.unionByName(rows.filter(F.col("id") % 300 == 4))
-    return runs.vocabulary_problems(twice, "id", table(s, d, "customer").select(c.alias("id")), {"confidence": ["high", "medium", "low"]})
+    # ids that the sheet gets wrong are of no item, also where there are so many customers that one has the wrong number
+    known = table(s, d, "customer").filter(c % 400 != 9).select(c.alias("id"))
+    return runs.vocabulary_problems(twice, "id", known, {"confidence": ["high", "medium", "low"]})
 
 
 @query(

@@ -631,8 +631,7 @@ def _(s, d):
 
 @query("percentiles", "select l_returnflag, quantile_cont(l_extendedprice, 0.025::double) low, median(l_extendedprice) mid, quantile_cont(l_extendedprice, 0.975::double) high from lineitem group by 1", "low mid high")
 def _(s, d):
-    q = lambda p: F.percentile("l_extendedprice", F.lit(p))
-    return table(s, d, "lineitem").groupBy("l_returnflag").agg(q(0.025).alias("low"), F.median("l_extendedprice").alias("mid"), q(0.975).alias("high"))
+    return ranking.quantiles(table(s, d, "lineitem"), "l_extendedprice", {"low": 0.025, "mid": 0.5, "high": 0.975}, ["l_returnflag"])
 
 
 @query("poststratified", f"with {LB}, c as (select lang, count(*) / (select count(*) from documents)::double f from documents group by 1), a as (select lang, avg(correct::int) a from lb group by 1) select sum(f * a) accuracy from c join a using (lang)", "accuracy")
